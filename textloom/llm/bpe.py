@@ -102,10 +102,10 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, text: str = "text",
         table = encoder(path, pattern)
         for batch in batches:
             rows = []
-            for x in batch.column(batch.num_columns - 1).to_pylist():
+            for each in table.values(x or "" for x in batch.column(batch.num_columns - 1).to_pylist()):
                 n, commas, ids, decoded = 0, "", hashlib.sha256(), hashlib.sha256()
                 all_ids, all_bytes = [], []
-                for values in table.values(x or ""):
+                for values in each:
                     if not values:
                         continue
                     said, back = ",".join([v[0] for v in values]), b"".join([v[1] for v in values])

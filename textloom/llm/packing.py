@@ -35,12 +35,23 @@ def id_table(path: str) -> SegmentTable:
         model = Tokenizer.from_file(path)
         model.encode_special_tokens = True
 
+        def each(segments: list[str]) -> list[bytes]:
+            return [np.array(x.ids, "<u4").tobytes() for x in model.encode_batch_fast(segments, add_special_tokens=False)]
+
+        line = model.encode("\n", add_special_tokens=False).ids
+
         def make(segments: list[str]) -> list[bytes]:
-            found = model.encode_batch_fast(segments, add_special_tokens=False)
-            ids = [x.ids for x in found]
-            flat = np.fromiter((i for x in ids for i in x), "<u4").tobytes()
-            ends = np.cumsum([4 * len(x) for x in ids]).tolist()
-            return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+            """Segments without white space inside are encoded as lines of one text; a line break is a token of its own."""
+            plain = [x for x in segments if not x[-1].isspace()]
+            ids = np.array(model.encode_batch_fast(["\n".join(plain)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(ids == line[0]).tolist()
+            if not plain or len(line) != 1 or len(cuts) != max(0, len(plain) - 1):
+                return each(segments)
+            flat = ids.tobytes()
+            found = dict(zip(plain, [flat[4 * a + 4 : 4 * b] for a, b in zip([-1, *cuts], [*cuts, len(ids)], strict=True)], strict=True))
+            rest = [x for x in segments if x not in found]
+            found.update(zip(rest, each(rest), strict=True))
+            return [found[x] for x in segments]
 
         _encoders[path] = SegmentTable(make)
     return _encoders[path]
@@ -59,8 +70,8 @@ def pieces(docs: DataFrame, path: str, end_id: int, length: int, doc_id: str = "
         table, end = id_table(path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows, of = [], []
-            for i, x in enumerate(batch.column(1).to_pylist()):
-                ids = memoryview(b"".join([v for values in table.values(x or "") for v in values] + [end]))
+            for i, each in enumerate(table.values(x or "" for x in batch.column(1).to_pylist())):
+                ids = memoryview(b"".join([*map(b"".join, each), end]))
                 total = len(ids) // 4
                 edges = [0, *range(total % length or length, total + 1, length)] if total > length else [0, total]
                 for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):

@@ -8,7 +8,8 @@ one once and keeps the result in a bounded table.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
 
 _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 SEGMENT = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]")
@@ -25,28 +26,51 @@ def parts(text: str) -> Iterator[str]:
     yield text[at:] if at else text
 
 
+class _Known(dict):
+    """Values of segments; those asked for in vain are gathered in `new`."""
+
+    new: set
+
+    def __missing__(self, segment: str):
+        self.new.add(segment)
+
+
 class SegmentTable:
-    """Values of segments: `make` computes those of new ones together; long ones and those over `limit` aren't kept."""
+    """Values of segments: `make` computes those that are new in a block of texts together.
 
-    def __init__(self, make: Callable[[list[str]], list], limit: int = 250_000, longest: int = 48):
-        self.make, self.limit, self.longest, self.kept = make, limit, longest, {}
+    Up to `limit` values are kept from block to block, but not those of segments of over `longest` characters.
+    """
 
-    def learn(self, segments: list[str]) -> dict:
-        """A table that holds at least these segments."""
-        new = list(set(segments).difference(self.kept))
-        if not new:
-            return self.kept
+    def __init__(self, make: Callable[[list[str]], list], limit: int = 600_000, longest: int = 48, block: int = 1 << 20):
+        self.make, self.limit, self.longest, self.block = make, limit, longest, block
+        self.kept = _Known()
+
+    def _learn(self, found: list[list[list[str]]]) -> None:
         if len(self.kept) > self.limit:
             self.kept.clear()
-            new = list(set(segments))
-        made = dict(zip(new, self.make(new), strict=True))
-        if len(made) <= self.limit and max(map(len, new)) <= self.longest:
-            self.kept.update(made)
-            return self.kept
-        self.kept.update((k, v) for k, v in made.items() if len(k) <= self.longest)
-        return self.kept | made if len(made) < 10_000 else {**self.kept, **made}
-
-    def values(self, text: str) -> Iterator[list]:
-        for part in parts(text):
-            found = SEGMENT.findall(part)
-            yield list(map(self.learn(found).__getitem__, found))
+        self.kept.new = set()
+        for each in found:
+            for segments in each:
+                deque(map(self.kept.__getitem__, segments), maxlen=0)
+        new = list(self.kept.new)
+        if new:
+            self.kept.update(zip(new, self.make(new), strict=True))
+
+    def values(self, texts: Iterable[str]) -> Iterator[list[list]]:
+        """For each text the values of its segments, in lists for its parts."""
+        group, size = [], 0
+        for x in texts:
+            group.append(x)
+            size += len(x)
+            if size >= self.block:
+                yield from self._of(group)
+                group, size = [], 0
+        yield from self._of(group)
+
+    def _of(self, group: list[str]) -> Iterator[list[list]]:
+        found = [[SEGMENT.findall(part) for part in parts(x)] for x in group]
+        self._learn(found)
+        for each in found:
+            yield [list(map(self.kept.__getitem__, segments)) for segments in each]
+        for segment in [x for x in self.kept.new if len(x) > self.longest]:
+            del self.kept[segment]
