@@ -53,7 +53,7 @@ def id_table(path: str) -> SegmentTable:
             found.update(zip(rest, each(rest), strict=True))
             return [found[x] for x in segments]
 
-        _encoders[path] = SegmentTable(make)
+        _encoders[path] = SegmentTable(make, limit=1_200_000)
     return _encoders[path]
 
 
