@@ -11,21 +11,18 @@ from .shared import cut
 def components(links: DataFrame, rounds: int = 100) -> DataFrame:
     """(id, component) for each end of the links (a, b); component is the smallest id reachable.
 
-    Large-star and small-star steps by turns until the links are stars around their smallest ids; each node hands its
-    neighbours its own smallest neighbour, so no list of neighbours is ever gathered. An empty table gives no rows.
+    In each round a node takes the smallest label among its neighbours, and then that label's own label, until none
+    changes. Labels are pre-aggregated by node, so no list of neighbours is gathered. An empty table gives no rows.
     """
-    edges = cut(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state = None
+    ends = links.filter("a <> b").select("a", "b")
+    both = cut(ends.union(ends.select("b", "a")).distinct())
+    label = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component"))
     for _ in range(rounds):
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        edges = cut(small.filter("u <> v").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == state:
+        near = both.join(label.select(F.col("id").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("m"))
+        step = label.join(near.withColumnRenamed("a", "id"), "id").select("id", F.least("component", "m").alias("component"), F.col("component").alias("old"))
+        further = label.select(F.col("id").alias("component"), F.col("component").alias("f"))
+        new = cut(step.join(further, "component", "left").select("id", F.least("component", F.coalesce("f", "component")).alias("component"), "old"))
+        label = new.drop("old")
+        if new.filter("component <> old").isEmpty():
             break
-        state = tuple(now)
-    stars = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    return stars.union(edges.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
+    return label

@@ -93,7 +93,7 @@ def estimate(a: Column, b: Column) -> Column:
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) for which 100 * intersection >= percent * union holds on their full sets."""
+    """The pairs (a, b) with the Jaccard distance of their full sets, and linked: 100 * intersection >= percent * union."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -103,16 +103,18 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
                 right = [x or b"" for x in part.column(3).cast(pa.binary()).to_pylist()]
                 values, bounds = shingles(Words([*left, *right], lower=True), size)
                 sets = [values[i:j] for i, j in zip(bounds, bounds[1:], strict=False)]
-                keep = []
+                linked, distance = [], []
                 for x, y in zip(sets, sets[len(left) :], strict=False):
                     both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(keep))
+                    union = len(x) + len(y) - both
+                    linked.append(both > 0 and 100 * both >= percent * union)
+                    distance.append(1 - both / max(1, union))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(linked), pa.array(distance)], names=["a", "b", "linked", "distance"])
 
     kind = pairs.schema["a"].dataType.simpleString()
     joined = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     joined = joined.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}")
+    return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}, linked boolean, distance double")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, slack: float = 0.25) -> DataFrame:
@@ -133,30 +135,45 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     same = members.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     reps = full.join(members.filter("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     keyed = reps.select("doc_id", F.explode("bands").alias("band"))
-    busy = keyed.groupBy("band").agg(F.count("*").alias("n"), F.min("doc_id").alias("hub")).filter("n > 1").drop("n")
+    busy = keyed.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
     met = cut(keyed.join(busy, "band"))
-    involved = met.select("doc_id").distinct()
-    texts = cut(named.filter("doc_id is not null").join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    low = reps.join(involved, "doc_id", "left_semi").select("doc_id", "low")
-
-    def links(pairs: DataFrame) -> DataFrame:
+    # The hub of a band is the member that meets the most documents over all its bands: the least edited of a group.
+    degree = met.groupBy("doc_id").agg(F.sum("n").alias("degree"))
+    hubs = met.join(degree, "doc_id").groupBy("band").agg(F.max_by("doc_id", F.struct("degree", F.xxhash64("doc_id"))).alias("hub"))
+    met = cut(met.drop("n").join(hubs, "band"))
+    texts = cut(named.filter("doc_id is not null").join(degree.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    low = reps.join(degree.select("doc_id"), "doc_id", "left_semi").select("doc_id", "low")
+
+    def estimated(pairs: DataFrame) -> DataFrame:
         sides = pairs.join(low.select(F.col("doc_id").alias("a"), F.col("low").alias("low_a")), "a").join(low.select(F.col("doc_id").alias("b"), F.col("low").alias("low_b")), "b")
-        near = sides.filter(estimate(F.col("low_a"), F.col("low_b")) >= percent / 100 - slack).select("a", "b")
-        return confirmed(near, texts, size, percent)
-
-    first = cut(links(met.filter("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()))
-    found = components(first)
-    labelled = met.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    split = cut(labelled.groupBy("band", "component").agg(F.count("*").alias("n")))
-    whole = Window.partitionBy("band")
+        return sides.select("a", "b", estimate(F.col("low_a"), F.col("low_b")).alias("e"))
+
+    least = percent / 100 - slack
+    star = cut(estimated(met.filter("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()))
+    first = cut(confirmed(star.filter(F.col("e") >= least).select("a", "b"), texts, size, percent))
+    found = components(first.filter("linked"))
+    # What hubs did not join: pairs across components, unless the triangle inequality of Jaccard distances to the hub
+    # rules a link out. A distance that only the estimate knows lies in [lo, 1].
+    known = star.join(first.select("a", "b", "distance"), ["a", "b"], "left").select(
+        F.col("a").alias("doc_id"), F.col("b").alias("hub"), F.coalesce("distance", F.greatest(F.lit(1 - percent / 100), 1 - slack - F.col("e"))).alias("lo"), F.coalesce("distance", F.lit(1.0)).alias("hi")
+    )
+    labelled = met.filter("doc_id <> hub").join(known, ["doc_id", "hub"]).join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    split = labelled.groupBy("band", "component").agg(F.count("*").alias("n"))
     order = Window.partitionBy("band").orderBy(F.desc("n"), "component")
-    open_ = split.withColumn("parts", F.count("*").over(whole)).withColumn("place", F.row_number().over(order)).filter("parts > 1")
-    sides = labelled.select("band", "doc_id", "component", "hub").join(open_.select("band", "component", "place"), ["band", "component"])
-    minor = sides.filter("place > 1 and doc_id <> hub").select("band", F.col("doc_id").alias("a"), F.col("component").alias("ca"), "place")
-    other = sides.filter("doc_id <> hub").select("band", F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("place").alias("pb"))
-    across = minor.join(other, "band").filter("pb < place").select("a", "b").distinct()
-    second = cut(links(across))
-    joined = components(first.union(second).union(same))
-    out = stage.select("doc_id", "n_shingles").join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    out = out.withColumn("component_id", F.coalesce("component", "doc_id"))
+    place = split.withColumn("place", F.row_number().over(order)).withColumn("parts", F.count("*").over(Window.partitionBy("band"))).filter("parts > 1").drop("n", "parts")
+    sides = cut(labelled.join(place, ["band", "component"]).select("band", "doc_id", "place", "lo", "hi"))
+    minor = sides.filter("place > 1").select("band", F.col("doc_id").alias("a"), F.col("place").alias("pa"), F.col("lo").alias("la"), F.col("hi").alias("ha"))
+    other = sides.select("band", F.col("doc_id").alias("b"), F.col("place").alias("pb"), F.col("lo").alias("lb"), F.col("hi").alias("hb"))
+    reach = 1 - percent / 100 + 1e-9
+    near = (F.col("pb") < F.col("pa")) & (F.col("la") - F.col("hb") <= reach) & (F.col("lb") - F.col("ha") <= reach) & (minor.band == other.band)
+    across = minor.join(other, near).select("a", "b").distinct()
+    second = cut(confirmed(estimated(across).filter(F.col("e") >= least).select("a", "b"), texts, size, percent)).filter("linked")
+    joined = components(first.filter("linked").select("a", "b").union(second.select("a", "b")))
+    rep_of = members.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
+    # Rows that share a doc_id but not their text may stand in several classes; these are linked through it.
+    many = cut(members.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("rep").alias("b")).filter("n > 1").join(members, "doc_id").select(F.col("rep").alias("a"), "b").filter("a <> b"))
+    if not many.isEmpty():
+        joined = components(first.filter("linked").select("a", "b").union(second.select("a", "b")).union(many))
+        rep_of = members.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component")).distinct()
+    out = stage.select("doc_id", "n_shingles").join(rep_of, "doc_id", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
