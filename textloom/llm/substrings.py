@@ -10,13 +10,15 @@ fingerprint of all their words that is independent of the anchor's (128 bits in
 from __future__ import annotations
 
 import hashlib
+import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, drop_folder, new_folder
+from .shared import cut, partitions, shared_dir
 from .words import Words, blocks, runs
 
 #: Windows with the same anchor are verified in units of at most this many.
@@ -68,51 +70,62 @@ def fingerprints(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (anchor, lo, hi): the smallest and largest document that holds each anchor."""
+    """Sorted immutable runs of (anchor, lo, hi): the smallest and largest document that holds each anchor.
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, fanout: int = 3):
-        self.spark, self.folder, self.fanout = spark, folder or new_folder(spark, "index"), fanout
+    A run is a table in the warehouse, bucketed and sorted by anchor, so that a batch is merge-joined with it, and runs
+    with each other, without dealing them out again.
+    """
+
+    def __init__(self, spark: SparkSession, fanout: int = 2, buckets: int | None = None):
+        self.spark, self.fanout, self.buckets = spark, fanout, buckets or partitions(spark)
+        self.name = f"fingerprints_{uuid.uuid4().hex}"
         self.runs: list[str] = []
         self.marked: list[str] = []
         self.made = 0
+        shared_dir(spark)
 
     def _write(self, rows: DataFrame, kind: str) -> str:
-        path = f"{self.folder}/{kind}-{self.made:06d}"
+        table = f"{self.name}_{kind}_{self.made}"
         self.made += 1
-        rows.write.parquet(path)
-        return path
+        rows.write.format("parquet").option("compression", "zstd").bucketBy(self.buckets, "anchor").sortBy("anchor").saveAsTable(table)
+        return table
 
     def ingest(self, batch: DataFrame) -> DataFrame:
         """Add a batch of (anchor, doc_id) as a run; returns its anchors that another document, of it or of an
         earlier batch, holds too."""
         grouped = batch.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-        run = self._write(grouped.sortWithinPartitions("anchor"), "run")
-        new = self.spark.read.parquet(run)
-        shared = new.filter("lo < hi").select("anchor")
-        if self.runs:
-            past = self.spark.read.parquet(*self.runs).select("anchor", F.col("lo").alias("past_lo"), F.col("hi").alias("past_hi"))
-            met = new.hint("merge").join(past, "anchor").filter("least(lo, past_lo) < greatest(hi, past_hi)")
-            shared = shared.union(met.select("anchor"))
-        self.marked.append(self._write(shared.distinct(), "shared"))
+        run = self._write(grouped.repartition(self.buckets, "anchor"), "run")
+        new = self.spark.table(run)
+        seen = new
+        for past in self.runs:
+            old = self.spark.table(past).select("anchor", F.col("lo").alias("past_lo"), F.col("hi").alias("past_hi"))
+            seen = seen.hint("merge").join(old, "anchor", "left").select("anchor", F.least("lo", "past_lo").alias("lo"), F.greatest("hi", "past_hi").alias("hi"))
+        self.marked.append(self._write(seen.filter("lo < hi").select("anchor"), "shared"))
         self.runs.append(run)
         if len(self.runs) >= self.fanout:
             self.compact()
-        return self.spark.read.parquet(self.marked[-1])
+        return self.spark.table(self.marked[-1])
 
     def compact(self) -> None:
         """Merge all runs into one; the old ones go."""
-        merged = self.spark.read.parquet(*self.runs).groupBy("anchor").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        old, self.runs = self.runs, [self._write(merged.sortWithinPartitions("anchor"), "run")]
-        for path in old:
-            drop_folder(self.spark, path)
+        merged = self.spark.table(self.runs[0])
+        for run in self.runs[1:]:
+            other = self.spark.table(run).select("anchor", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+            merged = merged.hint("merge").join(other, "anchor", "full").select("anchor", F.least("lo", "lo2").alias("lo"), F.greatest("hi", "hi2").alias("hi"))
+        old, self.runs = self.runs, [self._write(merged, "run")]
+        for run in old:
+            self.spark.sql(f"DROP TABLE {run}")
 
     def shared(self) -> DataFrame:
         """All anchors that two documents or more hold."""
-        return self.spark.read.parquet(*self.marked).distinct()
+        rows = self.spark.table(self.marked[0])
+        for table in self.marked[1:]:
+            rows = rows.hint("merge").join(self.spark.table(table), "anchor", "full")
+        return rows
 
 
 def shared_windows(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """For each row of (doc_id, copy, text, shared): text, and the units of its windows with a shared anchor: runs of
+    """For each row of (doc_id, copy, text, shared): the text compressed, and the units of its windows with a shared anchor: runs of
     consecutive windows with one anchor, as (anchor, unit, pos, windows)."""
 
     def run(batches: Iterator) -> Iterator:
@@ -143,22 +156,23 @@ def shared_windows(docs: DataFrame, window: int, gram: int) -> DataFrame:
             for a, b, u in zip(first.tolist(), ends.tolist(), ids.tolist(), strict=True):
                 i = int(of[a])
                 units[i].append({"anchor": int(anchor[a]), "unit": u, "pos": int(at[a] - words.bounds[i]), "windows": whole[a:b]})
-            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(units, shape)], names=["doc_id", "copy", "text", "units"])
+            packed = pa.array([zlib.compress(x, 1) for x in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([*part.columns[:2], packed, pa.array(units, shape)], names=["doc_id", "copy", "packed", "units"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "copy", "text", "shared").mapInArrow(run, f"doc_id {kind}, copy long, text string, units array<struct<anchor:long,unit:long,pos:long,windows:array<long>>>")
+    return docs.select("doc_id", "copy", "text", "shared").mapInArrow(run, f"doc_id {kind}, copy long, packed binary, units array<struct<anchor:long,unit:long,pos:long,windows:array<long>>>")
 
 
 def _keep_rest(found: DataFrame, window: int, with_text: bool) -> DataFrame:
-    """For each row of (doc_id, copy, text, starts): what is left when the windows at these word positions go."""
+    """For each row of (doc_id, copy, packed, starts): what is left when the windows at these word positions go."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for part, texts in blocks(batches):
+        for part in batches:
             rows = []
-            for x, starts in zip(texts, part.column(3), strict=True):
-                words = x.split()
+            for x, starts in zip(part.column(2), part.column(3), strict=True):
+                words = zlib.decompress(x.as_py()).split()
                 edge = np.zeros(len(words) + 1, np.int64)
                 at = np.unique(starts.values.to_numpy(zero_copy_only=False))
                 np.add.at(edge, at, 1)
@@ -170,10 +184,10 @@ def _keep_rest(found: DataFrame, window: int, with_text: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *made], names=["doc_id", "copy", "n_removed", "kept_sha", "kept_text"])
 
     kind = found.schema["doc_id"].dataType.simpleString()
-    return found.select("doc_id", "copy", "text", "starts").mapInArrow(run, f"doc_id {kind}, copy long, n_removed long, kept_sha string, kept_text string")
+    return found.select("doc_id", "copy", "packed", "starts").mapInArrow(run, f"doc_id {kind}, copy long, n_removed long, kept_sha string, kept_text string")
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 50, gram: int = 12, batches: int = 3, with_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 50, gram: int = 12, batches: int = 2, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of each row, after removal of every word that lies in a window of
     `window` words whose words also start in a document with a smaller doc_id; with_text: also copy (xxhash64 of
     the text) and kept_text, null where nothing was removed.
@@ -186,12 +200,12 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
     spark = docs.sparkSession
     keyed = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("copy"), F.col(text).alias("text"))
     stage = cut(fingerprints(keyed, window, gram))
-    pairs = stage.filter("doc_id is not null").select("doc_id", "copy", F.explode("anchors").alias("anchor"))
+    pairs = stage.filter("doc_id is not null").select("doc_id", F.explode("anchors").alias("anchor"))
     index = FingerprintIndex(spark)
     for k in range(batches):
         index.ingest(pairs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k).select("anchor", "doc_id"))
-    per_doc = pairs.join(index.shared(), "anchor").groupBy("doc_id", "copy").agg(F.collect_set("anchor").alias("shared"))
-    held = cut(shared_windows(keyed.join(per_doc, ["doc_id", "copy"]), window, gram))
+    per_doc = pairs.join(index.shared(), "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("shared"))
+    held = cut(shared_windows(keyed.join(per_doc, "doc_id"), window, gram))
     seen = held.select("doc_id", "copy", F.explode("units").alias("u")).select("doc_id", "copy", "u.*")
     units = seen.groupBy("anchor", "unit").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.first("windows").alias("windows"))
     same = Window.partitionBy("anchor", "window")
@@ -201,7 +215,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
     gone = seen.select("doc_id", "copy", "anchor", "unit", "pos").join(verdict, ["anchor", "unit"])
     hit = F.transform(F.filter("mins", lambda m: m.least < F.col("doc_id")), lambda m: F.col("pos") + m.k)
     starts = gone.select("doc_id", "copy", hit.alias("at")).filter("size(at) > 0").groupBy("doc_id", "copy").agg(F.flatten(F.collect_set("at")).alias("starts"))
-    texts = held.select("doc_id", "copy", "text").dropDuplicates(["doc_id", "copy"])
+    texts = held.select("doc_id", "copy", "packed").dropDuplicates(["doc_id", "copy"])
     found = _keep_rest(texts.join(starts, ["doc_id", "copy"]), window, with_text)
     out = stage.drop("anchors").join(found, ["doc_id", "copy"], "left")
     kept = ["copy", "kept_text"] if with_text else []
