@@ -1 +1,87 @@
+"""Ingestion: idempotent submission, processing with retries, dead letters; in batch and as a stream."""
 
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+MAX_RETRIES = 3
+
+
+def idempotency_key(filename: Column, collection: Column, given: Column | None = None) -> Column:
+    """The caller's key, or the first 32 hex digits of sha256("filename::collection")."""
+    made = F.substring(F.sha2(F.concat(filename, F.lit("::"), collection), 256), 1, 32)
+    return made if given is None else F.coalesce(given, made)
+
+
+def submit(messages: DataFrame, known: DataFrame | None = None, retry_failed: bool = False, order: str = "published_at") -> DataFrame:
+    """messages (idempotency_key, ...) with status: pending for the first of each new key, else duplicate. A key in
+    `known` (idempotency_key, status) is taken in any status; retry_failed: but for dead_letter."""
+    w = Window.partitionBy("idempotency_key").orderBy(order)
+    rows = messages.withColumn("_n", F.row_number().over(w))
+    taken = F.lit(False)
+    if known is not None:
+        old = known.filter("status <> 'dead_letter'") if retry_failed else known
+        rows = rows.join(old.select("idempotency_key", F.lit(True).alias("_known")).distinct(), "idempotency_key", "left")
+        taken = F.coalesce("_known", F.lit(False))
+    return rows.withColumn("status", F.when((F.col("_n") > 1) | taken, "duplicate").otherwise("pending")).drop("_n", "_known")
+
+
+def consume(messages: DataFrame, completed: DataFrame, fails: Column, retries: int = MAX_RETRIES) -> DataFrame:
+    """One row per pending key with its fate: skipped if completed before; complete after `attempts` tries; or dead_letter
+    after 1 + retries. `fails` is a column over message and attempt (from 0), true where that try fails."""
+    todo = messages.filter("status = 'pending'").join(completed.select("idempotency_key", F.lit(True).alias("_done")).distinct(), "idempotency_key", "left")
+    tries = todo.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(retries)))).withColumn("_ok", ~F.coalesce(fails, F.lit(False)))
+    fate = tries.groupBy("idempotency_key").agg(F.first("_done").alias("_done"), F.min(F.when(F.col("_ok"), F.col("attempt"))).alias("good"))
+    status = F.when(F.col("_done"), "skipped").when(F.col("good").isNotNull(), "complete").otherwise("dead_letter")
+    return fate.select("idempotency_key", status.alias("status"), F.when(F.col("_done"), 0).otherwise(F.coalesce(F.col("good") + 1, F.lit(retries + 1))).alias("attempts"))
+
+
+def parse_messages(raw: DataFrame, schema: str) -> DataFrame:
+    """(value) as JSON to columns; what can't be read is dropped."""
+    return raw.select(F.from_json(F.col("value").cast("string"), schema).alias("m")).select("m.*").filter("idempotency_key is not null")
+
+
+def deduplicated(stream: DataFrame, event_time: str = "published_at", delay: str = "1 day") -> DataFrame:
+    """The first message of each key, remembered for `delay` of event time."""
+    return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["idempotency_key"])
+
+
+def run_ingestion(stream: DataFrame, process: Callable[[DataFrame], DataFrame], fails: Column, tables: str, checkpoint: str, retries: int = MAX_RETRIES, available_now: bool = True):
+    """Start a query that writes each micro-batch: what process() makes of completed messages to tables/chunks, fates to
+    tables/status, dead letters to tables/dead_letter. Files of a batch lie under its number and are overwritten when the
+    batch is run again, so a restart leaves no second copy."""
+
+    def one(batch: DataFrame, number: int) -> None:
+        spark: SparkSession = batch.sparkSession
+        batch = batch.persist()
+        known = _status(spark, f"{tables}/status", number)
+        sent = submit(batch, known)
+        done = known.filter("status = 'complete'") if known is not None else spark.createDataFrame([], "idempotency_key string, status string")
+        fates = consume(sent, done, fails, retries).persist()
+        pending = sent.filter("status = 'pending'").drop("status").join(fates, "idempotency_key")
+        out = lambda df, name: df.write.mode("overwrite").parquet(f"{tables}/{name}/batch={number}")
+        out(process(pending.filter("status = 'complete'")), "chunks")
+        out(pending.filter("status = 'dead_letter'").withColumn("failure_reason", F.lit("retries used up")), "dead_letter")
+        out(fates, "status")
+        fates.unpersist()
+        batch.unpersist()
+
+    writer = stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def _status(spark: SparkSession, path: str, number: int) -> DataFrame | None:
+    from ..sources import exists
+
+    if not exists(spark, path):
+        return None
+    return spark.read.parquet(path).filter(F.col("batch") < number).select("idempotency_key", "status")
+
+
+def statistics(stream: DataFrame, event_time: str, width: str = "1 hour", delay: str = "2 hours", by: tuple[str, ...] = ()) -> DataFrame:
+    """Counts in windows of event time, late rows up to `delay` included (an extension of plain ingestion)."""
+    rows = stream.withWatermark(event_time, delay) if stream.isStreaming else stream
+    return rows.groupBy(F.window(event_time, width), *by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("window_start"), *by, "n")
