@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, media, neardup, packing, pii, quality, substrings, toxicity
+from . import bpe, katz, langid, media, neardup, packing, pii, quality, substrings, toxicity
 
 
 #: The labelled rows that toxicity learns from, at most.
@@ -24,6 +24,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(documents(spark, sf_dir), langid.held_out("doc_id", 7, 2))
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir), size=2, percent=80)
 
@@ -71,7 +75,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_minhash, op3_substrings, op4_pii, op5_toxicity, op6_byte_bpe, op7_media, op8_language, op9_packing, op10_quality)}
+    return {f.__name__: f for f in (op1_katz, op2_minhash, op3_substrings, op4_pii, op5_toxicity, op6_byte_bpe, op7_media, op8_language, op9_packing, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
