@@ -225,12 +225,13 @@ def _vectors(spark, sf_dir):
     return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), F.col("label").cast("string").alias("label"))
 
 
-def _probes(spark, sf_dir, below: int = 5):
-    return _vectors(spark, sf_dir).filter(F.col("chunk_id") < below).select(F.col("chunk_id").alias("query_id"), F.col("vector").alias("q_vector"))
+def _probes(spark, sf_dir):
+    """The stated query set of searches: every row whose id is divisible by 50, against all rows."""
+    return _vectors(spark, sf_dir).filter(F.col("chunk_id") % 50 == 0).select(F.col("chunk_id").alias("query_id"), F.col("vector").alias("q_vector"))
 
 
 def _dense_sql(score: str, where: str = "TRUE", k: int = 5) -> str:
-    return f"""WITH s AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, {score} AS score FROM embeddings q, embeddings v WHERE q.vec_id < 5 AND {where}),
+    return f"""WITH s AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, {score} AS score FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 AND {where}),
       r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s)
       SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM r WHERE rank <= {k}"""
 
@@ -361,18 +362,18 @@ def retrieval_heal(spark, sf_dir):
 # ---- embeddings and generation ----
 
 
-@register("""WITH t AS (SELECT doc_id, 'emb:' || sha256('stand-in:hash64:' || text) AS key FROM documents) SELECT doc_id, t.key, c.key IS NOT NULL AS hit FROM t LEFT JOIN (SELECT DISTINCT key FROM t WHERE doc_id % 3 = 0) c USING (key)""")
+@register("""WITH t AS (SELECT doc_id, lang, 'emb:' || sha256('stand-in:hash64:' || text) AS key FROM documents) SELECT doc_id, t.key, c.key IS NOT NULL AS hit FROM t LEFT JOIN (SELECT DISTINCT key FROM t WHERE lang = 'en') c USING (key)""")
 def embed_cache_plan(spark, sf_dir):
     return _planned(spark, sf_dir).select("doc_id", "key", "hit")
 
 
 def _planned(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text", caching.cache_key(F.lit("stand-in"), F.lit("hash64"), F.col("text")).alias("key"))
-    cached = docs.filter("doc_id % 3 = 0").dropDuplicates(["key"]).select("key", F.array(F.lit(0.0)).cast("array<float>").alias("vector"))
-    return caching.plan(docs, cached)
+    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "text", caching.cache_key(F.lit("stand-in"), F.lit("hash64"), F.col("text")).alias("key"))
+    cached = docs.filter("lang = 'en'").dropDuplicates(["key"]).select("key", F.array(F.lit(0.0)).cast("array<float>").alias("vector"))
+    return caching.plan(docs.drop("lang"), cached)
 
 
-@register("""WITH t AS (SELECT doc_id, text AS key FROM documents), p AS (SELECT t.key, c.key IS NOT NULL AS hit FROM t LEFT JOIN (SELECT DISTINCT key FROM t WHERE doc_id % 3 = 0) c USING (key)),
+@register("""WITH t AS (SELECT doc_id, lang, text AS key FROM documents), p AS (SELECT t.key, c.key IS NOT NULL AS hit FROM t LEFT JOIN (SELECT DISTINCT key FROM t WHERE lang = 'en') c USING (key)),
   s AS (SELECT count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses, count(DISTINCT key) FILTER (NOT hit) AS to_embed FROM p) SELECT *, round(hits / (hits + misses)::DOUBLE, 4) AS hit_rate, round(100 * round(hits / (hits + misses)::DOUBLE, 4), 2) AS hit_pct FROM s""")
 def embed_cache_stats(spark, sf_dir):
     return caching.stats(_planned(spark, sf_dir))
@@ -517,7 +518,7 @@ def graph_communities(spark, sf_dir):
 
 @register()
 def graph_retrieve(spark, sf_dir):
-    starts = _starts(spark, sf_dir).filter("query_id <= 20")
+    starts = _starts(spark, sf_dir)
     dense = starts.select("query_id", F.concat(F.lit("supplier-"), F.col("query_id")).alias("chunk_id"), F.lit(1).alias("rank"))
     return graph.retrieve(dense, graph.traverse(starts, _edges(spark, sf_dir), 1), 5)
 
@@ -570,7 +571,7 @@ def health_rollup(spark, sf_dir):
     return caching.health(checks, ["click", "view", "purchase", "signup"])
 
 
-GOOD = BM25.replace(f"SELECT doc_id, {TERMS.format('text')} AS t FROM documents", f"SELECT chunk_id AS doc_id, {TERMS.format('text')} AS t FROM c").replace("FROM benchmark)", "FROM benchmark WHERE item_id < 5)")
+GOOD = BM25.replace(f"SELECT doc_id, {TERMS.format('text')} AS t FROM documents", f"SELECT chunk_id AS doc_id, {TERMS.format('text')} AS t FROM c")
 
 
 @register(f"""WITH c AS (WITH src AS (SELECT doc_id, text FROM documents), {FIXED}, {QUALITY} SELECT doc_id * 1000000 + chunk_index AS chunk_id, text FROM scored WHERE quality_score >= 0.4),
@@ -578,5 +579,4 @@ GOOD = BM25.replace(f"SELECT doc_id, {TERMS.format('text')} AS t FROM documents"
 def search_good_chunks(spark, sf_dir):
     """Which chunks match some questions best, bad chunks left out: windows, gate and ranking in one plan."""
     good = quality.gate(scored_chunks(spark, sf_dir)).select((F.col("doc_id") * 1_000_000 + F.col("chunk_index")).alias("chunk_id"), "text")
-    asked = _questions(spark, sf_dir).filter("query_id < 5")
-    return retrieval.bm25(asked, good, 5)
+    return retrieval.bm25(_questions(spark, sf_dir), good, 5)
