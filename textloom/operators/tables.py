@@ -8,6 +8,7 @@ import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.text import content_key, word_count
 
@@ -77,12 +78,12 @@ def markdown(headers: Column, rows: Column) -> Column:
     return F.concat_ws("\n", line(fitted[0]), rule, F.array_join(F.transform(F.slice(fitted, 2, F.greatest(F.size(rows), F.lit(0))), line), "\n"))
 
 
-@F.udf("string")
+@F.udf(StringType())
 def as_json(headers, rows):
     return json.dumps([dict(zip(headers, r)) for r in rows], indent=2, ensure_ascii=False)
 
 
-@F.udf("string")
+@F.udf(StringType())
 def as_csv(headers, rows):
     out = io.StringIO()
     csv.writer(out).writerows([headers, *rows])
