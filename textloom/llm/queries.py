@@ -78,5 +78,42 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_katz, op2_minhash, op3_substrings, op4_pii, op5_toxicity, op6_byte_bpe, op7_media, op8_language, op9_packing, op10_quality)}
 
 
+TOKENS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
+LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP2_SQL = f"""WITH RECURSIVE w AS (SELECT doc_id, {TOKENS.format(LOWER.format("coalesce(text, '')"))} AS w FROM documents),
+  g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS g FROM w),
+  p AS (SELECT doc_id, len(g) AS n, unnest(g) AS s FROM g),
+  k AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS common FROM p a JOIN p b ON a.s = b.s AND a.doc_id < b.doc_id AND a.n * 100 >= 80 * b.n AND b.n * 100 >= 80 * a.n GROUP BY 1, 2),
+  l AS (SELECT a, b FROM k WHERE 100 * common >= 80 * (na + nb - common)), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+  r AS (SELECT doc_id AS id, doc_id AS reached FROM documents UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.reached)
+  SELECT g.doc_id, len(g)::BIGINT AS n_shingles, c.component_id, g.doc_id = c.component_id AS kept FROM g JOIN (SELECT id, min(reached) AS component_id FROM r GROUP BY 1) c ON c.id = g.doc_id"""
+
+OP3_SQL = f"""WITH w AS (SELECT doc_id, {TOKENS.format("coalesce(text, '')")} AS w FROM documents),
+  win AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 48, 1))) AS i FROM w)),
+  f AS (SELECT h, min(doc_id) AS first FROM win GROUP BY h),
+  c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS k FROM win JOIN f USING (h) WHERE first < doc_id),
+  x AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM w),
+  kept AS (SELECT x.doc_id, string_agg(w[x.k], ' ' ORDER BY x.k) AS t, count(*) AS n FROM x LEFT JOIN c USING (doc_id, k) WHERE c.k IS NULL GROUP BY 1)
+  SELECT w.doc_id, len(w)::BIGINT AS n_words, len(w) - coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)"""
+
+OP10_SQL = f"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, {TOKENS.format("coalesce(text, '')")} AS w FROM documents),
+  l AS (SELECT doc_id, source, {TOKENS.format("line")} AS e, {TOKENS.format(LOWER.format("line"))} AS k FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM d)),
+  full_lines AS (SELECT doc_id, source, e, k, len(k) AS n FROM l WHERE len(k) > 0),
+  dup AS (SELECT doc_id, count(*) - count(DISTINCT e) AS n_dup_lines FROM full_lines GROUP BY 1),
+  lines AS (SELECT doc_id, source, k, sum(n) AS n FROM full_lines GROUP BY 1, 2, 3),
+  docs AS (SELECT source, count(*) AS docs FROM documents GROUP BY 1),
+  common AS (SELECT source, k FROM (SELECT source, k, count(*) AS c FROM lines GROUP BY 1, 2) JOIN docs USING (source) WHERE c >= 10 AND c > 0.001 * docs),
+  gone AS (SELECT doc_id, sum(n)::BIGINT AS n_removed, count(*) AS lines_removed FROM lines JOIN common USING (source, k) GROUP BY 1),
+  tri AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS t FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 1))) AS i FROM d)),
+  twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, t) AS c FROM tri) WHERE c > 1),
+  rep AS (SELECT doc_id, count(DISTINCT k) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS k FROM twice) GROUP BY 1),
+  b AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_removed, 0) AS n_removed, coalesce(lines_removed, 0) AS lines_removed
+    FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN gone USING (doc_id))
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * (n_words - n_removed) >= 50 * n_words AS kept FROM b"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries that it can express; tests hold the others against brute force."""
+    return {"op2_minhash": OP2_SQL, "op3_substrings": OP3_SQL, "op10_quality": OP10_SQL}
