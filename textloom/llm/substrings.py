@@ -124,15 +124,30 @@ class FingerprintIndex:
         return rows
 
 
+def compressed(docs: DataFrame) -> DataFrame:
+    """(doc_id, copy, text) with each text as UTF-8, deflated."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for part in batches:
+            packed = [zlib.compress(x or b"", 1) for x in part.column(2).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(packed, pa.binary())], names=["doc_id", "copy", "packed"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "copy", "text").mapInArrow(run, f"doc_id {kind}, copy long, packed binary")
+
+
 def shared_windows(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """For each row of (doc_id, copy, text, shared): the text compressed, and the units of its windows with a shared anchor: runs of
+    """For each row of (doc_id, copy, packed, shared): packed, and the units of its windows with a shared anchor: runs of
     consecutive windows with one anchor, as (anchor, unit, pos, windows)."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         shape = pa.list_(pa.struct([("anchor", pa.int64()), ("unit", pa.int64()), ("pos", pa.int64()), ("windows", pa.list_(pa.int64()))]))
-        for part, texts in blocks(batches):
+        for part, packed in blocks(batches, "packed", 1 << 21):
+            texts = [zlib.decompress(x) for x in packed]
             words = Words(texts)
             at, anchor = anchored(words, window, gram)
             anchor = anchor.view(np.int64)
@@ -156,11 +171,10 @@ def shared_windows(docs: DataFrame, window: int, gram: int) -> DataFrame:
             for a, b, u in zip(first.tolist(), ends.tolist(), ids.tolist(), strict=True):
                 i = int(of[a])
                 units[i].append({"anchor": int(anchor[a]), "unit": u, "pos": int(at[a] - words.bounds[i]), "windows": whole[a:b]})
-            packed = pa.array([zlib.compress(x, 1) for x in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([*part.columns[:2], packed, pa.array(units, shape)], names=["doc_id", "copy", "packed", "units"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(units, shape)], names=["doc_id", "copy", "packed", "units"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "copy", "text", "shared").mapInArrow(run, f"doc_id {kind}, copy long, packed binary, units array<struct<anchor:long,unit:long,pos:long,windows:array<long>>>")
+    return docs.select("doc_id", "copy", "packed", "shared").mapInArrow(run, f"doc_id {kind}, copy long, packed binary, units array<struct<anchor:long,unit:long,pos:long,windows:array<long>>>")
 
 
 def _keep_rest(found: DataFrame, window: int, with_text: bool) -> DataFrame:
@@ -205,12 +219,13 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
     for k in range(batches):
         index.ingest(pairs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k).select("anchor", "doc_id"))
     per_doc = pairs.join(index.shared(), "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("shared"))
-    held = cut(shared_windows(keyed.join(per_doc, "doc_id"), window, gram))
+    held = cut(shared_windows(compressed(keyed).join(per_doc, "doc_id"), window, gram))
     seen = held.select("doc_id", "copy", F.explode("units").alias("u")).select("doc_id", "copy", "u.*")
     units = seen.groupBy("anchor", "unit").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.first("windows").alias("windows"))
     same = Window.partitionBy("anchor", "window")
-    each = units.select("anchor", "unit", "lo", "hi", F.posexplode("windows").alias("k", "window"))
-    earliest = each.withColumn("least", F.min("lo").over(same)).filter("least < hi")
+    # A window counts where an earlier document than one of its unit's has it: any but the first of several, or another unit's.
+    each = units.select("anchor", "unit", "lo", (F.col("lo") < F.col("hi")).alias("several"), F.posexplode("windows").alias("k", "window"))
+    earliest = each.withColumn("least", F.min("lo").over(same)).filter("several or least < lo")
     verdict = earliest.groupBy("anchor", "unit").agg(F.collect_list(F.struct("k", "least")).alias("mins"))
     gone = seen.select("doc_id", "copy", "anchor", "unit", "pos").join(verdict, ["anchor", "unit"])
     hit = F.transform(F.filter("mins", lambda m: m.least < F.col("doc_id")), lambda m: F.col("pos") + m.k)
