@@ -33,7 +33,7 @@ def pack(values: np.ndarray) -> bytes:
     largest = int(values.max()) if len(values) else 0
     k = next(k for k in range(4) if largest < 1 << (8 << k))
     planes = np.ascontiguousarray(values.astype(_TYPES[k])).view(np.uint8).reshape(len(values), 1 << k).T
-    return bytes([k]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+    return bytes([k]) + zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes).tobytes())
 
 
 def unpack(data: bytes) -> np.ndarray:
@@ -48,6 +48,15 @@ def unpack(data: bytes) -> np.ndarray:
 LEAST = 0.01
 
 
+def pack_sorted(values: np.ndarray) -> bytes:
+    """Numbers in ascending order by their differences."""
+    return pack(np.diff(values, prepend=np.uint64(0)))
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data), dtype=np.uint64)
+
+
 def discounts(counts_of: list[int]) -> np.ndarray:
     """d[r] for counts r = 0..LARGEST from the numbers of types seen 1..LARGEST+1 times: Katz's, each where it lies in
     (0, 1), but at most 1 - LEAST / r."""
@@ -137,7 +146,7 @@ def _slices(docs: DataFrame) -> DataFrame:
         import zstandard
 
         for part, texts in blocks(batches, limit=SLICE):
-            data = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
+            data = zstandard.ZstdCompressor(level=9).compress(b"".join(texts))
             row = [secrets.randbits(62), part.column(0).to_pylist(), part.column(1).to_pylist(), [len(x) for x in texts], data]
             kinds = (pa.int64(), pa.list_(part.column(0).type), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["slice", "ids", "held", "sizes", "data"])
@@ -185,7 +194,7 @@ def _ask_words(slices: DataFrame, buckets: int) -> DataFrame:
         for row in _rows(batches):
             s = _read(row)
             edges, counts = s.edges(buckets), s.word_counts()
-            rows = [(k, row["slice"], s.words[a:b].tobytes(), pack(counts[a:b])) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
+            rows = [(k, row["slice"], pack_sorted(s.words[a:b]), pack(counts[a:b])) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
             yield _batch(rows, ["bucket", "slice", "a", "b"], [pa.int32(), pa.int64(), pa.binary(), pa.binary()])
 
     return slices.select("slice", "held", "sizes", "data").mapInArrow(run, "bucket int, slice long, a binary, b binary")
@@ -211,7 +220,7 @@ def _count_words(asked: DataFrame, buckets: int) -> DataFrame:
         import pandas as pd
 
         k = int(rows.bucket.iloc[0])
-        words = [np.frombuffer(x, np.uint64) for x in rows.a]
+        words = [unpack_sorted(x) for x in rows.a]
         distinct, inverse = np.unique(np.concatenate(words), return_inverse=True)
         totals = np.bincount(inverse, np.concatenate([unpack(x) for x in rows.b]).astype(np.float64), len(distinct)).astype(np.uint64)
         order = np.argsort(-totals.astype(np.int64), kind="stable")
@@ -225,7 +234,7 @@ def _count_words(asked: DataFrame, buckets: int) -> DataFrame:
             mine = inverse[at : at + len(own)]
             at += len(own)
             out.append(_answer(k, slice_id, [pack(ids[mine]), pack(totals[mine])]))
-        out.append(_answer(k, None, [distinct.tobytes(), pack(totals), pack(ids)], _histogram(totals)))
+        out.append(_answer(k, None, [pack_sorted(distinct), pack(totals), pack(ids)], _histogram(totals)))
         return pd.DataFrame(out, dtype=object)
 
     return asked.groupBy("bucket").applyInPandas(bucket, _ANSWER)
@@ -295,7 +304,7 @@ def _count_pairs(asked: DataFrame, model: WordModel) -> DataFrame:
             table = n_r[:, place] * hit if len(heads) else np.zeros((LARGEST + 1, len(asked_heads)), np.int64)
             given = np.where(hit, sums[place], 0.0) if len(heads) else np.zeros(len(asked_heads))
             out.append(_answer(k, slice_id, [pack(totals[mine]), pack(asked_heads), pack(table.ravel().astype(np.uint64)), given.tobytes()]))
-        out.append(_answer(k, None, [pack(heads), pack(sizes.astype(np.uint64)), pack(distinct & np.uint64(0xFFFFFFFF)), pack(totals), sums.tobytes()], _histogram(totals)))
+        out.append(_answer(k, None, [pack_sorted(heads), pack(sizes.astype(np.uint64)), pack(distinct & np.uint64(0xFFFFFFFF)), pack(totals)], _histogram(totals)))
         return pd.DataFrame(out, dtype=object)
 
     return asked.groupBy("bucket").applyInPandas(bucket, _ANSWER)
