@@ -72,6 +72,16 @@ def test_components_of_a_long_path(spark):
     assert got == {**{i: 0 for i in range(51)}, 90: 90, 95: 90, 100: 90}
 
 
+def test_components_of_a_path_in_any_order(spark):
+    ids = list(range(600))
+    random.Random(4).shuffle(ids)
+    edges = [*zip(ids[:500], ids[1:500], strict=False), *zip(ids[500:], ids[501:], strict=False), (7, 7), (None, 3)]
+    got = {r.id: r.component for r in graphs.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == dict.fromkeys(ids[:500], min(ids[:500])) | dict.fromkeys(ids[500:], min(ids[500:]))
+    with pytest.raises(RuntimeError):
+        graphs.components(spark.createDataFrame(edges, "a long, b long"), rounds=1)
+
+
 def brute_removed(rows, window):
     """(doc_id, n_words, n_removed, kept_sha256) for each row."""
     first = {}

@@ -154,6 +154,14 @@ def test_graph(spark):
     assert [r.chunk_id for r in graph.retrieve(dense, found, interleave=True).orderBy("rank").collect()] == ["k1", "g", "k2", "k3", "k4"]
 
 
+def test_communities_of_a_path_in_any_order(spark):
+    ids = list(range(600))
+    random.Random(5).shuffle(ids)
+    ents = spark.createDataFrame([(i,) for i in [*ids, 900, 901, 902]], "id int")
+    edges = spark.createDataFrame([*zip(ids, ids[1:], strict=False), (900, 999), (999, 901)], "src int, dst int")
+    assert {(r.id, r.community, r.size) for r in graph.components(ents, edges).collect()} == {(i, 0, 600) for i in ids}
+
+
 def test_extraction_links(spark):
     reply = '{"entities": [{"name": "Ann", "entity_type": "person"}, {"name": "Bob"}], "relationships": [{"source": "Ann", "target": "Bob", "relation_type": "knows"}, {"source": "ann", "target": "Bob"}]}'
     parsed = graph.parse_extractions(spark.createDataFrame([(1, reply), (2, "oops"), (3, None)], "chunk_id int, reply string"))

@@ -3,26 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .shared import cut
+from ..operators.graph import connected
 
 
 def components(links: DataFrame, rounds: int = 100) -> DataFrame:
     """(id, component) for each end of the links (a, b); component is the smallest id reachable.
 
-    In each round a node takes the smallest label among its neighbours, and then that label's own label, until none
-    changes. Labels are pre-aggregated by node, so no list of neighbours is gathered. An empty table gives no rows.
+    Rounds grow with the logarithm of the number of ids, whatever their order, and go on until no label changes. No list
+    of neighbours is gathered. An empty table gives no rows.
     """
-    ends = links.filter("a <> b").select("a", "b")
-    both = cut(ends.union(ends.select("b", "a")).distinct())
-    label = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component"))
-    for _ in range(rounds):
-        near = both.join(label.select(F.col("id").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("m"))
-        step = label.join(near.withColumnRenamed("a", "id"), "id").select("id", F.least("component", "m").alias("component"), F.col("component").alias("old"))
-        further = label.select(F.col("id").alias("component"), F.col("component").alias("f"))
-        new = cut(step.join(further, "component", "left").select("id", F.least("component", F.coalesce("f", "component")).alias("component"), "old"))
-        label = new.drop("old")
-        if new.filter("component <> old").isEmpty():
-            break
-    return label
+    return connected(links, rounds)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import itertools
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import content_key
@@ -125,23 +128,68 @@ def traverse(entry: DataFrame, edges: DataFrame, depth: int = 2) -> DataFrame:
     return nodes.join(ends, "node").groupBy("query_id", "chunk_id").agg(F.min("hop").alias("hop"))
 
 
-def components(entities: DataFrame, edges: DataFrame, least: int = 2, rounds: int = 50) -> DataFrame:
+def connected(links: DataFrame, rounds: int = 100) -> DataFrame:
+    """(id, component) for each end of the links (a, b); component is the smallest id reachable.
+
+    In each round every component that has a neighbour is hooked to its smallest one; of two that are hooked to each other
+    the smaller is a root, and no longer cycles can arise. Jumps lead all to their roots, and links are contracted to
+    links of roots. So each round at least halves the components, and it goes on until no link is left. More than
+    `rounds` of either kind can't be needed; an error, never an unsettled result, is what exceeding them gives.
+    """
+    spark = links.sparkSession
+    folder, tables = f"{_checkpoint_dir(spark)}/components-{uuid.uuid4().hex}", itertools.count()
+
+    def kept(df: DataFrame) -> DataFrame:
+        # A checkpoint would keep the product of its sides as a join's size, which squares from join to join.
+        path = f"{folder}/{next(tables)}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        ends = links.filter("a <> b").select("a", "b")
+        both = kept(ends.union(ends.select("b", "a")).distinct())
+        levels: list[DataFrame] = []
+        while not both.isEmpty():
+            if len(levels) == rounds:
+                raise RuntimeError(f"components have not settled in {rounds} rounds")
+            near = both.groupBy("a").agg(F.min("b").alias("p")).withColumnRenamed("a", "id")
+            back = near.select(F.col("id").alias("p"), F.col("p").alias("pp"))
+            first = (F.col("pp") == F.col("id")) & (F.col("id") < F.col("p"))
+            root = kept(near.join(back, "p").select("id", F.when(first, F.col("id")).otherwise(F.col("p")).alias("p")))
+            for _ in range(rounds):
+                up = root.select(F.col("id").alias("p"), F.col("p").alias("pp"))
+                new = kept(root.join(up, "p").select("id", F.col("pp").alias("p"), (F.col("p") != F.col("pp")).alias("moved")))
+                root = new.select("id", "p")
+                if new.filter("moved").isEmpty():
+                    break
+            else:
+                raise RuntimeError(f"roots have not settled in {rounds} jumps")
+            levels.append(root)
+            a, b = root.select(F.col("id").alias("a"), F.col("p").alias("ra")), root.select(F.col("id").alias("b"), F.col("p").alias("rb"))
+            both = kept(both.join(a, "a").join(b, "b").filter("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+        if not levels:
+            return _cut(both.select(F.col("a").alias("id"), F.col("b").alias("component")))
+        label = levels.pop()
+        while levels:
+            upper = label.select(F.col("id").alias("p"), F.col("p").alias("pp"))
+            label = kept(levels.pop().join(upper, "p", "left").select("id", F.coalesce("pp", "p").alias("p")))
+        least = label.groupBy("p").agg(F.min("id").alias("component"))
+        return _cut(label.join(least, "p").select("id", "component"))
+    finally:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def components(entities: DataFrame, edges: DataFrame, least: int = 2, rounds: int = 100) -> DataFrame:
     """(id, community) by weakly connected components of `least` members or more, named by the smallest id.
 
-    Each round gives a node the smallest name among its neighbours and then the name of that name, so rounds grow with
-    the logarithm of a chain's length in most graphs; each is cut by a reliable checkpoint where a folder is set.
+    Rounds grow with the logarithm of the number of nodes, see `connected`; each is cut by a reliable checkpoint where a
+    folder is set. Edges with an end that isn't among the entities don't count.
     """
-    both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select("dst", "src")).filter("a <> b").distinct()
-    both = _cut(both)
-    label = _cut(entities.select("id", F.col("id").alias("community")))
-    for _ in range(rounds):
-        near = both.join(label.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("community").alias("m"))
-        step = label.join(near.withColumnRenamed("a", "id"), "id", "left").select("id", F.least("community", F.coalesce("m", "community")).alias("community"), F.col("community").alias("old"))
-        jump = step.join(step.select(F.col("id").alias("community"), F.col("community").alias("further")), "community", "left")
-        new = _cut(jump.select("id", F.least("community", F.coalesce("further", "community")).alias("community"), "old"))
-        label = new.drop("old")
-        if new.filter("community <> old").isEmpty():
-            break
+    ids = entities.select("id")
+    links = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    links = links.join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi")
+    label = ids.join(connected(links, rounds=rounds), "id", "left").select("id", F.coalesce("component", "id").alias("community"))
     size = label.groupBy("community").agg(F.count("*").alias("size")).filter(F.col("size") >= least)
     return label.join(size, "community").select("id", "community", "size")
 
@@ -152,12 +200,17 @@ def communities(members: DataFrame, entities: DataFrame, names: int = 20) -> Dat
     return members.join(entities.select("id", "name"), "id").groupBy("community").agg(F.first("size").alias("size"), first.alias("names"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def _checkpoint_dir(spark: SparkSession) -> str:
     import tempfile
 
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-textloom-", dir="/tmp"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-textloom-", dir="/tmp"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    _checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 
