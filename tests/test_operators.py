@@ -154,6 +154,14 @@ def test_graph(spark):
     assert [r.chunk_id for r in graph.retrieve(dense, found, interleave=True).orderBy("rank").collect()] == ["k1", "g", "k2", "k3", "k4"]
 
 
+def test_entry_nodes_with_names_of_many_words(spark):
+    names = ["St. John's Hospital, New York", "St. John's Hospital, New York City", "New York", "a b c d e f", "a b c d e f g h i", "a b c d e f x"]
+    ents = spark.createDataFrame([*enumerate(names), (9, None)], "id int, name string")
+    texts = ["At ST. JOHN'S HOSPITAL, new york.", "St. John's Hospital, New Yorkshire", "of a b c d e f and of a b c d e f g h i.", "a b c d e f g h is", None]
+    got = graph.entry_nodes(spark.createDataFrame([*enumerate(texts)], "query_id int, text string"), ents)
+    assert sorted((r.query_id, r.id) for r in got.collect()) == [(0, 0), (0, 2), (2, 3), (2, 4), (3, 3)]
+
+
 def test_communities_of_a_path_in_any_order(spark):
     ids = list(range(600))
     random.Random(5).shuffle(ids)

@@ -99,14 +99,19 @@ def neighbours(edges: DataFrame) -> DataFrame:
 def entry_nodes(queries: DataFrame, entities: DataFrame, longest: int = 6) -> DataFrame:
     """(query_id, id) of entities whose name stands in the text as whole words, in any case.
 
-    Names and texts are cut into words, and runs of up to `longest` words are joined by equality; names of more words
-    aren't found.
+    Names and texts are cut into words, and runs of up to `longest` words are joined by equality. A name of more words is
+    joined by its first `longest`, and counts where the text then holds all of it.
     """
     tokens = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"), F.lit(0))
     t = queries.select("query_id", tokens(F.col("text")).alias("t")).filter(F.size("t") > 0)
-    runs = t.select("query_id", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.transform(F.sequence(F.lit(0), F.size("t") - 1), lambda i: F.array_join(F.slice("t", i + 1, n), "\x01"))))).alias("run"))
-    names = entities.select("id", F.array_join(tokens(F.col("name")), "\x01").alias("run")).filter("run <> ''")
-    return runs.distinct().join(names, "run").select("query_id", "id").distinct()
+    runs = t.select("query_id", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.transform(F.sequence(F.lit(0), F.size("t") - 1), lambda i: F.array_join(F.slice("t", i + 1, n), " "))))).alias("run"))
+    names = entities.select("id", tokens(F.col("name")).alias("n")).filter(F.size("n") > 0).withColumn("run", F.array_join(F.slice("n", 1, longest), " "))
+    met = runs.distinct()
+    short = met.join(names.filter(F.size("n") <= longest).select("id", "run"), "run").select("query_id", "id")
+    spaced = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
+    begun = met.join(names.filter(F.size("n") > longest), "run").select("query_id", "id", spaced(F.col("n")).alias("whole"))
+    long = begun.join(t.select("query_id", spaced(F.col("t")).alias("held")), "query_id").filter(F.col("held").contains(F.col("whole"))).select("query_id", "id")
+    return short.union(long).distinct()
 
 
 def reach(entry: DataFrame, edges: DataFrame, depth: int = 2) -> DataFrame:

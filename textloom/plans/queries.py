@@ -487,8 +487,7 @@ def _mentions(spark, sf_dir):
 
 @register(f"WITH {NODES} SELECT c_custkey AS query_id, 'n' || n_nationkey AS id FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT c_custkey, 'r' || n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def graph_entry_nodes(spark, sf_dir):
-    small = _entities(spark, sf_dir).filter("entity_type in ('REGION', 'NATION')")
-    return graph.entry_nodes(_mentions(spark, sf_dir), small)
+    return graph.entry_nodes(_mentions(spark, sf_dir), _entities(spark, sf_dir))
 
 
 def _starts(spark, sf_dir):
