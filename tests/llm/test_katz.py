@@ -77,3 +77,12 @@ def test_packing_of_numbers():
     for values in ([], [0], [255, 1], [2**40, 3], [2**64 - 1, 0, 7]):
         a = np.array(values, np.uint64)
         assert katz.unpack(katz.pack(a)).tolist() == a.tolist()
+
+
+def test_successors_of_a_frequent_word_are_dealt_over_buckets(spark):
+    docs = spark.createDataFrame([(i, False, f"word{i}") for i in range(400)], "doc_id long, held_out boolean, text string")
+    slices = katz.cut(katz._slices(docs))
+    asked = katz._ask_pairs(slices, katz._count_words(katz._ask_words(slices, 8), 8), 8)
+    sizes = [len(katz.unpack(r.c)) for r in asked.select("c").collect()]
+    assert sum(sizes) == 800 and max(sizes) < 0.3 * sum(sizes)
+    assert katz._buckets(16_000, 8) == 1000

@@ -3,9 +3,9 @@ tables of counts, and scores by recursion from bigram to word to unknown word.
 
 Texts are cut into slices of about SLICE bytes. A slice asks for its distinct words, in buckets by fingerprint, and each
 bucket answers with their training counts and with ids that are small for frequent words; then it asks for its distinct
-bigrams, in buckets by the first word, and is answered with their counts and with what the back-off weight of a first
-word is made of. Requests and answers are packed arrays, so a distinct word or bigram of a slice costs a few bytes of
-shuffle. The buckets keep the model: tables of words and of bigrams, one packed row per bucket.
+bigrams, in buckets by the first word (and by the second where the first is frequent), and is answered with their counts
+and with what the back-off weight of a first word is made of. Requests and answers are packed arrays, so a distinct word
+or bigram of a slice costs a few bytes of shuffle. The buckets keep the model: tables of words and of bigrams, one packed row per bucket.
 """
 
 from __future__ import annotations
@@ -240,6 +240,27 @@ def _count_words(asked: DataFrame, buckets: int) -> DataFrame:
     return asked.groupBy("bucket").applyInPandas(bucket, _ANSWER)
 
 
+def _salts(heads: np.ndarray, buckets: int) -> np.ndarray:
+    """Over how many buckets the successors of a first word are dealt: all for BEGIN, some for the most frequent word of
+    each bucket of words (ids up to `buckets`), one for others."""
+    some = min(buckets, max(2, buckets // 8))
+    return np.where(heads == 0, buckets, np.where(heads <= buckets, some, 1)).astype(np.uint64)
+
+
+def _pair_buckets(h: np.ndarray, w: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each pair, by its first word and, where that has salts, by its second."""
+    n = np.uint64(buckets)
+    return ((mix(h + np.uint64(1)) % n + mix(w + np.uint64(1)) % _salts(h, buckets)) % n).astype(np.int64)
+
+
+def _head_buckets(heads: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """First words with each bucket that may hold successors of theirs."""
+    salts, n = _salts(heads, buckets).astype(np.int64), np.uint64(buckets)
+    each = np.repeat(heads, salts)
+    salt = (np.arange(len(each)) - np.repeat(np.cumsum(salts) - salts, salts)).astype(np.uint64)
+    return each, ((mix(each + np.uint64(1)) % n + salt) % n).astype(np.int64)
+
+
 def _ask_pairs(slices: DataFrame, words: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -254,21 +275,18 @@ def _ask_pairs(slices: DataFrame, words: DataFrame, buckets: int) -> DataFrame:
             wanting = trained == 0
             # first words that an unknown word follows need their back-off weight too
             lone = np.unique(first[(first >= 0) & (own < 0)]).astype(np.uint64)
-            heads, start, sizes = np.unique(h, return_index=True, return_counts=True)
+            heads, start = np.unique(h, return_index=True)
             need = np.add.reduceat(wanting, start) > 0 if len(start) else np.zeros(0, bool)
-            extra = lone[~np.isin(lone, heads)]
-            need |= np.isin(heads, lone)
-            rows = []
-            head_bucket, extra_bucket = (mix(heads + np.uint64(1)) % np.uint64(buckets)).astype(np.int64), (mix(extra + np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
-            of = np.repeat(head_bucket, sizes)
+            wanted, wanted_bucket = _head_buckets(np.union1d(heads[need], lone), buckets)
+            rows, of = [], _pair_buckets(h, w, buckets)
             for k in range(buckets):
-                mine, x = head_bucket == k, extra[extra_bucket == k]
-                if mine.any() or len(x):
-                    these = of == k
-                    all_heads = np.concatenate([heads[mine], x])
-                    all_sizes = np.concatenate([sizes[mine].astype(np.uint64), np.zeros(len(x), np.uint64)])
-                    wants = np.concatenate([need[mine], np.ones(len(x), bool)])
-                    rows.append((k, row["slice"], pack(all_heads), pack(all_sizes), pack(w[these]), pack(w_count[these]), pack(trained[these]), np.packbits(wants).tobytes()))
+                these, x = of == k, wanted[wanted_bucket == k]
+                if these.any() or len(x):
+                    mine, sizes = np.unique(h[these], return_counts=True)
+                    bare = x[~np.isin(x, mine)]
+                    all_heads = np.concatenate([mine, bare])
+                    all_sizes = np.concatenate([sizes.astype(np.uint64), np.zeros(len(bare), np.uint64)])
+                    rows.append((k, row["slice"], pack(all_heads), pack(all_sizes), pack(w[these]), pack(w_count[these]), pack(trained[these]), np.packbits(np.isin(all_heads, x)).tobytes()))
             yield _batch(rows, ["bucket", "slice", "a", "b", "c", "d", "e", "f"], [pa.int32(), pa.int64(), *[pa.binary()] * 6])
 
     answers = words.filter("slice is not null").groupBy("slice").agg(F.collect_list(F.struct("bucket", "a", "b")).alias("words"))
@@ -325,7 +343,7 @@ def _evaluate(slices: DataFrame, words: DataFrame, pairs: DataFrame, model: Word
             ids, counts = _ids(s, row["words"], buckets)
             first, own, distinct, _, pair = s.pairs(ids)
             h = distinct >> np.uint64(32)
-            bucket = (mix(h + np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
+            bucket = _pair_buckets(h, distinct & np.uint64(0xFFFFFFFF), buckets)
             totals = np.zeros(len(distinct), np.uint64)
             heads, n_r, sums = [np.zeros(0, np.uint64)], [np.zeros((LARGEST + 1, 0))], [np.zeros(0)]
             for x in row["pairs"]:
@@ -334,8 +352,11 @@ def _evaluate(slices: DataFrame, words: DataFrame, pairs: DataFrame, model: Word
                 n_r.append(unpack(x["c"]).reshape(LARGEST + 1, -1).astype(np.float64))
                 sums.append(np.frombuffer(x["d"], np.float64))
             heads, n_r, sums = np.concatenate(heads), np.concatenate(n_r, axis=1), np.concatenate(sums)
+            # The parts of a first word whose successors several buckets hold add up.
             order = np.argsort(heads, kind="stable")
-            heads, n_r, sums = heads[order], n_r[:, order], sums[order]
+            heads, start = np.unique(heads[order], return_index=True)
+            if len(heads):
+                n_r, sums = np.add.reduceat(n_r[:, order], start, axis=1), np.add.reduceat(sums[order], start)
             c_own = counts[s.place]
             c_first = np.empty(len(c_own), np.uint64)
             c_first[1:] = c_own[:-1]
@@ -370,6 +391,11 @@ def _evaluate(slices: DataFrame, words: DataFrame, pairs: DataFrame, model: Word
     return joined.mapInArrow(run, f"doc_id {element.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
+def _buckets(slices: int, shuffles: int) -> int:
+    """More buckets for more slices, so that what meets in one doesn't grow with the input."""
+    return max(8, shuffles, slices // 16)
+
+
 def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 of the whole text's probability) of
     each row, by a model of the rows where held_out isn't true.
@@ -379,13 +405,13 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
     table gives no rows; without training rows every token is of the unknown class, with probability 1.
     """
     spark = docs.sparkSession
-    buckets = max(8, partitions(spark))
     named = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).alias("text"))
     slices = cut(_slices(named))
+    of = slices.agg(F.count("*"), F.coalesce(F.sum(F.size(F.filter("held", lambda h: ~h))), F.lit(0))).first()
+    trained, buckets = int(of[1]), _buckets(int(of[0]), partitions(spark))
     words = cut(_count_words(_ask_words(slices, buckets), buckets))
     tokens, types, *counts_of = _totals(words)
     model = WordModel(tokens, types, counts_of)
-    trained = slices.select(F.explode("held").alias("h")).filter(~F.col("h")).count()
     pairs = cut(_count_pairs(_ask_pairs(slices, words, buckets), model))
     d2 = discounts(_totals(pairs)[2:])
     return _evaluate(slices, words, pairs, model, d2, buckets, trained)
