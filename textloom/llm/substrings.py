@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import cut, partitions, shared_dir
-from .words import Words, blocks, runs
+from .words import Words, blocks, mix, runs
 
 #: Windows with the same anchor are verified in units of at most this many.
 UNIT = 64
@@ -158,7 +158,7 @@ def shared_windows(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 a, b = bounds[i], bounds[i + 1]
                 keep[a:b] = np.isin(anchor[a:b], shared[i].values.to_numpy(zero_copy_only=False))
             at, anchor, of = at[keep], anchor[keep], of[keep]
-            whole = runs(words.hashes, at, at + window, base=1).view(np.int64)
+            whole = mix(runs(words.hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5), at, at + window)).view(np.int64)
             new = np.ones(len(at), bool)
             new[1:] = (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1) | (of[1:] != of[:-1])
             first = np.flatnonzero(new)
@@ -166,7 +166,7 @@ def shared_windows(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 edges = np.append(first, len(at))
                 first = np.concatenate([np.arange(a, b, UNIT) for a, b in zip(edges, edges[1:], strict=False)])
             ends = np.append(first[1:], len(at)) if len(first) else first
-            ids = runs(whole.view(np.uint64), first, ends, base=2).view(np.int64)
+            ids = runs(whole.view(np.uint64), first, ends).view(np.int64)
             units = [[] for _ in texts]
             for a, b, u in zip(first.tolist(), ends.tolist(), ids.tolist(), strict=True):
                 i = int(of[a])

@@ -1,11 +1,13 @@
 """Words as 64-bit fingerprints, computed for many texts at once with numpy inside a task.
 
-A word is a maximal run of bytes other than space and 0x09-0x0D. Its fingerprint is a polynomial in random
-64-bit byte codes, taken from prefix sums and then mixed, so a batch costs a few passes over its bytes.
+A word is a maximal run of bytes other than space and 0x09-0x0D. Its fingerprint folds in its bytes eight at a time,
+each time through a mixing function that isn't linear, so no family of words or of word sequences is known to collide;
+words over LONG bytes are digested whole by BLAKE2b.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,12 +15,11 @@ import numpy as np
 #: Bytes of text that are hashed at a time; memory per task is about 60 times this.
 PIECE = 1 << 20
 
-_rng = np.random.Generator(np.random.PCG64(20240517))
-_CODES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASES = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95), np.uint64(0xAF251AF3B0F025B5)]
+#: Words of more bytes than this are rare, and hashed one by one.
+LONG = 64
+_SEED, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -30,25 +31,41 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(n: int, base: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """The powers 0..n of a base modulo 2^64, and those of its inverse."""
-    kept = _powers.get(base)
-    if kept is None or len(kept[0]) <= n:
-        size = max(n + 1, PIECE + 64)
-        value = int(_BASES[base])
-        up, down = np.empty(size, np.uint64), np.empty(size, np.uint64)
-        up[0] = down[0] = 1
-        up[1:], down[1:] = value, pow(value, -1, 1 << 64)
-        kept = _powers[base] = (np.multiply.accumulate(up), np.multiply.accumulate(down))
-    return kept
-
-
-def runs(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = 0) -> np.ndarray:
-    """The fingerprint of values[start:end] for each pair; independent of where the run stands."""
-    up, down = powers(len(values), base)
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+def hashed(raw: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The fingerprint of raw[start:end] for each pair."""
+    size = end - start
+    at_each = np.ndarray(len(raw), "<u8", raw + bytes(8), strides=(1,))
+    out = mix(size.astype(np.uint64) * _SEED)
+    left = np.arange(len(start))
+    for k in range(0, LONG, 8):
+        left = left[size[left] > k]
+        if not len(left):
+            break
+        rest = np.minimum(size[left] - k, 8)
+        part = at_each[start[left] + k] & (~np.uint64(0) >> (np.uint64(64) - np.uint64(8) * rest.astype(np.uint64)))
+        out[left] = mix((out[left] ^ part) * _STEP + np.uint64(k + 1))
+    for i in np.flatnonzero(size > LONG):
+        out[i] = int.from_bytes(hashlib.blake2b(raw[start[i] : end[i]], digest_size=8).digest(), "little")
+    return out
+
+
+def runs(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The fingerprint of values[start:end] for each pair; independent of where the run stands.
+
+    Fingerprints of 1, 2, 4, ... values from each place on are made from those of half the length; a run folds in those
+    that its length is the sum of.
+    """
+    size, at = end - start, start.copy()
+    out = mix(size.astype(np.uint64) + _SEED)
+    level, width, longest = values, 1, int(size.max()) if len(size) else 0
+    while width <= longest:
+        with_it = np.flatnonzero(size & width)
+        out[with_it] = mix(out[with_it] * _STEP + level[at[with_it]])
+        at[with_it] += width
+        width *= 2
+        if width <= longest:
+            level = mix(level[: -(width // 2)] * _SEED ^ level[width // 2 :])
+    return out
 
 
 def _pieces(texts: list[bytes]) -> Iterator[list[tuple[int, bytes]]]:
@@ -86,11 +103,12 @@ class Words:
         last = -1
         for group in _pieces(texts):
             raw = b"\n".join(part for _, part in group) + b"\n"
-            data = np.frombuffer(raw.lower() if lower else raw, np.uint8)
+            raw = raw.lower() if lower else raw
+            data = np.frombuffer(raw, np.uint8)
             space = _SPACE[data]
             edge = np.flatnonzero(np.diff(space.view(np.int8), prepend=np.int8(1)))
             start, end = edge[0::2], edge[1::2]
-            hashes.append(runs(_CODES[data], start, end))
+            hashes.append(hashed(raw, start, end))
             ends = np.cumsum([len(part) + 1 for _, part in group])
             which = np.searchsorted(ends, start, side="right")
             index = np.array([i for i, _ in group])
