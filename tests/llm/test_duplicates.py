@@ -59,6 +59,42 @@ def test_near_duplicates_equal_brute_force(spark, odd, sample, size):
     assert got == Counter(brute_near(rows, size))
 
 
+@pytest.mark.parametrize("size", [2, 5])
+def test_links_between_documents_that_no_hub_joins(spark, size):
+    """Far variants of one base, each with copies of its own that drop, add or cut a little more; ids in any order."""
+    rng, texts = random.Random(size), []
+    for far in variants(11, 40, 40, 200):
+        words = far.split()
+        for _ in range(rng.randrange(1, 5)):
+            kind, at = rng.randrange(3), rng.randrange(150)
+            words = words[: rng.randrange(150, 190)] if kind == 0 else words[:at] + words[at + 3 :] if kind == 1 else words[:at] + [f"u{rng.randrange(9)}"] + words[at:]
+            texts.append(" ".join(words))
+    ids = rng.sample(range(10**6), len(texts))
+    rows = [*zip(ids, texts, strict=True), (ids[3], texts[60]), (ids[3], "another text of the same document"), (ids[5], texts[5])]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), size=size)
+    want = Counter(brute_near(rows, size))
+    assert Counter(tuple(r) for r in got.collect()) == want and 3 < len({c for _, _, c, _ in want}) < len(rows) - 3
+
+
+def thue_morse(n, a, b):
+    """The first n letters of the sequence, and their complement."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return [[a, b][x] for x in bits], [[b, a][x] for x in bits]
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_and_runs_of_two_letters_stay_apart(spark, n):
+    """Polynomials modulo a power of two can't tell these apart."""
+    x, y = thue_morse(n, "a", "b")
+    rows = [(1, "".join(x)), (2, "".join(y)), (3, " ".join(x)), (4, " ".join(y)), (5, "".join(x) + " z" * 60), (6, "".join(y) + " z" * 60)]
+    rows += [(7, " ".join(["".join(x), *map(str, range(60))])), (8, " ".join(["".join(y), *map(str, range(60))]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for size in (2, n):
+        assert Counter(tuple(r) for r in neardup.near_duplicates(df, size=size).collect()) == Counter(brute_near(rows, size))
+    got = substrings.dedup(df).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert Counter(map(tuple, got)) == Counter(brute_removed(rows, 50))
+
+
 def test_near_duplicates_of_nothing(spark):
     rows = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (1, None)], "doc_id long, text string")
     got = neardup.near_duplicates(rows)

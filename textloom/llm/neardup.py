@@ -3,8 +3,9 @@
 Documents with equal sets form a class with one representative, so copies never meet in pairs. The minima of the
 representatives make band keys; of each minimum the low bits are kept and packed into 64-bit lanes, from which counts
 of equal lanes give a similarity corrected for lanes that agree by chance. Within a band, members are compared with
-one hub (never all with all); what hubs have not joined is compared across the components that are left, so no link
-between components is lost. Every link is confirmed on the full sets before it counts.
+one hub, never all with all. What hubs have not joined can only be linked if the members' edits against their hub
+overlap: each member looks up just so many of its rarest edits that a linked partner must hold one of them. Every link
+is confirmed on the full sets before it counts.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """For each row of (doc_id, text): n_shingles, two fingerprints of the set, its band keys, and its packed low bits."""
+    """For each row of (node, text): n_shingles, two fingerprints of the set, its band keys, and its packed low bits."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -71,11 +72,11 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
 
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(np.diff(bounds)), pa.array(marks[0].view(np.int64)), pa.array(marks[1].view(np.int64)), lists(keys, BANDS), lists(packed, BANDS * ROWS // 8)],
-                names=["doc_id", "n_shingles", "f1", "f2", "bands", "low"],
+                names=["node", "n_shingles", "f1", "f2", "bands", "low"],
             )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n_shingles long, f1 long, f2 long, bands array<long>, low array<long>")
+    kind = docs.schema["node"].dataType.simpleString()
+    return docs.mapInArrow(run, f"node {kind}, n_shingles long, f1 long, f2 long, bands array<long>, low array<long>")
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -92,8 +93,9 @@ def estimate(a: Column, b: Column) -> Column:
     return ((1 - unequal / (BANDS * ROWS)) - chance) / (1 - chance)
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) with the Jaccard distance of their full sets, and linked: 100 * intersection >= percent * union."""
+def compared(pairs: DataFrame, texts: DataFrame, size: int, percent: int, edits: bool) -> DataFrame:
+    """The pairs of nodes (a, b) with linked: 100 * intersection >= percent * union of their full sets; with edits also
+    the sizes of the sets of a and b and the shingles that only one of them has."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -103,18 +105,71 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
                 right = [x or b"" for x in part.column(3).cast(pa.binary()).to_pylist()]
                 values, bounds = shingles(Words([*left, *right], lower=True), size)
                 sets = [values[i:j] for i, j in zip(bounds, bounds[1:], strict=False)]
-                linked, distance = [], []
+                linked, differ = [], []
                 for x, y in zip(sets, sets[len(left) :], strict=False):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    union = len(x) + len(y) - both
+                    apart = np.setxor1d(x, y, assume_unique=True)
+                    union = (len(x) + len(y) + len(apart)) // 2
+                    both = union - len(apart)
                     linked.append(both > 0 and 100 * both >= percent * union)
-                    distance.append(1 - both / max(1, union))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(linked), pa.array(distance)], names=["a", "b", "linked", "distance"])
+                    differ.append(apart if edits else apart[:0])
+                columns = [part.column(0), part.column(1), pa.array(linked)]
+                if edits:
+                    sizes = np.diff(bounds)
+                    offsets = pa.array(np.cumsum([0, *map(len, differ)]), pa.int32())
+                    flat = pa.array(np.concatenate(differ).view(np.int64) if differ else [], pa.int64())
+                    columns += [pa.array(sizes[: len(left)]), pa.array(sizes[len(left) :]), pa.ListArray.from_arrays(offsets, flat)]
+                yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "linked", "size_a", "size_b", "edits"][: len(columns)])
 
     kind = pairs.schema["a"].dataType.simpleString()
-    joined = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    joined = joined.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}, linked boolean, distance double")
+    joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    joined = joined.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    more = ", size_a long, size_b long, edits array<long>" if edits else ""
+    return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}, linked boolean{more}")
+
+
+#: Members are sorted by v (see across) into classes of [0, STEP) and of STEP**k to STEP**(k + 1).
+STEP = 1.15
+
+
+def across(star: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of members of one hub, in different components, that may be linked.
+
+    Members x and y of a hub h hold the edits E_x and E_y, shingles that either x or h has. Their sets differ in as many
+    shingles as the edits do, so with sizes s and q = (100 - percent) / (100 + percent) a link asks for at least
+    (|E_x| + |E_y| - q (s_x + s_y)) / 2 common edits: v_x + v_y - q s_h with v_x = (|E_x| - q s_x + q s_h) / 2 >= 0.
+    This is 1 or more if the hub's component lacks one of the two. So if x lists the edits that it shares with any
+    member, rare ones first, then all but the last common - 1 of them must hold one of y's, listed likewise. A member
+    offers that many for each class of v among the members that it may meet.
+    """
+    q = (100 - percent) / (100 + percent)
+    named = star.join(found.withColumnRenamed("id", "a"), "a", "left").withColumnRenamed("component", "of_a")
+    named = named.join(found.withColumnRenamed("id", "b").withColumnRenamed("component", "of_b"), "b", "left")
+    v = (F.size("edits") - q * F.col("size_a") + q * F.col("size_b")) / 2
+    member = cut(
+        named.select("b", "a", F.coalesce("of_a", "a").alias("component"), F.coalesce("of_b", "b").alias("core"), F.col("size_b").alias("s"), v.alias("v"), "edits")
+        .withColumn("rest", F.col("component") != F.col("core"))
+        .withColumn("own", F.floor(F.log(F.greatest(F.lit(1.0), F.col("v"))) / F.log(F.lit(STEP)) + 1e-12))
+    )
+    #: The classes that members outside of the hub's component have, and all classes, of hubs with any such member.
+    classes = member.groupBy("b").agg(F.collect_set("own").alias("all"), F.collect_set(F.when(F.col("rest"), F.col("own"))).alias("rests")).filter("size(rests) > 0")
+    asked = member.join(classes, "b")
+    each = asked.select("b", "a", F.explode("edits").alias("edit"))
+    often = each.groupBy("b", "edit").agg(F.count("*").alias("n")).filter("n > 1")
+    listed = each.join(often, ["b", "edit"]).groupBy("b", "a").agg(F.array_sort(F.collect_list(F.struct("n", "edit"))).alias("shared"))
+    ranked = asked.drop("edits").join(listed, ["b", "a"])
+    least = F.when(F.col("partner") < 1, 0.0).otherwise(F.pow(F.lit(STEP), F.col("partner")))
+    common = F.greatest(F.lit(1.0), F.ceil(F.col("v") + least - q * F.col("s") - 1e-6))
+    offers = cut(
+        ranked.withColumn("partner", F.explode(F.when(F.col("rest"), F.col("all")).otherwise(F.col("rests"))))
+        .withColumn("first", (F.size("shared") - common + 1).cast("int"))
+        .filter("first > 0")
+        .select("b", "a", "component", "rest", "own", "partner", F.explode(F.slice("shared", 1, F.col("first"))).alias("x"))
+        .select("b", "a", "component", "rest", "own", "partner", F.col("x.edit").alias("edit"))
+    )
+    left = offers.filter("rest").withColumnRenamed("component", "of_a").drop("rest")
+    right = offers.select("b", F.col("a").alias("c"), F.col("component").alias("of_c"), F.col("rest").alias("rest_c"), F.col("own").alias("partner"), F.col("partner").alias("own"), "edit")
+    met = left.join(right, ["b", "own", "partner", "edit"]).filter((F.col("of_a") != F.col("of_c")) & (~F.col("rest_c") | (F.col("a") < F.col("c"))))
+    return met.select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, slack: float = 0.25) -> DataFrame:
@@ -124,56 +179,39 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Bands of 4 minima times 24 leave a pair of similarity 0.8 unmet with a chance of 3e-6; pairs whose estimate lies
     `slack` (six standard deviations) under the limit aren't confirmed. A document with fewer words has them all as one
     shingle; one without words has no set and links with nothing. Rows that share a doc_id are one document: each
-    gets its own n_shingles, and they share a component. A row without doc_id stays alone, with a null component, and
-    is kept. Other columns are dropped.
+    gets its own n_shingles and may be linked by its own text, and they share a component. A row without doc_id stays
+    alone, with a null component, and is kept. Other columns are dropped.
     """
-    named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    node = F.struct(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("copy")).alias("node")
+    named = docs.select(node, F.col(text).alias("text"))
     stage = cut(signatures(named, size))
-    full = stage.filter("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
-    members = full.select("doc_id", "f1", "f2").join(classes, ["f1", "f2"]).select("doc_id", "rep").distinct()
-    same = members.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    reps = full.join(members.filter("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    keyed = reps.select("doc_id", F.explode("bands").alias("band"))
+    full = stage.filter("n_shingles > 0 and node.doc_id is not null")
+    classes = full.groupBy("f1", "f2").agg(F.min("node").alias("rep"))
+    members = full.select("node", "f1", "f2").join(classes, ["f1", "f2"]).select("node", "rep").distinct()
+    reps = full.join(classes.select(F.col("rep").alias("node")), "node", "left_semi").dropDuplicates(["node"])
+    keyed = reps.select("node", F.explode("bands").alias("band"))
     busy = keyed.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
     met = cut(keyed.join(busy, "band"))
     # The hub of a band is the member that meets the most documents over all its bands: the least edited of a group.
-    degree = met.groupBy("doc_id").agg(F.sum("n").alias("degree"))
-    hubs = met.join(degree, "doc_id").groupBy("band").agg(F.max_by("doc_id", F.struct("degree", F.xxhash64("doc_id"))).alias("hub"))
-    met = cut(met.drop("n").join(hubs, "band"))
-    texts = cut(named.filter("doc_id is not null").join(degree.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    low = reps.join(degree.select("doc_id"), "doc_id", "left_semi").select("doc_id", "low")
+    degree = met.groupBy("node").agg(F.sum("n").alias("degree"))
+    hubs = met.join(degree, "node").groupBy("band").agg(F.max_by("node", F.struct("degree", F.xxhash64("node"))).alias("hub"))
+    star = met.join(hubs, "band").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    texts = cut(named.filter("node.doc_id is not null").join(degree.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+    low = cut(reps.join(degree.select("node"), "node", "left_semi").select("node", "low"))
 
     def estimated(pairs: DataFrame) -> DataFrame:
-        sides = pairs.join(low.select(F.col("doc_id").alias("a"), F.col("low").alias("low_a")), "a").join(low.select(F.col("doc_id").alias("b"), F.col("low").alias("low_b")), "b")
-        return sides.select("a", "b", estimate(F.col("low_a"), F.col("low_b")).alias("e"))
-
-    least = percent / 100 - slack
-    star = cut(estimated(met.filter("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()))
-    first = cut(confirmed(star.filter(F.col("e") >= least).select("a", "b"), texts, size, percent))
-    found = components(first.filter("linked"))
-    # What hubs did not join: pairs across components, unless the triangle inequality of Jaccard distances to the hub
-    # rules a link out. A distance that only the estimate knows lies in [lo, 1].
-    known = star.join(first.select("a", "b", "distance"), ["a", "b"], "left").select(
-        F.col("a").alias("doc_id"), F.col("b").alias("hub"), F.coalesce("distance", F.greatest(F.lit(1 - percent / 100), 1 - slack - F.col("e"))).alias("lo"), F.coalesce("distance", F.lit(1.0)).alias("hi")
-    )
-    labelled = met.filter("doc_id <> hub").join(known, ["doc_id", "hub"]).join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    split = labelled.groupBy("band", "component").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("band").orderBy(F.desc("n"), "component")
-    place = split.withColumn("place", F.row_number().over(order)).withColumn("parts", F.count("*").over(Window.partitionBy("band"))).filter("parts > 1").drop("n", "parts")
-    sides = cut(labelled.join(place, ["band", "component"]).select("band", "doc_id", "place", "lo", "hi"))
-    minor = sides.filter("place > 1").select("band", F.col("doc_id").alias("a"), F.col("place").alias("pa"), F.col("lo").alias("la"), F.col("hi").alias("ha"))
-    other = sides.select("band", F.col("doc_id").alias("b"), F.col("place").alias("pb"), F.col("lo").alias("lb"), F.col("hi").alias("hb"))
-    reach = 1 - percent / 100 + 1e-9
-    near = (F.col("pb") < F.col("pa")) & (F.col("la") - F.col("hb") <= reach) & (F.col("lb") - F.col("ha") <= reach) & (minor.band == other.band)
-    across = minor.join(other, near).select("a", "b").distinct()
-    second = cut(confirmed(estimated(across).filter(F.col("e") >= least).select("a", "b"), texts, size, percent)).filter("linked")
-    joined = components(first.filter("linked").select("a", "b").union(second.select("a", "b")))
-    rep_of = members.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
-    # Rows that share a doc_id but not their text may stand in several classes; these are linked through it.
-    many = cut(members.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("rep").alias("b")).filter("n > 1").join(members, "doc_id").select(F.col("rep").alias("a"), "b").filter("a <> b"))
-    if not many.isEmpty():
-        joined = components(first.filter("linked").select("a", "b").union(second.select("a", "b")).union(many))
-        rep_of = members.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component")).distinct()
-    out = stage.select("doc_id", "n_shingles").join(rep_of, "doc_id", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+        sides = pairs.join(low.select(F.col("node").alias("a"), F.col("low").alias("low_a")), "a").join(low.select(F.col("node").alias("b"), F.col("low").alias("low_b")), "b")
+        return sides.filter(estimate(F.col("low_a"), F.col("low_b")) >= percent / 100 - slack).select("a", "b")
+
+    star = cut(star)
+    near = estimated(star).withColumn("near", F.lit(True))
+    first = cut(compared(star, texts, size, percent, edits=True).join(near, ["a", "b"], "left"))
+    links = first.filter("linked and near").select("a", "b")
+    second = compared(estimated(cut(across(first, components(links), percent))), texts, size, percent, edits=False)
+    # Rows that share a doc_id but not their set stand in several classes; these are linked through it.
+    smallest = members.groupBy("node.doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("other")).filter("b <> other").drop("other")
+    many = members.select("node.doc_id", F.col("rep").alias("a")).join(smallest, "doc_id").select("a", "b").filter("a <> b")
+    joined = components(cut(links.union(cut(second).filter("linked").select("a", "b")).union(many)))
+    of = members.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select("node", F.coalesce("component", "rep").getField("doc_id").alias("component"))
+    out = stage.select("node", "n_shingles").join(of, "node", "left").withColumn("component_id", F.coalesce("component", "node.doc_id"))
+    return out.select("node.doc_id", "n_shingles", "component_id", F.coalesce(F.col("node.doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
