@@ -157,10 +157,14 @@ def test_substrings_equal_brute_force(spark, odd, sample):
 
 def test_index_compacts_and_marks(spark):
     index = substrings.FingerprintIndex(spark, fanout=2)
-    batch = lambda rows: spark.createDataFrame(rows, "anchor long, doc_id long")
+    batch = lambda rows, s=spark: s.createDataFrame(rows, "anchor long, doc_id long")
     assert index.ingest(batch([(1, 1), (2, 1), (2, 1)])).count() == 0
     assert [r.anchor for r in index.ingest(batch([(2, 2), (3, 2), (4, 3), (4, 2)])).orderBy("anchor").collect()] == [2, 4]
     assert len(index.runs) == 1
-    assert [r.anchor for r in index.ingest(batch([(1, 9), (2, 9)])).orderBy("anchor").collect()] == [1, 2]
+    other = spark.newSession()  # knows nothing but the path
+    index = substrings.FingerprintIndex(other, index.path, fanout=2)
+    assert [r.anchor for r in index.ingest(batch([(1, 9), (2, 9)], other)).orderBy("anchor").collect()] == [1, 2]
     assert sorted(r.anchor for r in index.shared().collect()) == [1, 2, 4]
-    assert sorted(tuple(r) for r in spark.table(index.runs[0]).collect()) == [(1, 1, 9), (2, 1, 9), (3, 2, 2), (4, 2, 3)]
+    assert sorted(tuple(r) for r in index.run(index.runs[0]).collect()) == [(1, 1, 9), (2, 1, 9), (3, 2, 2), (4, 2, 3)]
+    index.drop()
+    assert substrings.FingerprintIndex(spark, index.path).runs == []

@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a temporary folder of our own only where that is unset, as in tests."""
+    """The cluster's spark.checkpoint.dir. Where that is unset, a temporary folder of our own on a local master, as in
+    tests; on a cluster that is an error, as executors don't share such a folder."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-textloom-", dir="/tmp"))
     return named or context._jsc.sc().getCheckpointDir().get()
 
@@ -23,6 +26,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def kept(df: DataFrame, path: str) -> DataFrame:
+    """df, written to a folder of the shared place and read back: computed once, only the columns asked for are read
+    again, and Spark knows its size."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder for tables in the shared place."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
