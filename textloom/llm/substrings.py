@@ -235,6 +235,11 @@ def _keep_rest(found: DataFrame, window: int, with_text: bool) -> DataFrame:
     return found.select("doc_id", "copy", "packed", "gone").mapInArrow(run, f"doc_id {kind}, copy long, n_removed long, kept_sha string, kept_text string")
 
 
+def merged(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A sort-merge join, whatever the sizes: both sides grow with the input."""
+    return a.join(b.hint("merge"), on, how)
+
+
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 50, gram: int = 12, batches: int = 3, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of each row, after removal of every word that lies in a window of
     `window` words whose words also start in a document with a smaller doc_id; with_text: also copy (xxhash64 of
@@ -256,28 +261,27 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
         index.ingest(pairs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k).select("anchor", "doc_id"))
     every = known.select("doc_id", "copy", F.explode(F.arrays_zip("anchors", "marks", "pos", "n")).alias("u"))
     every = every.select("doc_id", "copy", F.col("u.anchors").alias("anchor"), F.col("u.marks").alias("mark"), F.col("u.pos").alias("pos"), F.col("u.n").alias("n"))
-    units = kept(every.join(index.shared(), "anchor"), f"{folder}/shared")
+    units = kept(merged(every, index.shared(), ["anchor"]), f"{folder}/shared")
     index.drop()
-    held = keyed.join(kept(units.select("doc_id", "copy").distinct(), f"{folder}/holders"), ["doc_id", "copy"], "left_semi")
-    held = kept(compressed(held), f"{folder}/texts")
+    held = kept(merged(compressed(keyed), units.select("doc_id", "copy").distinct(), ["doc_id", "copy"], "left_semi"), f"{folder}/texts")
     # One class for each anchor and digest; of each, the first document that holds it and one of its places there.
     first = F.min(F.struct("doc_id", "copy", "pos", "n")).alias("first")
     classes = kept(units.groupBy("anchor", "mark").agg(first, F.max("doc_id").alias("hi")), f"{folder}/classes")
     several = classes.groupBy("anchor").agg(F.count("*").alias("c"), F.min("first.doc_id").alias("least"), F.max("hi").alias("most")).filter("c > 1 and least < most")
-    opened = classes.join(several.select("anchor"), "anchor").select("first.doc_id", "first.copy", F.struct("anchor", "mark", "first.pos", "first.n").alias("u"))
-    asked = opened.groupBy("doc_id", "copy").agg(F.collect_list("u").alias("units")).join(held, ["doc_id", "copy"])
+    opened = merged(classes, several.select("anchor"), ["anchor"]).select("first.doc_id", "first.copy", F.struct("anchor", "mark", "first.pos", "first.n").alias("u"))
+    asked = merged(opened.groupBy("doc_id", "copy").agg(F.collect_list("u").alias("units")), held, ["doc_id", "copy"])
     each = kept(windows_of(asked.withColumnRenamed("doc_id", "lo"), window), f"{folder}/windows")
     each = each.select("lo", "anchor", "mark", F.posexplode("windows").alias("k", "window"))
     met = each.groupBy("anchor", "window").agg(F.min("lo").alias("least"), F.max("lo").alias("most")).filter("least < most").drop("most")
-    earlier = each.join(met, ["anchor", "window"]).filter("least < lo").groupBy("anchor", "mark").agg(F.collect_set("k").alias("ks"))
-    verdict = classes.select("anchor", "mark", F.col("first.doc_id").alias("lo"), "hi").join(earlier, ["anchor", "mark"], "left").filter("lo < hi or ks is not null")
+    earlier = merged(each, met, ["anchor", "window"]).filter("least < lo").groupBy("anchor", "mark").agg(F.collect_set("k").alias("ks"))
+    verdict = merged(classes.select("anchor", "mark", F.col("first.doc_id").alias("lo"), "hi"), earlier, ["anchor", "mark"], "left").filter("lo < hi or ks is not null")
     # A later holder of a unit loses all its windows; the first one those that another unit's earlier document has.
     whole = F.array(F.struct(F.col("pos").alias("a"), (F.col("pos") + F.col("n")).alias("b")))
     parts = F.transform("ks", lambda k: F.struct((F.col("pos") + k).alias("a"), (F.col("pos") + k + 1).alias("b")))
-    gone = units.join(verdict.drop("hi"), ["anchor", "mark"]).select("doc_id", "copy", F.when(F.col("lo") < F.col("doc_id"), whole).otherwise(parts).alias("gone")).filter("size(gone) > 0")
+    gone = merged(units, verdict.drop("hi"), ["anchor", "mark"]).select("doc_id", "copy", F.when(F.col("lo") < F.col("doc_id"), whole).otherwise(parts).alias("gone")).filter("size(gone) > 0")
     gone = gone.groupBy("doc_id", "copy").agg(F.flatten(F.collect_set("gone")).alias("gone"))
-    found = _keep_rest(held.join(gone, ["doc_id", "copy"]), window, with_text).dropDuplicates(["doc_id", "copy"])
-    out = stage.select("doc_id", "copy", "n_words", "sha").join(found, ["doc_id", "copy"], "left")
+    found = _keep_rest(merged(held, gone, ["doc_id", "copy"]), window, with_text).dropDuplicates(["doc_id", "copy"])
+    out = merged(stage.select("doc_id", "copy", "n_words", "sha"), found, ["doc_id", "copy"], "left")
     texts = ["copy", "kept_text"] if with_text else []
     out = out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha", "sha").alias("kept_sha256"), *texts)
     out = kept(out, f"{folder}-result")
