@@ -54,3 +54,43 @@ def test_kernel_is_the_sum_over_subsequences():
     for i, a in enumerate(words):
         for j, b in enumerate(words):
             assert abs(x[i] @ x[j] - plain(a, b) / (plain(a, a) * plain(b, b)) ** 0.5) < 1e-5
+
+
+def plain_vector(word):
+    """The word's unit vector in the operator's kernel space, subsequence by subsequence."""
+    import itertools
+
+    vector = {}
+    for p in itertools.combinations(range(len(word)), toxicity.LETTERS):
+        if p[-1] - p[0] < toxicity.SPAN:
+            key = tuple(toxicity.codes([word[i] for i in p]).ravel().tolist())
+            vector[key] = vector.get(key, 0) + toxicity.DECAY ** (p[-1] - p[0] - toxicity.LETTERS + 1)
+    norm = sum(v * v for v in vector.values()) ** 0.5
+    return {k: v / norm for k, v in vector.items()}
+
+
+def test_margins_equal_plain_sums(spark):
+    bad = ["you are a total idiot today", "what an idiotic thing he said", "such idiots everywhere here"]
+    good = ["the idea of it was fine", "an ideal plan for the day", "we said good things about it", "nothing here to see at all"]
+    labelled = spark.createDataFrame([(x, 1) for x in bad] * 2 + [(x, 0) for x in good] + [(None, 1), ("x", None)], "text string, toxic int")
+    machine = toxicity.fit(labelled)
+    table = dict(zip(machine.subsequences.tolist(), machine.weights.tolist(), strict=True))
+
+    def plain(unit):
+        ends = [unit] if len(unit) <= 20 else [f" {unit} "[a : a + 22] for a in range(0, len(unit) - 10, 10)]
+        values = []
+        for x in ends:
+            x = x if len(unit) > 20 else f" {x} "
+            vector = plain_vector(x) if len(x) >= toxicity.LETTERS else {}
+            values.append(sum(table.get(sum(c * 32 ** (4 - i) for i, c in enumerate(k)), 0.0) * v for k, v in vector.items()))
+        return max(values)
+
+    texts = [*bad, *good, "", None, "idiot", "IDIOT!", "id.iot idi-ot i d i o t", "of to", "a" * 70 + "idiot" + "b" * 30, "éèê ñandú 你好世界你好 idíot"]
+    docs = spark.createDataFrame([(x, 5.0) for x in texts], "text string, score double")
+    got = toxicity.worst(docs.select("text").coalesce(1), machine, "text").collect()
+    for r in got:
+        want = sum(sorted((plain(u) for u in set(toxicity.units(r.text or ""))), reverse=True)[: toxicity.WORST])
+        assert abs(want - r.margin) < 2e-3 * max(1, abs(want)), r.text
+    scored = toxicity.score(docs, machine, threshold=0.3).collect()
+    assert all(r.predicted == (r.score >= 0.3) and 0 <= r.score <= 1 for r in scored) and len(scored) == len(texts)
+    assert toxicity.score(docs.limit(0), machine).count() == 0 and {r.predicted for r in scored if r.text in bad} == {1}

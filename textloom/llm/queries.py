@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, katz, langid, media, neardup, packing, pii, quality, substrings, toxicity
+from .shared import hash_sample
 
 
 #: The labelled rows that toxicity learns from, at most.
-TOXIC_ROWS = 12_000
+TOXIC_ROWS = 2000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,9 +44,12 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text").withColumn("held_out", langid.held_out("doc_id", 4, 2))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    # A bounded sample of the labels is picked before their texts are, so no text is dealt out for training.
-    sample = labels.filter(~langid.held_out("doc_id", 4, 2)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TOXIC_ROWS)
-    machine = toxicity.fit(docs.join(F.broadcast(sample), "doc_id").select("text", "toxic"), rows=TOXIC_ROWS)
+    # A bounded sample of the labels of each class is picked before their texts are, so no text is dealt out for training.
+    known, sample, seen = labels.filter(~langid.held_out("doc_id", 4, 2)), None, {}
+    for kind in (1, 0):
+        own, seen[kind] = hash_sample(known.filter(F.col("toxic") == kind), ["doc_id"], TOXIC_ROWS // 2)
+        sample = own if sample is None else sample.union(own)
+    machine = toxicity.fit(docs.join(F.broadcast(sample), "doc_id").select("text", "toxic"), rows=TOXIC_ROWS, ratio=seen[1] / max(1, seen[1] + seen[0]))
     return toxicity.score(docs, machine, threshold=0.3).select("doc_id", "held_out", "score", "predicted")
 
 

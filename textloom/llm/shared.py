@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,6 +45,19 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def hash_sample(df: DataFrame, keys: list[str], rows: int) -> tuple[DataFrame, int]:
+    """At most `rows` rows of df, the first in the order of a hash of the key columns, and the number of rows of df.
+
+    The number sets a bound on the hash that about as many rows and some standard deviations pass, so no more than that
+    leaves the tasks, however many there are. Many equal keys at the bound may leave out rows, never add any.
+    """
+    n = df.count()
+    share = min(1.0, (rows + 6 * rows**0.5 + 10) / max(1, n))
+    h = F.xxhash64(*keys)
+    near = df.withColumn("sample_hash", h).filter(h <= F.lit(int(-(2**63) + share * (2**64 - 1) * (1 - 2**-50))))
+    return near.orderBy("sample_hash", *keys).limit(rows).drop("sample_hash"), n
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
