@@ -13,6 +13,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import hash_sample
+
 WINDOW = 256
 
 
@@ -116,10 +118,10 @@ def windows_of(texts: list[bytes], length: int = WINDOW) -> tuple[np.ndarray, np
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int = 4000, seed: int = 1) -> ByteNet | None:
     """A network fitted on one window from each of at most `rows` labelled rows, those first in the order of a hash of
-    their text. Null texts or labels teach nothing; without labelled rows there is no network."""
+    their text and label. Null texts or labels teach nothing; without labelled rows there is no network."""
     picked = labelled.filter(F.col(text).isNotNull() & (F.length(text) > 0) & F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.xxhash64(text, F.lit(seed)).alias("h"), F.col(text).alias("text"))
     window = F.substring("text", (F.lit(1) + F.pmod("h", F.greatest(F.lit(1), F.length("text") - WINDOW))).cast("int"), F.lit(WINDOW))
-    found = picked.select("lang", "h", window.alias("w")).orderBy("h", "lang").limit(rows).collect()
+    found = hash_sample(picked.select("lang", "h", window.alias("w")), ["h", "lang"], rows)[0].collect()
     if not found:
         return None
     languages = sorted({r.lang for r in found})
