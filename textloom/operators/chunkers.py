@@ -19,9 +19,8 @@ def _finish(rows: DataFrame, chunker: str, order: list[str], extra: list[str] =
 
 def chunk_text(docs: DataFrame, c: WindowConfig = WindowConfig()) -> DataFrame:
     """Windows over the whole text of (doc_id, text)."""
-    rows = windows(docs.select("doc_id", F.col("text").alias("source_text")), "source_text", c)
-    rows = rows.select("doc_id", F.col("window").alias("text"), F.col("window_index").alias("chunk_index"))
-    rows = rows.withColumn("token_count", word_count(F.col("text"))).withColumn("chunker", F.lit("text"))
+    rows = windows(docs.select("doc_id", F.col("text").alias("source_text")), "source_text", c, count="token_count")
+    rows = rows.select("doc_id", F.col("window").alias("text"), F.col("window_index").alias("chunk_index"), "token_count").withColumn("chunker", F.lit("text"))
     rows = rows.withColumn("chunk_id", content_key(F.col("doc_id"), F.col("chunker"), F.col("chunk_index"), F.col("text")))
     return rows.select("chunk_id", "doc_id", "text", "chunk_index", "token_count", "chunker")
 
@@ -136,10 +135,34 @@ def parse_delimited(docs: DataFrame, header_rows: int = 1) -> DataFrame:
 
 
 def chunk_images(regions: DataFrame, min_area: int = 5000) -> DataFrame:
-    """(doc_id, page, image_index, width, height, ext): a placeholder chunk for each region of at least min_area."""
+    """(doc_id, page, image_index, width, height, ext): a placeholder chunk for each region of at least min_area. Where the
+    regions hold `bytes`, the chunks hold them as image_base64."""
     rows = regions.filter(F.col("width") * F.col("height") >= min_area)
     text = F.format_string("[Image %d on page %d: %dx%d %s]", "image_index", "page", "width", "height", "ext")
-    return _finish(rows.withColumn("text", text), "images", ["page", "image_index"], ["page", "image_index", "width", "height", "ext"])
+    more = ["page", "image_index", "width", "height", "ext"]
+    if "bytes" in regions.columns:
+        rows, more = rows.withColumn("image_base64", F.base64("bytes")), [*more, "image_base64"]
+    return _finish(rows.withColumn("text", text), "images", ["page", "image_index"], more)
+
+
+def chunk_image_pages(pages: DataFrame, regions: DataFrame, c: WindowConfig = WindowConfig(min_size=20), handling: str = "extract", min_area: int = 5000, captioner: Column | None = None) -> DataFrame:
+    """Recognised text (doc_id, page, text) and image regions as chunks of one numbering, a page's text before its images.
+
+    handling: skip gives text only, extract and both give text and images, caption gives captioned images only. Text is
+    what an injected recogniser made of the pages.
+    """
+    if handling not in ("skip", "extract", "both", "caption"):
+        raise ValueError("handling must be skip, extract, both or caption")
+    parts = []
+    if handling != "caption":
+        text = chunk_pages(pages, c).select("doc_id", "text", F.col("page_number").alias("page"), F.lit(0).alias("part"), F.col("chunk_index").alias("place"), F.lit(False).alias("is_image"))
+        parts.append(text)
+    if handling != "skip":
+        images = chunk_images(regions, min_area)
+        images = caption(images, captioner) if handling == "caption" else images
+        parts.append(images.select("doc_id", "text", F.col("page").cast("int").alias("page"), F.lit(1).alias("part"), F.col("image_index").cast("int").alias("place"), F.lit(True).alias("is_image")))
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return _finish(rows, "image_pages", ["page", "part", "place"], ["page", "is_image"])
 
 
 def caption(chunks: DataFrame, captioner: Column | None = None, on_failure: str = "placeholder") -> DataFrame:

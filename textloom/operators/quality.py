@@ -15,35 +15,64 @@ def _trimmed(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
 
 
-def size_score(text: Column, least: int = 10, most: int = 2000) -> Column:
-    n = word_count(text)
+def _size(n: Column, least: int, most: int) -> Column:
     return F.when(n < least, F.round(n / max(least, 1) * 0.5, 3)).when(n > most, F.round(most / n, 3)).otherwise(1.0)
 
 
-def boundary_score(text: Column) -> Column:
-    t = _trimmed(text)
+def _boundary(t: Column) -> Column:
     low = F.when(t.rlike(r"^\p{Ll}"), 0.3).otherwise(0.0)
     open_ = F.when(F.right(t, F.lit(1)).isin(".", "!", "?", '"', "'"), 0.0).otherwise(0.2)
     return F.when(t == "", 0.0).otherwise(F.round(1.0 - low - open_, 3))
 
 
-def information_score(text: Column, most_repeated: float = 0.5) -> Column:
-    t = _trimmed(text)
-    w = words(F.lower(t))
-    n = F.size(w)
-    pairs = F.zip_with(F.slice(w, 1, F.greatest(n - 1, F.lit(0))), F.slice(w, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    repeated = 1.0 - F.size(F.array_distinct(pairs)) / F.size(pairs)
+def _plain(t: Column) -> Column:
+    """Whether a trimmed text says nothing."""
     same = (F.length(t) >= 6) & t.rlike(r"^[\p{L}\p{N}_]") & (F.length(F.replace(t, F.substring(t, 1, 1), F.lit(""))) == 0)
-    plain = same
     for pattern in BOILERPLATE:
-        plain = plain | t.rlike(pattern)
+        same = same | t.rlike(pattern)
+    return same
+
+
+def _pairs(w: Column) -> Column:
+    n = F.greatest(F.size(w) - 1, F.lit(0))
+    return F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda a, b: F.concat_ws(" ", a, b))
+
+
+def _information(plain: Column, n: Column, distinct: Column, most_repeated: float) -> Column:
+    repeated = 1.0 - distinct / (n - 1)
     return F.when(plain, 0.1).when(n < 4, 0.7).when(repeated > most_repeated, F.round(1.0 - repeated, 3)).otherwise(1.0)
 
 
+def _encoding(text: Column, t: Column, least_letters: float) -> Column:
+    ratio = F.length(F.regexp_replace(text, r"[^\p{L}]+", "")) / F.length(text)
+    return F.when(t == "", 0.0).when(text.contains("�"), 0.2).when(ratio < least_letters, F.round(ratio / least_letters * 0.6, 3)).otherwise(1.0)
+
+
+def size_score(text: Column, least: int = 10, most: int = 2000) -> Column:
+    return _size(word_count(text), least, most)
+
+
+def boundary_score(text: Column) -> Column:
+    return _boundary(_trimmed(text))
+
+
+def information_score(text: Column, most_repeated: float = 0.5) -> Column:
+    t = _trimmed(text)
+    w = words(F.lower(t))
+    return _information(_plain(t), F.size(w), F.size(F.array_distinct(_pairs(w))), most_repeated)
+
+
 def encoding_score(text: Column, least_letters: float = 0.3) -> Column:
-    t = F.coalesce(text, F.lit(""))
-    ratio = F.length(F.regexp_replace(t, r"[^\p{L}]", "")) / F.length(t)
-    return F.when(_trimmed(t) == "", 0.0).when(t.contains("�"), 0.2).when(ratio < least_letters, F.round(ratio / least_letters * 0.6, 3)).otherwise(1.0)
+    return _encoding(F.coalesce(text, F.lit("")), _trimmed(text), least_letters)
+
+
+def scores(chunks: DataFrame, text: str) -> DataFrame:
+    """chunks with the four scores. Words and the trimmed text are columns of their own, so that each is made once."""
+    t, w, x = F.col("_trimmed"), F.col("_words"), F.coalesce(F.col(text), F.lit(""))
+    parts = chunks.withColumn("_trimmed", _trimmed(F.col(text))).withColumn("_words", words(F.lower(t)))
+    parts = parts.withColumns({"_n": F.size(w), "_distinct": F.size(F.array_distinct(_pairs(w)))})
+    made = {"size_score": _size(F.col("_n"), 10, 2000), "boundary_score": _boundary(t), "information_score": _information(_plain(t), F.col("_n"), F.col("_distinct"), 0.5), "encoding_score": _encoding(x, t, 0.3)}
+    return parts.withColumns(made).drop("_trimmed", "_words", "_n", "_distinct")
 
 
 def score(chunks: DataFrame, text: str = "text", threshold: float = 0.4, judge: Column | None = None, mode: str = "heuristic_only", band: tuple[float, float] = (0.35, 0.65), strategy: str = "exclude") -> DataFrame:
@@ -52,8 +81,7 @@ def score(chunks: DataFrame, text: str = "text", threshold: float = 0.4, judge:
     actions = {"exclude": "excluded", "flag": "flagged", "re_chunk": "re_chunk_requested"}
     if mode not in ("heuristic_only", "llm_always", "heuristic_first") or strategy not in actions:
         raise ValueError("unknown mode or strategy")
-    t = F.col(text)
-    out = chunks.withColumns({"size_score": size_score(t), "boundary_score": boundary_score(t), "information_score": information_score(t), "encoding_score": encoding_score(t)})
+    out = scores(chunks, text)
     # In whole thousandths, so that halves round up whatever their binary form.
     total = F.round(1000 * (F.col("size_score") + F.col("boundary_score") + F.col("information_score") + F.col("encoding_score")))
     out = out.withColumn("quality_score", F.floor((total * 10 + 2) / 4) / 10000)

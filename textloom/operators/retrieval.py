@@ -62,15 +62,14 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int = 5, k1: float = 1.5, b:
     okapi_eps: a negative inverse document frequency becomes epsilon times the mean of all; lucene: always positive.
     Query terms count as often as they occur. keep_zero: chunks without a common term fill up to k. `wanted` filters
     after the cut to k, as the usual index does, or before it with prefilter.
-    Postings are joined on the term, with the query side (distinct terms) as the small one; statistics are per term.
+    Document frequencies are counted with partial sums; of the postings only those of terms that are asked for go on.
     """
     if idf not in ("okapi_eps", "lucene"):
         raise ValueError("idf must be okapi_eps or lucene")
     source = match_filter(chunks, wanted) if prefilter else chunks
     each = source.select("chunk_id", terms(F.col("text")).alias("t"))
     size = each.agg(F.count("*").alias("n_docs"), F.avg(F.size("t")).alias("mean_len"))
-    postings = each.select("chunk_id", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("chunk_id", "len", "term").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df")).join(size.select("n_docs"), F.lit(True))
+    df = each.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).join(size.select("n_docs"), F.lit(True))
     raw = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)) if idf == "okapi_eps" else F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = df.withColumn("raw", raw)
     if idf == "okapi_eps":
@@ -79,6 +78,10 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int = 5, k1: float = 1.5, b:
     else:
         weights = weights.withColumn("idf", F.col("raw"))
     asked = queries.select("query_id", F.explode(terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    # Only terms that are asked for are dealt out.
+    wanted_terms = asked.select("term").distinct()
+    met = each.select("chunk_id", F.size("t").alias("len"), F.explode("t").alias("term")).join(wanted_terms, "term", "left_semi")
+    postings = met.groupBy("chunk_id", "len", "term").agg(F.count("*").alias("tf"))
     hits = asked.join(weights.select("term", "idf"), "term").join(postings, "term").join(size.select("mean_len"), F.lit(True))
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean_len")))
     scores = hits.withColumn("part", part).groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"))

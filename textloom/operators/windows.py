@@ -13,6 +13,20 @@ from ..functions.text import words
 COUNTERS: dict[str, Callable[[str], int]] = {"word_count": lambda text: len(text.split())}
 
 
+def subword_counter(path: str) -> Callable[[str], int]:
+    """A counter of the tokens of a tokenizers file, for COUNTERS: the file must lie at the same path on every executor."""
+    made: dict[str, object] = {}
+
+    def count(text: str) -> int:
+        if path not in made:
+            from tokenizers import Tokenizer
+
+            made[path] = Tokenizer.from_file(path)
+        return len(made[path].encode(text, add_special_tokens=False).ids)
+
+    return count
+
+
 @dataclass(frozen=True)
 class WindowConfig:
     """size and overlap count tokens. boundary: end windows at a word that ends in one of boundary_chars, but not at
@@ -59,23 +73,26 @@ def spans(tokens: list[str], c: WindowConfig) -> Iterator[tuple[int, int]]:
         start = max(start + 1, end - (c.overlap if c.exact_overlap else max(1, c.overlap)))
 
 
-def fixed_windows(df: DataFrame, text: str, c: WindowConfig, index: str = "window_index", out: str = "window") -> DataFrame:
-    """Windows without boundaries in closed form: column expressions only."""
+def fixed_windows(df: DataFrame, text: str, c: WindowConfig, index: str = "window_index", out: str = "window", count: str | None = None) -> DataFrame:
+    """Windows without boundaries in closed form: column expressions only. Each text is cut into its windows before they
+    become rows, so no row carries more than its own."""
     step = max(1, c.size - (c.overlap if c.exact_overlap else max(1, c.overlap)))
     n = F.size("_words")
-    last = F.when(n <= c.size, 0).otherwise(F.ceil((n - c.size) / step))
-    rows = df.withColumn("_words", words(F.col(text))).filter(F.size("_words") > 0)
-    rows = rows.withColumn(index, F.explode(F.sequence(F.lit(0), last.cast("int"))))
-    return rows.withColumn(out, F.array_join(F.slice("_words", F.col(index) * step + 1, c.size), " ")).drop("_words")
+    last = F.when(n <= c.size, 0).otherwise(F.ceil((n - c.size) / step)).cast("int")
+    each = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(F.least(F.lit(c.size), n - i * step).alias("n"), F.array_join(F.slice("_words", i * step + 1, c.size), " ").alias("w")))
+    rows = df.withColumn("_words", words(F.col(text))).withColumn("_windows", F.when(n > 0, each)).drop("_words")
+    rows = rows.select(*df.columns, F.posexplode("_windows").alias(index, "_window"))
+    counted = [F.col("_window.n").alias(count)] if count else []
+    return rows.select(*df.columns, index, F.col("_window.w").alias(out), *counted)
 
 
-def windows(df: DataFrame, text: str, c: WindowConfig, index: str = "window_index", out: str = "window") -> DataFrame:
-    """df with a row for each window of `text`, numbered from 0; blank texts have none. Columns named like an output
-    are replaced. Without boundaries the closed form is used; a boundary makes each end depend on the one before, so
+def windows(df: DataFrame, text: str, c: WindowConfig, index: str = "window_index", out: str = "window", count: str | None = None) -> DataFrame:
+    """df with a row for each window of `text`, numbered from 0, and in `count` its number of words; blank texts have none.
+    Columns named like an output are replaced. Without boundaries the closed form is used; a boundary makes each end depend on the one before, so
     a task then walks each text once."""
-    df = df.drop(*[x for x in (index, out) if x != text])
+    df = df.drop(*[x for x in (index, out, count) if x and x != text])
     if not c.boundary and c.counter == "word_count":
-        return fixed_windows(df, text, c, index, out)
+        return fixed_windows(df, text, c, index, out, count)
     names = df.columns
     at = names.index(text)
 
@@ -83,15 +100,17 @@ def windows(df: DataFrame, text: str, c: WindowConfig, index: str = "window_inde
         import pyarrow as pa
 
         for batch in batches:
-            of, numbers, made = [], [], []
+            of, numbers, made, sizes = [], [], [], []
             for i, x in enumerate(batch.column(at).to_pylist()):
                 tokens = (x or "").split()
                 for k, (a, b) in enumerate(spans(tokens, c)):
                     of.append(i)
                     numbers.append(k)
                     made.append(" ".join(tokens[a:b]))
+                    sizes.append(b - a)
             rows = batch.take(pa.array(of, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(numbers, pa.int32()), pa.array(made, pa.string())], names=[*names, index, out])
+            new = [pa.array(numbers, pa.int32()), pa.array(made, pa.string()), *([pa.array(sizes, pa.int32())] if count else [])]
+            yield pa.RecordBatch.from_arrays([*rows.columns, *new], names=[*names, index, out, *([count] if count else [])])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"`{index}` int", f"`{out}` string"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"`{index}` int", f"`{out}` string", *([f"`{count}` int"] if count else [])])
     return df.mapInArrow(run, schema)
