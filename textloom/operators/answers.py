@@ -9,14 +9,15 @@ from ..functions.text import sentences, terms
 
 # Words that carry no claim.
 STOP_WORDS = (
-    "the a an is are was were be been being have has had do does did will would could should may might this that these "
-    "those with from into for and or but not by at on in of to it its"
-).split()
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did",
+    "will", "would", "could", "should", "may", "might", "this", "that", "these", "those", "with", "from", "into",
+    "for", "and", "or", "but", "not", "by", "at", "on", "in", "of", "to", "it", "its",
+)
 
 
 def significant(text: Column) -> Column:
     """Distinct terms of more than four characters that aren't stop words."""
-    return F.array_distinct(F.filter(terms(text), lambda w: (F.length(w) > 4) & ~w.isin(STOP_WORDS)))
+    return F.array_distinct(F.filter(terms(text), lambda w: (F.length(w) > 4) & ~w.isin(*STOP_WORDS)))
 
 
 def grounded_sentences(answers: DataFrame, contexts: DataFrame) -> DataFrame:

@@ -14,13 +14,32 @@ def cache_key(provider: Column, model: Column, text: Column, prefix: str = "emb:
 
 def plan(texts: DataFrame, cache: DataFrame, now: Column | None = None, ttl: int = 86_400) -> DataFrame:
     """(row_id, key, text) with hit: whether the cache (key, vector, written_at) holds a vector younger than ttl seconds."""
-    fresh = cache if now is None else cache.filter(now.cast("long") - F.col("written_at").cast("long") < ttl)
-    return texts.join(fresh.select("key", "vector"), "key", "left").withColumn("hit", F.col("vector").isNotNull())
+    fresh = cache if now is None else cache.filter(now.cast("long") - F.col("written_at").cast("timestamp").cast("long") < ttl)
+    more = ["error"] if "error" in cache.columns else []
+    return texts.join(fresh.select("key", "vector", *more), "key", "left").withColumn("hit", F.col("vector").isNotNull())
+
+
+def invalidate(cache: DataFrame, keys: DataFrame) -> DataFrame:
+    """The cache without the rows of these (key)."""
+    return cache.join(keys.select("key"), "key", "left_anti")
+
+
+def flush(cache: DataFrame, prefix: str = "emb:") -> DataFrame:
+    """The cache without any row whose key begins with the prefix."""
+    return cache.filter(~F.col("key").startswith(prefix))
+
+
+def readable(cache: DataFrame, dimensions: int) -> DataFrame:
+    """The cache with broken entries (no vector, or one of another length) marked by `error`, as a lookup counts them."""
+    bad = F.col("vector").isNull() | (F.size("vector") != dimensions)
+    return cache.withColumn("error", bad).withColumn("vector", F.when(~bad, F.col("vector")))
 
 
 def stats(planned: DataFrame) -> DataFrame:
-    """hits, misses, misses once per key, and the hit rate."""
-    rows = planned.agg(F.sum(F.col("hit").cast("int")).alias("hits"), F.sum((~F.col("hit")).cast("int")).alias("misses"), F.count_distinct(F.when(~F.col("hit"), F.col("key"))).alias("to_embed"))
+    """hits, misses, misses once per key, and the hit rate. A broken entry is a miss; planned rows with a column `error`
+    also give the number of errors."""
+    errors = [F.sum(F.coalesce(F.col("error"), F.lit(False)).cast("int")).alias("errors")] if "error" in planned.columns else []
+    rows = planned.agg(F.sum(F.col("hit").cast("int")).alias("hits"), F.sum((~F.col("hit")).cast("int")).alias("misses"), F.count_distinct(F.when(~F.col("hit"), F.col("key"))).alias("to_embed"), *errors)
     rate = F.round(F.col("hits") / F.greatest(F.col("hits") + F.col("misses"), F.lit(1)), 4)
     return rows.withColumn("hit_rate", rate).withColumn("hit_pct", F.round(100 * rate, 2))
 
@@ -34,7 +53,7 @@ def embed_through(planned: DataFrame, embedder: Callable[[DataFrame], DataFrame]
 
 
 def expire(cache: DataFrame, now: Column, ttl: int = 86_400) -> DataFrame:
-    return cache.filter(now.cast("long") - F.col("written_at").cast("long") < ttl)
+    return cache.filter(now.cast("long") - F.col("written_at").cast("timestamp").cast("long") < ttl)
 
 
 def health(checks: DataFrame, core: list[str]) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,7 +15,45 @@ EXTRACTION = "struct<entities:array<struct<name:string,entity_type:string,descri
 
 
 def extraction_prompt(text: Column, types: str = "PERSON, ORGANIZATION, LOCATION, CONCEPT", most_entities: int = 10, most_relations: int = 10) -> Column:
-    return F.format_string(f"Name at most {most_entities} entities of the types {types} and at most {most_relations} relations between them in this text, as JSON with the keys entities and relationships.\n\n%s", text)
+    ask = f"Name at most {most_entities} entities of the types {types} and at most {most_relations} relations between them in this text, as JSON with the keys entities and relationships.\n\n"
+    return F.concat(F.lit(ask), text)
+
+
+def extract(chunks: DataFrame, model: Callable[[Column], Column], **prompt: object) -> DataFrame:
+    """(chunk_id, text) to entities and relationships: an injected model, a function of the prompt column, is asked about
+    every chunk that isn't blank; a blank one has none."""
+    said = chunks.select("chunk_id", F.when(F.trim(F.coalesce("text", F.lit(""))) != "", model(extraction_prompt(F.col("text"), **prompt))).alias("reply"))
+    return parse_extractions(said)
+
+
+def run_log(chunks: DataFrame, extracted: DataFrame | None = None, errors: DataFrame | None = None) -> DataFrame:
+    """One row for each document and collection of (doc_id, collection, chunk_id): running until its extractions
+    (chunk_id, entities, relationships) or errors (doc_id, error) are given, then complete with counts, or failed with
+    the first 1000 characters of the error."""
+    runs = chunks.groupBy("doc_id", "collection").agg(F.count("*").alias("chunk_count"))
+    none = F.lit(None).cast("long")
+    done = runs.select("doc_id", none.alias("entity_count"), none.alias("relationship_count")).limit(0)
+    if extracted is not None:
+        found = extracted.select("chunk_id", F.size("entities").alias("e"), F.size("relationships").alias("r"))
+        done = chunks.join(found, "chunk_id").groupBy("doc_id").agg(F.sum("e").alias("entity_count"), F.sum("r").alias("relationship_count"))
+    bad = runs.select("doc_id", F.lit("").alias("error")).limit(0) if errors is None else errors.groupBy("doc_id").agg(F.min(F.substring("error", 1, 1000)).alias("error"))
+    rows = runs.join(done, "doc_id", "left").join(bad, "doc_id", "left")
+    status = F.when(F.col("error").isNotNull(), "failed").when(F.col("entity_count").isNotNull(), "complete").otherwise("running")
+    count = lambda c: F.when(status == "complete", F.col(c)).alias(c)
+    return rows.select("doc_id", "collection", status.alias("status"), count("chunk_count"), count("entity_count"), count("relationship_count"), "error")
+
+
+def list_entities(entities: DataFrame, collection: str, entity_type: str | None = None, limit: int = 100) -> DataFrame:
+    """Entities of a collection, and of a type in any case, the first `limit` by id."""
+    rows = entities.filter(F.col("collection") == collection)
+    rows = rows if entity_type is None else rows.filter(F.col("entity_type") == entity_type.upper())
+    return rows.orderBy("id").limit(limit)
+
+
+def entities_by_name(entities: DataFrame, names: DataFrame, collection: str) -> DataFrame:
+    """The entities of a collection whose normalised name is one of (name), trimmed and in any case."""
+    asked = names.select(F.lower(F.trim("name")).alias("name_normalised")).distinct()
+    return entities.filter(F.col("collection") == collection).join(asked, "name_normalised", "left_semi")
 
 
 def _name(c: Column, default: str | None = None) -> Column:
@@ -199,10 +238,14 @@ def components(entities: DataFrame, edges: DataFrame, least: int = 2, rounds: in
     return label.join(size, "community").select("id", "community", "size")
 
 
-def communities(members: DataFrame, entities: DataFrame, names: int = 20) -> DataFrame:
-    """One row per community with its size and up to `names` member names in order."""
-    first = F.slice(F.array_sort(F.collect_set("name")), 1, names)
-    return members.join(entities.select("id", "name"), "id").groupBy("community").agg(F.first("size").alias("size"), first.alias("names"))
+def communities(members: DataFrame, entities: DataFrame, names: int = 20, parts: int = 64) -> DataFrame:
+    """One row per community with its size and up to `names` member names in order. Each of `parts` shares of a community
+    keeps its first names, so none is gathered whole."""
+    each = members.join(entities.select("id", "name"), "id").select("community", "size", "name").distinct().withColumn("part", F.pmod(F.xxhash64("name"), F.lit(parts)))
+    few = each
+    for keys in (["community", "part"], ["community"]):
+        few = few.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("name"))).filter(F.col("place") <= names)
+    return few.groupBy("community").agg(F.first("size").alias("size"), F.array_sort(F.collect_list("name")).alias("names"))
 
 
 def _checkpoint_dir(spark: SparkSession) -> str:
@@ -210,10 +253,18 @@ def _checkpoint_dir(spark: SparkSession) -> str:
 
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-textloom-", dir="/tmp"))
+        named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-textloom-", dir="/tmp"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder for tables in the shared place."""
+    return f"{_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def _cut(df: DataFrame) -> DataFrame:
     _checkpoint_dir(df.sparkSession)
     return df.checkpoint()
@@ -233,3 +284,17 @@ def retrieve(dense: DataFrame, found: DataFrame, k: int = 5, weight: float = 0.5
     one = parts.groupBy("query_id", "chunk_id").agg(F.min(F.struct(*sort)).alias("s")).select("query_id", "chunk_id", "s.*")
     w = Window.partitionBy("query_id").orderBy(*sort, "chunk_id")
     return one.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "chunk_id", "side", "rank")
+
+
+def graph_retrieve(queries: DataFrame, classical: DataFrame, texts: DataFrame, entities: DataFrame, edges: DataFrame, k: int = 5, depth: int = 2, weight: float = 0.5, multiplier: int = 3, mode: str = "hybrid") -> DataFrame:
+    """Graph retrieval as one call: (query_id, query), classical results (query_id, chunk_id, rank), and (chunk_id, text).
+
+    Traversal starts at entities that the query names, in hybrid mode also at those that the texts of its classical results
+    name. The results of both sides are merged as in retrieve(), the first k of each query stay.
+    """
+    asked = queries.select("query_id", F.col("query").alias("text"))
+    if mode == "hybrid":
+        share = max(1, round(k * (1 - weight) * multiplier))
+        asked = asked.unionByName(classical.filter(F.col("rank") <= share).join(texts.select("chunk_id", "text"), "chunk_id").select("query_id", "text"))
+    found = traverse(entry_nodes(asked, entities), edges, depth)
+    return retrieve(classical, found, k, weight, multiplier, mode)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cosine, terms
+from .graph import _cut
 
 
 def top(rows: DataFrame, k: int, score: str = "score") -> DataFrame:
@@ -196,7 +197,8 @@ def heal(queries: DataFrame, strategies: dict[str, Callable[[DataFrame], DataFra
     tried, left = None, queries
     results = None
     for step, name in enumerate(plan):
-        got = strategies[name](left).select("query_id", "chunk_id", "score", "rank")
+        # Read for the verdict, the results and what is left; each strategy's search is done once.
+        got = _cut(strategies[name](left).select("query_id", "chunk_id", "score", "rank"))
         verdict = weakness(got, left, min_results, floor).withColumns({"strategy": F.lit(name), "step": F.lit(step)})
         tried = verdict if tried is None else tried.unionByName(verdict)
         tagged = got.withColumn("strategy", F.lit(name))
@@ -213,9 +215,32 @@ def query_table(texts: DataFrame, id_column: str, text: str) -> DataFrame:
     return texts.select(F.col(id_column).alias("query_id"), F.col(text).alias("query"))
 
 
-def embed(rows: DataFrame, dimensions: int = 64, text: str = "text") -> DataFrame:
-    """A stand-in for an embedding model: term counts hashed to `dimensions` places. It is no model; inject one."""
+def embed(rows: DataFrame, dimensions: int = 64, text: str = "text", blank: str = "zero") -> DataFrame:
+    """A stand-in for an embedding model: term counts hashed to `dimensions` places (at most 256). It is no model; inject
+    one. A blank text has the zero vector, or with blank="error" fails the job."""
+    if blank not in ("zero", "error") or not 1 <= dimensions <= 256:
+        raise ValueError("blank must be zero or error, and dimensions from 1 to 256")
     keyed = rows.drop("vector")
-    hashed = F.transform(terms(F.col(text)), lambda t: F.pmod(F.xxhash64(t), F.lit(dimensions)).cast("int"))
-    vector = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.size(F.filter("_h", lambda h: h == i)).cast("float"))
+    hashed = F.transform(terms(F.col(text)), lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 2), 16, 10).cast("int"), F.lit(dimensions)))
+    vector = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: (F.size("_h") - F.size(F.array_remove("_h", i))).cast("float"))
+    if blank == "error":
+        vector = F.when(F.trim(F.coalesce(F.col(text), F.lit(""))) != "", vector).otherwise(F.raise_error(F.lit("a blank text can't be embedded")).cast("array<float>"))
     return keyed.withColumn("_h", hashed).withColumn("vector", vector).drop("_h")
+
+
+def hybrid(queries: DataFrame, chunks: DataFrame, index: DataFrame, k: int = 5, alpha: float = 0.5, rrf_k: int = 60, depth: int = 20, **lexical) -> DataFrame:
+    """Fusion of a dense search (queries with q_vector, index with vector) and BM25 over the same chunks, `depth` of each."""
+    first = dense(queries, index, depth)
+    return fuse(first, bm25(queries, chunks, depth, **lexical), k, alpha, rrf_k)
+
+
+def summary(results: dict[str, DataFrame], seconds: dict[str, float] | None = None) -> DataFrame:
+    """For each query and strategy: results, and whether no other strategy gave more; with seconds, whether it is fastest."""
+    rows = None
+    for name, r in results.items():
+        one = r.groupBy("query_id").agg(F.count("*").alias("results")).withColumn("strategy", F.lit(name))
+        rows = one if rows is None else rows.unionByName(one)
+    rows = rows.withColumn("most", F.col("results") == F.max("results").over(Window.partitionBy("query_id")))
+    if seconds:
+        rows = rows.withColumn("fastest", F.col("strategy") == min(seconds, key=seconds.get))
+    return rows

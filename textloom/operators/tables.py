@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import csv
-import io
-import json
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from ..functions.text import content_key, word_count
+from .windows import WindowConfig, windows
 
 FRAGMENT = "page int, headers array<string>, rows array<array<string>>"
 
@@ -78,16 +74,30 @@ def markdown(headers: Column, rows: Column) -> Column:
     return F.concat_ws("\n", line(fitted[0]), rule, F.array_join(F.transform(F.slice(fitted, 2, F.greatest(F.size(rows), F.lit(0))), line), "\n"))
 
 
-@F.udf(StringType())
-def as_json(headers, rows):
-    return json.dumps([dict(zip(headers, r)) for r in rows], indent=2, ensure_ascii=False)
+def _quoted(c: Column) -> Column:
+    """A string as JSON."""
+    listed = F.to_json(F.array(c))
+    return F.substr(listed, F.lit(2), F.length(listed) - 2)
+
+
+def as_json(headers: Column, rows: Column) -> Column:
+    """A list of objects, indented by two; of equal headers the first gives the place and the last the value."""
+    names = F.array_distinct(headers)
+
+    def record(row: Column) -> Column:
+        seen = F.reverse(F.slice(headers, 1, F.least(F.size(headers), F.size(row))))
+        has = F.filter(names, lambda h: F.array_contains(seen, h))
+        fields = F.transform(has, lambda h: F.concat(F.lit("    "), _quoted(h), F.lit(": "), F.coalesce(_quoted(F.element_at(row, (F.size(seen) + 1 - F.array_position(seen, h)).cast("int"))), F.lit("null"))))
+        return F.when(F.size(has) == 0, "  {}").otherwise(F.concat(F.lit("  {\n"), F.array_join(fields, ",\n"), F.lit("\n  }")))
 
+    return F.when(F.size(rows) == 0, "[]").otherwise(F.concat(F.lit("[\n"), F.array_join(F.transform(rows, record), ",\n"), F.lit("\n]")))
 
-@F.udf(StringType())
-def as_csv(headers, rows):
-    out = io.StringIO()
-    csv.writer(out).writerows([headers, *rows])
-    return out.getvalue().strip()
+
+def as_csv(headers: Column, rows: Column) -> Column:
+    """Headers and rows with commas; cells with a comma, a quote or a line break are quoted. White space around all goes."""
+    cell = lambda c: F.when(c.rlike('[",\\r\\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.coalesce(c, F.lit("")))
+    line = lambda r: F.when((F.size(r) == 1) & (F.coalesce(r[0], F.lit("")) == ""), '""').otherwise(F.array_join(F.transform(r, cell), ","))
+    return F.regexp_replace(F.array_join(F.transform(F.concat(F.array(headers), rows), line), "\r\n"), r"^\s+|\s+$", "")
 
 
 def table_chunks(stitched: DataFrame, form: str = "markdown", min_rows: int = 2) -> DataFrame:
@@ -101,6 +111,17 @@ def table_chunks(stitched: DataFrame, form: str = "markdown", min_rows: int = 2)
     return rows.select("chunk_id", "doc_id", "text", "chunk_index", "token_count", "row_count", "col_count", "stitched", "page_start", "page_end")
 
 
+def tables_and_text(stitched: DataFrame, texts: DataFrame, c: WindowConfig = WindowConfig(min_size=10), form: str = "markdown", min_rows: int = 2) -> DataFrame:
+    """Chunks of a document's tables and then of its free text (doc_id, text), numbered on from the tables."""
+    found = table_chunks(stitched, form, min_rows).select("doc_id", "text", F.col("chunk_index").alias("place"), "token_count", F.lit("table").alias("kind"))
+    found = found.withColumn("chunk_index", F.row_number().over(Window.partitionBy("doc_id").orderBy("place")) - 1).drop("place")
+    number = found.groupBy("doc_id").agg(F.count("*").alias("tables"))
+    free = windows(texts.select("doc_id", F.col("text").alias("free")), "free", c, "place", "text", "token_count").join(number, "doc_id", "left")
+    free = free.select("doc_id", "text", "token_count", F.lit("text").alias("kind"), (F.col("place") + F.coalesce("tables", F.lit(0))).cast("int").alias("chunk_index"))
+    rows = found.unionByName(free)
+    return rows.select(content_key(F.col("doc_id"), F.col("kind"), F.col("chunk_index"), F.col("text")).alias("chunk_id"), "doc_id", "text", "chunk_index", "token_count", "kind")
+
+
 def parse_pipes(docs: DataFrame) -> DataFrame:
     """(doc_id, text) whose first line has a pipe, to (doc_id, cells): lines that start with one, without rules."""
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x.startswith("|") & ~x.rlike(r"^[-|: ]*$"))

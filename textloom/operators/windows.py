@@ -4,27 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import words
 
+_tokenizers: dict[str, object] = {}
 COUNTERS: dict[str, Callable[[str], int]] = {"word_count": lambda text: len(text.split())}
 
 
 def subword_counter(path: str) -> Callable[[str], int]:
     """A counter of the tokens of a tokenizers file, for COUNTERS: the file must lie at the same path on every executor."""
-    made: dict[str, object] = {}
+    return partial(_subwords, path)
 
-    def count(text: str) -> int:
-        if path not in made:
-            from tokenizers import Tokenizer
 
-            made[path] = Tokenizer.from_file(path)
-        return len(made[path].encode(text, add_special_tokens=False).ids)
+def _subwords(path: str, text: str) -> int:
+    if path not in _tokenizers:
+        from tokenizers import Tokenizer
 
-    return count
+        _tokenizers[path] = Tokenizer.from_file(path)
+    return len(_tokenizers[path].encode(text, add_special_tokens=False).ids)
 
 
 @dataclass(frozen=True)
@@ -53,9 +54,9 @@ class WindowConfig:
             raise ValueError(f"unknown counter {self.counter}")
 
 
-def spans(tokens: list[str], c: WindowConfig) -> Iterator[tuple[int, int]]:
-    """Start and end of each window that isn't empty."""
-    n, start, count = len(tokens), 0, COUNTERS[c.counter]
+def spans(tokens: list[str], c: WindowConfig, counter: Callable[[str], int] | None = None) -> Iterator[tuple[int, int]]:
+    """Start and end of each window that isn't empty. The counter that c names is looked up where it isn't given."""
+    n, start, count = len(tokens), 0, counter or COUNTERS[c.counter]
     floor = max(1, c.min_size // 3)
     ends = {i for i, w in enumerate(tokens) if w[-1] in c.boundary_chars} if c.boundary else set()
     while start < n:
@@ -95,6 +96,7 @@ def windows(df: DataFrame, text: str, c: WindowConfig, index: str = "window_inde
         return fixed_windows(df, text, c, index, out, count)
     names = df.columns
     at = names.index(text)
+    counter = COUNTERS[c.counter]  # entries made on the driver aren't known to the tasks
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -103,7 +105,7 @@ def windows(df: DataFrame, text: str, c: WindowConfig, index: str = "window_inde
             of, numbers, made, sizes = [], [], [], []
             for i, x in enumerate(batch.column(at).to_pylist()):
                 tokens = (x or "").split()
-                for k, (a, b) in enumerate(spans(tokens, c)):
+                for k, (a, b) in enumerate(spans(tokens, c, counter)):
                     of.append(i)
                     numbers.append(k)
                     made.append(" ".join(tokens[a:b]))

@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import fields
 
-from ..operators import chunkers, html, retrieval, tables
+from ..operators import chunkers, graph, html, retrieval, tables
 from ..operators.windows import WindowConfig
 
 CHUNKERS: dict[str, Callable] = {
     "text": chunkers.chunk_text, "pages": chunkers.chunk_pages, "paragraphs": chunkers.chunk_paragraphs, "markdown": chunkers.chunk_headings, "html": html.chunk_html,
-    "sheet_rows": chunkers.chunk_rows, "sheet_columns": chunkers.chunk_columns, "sheet_cells": chunkers.chunk_cells, "hybrid": chunkers.chunk_hybrid, "images": chunkers.chunk_images, "tables": tables.table_chunks,
+    "sheet_rows": chunkers.chunk_rows, "sheet_columns": chunkers.chunk_columns, "sheet_cells": chunkers.chunk_cells, "hybrid": chunkers.chunk_hybrid, "images": chunkers.chunk_images, "image_pages": chunkers.chunk_image_pages, "tables": tables.tables_and_text,
 }
-RETRIEVERS: dict[str, Callable] = {"dense": retrieval.dense, "bm25": retrieval.bm25, "hybrid": retrieval.fuse, "mmr": retrieval.mmr, "rerank": retrieval.rerank, "compress": retrieval.compress, "heal": retrieval.heal}
+RETRIEVERS: dict[str, Callable] = {"dense": retrieval.dense, "bm25": retrieval.bm25, "hybrid": retrieval.hybrid, "graph": graph.graph_retrieve, "mmr": retrieval.mmr, "rerank": retrieval.rerank, "compress": retrieval.compress, "heal": retrieval.heal}
 
 
 def create(kind: str, name: str) -> Callable:

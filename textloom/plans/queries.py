@@ -263,7 +263,14 @@ def dense_euclid(spark, sf_dir):
     return _rounded(retrieval.dense(_probes(spark, sf_dir), _vectors(spark, sf_dir), 5, "euclid"))
 
 
-@register()
+@register(f"""WITH RECURSIVE s AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, {COSINE} AS score, v.embedding::DOUBLE[] AS e FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0),
+  c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM s) WHERE r <= 20),
+  l AS (SELECT a.query_id, a.chunk_id AS x, b.chunk_id AS y, list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e)) / sqrt(list_dot_product(b.e, b.e)) AS sim FROM c a JOIN c b USING (query_id)),
+  p AS (SELECT query_id, [chunk_id] AS picked, 1 AS k FROM c WHERE r = 1 UNION ALL
+    SELECT query_id, list_append(picked, chunk_id), k + 1 FROM (SELECT p.query_id, p.picked, p.k, c.chunk_id, row_number() OVER (PARTITION BY p.query_id ORDER BY round(0.5 * c.score - 0.5 * (SELECT max(sim) FROM l WHERE l.query_id = p.query_id AND l.x = c.chunk_id AND list_contains(p.picked, l.y)), 12) DESC, c.r) AS best
+      FROM p JOIN c ON c.query_id = p.query_id AND NOT list_contains(p.picked, c.chunk_id) WHERE p.k < 5) WHERE best = 1),
+  f AS (SELECT query_id, unnest(picked) AS chunk_id, unnest(range(1, 6)) AS rank FROM p WHERE k = 5)
+  SELECT f.query_id, f.chunk_id, round(c.score, 6) AS score, CAST(f.rank AS INT) AS rank FROM f JOIN c ON c.query_id = f.query_id AND c.chunk_id = f.chunk_id""")
 def mmr_topk(spark, sf_dir):
     found = retrieval.dense(_probes(spark, sf_dir), _vectors(spark, sf_dir), 20)
     return _rounded(retrieval.mmr(found.join(_vectors(spark, sf_dir).select("chunk_id", "vector"), "chunk_id"), 5))
@@ -353,7 +360,12 @@ def retrieval_weakness(spark, sf_dir):
     return retrieval.weakness(lexical(spark, sf_dir), _questions(spark, sf_dir), floor=30.0)
 
 
-@register()
+@register(f"""WITH {BM25}, fr AS (SELECT query_id, count(*) AS n, max(score) AS top FROM ranked JOIN documents d ON d.doc_id = chunk_id WHERE rank <= 3 AND d.lang = 'fr' GROUP BY 1),
+  wide AS (SELECT query_id, count(*) AS n, max(score) AS top FROM ranked WHERE rank <= 10 GROUP BY 1),
+  v AS (SELECT item_id AS query_id, coalesce(fr.n, 0) AS n1, fr.top AS t1, CASE WHEN fr.n IS NULL THEN 0.0 WHEN fr.top < 30 THEN round(fr.top / 30, 4) ELSE 1.0 END AS s1, fr.n IS NULL OR fr.top < 30 AS w1, wide.n AS n2, wide.top AS t2, CASE WHEN wide.top < 30 THEN round(wide.top / 30, 4) ELSE 1.0 END AS s2, wide.top < 30 AS w2 FROM benchmark LEFT JOIN fr ON fr.query_id = item_id LEFT JOIN wide ON wide.query_id = item_id),
+  r AS (SELECT *, w1 AND s2 > s1 AS second FROM v)
+  SELECT query_id, 'bm25' AS original_strategy, CASE WHEN second THEN 'wide' ELSE 'bm25' END AS final_strategy, w1::INT AS retries, CASE WHEN second THEN n2 ELSE n1 END AS result_count, CASE WHEN second THEN t2 ELSE t1 END AS top_score,
+    CASE WHEN second THEN s2 ELSE s1 END::DOUBLE AS strength, NOT CASE WHEN second THEN w2 ELSE w1 END AS passed, CASE WHEN NOT w1 THEN 'none' WHEN second THEN 'healed' ELSE 'escalated_no_improvement' END AS action FROM r""")
 def retrieval_heal(spark, sf_dir):
     ways = {"bm25": lambda q: retrieval.bm25(q, _passages(spark, sf_dir), 3, wanted={"lang": "fr"}), "wide": lambda q: retrieval.bm25(q, _passages(spark, sf_dir), 10)}
     return retrieval.heal(_questions(spark, sf_dir), ways, ["bm25", "wide"], "bm25", floor=30.0)[0]
@@ -509,13 +521,19 @@ def graph_components(spark, sf_dir):
     return graph.components(_entities(spark, sf_dir), _edges(spark, sf_dir))
 
 
-@register()
+@register("""WITH n AS (SELECT n_regionkey AS r, r_name AS name FROM nation JOIN region ON r_regionkey = n_regionkey UNION SELECT n_regionkey, n_name FROM nation UNION SELECT n_regionkey, s_name FROM supplier JOIN nation ON n_nationkey = s_nationkey UNION SELECT n_regionkey, c_name FROM customer JOIN nation ON n_nationkey = c_nationkey),
+  i AS (SELECT n_regionkey AS r, 'r' || n_regionkey AS id FROM nation UNION SELECT n_regionkey, 'n' || n_nationkey FROM nation UNION SELECT n_regionkey, 's' || s_suppkey FROM supplier JOIN nation ON n_nationkey = s_nationkey UNION SELECT n_regionkey, 'c' || c_custkey FROM customer JOIN nation ON n_nationkey = c_nationkey),
+  a AS (SELECT r, min(id) AS community, count(*) AS size FROM i GROUP BY 1), b AS (SELECT r, array_to_string(list_slice(list_sort(list(DISTINCT name)), 1, 20), ',') AS names FROM n GROUP BY 1) SELECT community, size, names FROM a JOIN b USING (r)""")
 def graph_communities(spark, sf_dir):
     nodes = _entities(spark, sf_dir)
     return graph.communities(graph.components(nodes, _edges(spark, sf_dir)), nodes).select("community", "size", F.array_join("names", ",").alias("names"))
 
 
-@register()
+@register("""WITH f AS (SELECT s_suppkey AS q, 'supplier-' || s_suppkey AS chunk_id, 0 AS hop FROM supplier UNION ALL SELECT s_suppkey, 'nation-' || s_nationkey, 1 FROM supplier
+    UNION ALL SELECT a.s_suppkey, 'supplier-' || b.s_suppkey, 1 FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey UNION ALL SELECT s_suppkey, 'customer-' || c_custkey, 1 FROM supplier JOIN customer ON c_nationkey = s_nationkey),
+  g AS (SELECT q, chunk_id, 1 AS side, row_number() OVER (PARTITION BY q ORDER BY hop, chunk_id) AS place FROM f), u AS (SELECT s_suppkey AS q, 'supplier-' || s_suppkey AS chunk_id, 0 AS side, 1 AS place FROM supplier UNION ALL SELECT * FROM g WHERE place <= 8),
+  m AS (SELECT q, chunk_id, min(side * 1000 + place) AS o FROM u GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY o, chunk_id) AS rank FROM m)
+  SELECT q AS query_id, chunk_id, CAST(o // 1000 AS INT) AS side, CAST(rank AS INT) AS rank FROM r WHERE rank <= 5""")
 def graph_retrieve(spark, sf_dir):
     starts = _starts(spark, sf_dir)
     dense = starts.select("query_id", F.concat(F.lit("supplier-"), F.col("query_id")).alias("chunk_id"), F.lit(1).alias("rank"))
@@ -577,5 +595,9 @@ GOOD = BM25.replace(f"SELECT doc_id, {TERMS.format('text')} AS t FROM documents"
   {GOOD} SELECT query_id, chunk_id, score, CAST(rank AS INT) AS rank FROM ranked WHERE rank <= 5""")
 def search_good_chunks(spark, sf_dir):
     """Which chunks match some questions best, bad chunks left out: windows, gate and ranking in one plan."""
-    good = quality.gate(scored_chunks(spark, sf_dir)).select((F.col("doc_id") * 1_000_000 + F.col("chunk_index")).alias("chunk_id"), "text")
+    # Ranking reads the chunks several times; they are made once.
+    good = graph._cut(quality.gate(scored_chunks(spark, sf_dir)).select((F.col("doc_id") * 1_000_000 + F.col("chunk_index")).alias("chunk_id"), "text"))
     return retrieval.bm25(_questions(spark, sf_dir), good, 5)
+
+
+from . import documents, lifecycle  # noqa: E402, F401  (they add their queries)

@@ -42,6 +42,36 @@ def delete(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def upload(spark: SparkSession, local: str, root: str, name: str) -> str:
+    """Copy a file of the driver's disk to root/name in any store that Spark writes; returns its path."""
+    path = safe_path(root, name)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    store = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.copyFromLocalFile(False, True, hadoop(f"file://{local}"), hadoop(path))
+    return path
+
+
+def download(spark: SparkSession, root: str, name: str, local: str) -> str:
+    """Copy root/name to a file of the driver's disk."""
+    path = safe_path(root, name)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    store = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.copyToLocalFile(False, hadoop(path), hadoop(f"file://{local}"), True)
+    return local
+
+
 def write_chunks(chunks: DataFrame, path: str) -> None:
-    """Chunks by collection, with a preview of at most 500 characters."""
-    chunks.withColumn("text_preview", F.substring("text", 1, 500)).write.mode("append").partitionBy("collection").parquet(path)
+    """Chunks by collection, with a preview of at most 500 characters. Those whose chunk_id is there already, which means
+    the same content, are not written again."""
+    spark = chunks.sparkSession
+    rows = chunks.dropDuplicates(["chunk_id"])
+    if exists(spark, path):
+        rows = rows.join(spark.read.parquet(path).select("chunk_id"), "chunk_id", "left_anti")
+    rows.withColumn("text_preview", F.substring("text", 1, 500)).write.mode("append").partitionBy("collection").parquet(path)
+
+
+def write_documents(rows: DataFrame, path: str) -> int:
+    """Document rows (doc_id, ...), new ones in place of old ones; returns the version that stores.read_latest reads."""
+    from .stores import upsert_table
+
+    return upsert_table(rows, path, "doc_id")

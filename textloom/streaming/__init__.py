@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.graph import _cut
+
 MAX_RETRIES = 3
 
 
@@ -49,10 +51,57 @@ def deduplicated(stream: DataFrame, event_time: str = "published_at", delay: str
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["idempotency_key"])
 
 
-def run_ingestion(stream: DataFrame, process: Callable[[DataFrame], DataFrame], fails: Column, tables: str, checkpoint: str, retries: int = MAX_RETRIES, available_now: bool = True):
-    """Start a query that writes each micro-batch: what process() makes of completed messages to tables/chunks, fates to
-    tables/status, dead letters to tables/dead_letter. Files of a batch lie under its number and are overwritten when the
-    batch is run again, so a restart leaves no second copy."""
+def retried(messages: DataFrame, work: Callable[[DataFrame], DataFrame], retries: int = MAX_RETRIES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Run work on messages, and again on those that failed, 1 + retries times at most.
+
+    work gets messages with `attempt` (from 0) and gives rows with idempotency_key and, where a message failed, `error`; an
+    exception fails all messages of that attempt. Returns what work made of the messages that came through, their fates
+    (idempotency_key, status, attempts, error), and the dead letters with failure_reason and retry_count. What an attempt
+    made is written to the shared folder, so work runs once for each attempt.
+    """
+    spark, todo = messages.sparkSession, _cut(messages)
+    made, fates, error = [], [], "string"
+    for attempt in range(retries + 1):
+        given = todo.withColumn("attempt", F.lit(attempt))
+        try:
+            out = work(given)
+            out = _cut(out if "error" in out.columns else out.withColumn("error", F.lit(None).cast(error)))
+            bad = out.filter("error is not null").groupBy("idempotency_key").agg(F.min("error").alias("error"))
+        except Exception as x:  # the work as a whole broke off
+            out, said = None, str(x)[:1000]
+            bad = todo.select("idempotency_key", F.lit(said).alias("error")).distinct()
+        last = attempt == retries
+        if out is not None:
+            good = out.join(bad, "idempotency_key", "left_anti").drop("error")
+            made.append(good)
+            through = todo.select("idempotency_key").distinct().join(bad, "idempotency_key", "left_anti")
+            fates.append(through.select("idempotency_key", F.lit("complete").alias("status"), F.lit(attempt + 1).alias("attempts"), F.lit(None).cast(error).alias("error")))
+        if last:
+            fates.append(bad.select("idempotency_key", F.lit("dead_letter").alias("status"), F.lit(attempt + 1).alias("attempts"), "error"))
+        todo = _cut(todo.join(bad.select("idempotency_key"), "idempotency_key", "left_semi"))
+        if todo.isEmpty():
+            break
+    union = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(union(parts[1:]))
+    dead = todo.join(bad.select("idempotency_key", F.col("error").alias("failure_reason")), "idempotency_key").withColumn("retry_count", F.lit(retries))
+    return union(made) if made else spark.createDataFrame([], messages.schema), union(fates), dead
+
+
+def run_ingestion(stream: DataFrame, process: Callable[[DataFrame], DataFrame], fails: Column | None, tables: str, checkpoint: str, retries: int = MAX_RETRIES, available_now: bool = True):
+    """Start a query that writes each micro-batch: what process() makes of messages to tables/chunks, fates to
+    tables/status, dead letters to tables/dead_letter. process() is run again on messages that failed: those with `error`,
+    those of an attempt that broke off, and those for which `fails`, a column over message and attempt, is true.
+
+    Files of a batch lie under its number and are overwritten when the batch is run again, so a restart leaves no second
+    copy. Statuses of earlier batches are read as one table, compacted every 100 batches.
+    """
+
+    def work(given: DataFrame) -> DataFrame:
+        if fails is None:
+            return process(given)
+        bad = F.coalesce(fails, F.lit(False))
+        out = process(given.filter(~bad))
+        out = out if "error" in out.columns else out.withColumn("error", F.lit(None).cast("string"))
+        return out.unionByName(given.filter(bad).select("idempotency_key", F.lit("processing failed").alias("error")), allowMissingColumns=True)
 
     def one(batch: DataFrame, number: int) -> None:
         spark: SparkSession = batch.sparkSession
@@ -60,25 +109,43 @@ def run_ingestion(stream: DataFrame, process: Callable[[DataFrame], DataFrame],
         known = _status(spark, f"{tables}/status", number)
         sent = submit(batch, known)
         done = known.filter("status = 'complete'") if known is not None else spark.createDataFrame([], "idempotency_key string, status string")
-        fates = consume(sent, done, fails, retries).persist()
-        pending = sent.filter("status = 'pending'").drop("status").join(fates, "idempotency_key")
+        pending = sent.filter("status = 'pending'").drop("status").join(done.select("idempotency_key"), "idempotency_key", "left_anti")
+        made, fates, dead = retried(pending, work, retries)
         out = lambda df, name: df.write.mode("overwrite").parquet(f"{tables}/{name}/batch={number}")
-        out(process(pending.filter("status = 'complete'")), "chunks")
-        out(pending.filter("status = 'dead_letter'").withColumn("failure_reason", F.lit("retries used up")), "dead_letter")
+        out(made, "chunks")
+        out(dead, "dead_letter")
         out(fates, "status")
-        fates.unpersist()
+        if number and number % 100 == 0:
+            _compact(spark, f"{tables}/status", number)
         batch.unpersist()
 
     writer = stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def latest_status(statuses: DataFrame, keys: DataFrame | None = None, key: str = "idempotency_key", order: str = "batch") -> DataFrame:
+    """The last status of each key, or of the keys asked for; a key that was never seen has none."""
+    last = statuses.groupBy(key).agg(F.max_by(F.struct(*[c for c in statuses.columns if c != key]), order).alias("s")).select(key, "s.*")
+    return last if keys is None else keys.select(key).distinct().join(last, key, "left")
+
+
+def _compact(spark: SparkSession, path: str, number: int) -> None:
+    """Statuses of the batches up to this one as one folder, which replaces them for readers."""
+    spark.read.parquet(path).filter(F.col("batch") <= number).dropDuplicates(["idempotency_key"]).drop("batch").coalesce(8).write.mode("overwrite").parquet(f"{path}_compact/upto={number}")
+
+
 def _status(spark: SparkSession, path: str, number: int) -> DataFrame | None:
+    """Statuses of earlier batches: the last compacted folder, and the batches after it."""
     from ..sources import exists
 
     if not exists(spark, path):
         return None
-    return spark.read.parquet(path).filter(F.col("batch") < number).select("idempotency_key", "status")
+    start = (number - 1) // 100 * 100
+    found = spark.read.parquet(path).filter(F.col("batch") < number).select("idempotency_key", "status", "batch")
+    if start and exists(spark, f"{path}_compact/upto={start}/_SUCCESS"):
+        old = spark.read.parquet(f"{path}_compact/upto={start}").select("idempotency_key", "status")
+        return old.unionByName(found.filter(F.col("batch") > start).select("idempotency_key", "status"))
+    return found.select("idempotency_key", "status")
 
 
 def statistics(stream: DataFrame, event_time: str, width: str = "1 hour", delay: str = "2 hours", by: tuple[str, ...] = ()) -> DataFrame:
