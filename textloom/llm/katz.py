@@ -406,12 +406,12 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
     """
     spark = docs.sparkSession
     named = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).alias("text"))
-    slices = cut(_slices(named))
+    slices = cut(_slices(named), rows=None)
     of = slices.agg(F.count("*"), F.coalesce(F.sum(F.size(F.filter("held", lambda h: ~h))), F.lit(0))).first()
     trained, buckets = int(of[1]), _buckets(int(of[0]), partitions(spark))
-    words = cut(_count_words(_ask_words(slices, buckets), buckets))
+    words = cut(_count_words(_ask_words(slices, buckets), buckets), rows=16)
     tokens, types, *counts_of = _totals(words)
     model = WordModel(tokens, types, counts_of)
-    pairs = cut(_count_pairs(_ask_pairs(slices, words, buckets), model))
+    pairs = cut(_count_pairs(_ask_pairs(slices, words, buckets), model), rows=16)
     d2 = discounts(_totals(pairs)[2:])
     return _evaluate(slices, words, pairs, model, d2, buckets, trained)

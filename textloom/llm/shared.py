@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,16 +23,35 @@ def shared_dir(spark: SparkSession) -> str:
     return named or context._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
+#: Rows that a task passes to Python at a time where texts of several documents may stand in a row.
+FEW = 1000
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int | None) -> Iterator[None]:
+    """Within, jobs that are started pass at most `rows` rows to Python at a time (None: as the session has it)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    if rows:
+        spark.conf.set(key, str(min(rows, int(old) if int(old) > 0 else rows)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
+def cut(df: DataFrame, rows: int | None = FEW) -> DataFrame:
     """Write df to the shared folder and read it back: computed once, and safe from lost executors."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    with batches_of(df.sparkSession, rows):
+        return df.checkpoint()
 
 
 def kept(df: DataFrame, path: str) -> DataFrame:
     """df, written to a folder of the shared place and read back: computed once, only the columns asked for are read
     again, and Spark knows its size."""
-    df.write.parquet(path)
+    with batches_of(df.sparkSession, FEW):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -133,7 +133,7 @@ class Words:
         return np.diff(self.bounds)
 
 
-def blocks(batches, column: str = "text", limit: int = 4 * PIECE) -> Iterator[tuple[object, list[bytes]]]:
+def blocks(batches, column: str = "text", limit: int = 2 * PIECE) -> Iterator[tuple[object, list[bytes]]]:
     """Slices of Arrow batches with about `limit` bytes of text each, and the texts as UTF-8 (null: empty)."""
     import pyarrow as pa
 
