@@ -1,9 +1,11 @@
 """Personal data: fixed patterns, and identifiers that their contexts give away, in DataFrame operations alone.
 
-Matches of the fixed patterns are seeds. Every token with a digit is an instance; the word before it and its shape are
-its lexical patterns. Over the graph of instances and patterns, weighted by occurrences, a pattern's score is the mean
-of its instances', and an instance that isn't a seed gets the mean of its patterns'; after some rounds, instances with
-a high score are identifiers that no fixed pattern covers.
+Matches of the fixed patterns are seeds. Every token with a digit is an occurrence of an instance, the token in lower
+case without outer punctuation. Its lexical patterns are the word before it and its shape. Over the graph of instances and
+patterns, weighted by occurrences, a pattern's score is the mean of its instances', and an instance that isn't a seed
+gets that of its best occurrence, the mean of the two patterns there. So an identifier that one context gives away lends
+its score to its other contexts, and these to other identifiers, round by round. Instances with a high score are
+identifiers that no fixed pattern covers.
 """
 
 from __future__ import annotations
@@ -49,20 +51,46 @@ def _valid(kind: Column, m: Column) -> Column:
 
 
 def _matches(text: Column, kind: str, pattern: str, hint: str) -> Column:
-    """Matches of a kind with the length and the last characters of what stands before each."""
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.struct(F.length(g).alias("gap"), F.substring(g, -40, 40).alias("before")))
+    """Matches of a kind with the length and, for tokens, the last word of what stands between the match before and each."""
+    last = lambda g: F.substring_index(F.rtrim(F.translate(g, "\t\n\x0b\x0c\r", "     ")), " ", -1) if kind == "token" else F.lit("")
+    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.struct(F.length(g).alias("gap"), last(g).alias("before")))
     both = F.arrays_zip(gaps.alias("g"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
     rows = F.transform(both, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("k"), x["g"]["gap"].alias("gap"), x["g"]["before"].alias("before"), x["m"].alias("m")))
     none = F.array().cast("array<struct<kind:string,k:int,gap:int,before:string,m:string>>")
     return F.when(text.rlike(hint), F.filter(rows, lambda x: x["m"].isNotNull())).otherwise(none)
 
 
+def shape(token: Column) -> Column:
+    """The token with runs of letters as a, runs with a digit as 9, and the power of two that its length lies under."""
+    runs = F.regexp_replace(F.regexp_replace(token, r"\p{L}+", "a"), "[0-9]+", "9")
+    return F.concat(F.regexp_replace(runs, "a?9[a9]*", "9"), F.lit(":"), F.ceil(F.log2(F.length(token) + 1)).cast("string"))
+
+
+def scored(edges: DataFrame, rounds: int, confidence: float, support: int) -> DataFrame:
+    """(inst, left, shape, n, seed), a row for each instance and word before it, to (inst, s): the instances' scores.
+
+    Each round, a pattern's score is the sum of n times the score of its instances over the sum of n plus 2; a word before
+    needs at least `support` instances that are seeds or have a score of `confidence`. The score of an instance that is no
+    seed is the largest mean of its patterns' scores over the words before it that have support, 0 without any.
+    """
+    s = edges.groupBy("inst").agg(F.max("seed").cast("double").alias("s"))
+    for _ in range(rounds):
+        now = edges.join(s, "inst")
+        weight = F.sum(F.col("n") * F.col("s")) / (F.sum("n") + 2)
+        lefts = now.groupBy("left").agg(weight.alias("p_left"), F.sum((F.col("s") >= confidence).cast("int")).alias("backed"))
+        shapes = now.groupBy("shape").agg(weight.alias("p_shape"))
+        x = F.round((F.col("p_left") + F.col("p_shape")) / 2, 9)
+        found = edges.join(lefts, "left").join(shapes, "shape").select("inst", F.when(F.col("seed"), 1.0).when(F.col("backed") >= support, x).otherwise(0.0).alias("s"))
+        s = cut(found.groupBy("inst").agg(F.max("s").alias("s")))
+    return s
+
+
 def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = 5, confidence: float = 0.5, support: int = 5) -> DataFrame:
     """The spans of each text that has any: key, copy (hashes of doc_id and text), kind, start, end; start and end in
-    code points, end exclusive. Kinds are those of KINDS, and `id` for what patterns discovered.
+    code points, end exclusive. Kinds are those of KINDS, and `id` for all occurrences of instances that were discovered.
 
-    `rounds`: of scoring. `confidence`: the least score of a discovered instance. `support`: the least number of seeds
-    that its patterns must have. Equal rows give their spans once.
+    `rounds`: of scoring. `confidence`: the least score of a discovered instance. `support`: the least number of instances,
+    seeds or as sure, that a word before one must have. Equal rows give their spans once.
     """
     named = docs.select(F.xxhash64(F.col(doc_id)).alias("key"), F.xxhash64(F.col(text)).alias("copy"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     matched = [_matches(F.col("text"), k, p, HINTS[k]) for k, p in KINDS.items()]
@@ -78,42 +106,32 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: i
         .withColumn("start", F.col("end") - F.length("m"))
     )
     outer = F.regexp_extract("m", r"^[^\p{L}0-9]*", 0)
-    inner = F.regexp_replace(F.col("m"), r"^[^\p{L}0-9]+|[^\p{L}0-9]+$", "")
+    inner = F.regexp_replace(F.regexp_replace(F.col("m"), r"^[^\p{L}0-9]+", ""), r"(?<=[\p{L}0-9])[^\p{L}0-9]+$", "")
     token = F.col("kind") == "token"
     found = cut(
         placed.withColumn("valid", _valid(F.col("kind"), F.col("m")))
         .filter("valid")
         .withColumn("start", F.when(token, F.col("start") + F.length(outer)).otherwise(F.col("start")))
         .withColumn("end", F.when(token, F.col("start") + F.length(inner)).otherwise(F.col("end")))
-        .withColumn("left", F.lower(F.regexp_extract("before", r"(\S+)\s*$", 1)))
-        .withColumn("shape", F.regexp_replace(F.regexp_replace(F.substring(inner, 1, 64), r"\p{L}*[0-9][\p{L}0-9]*", "9"), r"\p{L}+", "a"))
-        .select("key", "copy", "kind", "start", "end", F.when(token, F.col("left")).alias("left"), F.when(token, F.col("shape")).alias("shape"))
+        .select("key", "copy", "kind", "start", "end", F.when(token, F.lower("before")).alias("left"), F.when(token, shape(inner)).alias("shape"), F.when(token, F.xxhash64(F.lower(inner))).alias("inst"))
     )
     base = found.filter("kind <> 'token'")
-    # A token that a base span touches is a seed: among the spans of its text in order, the furthest end so far and the next start tell.
-    in_text = Window.partitionBy("key", "copy").orderBy("start", F.expr("kind = 'token'"))
-    past = in_text.rowsBetween(Window.unboundedPreceding, -1)
-    ahead = in_text.rowsBetween(1, Window.unboundedFollowing)
+    # A token that a base span touches is a seed: among the spans of its text in order, the furthest end so far and, in
+    # the opposite order, the nearest start tell.
     is_base = F.col("kind") != "token"
+    before = Window.partitionBy("key", "copy").orderBy("start", F.expr("kind = 'token'")).rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("key", "copy").orderBy(F.desc("start"), F.expr("kind <> 'token'")).rowsBetween(Window.unboundedPreceding, -1)
     marked = (
-        found.withColumn("past_end", F.max(F.when(is_base, F.col("end"))).over(past))
-        .withColumn("next_start", F.min(F.when(is_base, F.col("start"))).over(ahead))
+        found.withColumn("past_end", F.max(F.when(is_base, F.col("end"))).over(before))
+        .withColumn("next_start", F.min(F.when(is_base, F.col("start"))).over(after))
         .filter("kind = 'token'")
         .withColumn("seed", (F.coalesce("past_end", F.lit(-1)) > F.col("start")) | (F.coalesce("next_start", F.lit(1 << 40)) < F.col("end")))
     )
-    marked = cut(marked.select("key", "copy", "start", "end", "left", "shape", "seed"))
-    graph = cut(marked.groupBy("left", "shape").agg(F.count("*").alias("n"), F.sum(F.col("seed").cast("int")).alias("seeds")).withColumn("x", F.lit(0.0)))
-    for _ in range(rounds):
-        weight = F.sum(F.col("seeds") + (F.col("n") - F.col("seeds")) * F.col("x")) / (F.sum("n") + 2)
-        lefts = graph.groupBy("left").agg(weight.alias("p_left"), F.sum("seeds").alias("left_seeds"))
-        shapes = graph.groupBy("shape").agg(weight.alias("p_shape"))
-        graph = cut(
-            graph.select("left", "shape", "n", "seeds").join(lefts, "left").join(shapes, "shape")
-            .withColumn("x", F.round((F.col("p_left") + F.col("p_shape")) / 2, 9))
-        )
-    good = graph.filter((F.col("x") >= confidence) & (F.col("left_seeds") >= support)).select("left", "shape")
-    extra = marked.filter(~F.col("seed") & (F.col("end") - F.col("start") >= 6)).join(good, ["left", "shape"])
-    extra = extra.select("key", "copy", F.lit("id").alias("kind"), "start", "end")
+    marked = cut(marked.select("key", "copy", "start", "end", "left", "shape", "inst", "seed"))
+    seeds = marked.groupBy("inst").agg(F.max("seed").alias("seed"))
+    edges = cut(marked.groupBy("inst", "left", "shape").agg(F.count("*").alias("n")).join(seeds, "inst"))
+    known = scored(edges, rounds, confidence, support).filter(F.col("s") >= confidence).select("inst")
+    extra = marked.filter(~F.col("seed")).join(known, "inst").select("key", "copy", F.lit("id").alias("kind"), "start", "end")
     return base.select("key", "copy", "kind", "start", "end").unionByName(extra)
 
 
@@ -131,7 +149,8 @@ def per_text(found: DataFrame) -> DataFrame:
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """doc_id, the number of spans of each fixed kind, base_sha256 over them, and all spans, for each row.
 
-    A null text counts as empty and has no spans; a null doc_id is kept. Other columns are dropped.
+    A null text counts as empty and has no spans; a null doc_id is kept, and repeated rows get equal results. An empty
+    table gives no rows. Other columns are dropped.
     """
     one = per_text(spans(docs, doc_id, text, **options))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(doc_id)).alias("key"), F.xxhash64(F.col(text)).alias("copy"))
