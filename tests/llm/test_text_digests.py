@@ -2,8 +2,10 @@
 
 import base64
 import hashlib
+import io
 import re
 import zlib
+import zipfile
 from collections import Counter
 
 import public_tokenizers
@@ -75,6 +77,42 @@ def test_sniff_carves_and_rejects(spark):
     assert not got[6].carved and got[7].detected is None and got[8].detected == "application/octet-stream"
 
 
+def test_nested_media_and_revisions():
+    wave = media.wave(b"abc" * 9)
+    zipped = io.BytesIO()
+    with zipfile.ZipFile(zipped, "w") as z:  # stored, so the medium inside stands as it is
+        z.writestr("a.wav", wave)
+    data = b"--" + zipped.getvalue() + wave
+    inner = data.index(wave)
+    assert [x[:4] for x in media.sniffed(data)[0]] == [(2, 2 + len(zipped.getvalue()), "application/zip", 0), (inner, inner + len(wave), "audio/wav", 1), (len(data) - len(wave), len(data), "audio/wav", 0)]
+    twice = b"%PDF-1.4 x startxref 9 %%EOF more startxref 30 %%EOF"
+    assert media.sniffed(twice + b" rest %PDF-1.7 startxref 1 %%EOF")[0] == [(0, len(twice), "application/pdf", 0), (len(twice) + 6, len(twice) + 32, "application/pdf", 0)]
+    assert media.sniffed(b"%PDF-1.4 without an end, startxref 3")[0] == [] and media.sniffed(b"%PDF-x startxref 1 %%EOF")[0] == []
+
+
+@pytest.mark.parametrize("piece", [b"PK\x03\x04" + b"PK\x05\x06" + b"\0" * 18, b"%PDF-1", b"GIF89a!\x09abcdefghi,", b"\xff\xd8\xff\xe0\x00\x02", b"\x89PNG\r\n\x1a\n\0\0\0\x0dIHDR"])
+def test_false_starts_cost_linear_time(piece):
+    import time
+
+    took = []
+    for size in (32_000, 320_000):
+        data = piece * (size // len(piece))
+        began = time.process_time()
+        media.sniffed(data)
+        took.append(time.process_time() - began)
+    assert took[1] < 40 * max(took[0], 0.01)
+
+
+def test_declared_types_and_odd_media(spark, odd):
+    found = media.sniff(media.store_texts(odd)).collect()
+    assert len({r.declared for r in found}) > 1 and all(r.corrected and r.detected == "audio/wav" for r in found)
+    rows = spark.createDataFrame([(1, 3, None, None), (2, 4, b"text", "x")], "doc_id long, n_bytes long, media binary, declared string")
+    assert [r.payload_sha256 for r in media.payload_digests(media.sniff(rows)).collect()] == [None, None]
+    assert media.payload_digests(media.sniff(media.store_texts(odd.limit(0)))).count() == 0
+    clash = odd.withColumn("media", F.lit("clash")).withColumn("declared", F.lit(1))
+    assert media.sniff(media.store_texts(clash)).count() == odd.count()
+
+
 def test_packing(spark, odd, sample):
     from tokenizers import Tokenizer
 
