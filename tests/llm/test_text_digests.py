@@ -199,3 +199,23 @@ def test_words_of_long_texts():
     code = {}
     assert all(code.setdefault(w, h) == h for w, h in zip(flat, words.hashes.tolist())) and len(set(code.values())) == len(code)
     assert words.lines.tolist() == [k for t in texts for k, y in enumerate(t.decode().split("\n")) for _ in WORD.findall(y)]
+
+
+def test_segment_ids_equal_whole_texts():
+    import random
+
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    model = Tokenizer.from_file(path)
+    model.encode_special_tokens = True
+    rng = random.Random(3)
+    marks = [" ", "  ", "\n", "\n\n", "\t", "\r\n", "a", "b", "'s", "'ll", "é", "\xa0", " ", "　", "“", "ß", "1", "!", "你", "😀", "\x1c", "\x85", "\x0b", "<|endoftext|>", "word", "The"]
+    texts = ["".join(rng.choice(marks) for _ in range(rng.randrange(40))) for _ in range(3000)]
+    for table in (packing.id_table(path), packing.SegmentIds(packing.id_table(path).encode, None, limit=10)):
+        for part in (texts[:1500], texts[1500:], texts[:10]):
+            flat, bounds = table.of([x.encode() for x in part])
+            want = [x.ids for x in model.encode_batch(part, add_special_tokens=False)]
+            assert [flat[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)] == want
+        flat, bounds = table._apart([b"", b"a b"])
+        assert bounds.tolist()[:2] == [0, 0] and len(flat) == bounds[-1]

@@ -18,14 +18,15 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .segments import SegmentTable
+from .segments import SegmentIds
 from .shared import cut, partitions
+from .words import blocks
 
-_encoders: dict[str, SegmentTable] = {}
+_encoders: dict[str, SegmentIds] = {}
 
 
-def id_table(path: str) -> SegmentTable:
-    """Of each segment: its ids as little-endian 32-bit integers; one table per worker and file."""
+def id_table(path: str) -> SegmentIds:
+    """Ids of segments by a tokenizers file; one table per worker and file."""
     if path not in _encoders:
         import os
 
@@ -35,25 +36,11 @@ def id_table(path: str) -> SegmentTable:
         model = Tokenizer.from_file(path)
         model.encode_special_tokens = True
 
-        def each(segments: list[str]) -> list[bytes]:
-            return [np.array(x.ids, "<u4").tobytes() for x in model.encode_batch_fast(segments, add_special_tokens=False)]
-
-        line = model.encode("\n", add_special_tokens=False).ids
-
-        def make(segments: list[str]) -> list[bytes]:
-            """Segments without white space inside are encoded as lines of one text; a line break is a token of its own."""
-            plain = [x for x in segments if not x[-1].isspace()]
-            ids = np.array(model.encode_batch_fast(["\n".join(plain)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == line[0]).tolist()
-            if not plain or len(line) != 1 or len(cuts) != max(0, len(plain) - 1):
-                return each(segments)
-            flat = ids.tobytes()
-            found = dict(zip(plain, [flat[4 * a + 4 : 4 * b] for a, b in zip([-1, *cuts], [*cuts, len(ids)], strict=True)], strict=True))
-            rest = [x for x in segments if x not in found]
-            found.update(zip(rest, each(rest), strict=True))
-            return [found[x] for x in segments]
-
-        _encoders[path] = SegmentTable(make, limit=1_200_000)
+        def encode(texts: list[str]) -> list[np.ndarray]:
+            return [np.array(x.ids, np.uint32) for x in model.encode_batch_fast(texts, add_special_tokens=False)]
+
+        line = encode(["\n"])[0].tolist()
+        _encoders[path] = SegmentIds(encode, line[0] if len(line) == 1 else None)
     return _encoders[path]
 
 
@@ -69,19 +56,22 @@ def pieces(docs: DataFrame, path: str, end_id: int, length: int, doc_id: str = "
 
         table, end = id_table(path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            rows, of = [], []
-            for i, each in enumerate(table.values(x or "" for x in batch.column(1).to_pylist())):
-                ids = memoryview(b"".join([*map(b"".join, each), end]))
-                total = len(ids) // 4
-                edges = [0, *range(total % length or length, total + 1, length)] if total > length else [0, total]
-                for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
-                    rows.append((k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])))
-                    of.append(i)
-            columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), *columns], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            for part, texts in blocks([batch], limit=1 << 20):
+                rows, of = [], []
+                flat, bounds = table.of(texts)
+                data = memoryview(flat.astype("<u4").tobytes())
+                for i, (a, b) in enumerate(zip(bounds.tolist(), bounds[1:].tolist(), strict=False)):
+                    ids = bytes(data[4 * a : 4 * b]) + end
+                    total = b - a + 1
+                    edges = [0, *range(total % length or length, total + 1, length)] if total > length else [0, total]
+                    for k, (x, y) in enumerate(zip(edges, edges[1:], strict=False)):
+                        rows.append((k, x, y - x, zlib.crc32(ids[4 * x : 4 * y])))
+                        of.append(i)
+                columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of)), *columns], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), text).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def supersteps(counts: dict[int, int], length: int) -> list[tuple[int, int, int, int, int]]:
