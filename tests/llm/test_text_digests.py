@@ -119,10 +119,13 @@ def test_packing(spark, odd, sample):
     path = public_tokenizers.path("byte_bpe_50k.json")
     model = Tokenizer.from_file(path)
     model.encode_special_tokens = True
-    docs = odd.filter("doc_id is not null and doc_id <> 6").select("doc_id", "text").union(sample.select(F.col("doc_id") + 100, "text"))
-    got = packing.pack_documents(docs, path).collect()
+    docs = odd.select("doc_id", "text").union(sample.select(F.col("doc_id") + 100, "text"))
+    got = packing.pack_documents(docs.withColumn("sequence_id", F.lit("clash")).withColumn("length", F.lit("clash")), path).collect()
+    assert packing.pack_documents(docs.limit(0), path).count() == 0
+    # Of the repeated row one is compared; all of them are placed.
+    assert Counter(r.doc_id for r in got)[6] == 2 and Counter(r.doc_id for r in got)[None] == 1
     by = {(r.doc_id, r.piece): r for r in got}
-    assert len(by) == len(got)
+    docs = docs.distinct()
     total = 0
     for i, x in rows_of(docs):
         ids = [*model.encode(x, add_special_tokens=False).ids, 2]
@@ -146,19 +149,37 @@ def test_packing(spark, odd, sample):
 
 
 @pytest.mark.parametrize("counts", [{}, {1: 5000}, {1024: 7, 1: 3}, {600: 50, 400: 70, 25: 1000}, {s: s % 7 for s in range(1, 1025)}])
-def test_supersteps_place_each_once(counts):
-    bins, ranks = {}, {}
-    for size, rank, n, first, at in packing.supersteps(counts, 1024):
-        for k in range(n):
-            ranks.setdefault(size, []).append(rank + k)
-            bins.setdefault(first + k, []).append((at, size))
-    assert {s: sorted(r) for s, r in ranks.items()} == {s: list(range(n)) for s, n in counts.items() if n}
+def test_supersteps_place_each_once(spark, counts):
+    rows = [(k, 0, s) for s, n in counts.items() for k in range(n)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, piece int, length int").withColumn("offset", F.lit("clash"))).collect()
+    assert Counter((r.doc_id, r.piece, r.length) for r in got) == Counter(rows)
+    bins = {}
+    for r in got:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
     for spans in bins.values():
         at = 0
         for offset, size in sorted(spans):
             assert offset == at
             at += size
         assert at <= 1024
+    assert len(bins) <= 1.02 * plain_best_fit(counts) + 2
+
+
+def plain_best_fit(counts, length=1024):
+    """The number of sequences of best fit, the longest first."""
+    from bisect import bisect_left, insort
+
+    gaps, opened = [], 0
+    for s in sorted(counts, reverse=True):
+        for _ in range(counts[s]):
+            at = bisect_left(gaps, s)
+            if at == len(gaps):
+                opened += 1
+                rest = length - s
+            else:
+                rest = gaps.pop(at) - s
+            insort(gaps, rest)
+    return opened
 
 
 def brute_quality(rows):

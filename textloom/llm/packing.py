@@ -1,12 +1,12 @@
 """Token pieces of documents, and best-fit packing of them into sequences in bulk-synchronous supersteps.
 
-Sizes are whole numbers of at most `length` tokens, so documents and gaps, sorted by size, are at most `length`
-runs each however many rows stand behind them. A superstep sweeps the document runs from the longest down; each
-looks up its successor, the run of the smallest gap that still holds it. Where more documents than gaps meet, rank
-within the size decides, and the rest go on to the next gap run or wait for the next superstep; then gaps are
-updated. What comes out are moves: documents of ranks a to b of a size take sequences x to y at one offset. Spark
-ranks the rows within their sizes (a count of each size and slice, so no size meets in one task) and looks up
-each row's move. Nothing the driver holds grows with the rows.
+Documents go by bands of sizes, the longest first. A superstep sorts what rooms the open sequences have and the waiting
+documents of the band by size, and sweeps from the largest down: a document's successor is the smallest room met so
+far that no document before it took. Rooms and documents that are matched stand on the same level of a running sum,
+rooms up and documents down, so a sort within each level pairs them, and of documents that want the same room the first
+by rank gets it. The gaps are updated, and the next superstep matches what is left; when none fits, the rest of the band
+opens sequences. Ranks come from counts of each size and slice, so no size meets in one task; what is known of sizes is
+a table of at most `length` rows.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .segments import SegmentIds
-from .shared import cut, partitions
+from .shared import cut, new_folder, partitions
 from .words import blocks
 
 _encoders: dict[str, SegmentIds] = {}
@@ -74,61 +74,6 @@ def pieces(docs: DataFrame, path: str, end_id: int, length: int, doc_id: str = "
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def supersteps(counts: dict[int, int], length: int) -> list[tuple[int, int, int, int, int]]:
-    """Moves (size, first rank, number, first sequence, offset) that place counts[size] documents of each size.
-
-    Each superstep sweeps all waiting document runs over the gap runs, longest first; a run that finds no gap opens
-    sequences of its own. Moves are at most a few for each pair of sizes, whatever the counts.
-    """
-    waiting = {s: [0, n] for s, n in counts.items() if n}
-    gaps: dict[int, list[tuple[int, int]]] = {}
-    moves, opened = [], 0
-    for size in sorted(waiting, reverse=True):
-        rank, left = waiting.pop(size)
-        while left:
-            successor = min((g for g in gaps if g >= size), default=None)
-            if successor is None:
-                fits = length // size
-                full = left // fits
-                if full:
-                    for k in range(fits):
-                        moves.append((size, rank, full, opened, k * size))
-                        rank += full
-                    if length - fits * size:
-                        gaps.setdefault(length - fits * size, []).append((opened, full))
-                    opened += full
-                    left -= full * fits
-                if left:
-                    for k in range(left):
-                        moves.append((size, rank + k, 1, opened, k * size))
-                    gaps.setdefault(length - left * size, []).append((opened, 1))
-                    opened += 1
-                    left = 0
-                continue
-            first, n = gaps[successor].pop()
-            fits = successor // size
-            take = min(n, left // fits)
-            if take:
-                for k in range(fits):
-                    moves.append((size, rank, take, first, length - successor + k * size))
-                    rank += take
-                left -= take * fits
-                rest = successor - fits * size
-                if rest:
-                    gaps.setdefault(rest, []).append((first, take))
-            else:
-                for k in range(left):
-                    moves.append((size, rank + k, 1, first, length - successor + k * size))
-                rest, take, left = successor - left * size, 1, 0
-                if rest:
-                    gaps.setdefault(rest, []).append((first, take))
-            if n > take:
-                gaps[successor].append((first + take, n - take))
-            if not gaps[successor]:
-                del gaps[successor]
-    return moves
-
-
 def ranked(items: DataFrame, size: str, by: list[str], slices: int) -> DataFrame:
     """items with `rank`, numbering the rows of each size from 0, without bringing a size into one task."""
     dealt = items.withColumn("slice", F.pmod(F.xxhash64(*by), F.lit(slices)))
@@ -144,34 +89,120 @@ def ranked(items: DataFrame, size: str, by: list[str], slices: int) -> DataFrame
     )
 
 
+def bundled(items: DataFrame, length: int, size: str, by: tuple[str, ...], slices: int) -> DataFrame:
+    """Rows as (size, key, members): one each, but sizes of at most a 32nd of length in bundles of one size of up to a 16th,
+    so that no sequence takes more than some dozens."""
+    tiny = length // 32
+    each = items.select(F.col(size).cast("int").alias("size"), F.struct(*by).alias("key"), F.struct(*items.columns).alias("member"))
+    single = each.filter(F.col("size") > tiny).select("size", "key", F.array("member").alias("members"))
+    dealt = each.filter(F.col("size") <= tiny).withColumn("slice", F.pmod(F.xxhash64("key"), F.lit(slices)))
+    place = F.row_number().over(Window.partitionBy("size", "slice").orderBy("key")) - 1
+    few = dealt.withColumn("bundle", F.floor(place / F.floor(F.lit(2 * tiny) / F.col("size"))))
+    rows = few.groupBy("size", "slice", "bundle").agg(F.min("key").alias("key"), F.collect_list("member").alias("members"))
+    return single.unionByName(rows.select((F.col("size") * F.size("members")).cast("int").alias("size"), "key", "members"))
+
+
+def swept(waiting: DataFrame, rooms: DataFrame) -> DataFrame:
+    """The sweep over sizes: (size, placed, n) of documents and (size, rooms) to, for each size, the level `before` it, the
+    `top` that its rooms reach, how many documents are `met`, and the `floor` that later sizes come down to: rooms above
+    it are taken."""
+    down = Window.orderBy(F.desc("size"))
+    so_far, later = down.rowsBetween(Window.unboundedPreceding, 0), down.rowsBetween(0, Window.unboundedFollowing)
+    both = waiting.withColumn("docs", F.col("n") - F.col("placed")).join(rooms, "size", "full").fillna(0, ["docs", "rooms", "n", "placed"])
+    sums = both.withColumn("sum", F.sum(F.col("rooms") - F.col("docs")).over(so_far))
+    after = sums.withColumn("after", F.col("sum") - F.least(F.lit(0), F.min("sum").over(so_far))).drop("sum")
+    top = after.withColumn("before", F.coalesce(F.lag("after").over(down), F.lit(0))).withColumn("top", F.col("before") + F.col("rooms"))
+    return top.withColumn("met", F.least("docs", "top")).withColumn("floor", F.min("after").over(later))
+
+
+def matched(documents: DataFrame, slots: DataFrame, classes: DataFrame, slices: int) -> DataFrame:
+    """(seq, size, members) of the documents (size, rank, members) that get one of the slots (room, seq, slot)."""
+    known = F.broadcast(classes.withColumnRenamed("size", "of"))  # a row for each size
+    rooms = ranked(slots, "room", ["seq", "slot"], slices).join(known, F.col("room") == F.col("of"))
+    rooms = rooms.withColumn("level", F.col("before") + F.col("rank") + 1).filter(F.col("level") > F.col("floor"))
+    docs = documents.join(known, F.col("size") == F.col("of")).withColumn("j", F.col("rank") - F.col("placed")).filter((F.col("j") >= 0) & (F.col("j") < F.col("met")))
+    up = rooms.select("level", F.col("room").alias("size"), F.lit(0).alias("kind"), "seq", F.lit(None).cast(documents.schema["members"].dataType).alias("members"))
+    down = docs.select((F.col("top") - F.col("j")).alias("level"), "size", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("seq"), "members")
+    order = Window.partitionBy("level").orderBy(F.desc("size"), "kind")
+    pairs = up.unionByName(down).withColumn("next", F.lead(F.struct("size", "members")).over(order)).filter("kind = 0")
+    return pairs.select("seq", "next.size", "next.members")
+
+
+def own_sequences(documents: DataFrame, waiting: DataFrame, length: int, opened: int) -> tuple[DataFrame, DataFrame, int]:
+    """The waiting documents with seq, as many of one size in a sequence as fit; the new gaps; the number of sequences."""
+    before = Window.orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
+    new = waiting.withColumn("left", F.col("n") - F.col("placed")).filter("left > 0").withColumn("fits", F.floor(F.lit(length) / F.col("size")))
+    new = cut(new.withColumn("bins", F.ceil(F.col("left") / F.col("fits"))).withColumn("base", F.coalesce(F.sum("bins").over(before), F.lit(0)) + opened))
+    known = F.broadcast(new.withColumnRenamed("size", "of"))  # a row for each size
+    rest = documents.join(known, F.col("size") == F.col("of")).withColumn("j", F.col("rank") - F.col("placed")).filter("j >= 0")
+    rest = rest.withColumn("bin", F.floor(F.col("j") / F.col("fits"))).withColumn("seq", (F.col("base") + F.col("bin")).cast("long"))
+    held = F.least("fits", F.col("left") - F.col("bin") * F.col("fits"))
+    gaps = rest.filter(F.col("j") % F.col("fits") == 0).select("seq", (length - held * F.col("size")).cast("int").alias("gap")).filter("gap > 0")
+    return rest, gaps, int(new.agg(F.sum("bins")).first()[0])
+
+
+#: Bands from this one on, of sizes of at most a quarter of length, open sequences together; before it a band's sizes
+#: lie between two successive fractions of length.
+SHARED = 3
+
+
 def pack(items: DataFrame, length: int = 1024, size: str = "length", by: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
     """items with sequence_id and offset: a packing into few sequences of at most `length`, gapless from offset 0.
 
     `size` is a column of whole numbers from 1 to `length`; `by` orders rows of the same size (repeated rows are
     placed one by one). An empty table gives no rows. Columns named sequence_id or offset are replaced. Reads items
-    twice: give a written table.
+    more than once: give a written table.
     """
     spark = items.sparkSession
     items = items.drop("sequence_id", "offset")
-    counts = {r[0]: r[1] for r in items.groupBy(size).count().collect()}
-    moves = supersteps(counts, length)
-    spans = spark.createDataFrame(
-        [(s, rank, n, first, at) for s, rank, n, first, at in moves] or [(0, 0, 0, 0, 0)],
-        "m_size long, m_rank long, m_n long, m_first long, m_offset long",
-    )
-    #: One row per size with its moves in rank order; each has at most a bounded number of moves.
-    table = spans.groupBy("m_size").agg(F.array_sort(F.collect_list(F.struct("m_rank", "m_n", "m_first", "m_offset"))).alias("moves"))
-    rows = ranked(items, size, list(by), max(8, partitions(spark)))
-    joined = rows.join(F.broadcast(table), F.col(size) == F.col("m_size"))
-    hit = F.element_at(F.filter("moves", lambda m: (m.m_rank <= F.col("rank")) & (F.col("rank") < m.m_rank + m.m_n)), 1)
-    return (
-        joined.withColumn("hit", hit)
-        .withColumn("sequence_id", F.col("hit.m_first") + F.col("rank") - F.col("hit.m_rank"))
-        .withColumn("offset", F.col("hit.m_offset"))
-        .drop("hit", "moves", "m_size", "rank")
-    )
+    slices, edges = max(8, partitions(spark)), [length, length // 2, length // 3, length // 4, length // 8, 0]
+    band = sum((F.col("size") <= e).cast("int") for e in edges[1:-1])
+    rows = ranked(bundled(items, length, size, by, slices), "size", ["key"], slices).drop("key").withColumn("band", band)
+    folder = new_folder(spark, "packing")
+    rows.write.partitionBy("band").parquet(folder)
+    rows = spark.read.schema(rows.schema).parquet(folder)
+    sizes = cut(rows.groupBy("band", "size").agg(F.count("*").alias("n")))
+    gaps = spark.createDataFrame([], "seq long, gap int")
+    placed, opened = [], 0
+    for number in sorted(r.band for r in sizes.select("band").distinct().collect()):
+        own, most, least = rows.filter(F.col("band") == number), edges[number], edges[number + 1] + 1
+        waiting = sizes.filter(F.col("band") == number).select("size", F.lit(0).cast("long").alias("placed"), "n")
+        while True:
+            # A gap has a slot for each document of the band that it is sure to hold.
+            number_of = F.greatest(F.lit(1), F.floor(F.col("gap") / most))
+            slots = gaps.filter(F.col("gap") >= least).withColumn("slot", F.explode(F.sequence(F.lit(1).cast("long"), number_of))).withColumn("room", F.floor(F.col("gap") / number_of).cast("int"))
+            classes = cut(swept(waiting, slots.groupBy(F.col("room").alias("size")).agg(F.count("*").alias("rooms"))))
+            met, left = classes.agg(F.sum("met"), F.sum((F.col("docs") - F.col("met")) * F.col("size"))).first()
+            if met:
+                pairs = cut(matched(own, slots.drop("gap"), classes, slices))
+                placed.append(pairs.select("seq", "members"))
+                used = pairs.groupBy("seq").agg(F.sum("size").alias("used"))
+                gaps = cut(gaps.join(used, "seq", "left").select("seq", (F.col("gap") - F.coalesce("used", F.lit(0))).cast("int").alias("gap")).filter("gap > 0"))
+                waiting = classes.filter("docs > 0").select("size", (F.col("placed") + F.col("met")).alias("placed"), "n")
+            if not left:
+                break
+            if not met and number >= SHARED:
+                # Sequences for what is left, if they were filled whole; the next supersteps fill them.
+                some = -(-left // length)
+                gaps = gaps.unionByName(spark.range(opened, opened + some).select(F.col("id").alias("seq"), F.lit(length).alias("gap")))
+                opened += some
+            elif not met:
+                # No two sizes of such a band leave room for another of its documents: each fills sequences of its own.
+                rest, new, some = own_sequences(own, waiting, length, opened)
+                placed.append(rest.select("seq", "members"))
+                gaps = cut(gaps.unionByName(new))
+                opened += some
+                break
+    none = rows.select(F.lit(0).cast("long").alias("seq"), "members").limit(0)
+    for part in placed:
+        none = none.unionByName(part)
+    each = none.select("seq", F.explode("members").alias("m")).select(F.col("seq").alias("sequence_id"), "m.*")
+    order = Window.partitionBy("sequence_id").orderBy(F.desc(size), *by)
+    out = each.withColumn("offset", (F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col(size)).cast("long"))
+    return out.select(*items.columns, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, path: str, end_id: int = 2, length: int = 1024, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """pieces() of whole documents with the sequence_id and offset of pack()."""
+    """pieces() of whole documents with the sequence_id and offset of pack(). A null or empty text is one piece of the end
+    id; repeated rows and rows without doc_id are placed one by one; an empty table gives no rows; other columns go."""
     return pack(cut(pieces(docs, path, end_id, length, doc_id, text)), length, "length", ("doc_id", "piece", "start", "ids_crc32"))
