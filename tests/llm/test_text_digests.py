@@ -183,10 +183,11 @@ def plain_best_fit(counts, length=1024):
 
 
 def brute_quality(rows):
-    """rows: (host, text) -> the base counts, and the rule's verdict."""
+    """rows: (host, text, doc_id) -> the base counts, and the rule's verdict. Rows without doc_id are documents of their own."""
+    ids, rows = [("row", i) if r[2] is None else r[2] for i, r in enumerate(rows)], [r[:2] for r in rows]
     low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     lines = [{k: v for y in x.split("\n") if (k := tuple(WORD.findall(y.translate(low)))) for v in [len(k)]} for _, x in rows]
-    docs, hosts = Counter((h, k) for (h, _), own in zip(rows, lines) for k in own), Counter(h for h, _ in rows)
+    docs, hosts = Counter((h, k) for h, k, _ in {(h, k, i) for (h, _), i, own in zip(rows, ids, lines) for k in own}), Counter(h for h, _ in {(h, i) for (h, _), i in zip(rows, ids)})
     out = []
     for (h, x), own in zip(rows, lines):
         words = WORD.findall(x)
@@ -202,10 +203,13 @@ def brute_quality(rows):
 
 
 def test_quality_rules(spark, odd, sample):
-    docs = odd.union(sample.select("doc_id", "text", "lang", "source")).union(sample.select("doc_id", "text", "lang", "source").limit(30)).union(sample.select("doc_id", "text", "lang", "source").limit(30))
-    got = quality.quality_rules(docs, line_docs=3)
+    some = sample.select("doc_id", "text", "lang", "source")
+    docs = odd.union(some).union(some.filter("doc_id < 30")).union(some.filter("doc_id < 30"))  # the same documents again
+    for k in (1, 2):
+        docs = docs.union(some.filter("doc_id < 30").withColumn("doc_id", F.col("doc_id") + 10_000 * k))
+    got = quality.quality_rules(docs.withColumn("host", F.lit("clash")).withColumn("lines", F.lit("clash")), line_docs=3)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed", "base_failed", "kept"]
-    rows = [(r.source, r.text or "") for r in docs.collect()]
+    rows = [(r.source, r.text or "", r.doc_id) for r in docs.collect()]
     assert Counter(tuple(r[n] for n in names) for r in got.collect()) == Counter(brute_quality(rows))
     assert quality.quality_rules(docs.limit(0)).count() == 0
 

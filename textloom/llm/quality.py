@@ -98,15 +98,18 @@ def quality_rules(
     windows, and `min_left_percent` of its words after removal. Counting is by host and line with partial counts
     before the shuffle, so neither a large host nor a common line meets in one task.
 
-    Null text: no words, so not kept. A null host is a host of its own. Repeated rows are judged row by row and count
-    as documents. Other columns are dropped.
+    Null text: no words, so not kept. A null host is a host of its own. Rows that share a doc_id are judged row by row and
+    count as one document of their host; rows without doc_id count one by one. An empty table gives no rows. Other
+    columns are dropped.
     """
     base = cut(text_counts(docs, doc_id, host, text).withColumn("row", F.monotonically_increasing_id()))
-    lines = base.select("row", "host", F.explode("lines").alias("x")).select("row", F.coalesce("host", F.lit("\0")).alias("host"), "x.line", "x.words")
-    hosts = base.groupBy(F.coalesce("host", F.lit("\0")).alias("host")).agg(F.count("*").alias("host_docs"))
-    counts = lines.groupBy("host", "line").agg(F.count("*").alias("docs")).filter(F.col("docs") >= line_docs)
+    named = base.withColumn("host", F.coalesce("host", F.lit("\0"))).withColumn("alone", F.when(F.col("doc_id").isNull(), F.col("row")))
+    lines = named.select("row", "doc_id", "alone", "host", F.explode("lines").alias("x")).select("row", "doc_id", "alone", "host", "x.line", "x.words")
+    # Documents count once, however many rows they have.
+    hosts = named.select("host", "doc_id", "alone").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
+    counts = lines.select("host", "line", "doc_id", "alone").distinct().groupBy("host", "line").agg(F.count("*").alias("docs")).filter(F.col("docs") >= line_docs)
     common = counts.join(hosts, "host").filter(F.col("docs") > line_share * F.col("host_docs")).select("host", "line")
-    removed = lines.join(common, ["host", "line"]).groupBy("row").agg(F.sum("words").alias("n_removed"), F.count("*").alias("lines_removed"))
+    removed = lines.select("row", "host", "line", "words").join(common, ["host", "line"]).groupBy("row").agg(F.sum("words").alias("n_removed"), F.count("*").alias("lines_removed"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     left = F.col("n_words") - F.col("n_removed")
     return (

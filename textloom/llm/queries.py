@@ -106,7 +106,7 @@ OP10_SQL = f"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, {TO
   full_lines AS (SELECT doc_id, source, e, k, len(k) AS n FROM l WHERE len(k) > 0),
   dup AS (SELECT doc_id, count(*) - count(DISTINCT e) AS n_dup_lines FROM full_lines GROUP BY 1),
   lines AS (SELECT doc_id, source, k, sum(n) AS n FROM full_lines GROUP BY 1, 2, 3),
-  docs AS (SELECT source, count(*) AS docs FROM documents GROUP BY 1),
+  docs AS (SELECT source, count(DISTINCT doc_id) AS docs FROM documents GROUP BY 1),
   common AS (SELECT source, k FROM (SELECT source, k, count(*) AS c FROM lines GROUP BY 1, 2) JOIN docs USING (source) WHERE c >= 10 AND c > 0.001 * docs),
   gone AS (SELECT doc_id, sum(n)::BIGINT AS n_removed, count(*) AS lines_removed FROM lines JOIN common USING (source, k) GROUP BY 1),
   tri AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS t FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 1))) AS i FROM d)),
