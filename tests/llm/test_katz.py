@@ -86,3 +86,57 @@ def test_successors_of_a_frequent_word_are_dealt_over_buckets(spark):
     sizes = [len(katz.unpack(r.c)) for r in asked.select("c").collect()]
     assert sum(sizes) == 800 and max(sizes) < 0.3 * sum(sizes)
     assert katz._buckets(16_000, 8) == 1000
+
+
+def katz_discounts(n):
+    """From the numbers of types seen 1 to 6 times: Good-Turing's r* / r, scaled so that the mass taken is that of n_1."""
+    share, out = 6 * n[5] / n[0] if n[0] else 1.0, []
+    for r in range(1, 6):
+        most = 1 - 0.01 / r
+        d = ((r + 1) * n[r] / n[r - 1] / r - share) / (1 - share) if n[r - 1] and share < 1 else most
+        out.append(d if 0 < d < most else most)
+    return out
+
+
+def test_kept_tables_sum_to_one(spark, sample, tmp_path):
+    """Another session opens the model's tables; they hold all counts, and all probabilities of each history sum to 1."""
+    folder = str(tmp_path / "model")
+    docs = sample.select("doc_id", "text").limit(80)
+    rows = [[*WORD.findall((r.text or "").translate(LOW)), "\n"] for r in docs.collect()]
+    got = katz.score(spark.createDataFrame([(i, " ".join(t[:-1])) for i, t in enumerate(rows)], "doc_id long, text string"), F.lit(False), tables=folder).collect()
+    other = spark.newSession()
+    words, grams = katz.open_words(other, folder).collect(), katz.open_bigrams(other, folder).collect()
+    plain = Plain(rows)
+    assert sorted(r.n for r in words) == sorted(plain.uni.values()) and sorted(r.n for r in grams) == sorted(plain.big.values())
+    assert len({r.word for r in words}) == len({r.id for r in words}) == len(words) and got[0].train_tokens == plain.n
+    count = lambda counts: [sum(c == r for c in counts) for r in range(1, 7)]
+    for counts in ([r.n for r in words], [r.n for r in grams]):
+        assert np.allclose(katz.discounts(count(counts))[1:], katz_discounts(count(counts)))
+    model = katz.WordModel(plain.n, len(words), count([r.n for r in words]))
+    p1 = dict(zip([r.id - 1 for r in words], model.probability(np.array([r.n for r in words])).tolist(), strict=True))
+    assert abs(sum(p1.values()) + model.unknown - 1) < 1e-9
+    d2 = katz.discounts(count([r.n for r in grams]))
+    follow = defaultdict(list)
+    for r in grams:
+        follow[r.first].append((r.second, r.n))
+    assert sorted(sum(n for _, n in own) for own in follow.values()) == sorted(plain.first.values())
+    for own in follow.values():
+        c = np.array([n for _, n in own])
+        n_r = np.array([(np.minimum(c, 6) == r).sum() for r in range(1, 7)])
+        seen = katz.discounted(c, d2).sum() / c.sum()
+        back = katz.taken(n_r, d2) / c.sum() / (1 - sum(p1[w] for w, _ in own))
+        assert abs(seen + back * (sum(p for w, p in p1.items() if w not in {w for w, _ in own}) + model.unknown) - 1) < 1e-9
+
+
+def test_rows_without_ids_and_repeated_rows(spark, odd):
+    got = katz.score(odd, langid.held_out("doc_id", 7, 2)).collect()
+    assert Counter(r.doc_id for r in got) == Counter(r.doc_id for r in odd.select("doc_id").collect())
+    assert len({(r.n_tokens, r.base_score, r.score) for r in got if r.doc_id == 6}) == 1
+
+
+def test_two_letter_words_of_a_known_kind_stay_apart(spark):
+    x = [["a", "b"][bin(i).count("1") % 2] for i in range(1024)]
+    y = [["b", "a"][bin(i).count("1") % 2] for i in range(1024)]
+    docs = spark.createDataFrame([(1, "".join(x) + " end"), (2, "".join(y) + " end"), (3, "".join(x) + " end")], "doc_id long, text string")
+    got = {r.doc_id: r for r in katz.score(docs, F.col("doc_id") == 2).collect()}
+    assert (got[2].n_known, got[2].n_tokens, got[3].n_known) == (2, 3, 3)

@@ -5,18 +5,21 @@ Texts are cut into slices of about SLICE bytes. A slice asks for its distinct wo
 bucket answers with their training counts and with ids that are small for frequent words; then it asks for its distinct
 bigrams, in buckets by the first word (and by the second where the first is frequent), and is answered with their counts
 and with what the back-off weight of a first word is made of. Requests and answers are packed arrays, so a distinct word
-or bigram of a slice costs a few bytes of shuffle. The buckets keep the model: tables of words and of bigrams, one packed row per bucket.
+or bigram of a slice costs a few bytes of shuffle. The buckets keep the model: tables of words and of bigrams partitioned
+by bucket, one packed row for each, which open_words and open_bigrams read as rows. Slices are a bucketed table, so their
+texts are never dealt out.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import cut, partitions
+from .shared import cut, drop_folder, kept, new_folder, partitions  # noqa: F401
 from .words import Words, blocks, mix
 
 SLICE = 8 << 20
@@ -121,19 +124,27 @@ class Slice:
         return np.concatenate([[0], np.searchsorted(self.words, np.array(limits, np.uint64)), [len(self.words)]]).astype(np.int64)
 
     def pairs(self, ids: np.ndarray):
-        """Distinct (first id, second id) with known ends, in order, with training counts; and the pair of each token
-        (-1: not known). The first word of a text follows BEGIN, whose id is 0."""
-        own = ids[self.place]
-        first = np.empty_like(own)
-        first[1:] = own[:-1]
-        first[self.bounds[:-1]] = 0
+        """The ids of each token's first word and of its own (-1: unknown), the distinct pairs of known ones as first and
+        second ids in order, their training counts, and the pair of each token (-1: not known). The first word of a text
+        follows BEGIN, whose id is 0."""
+        place = self.place.astype(np.uint64)
+        before = np.empty_like(place)
+        before[1:] = place[:-1]
+        before[self.bounds[:-1]] = len(self.words)
+        every = np.append(ids, 0)
+        first, own = every[before], every[place]
         known = (first >= 0) & (own >= 0)
-        key = (first[known].astype(np.uint64) << np.uint64(32)) | own[known].astype(np.uint64)
-        distinct, inverse = np.unique(key, return_inverse=True)
+        # Places within the slice fit into 32 bits; ids need not.
+        distinct, inverse = np.unique((before[known] << np.uint64(32)) | place[known], return_inverse=True)
+        h, w = every[distinct >> np.uint64(32)].astype(np.uint64), every[distinct & np.uint64(0xFFFFFFFF)].astype(np.uint64)
+        order = np.lexsort((w, h))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        inverse = rank[inverse]
         counts = np.bincount(inverse[self.train[known]], minlength=len(distinct)).astype(np.uint64)
         pair = np.full(len(own), -1, np.int64)
         pair[known] = inverse
-        return first, own, distinct, counts, pair
+        return first, own, h[order], w[order], counts, pair
 
 
 def _slices(docs: DataFrame) -> DataFrame:
@@ -227,8 +238,6 @@ def _count_words(asked: DataFrame, buckets: int) -> DataFrame:
         ids = np.empty(len(distinct), np.uint64)
         ids[order] = np.arange(len(distinct), dtype=np.uint64) * np.uint64(buckets) + np.uint64(k + 1)  # 0 is BEGIN
         ids = np.where(totals > 0, ids + np.uint64(1), np.uint64(0))  # one more than the id, 0 for unknown
-        if len(ids) and int(ids.max()) >> 32:
-            raise ValueError("more distinct words than 32-bit ids can number")
         out, at = [], 0
         for slice_id, own in zip(rows.slice, words, strict=True):
             mine = inverse[at : at + len(own)]
@@ -268,8 +277,7 @@ def _ask_pairs(slices: DataFrame, words: DataFrame, buckets: int) -> DataFrame:
         for row in _rows(batches):
             s = _read(row)
             ids, counts = _ids(s, row["words"], buckets)
-            first, own, distinct, trained, pair = s.pairs(ids)
-            h, w = distinct >> np.uint64(32), distinct & np.uint64(0xFFFFFFFF)
+            first, own, h, w, trained, pair = s.pairs(ids)
             by_id = np.argsort(ids, kind="stable")
             w_count = counts[by_id][np.searchsorted(ids[by_id], w.astype(np.int64))]
             wanting = trained == 0
@@ -303,12 +311,16 @@ def _count_pairs(asked: DataFrame, model: WordModel) -> DataFrame:
 
         k = int(rows.bucket.iloc[0])
         parts = [(unpack(a), unpack(b).astype(np.int64), unpack(c), unpack(d), unpack(e), np.unpackbits(np.frombuffer(f, np.uint8)).astype(bool)) for a, b, c, d, e, f in zip(rows.a, rows.b, rows.c, rows.d, rows.e, rows.f, strict=True)]
-        key = np.concatenate([(np.repeat(h, n) << np.uint64(32)) | w for h, n, w, *_ in parts])
+        # Ids may need 64 bits; their places among the bucket's own don't.
+        all_h, h_of = np.unique(np.concatenate([np.repeat(h, n) for h, n, *_ in parts]), return_inverse=True)
+        all_w, w_of = np.unique(np.concatenate([p[2] for p in parts]), return_inverse=True)
+        key = (h_of.astype(np.uint64) << np.uint64(32)) | w_of.astype(np.uint64)
         distinct, index, inverse = np.unique(key, return_index=True, return_inverse=True)
+        of_h, of_w = all_h[distinct >> np.uint64(32)], all_w[distinct & np.uint64(0xFFFFFFFF)]
         totals = np.bincount(inverse, np.concatenate([p[4] for p in parts]).astype(np.float64), len(distinct)).astype(np.uint64)
         seen = totals > 0
         p1 = np.where(seen, model.probability(np.concatenate([p[3] for p in parts])[index]), 0.0)
-        heads, start, sizes = np.unique(distinct >> np.uint64(32), return_index=True, return_counts=True)
+        heads, start, sizes = np.unique(of_h, return_index=True, return_counts=True)
         sums = np.add.reduceat(p1, start) if len(start) else np.zeros(0)
         totals_or_more = np.minimum(totals, LARGEST + 1)
         n_r = np.stack([np.add.reduceat((totals_or_more == r).astype(np.int64), start) if len(start) else np.zeros(0, np.int64) for r in range(1, LARGEST + 2)])
@@ -322,7 +334,7 @@ def _count_pairs(asked: DataFrame, model: WordModel) -> DataFrame:
             table = n_r[:, place] * hit if len(heads) else np.zeros((LARGEST + 1, len(asked_heads)), np.int64)
             given = np.where(hit, sums[place], 0.0) if len(heads) else np.zeros(len(asked_heads))
             out.append(_answer(k, slice_id, [pack(totals[mine]), pack(asked_heads), pack(table.ravel().astype(np.uint64)), given.tobytes()]))
-        out.append(_answer(k, None, [pack_sorted(heads), pack(sizes.astype(np.uint64)), pack(distinct & np.uint64(0xFFFFFFFF)), pack(totals)], _histogram(totals)))
+        out.append(_answer(k, None, [pack_sorted(heads), pack(sizes.astype(np.uint64)), pack(of_w), pack(totals)], _histogram(totals)))
         return pd.DataFrame(out, dtype=object)
 
     return asked.groupBy("bucket").applyInPandas(bucket, _ANSWER)
@@ -341,10 +353,9 @@ def _evaluate(slices: DataFrame, words: DataFrame, pairs: DataFrame, model: Word
         for row in _rows(batches):
             s = _read(row)
             ids, counts = _ids(s, row["words"], buckets)
-            first, own, distinct, _, pair = s.pairs(ids)
-            h = distinct >> np.uint64(32)
-            bucket = _pair_buckets(h, distinct & np.uint64(0xFFFFFFFF), buckets)
-            totals = np.zeros(len(distinct), np.uint64)
+            first, own, h, w, _, pair = s.pairs(ids)
+            bucket = _pair_buckets(h, w, buckets)
+            totals = np.zeros(len(h), np.uint64)
             heads, n_r, sums = [np.zeros(0, np.uint64)], [np.zeros((LARGEST + 1, 0))], [np.zeros(0)]
             for x in row["pairs"]:
                 totals[bucket == x["bucket"]] = unpack(x["a"])
@@ -396,22 +407,61 @@ def _buckets(slices: int, shuffles: int) -> int:
     return max(8, shuffles, slices // 16)
 
 
-def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _bucketed(slices: DataFrame, folder: str, buckets: int) -> tuple[DataFrame, str]:
+    """The slices as a table in the shared folder, bucketed by slice, so that joins by slice don't deal the texts out; and
+    the table's name."""
+    table = f"slices_{uuid.uuid4().hex}"
+    slices.write.format("parquet").option("path", f"{folder}/slices").bucketBy(buckets, "slice").sortBy("slice").saveAsTable(table)
+    return slices.sparkSession.table(table), table
+
+
+def open_words(spark: SparkSession, tables: str) -> DataFrame:
+    """(word, id, n) of a model that score() kept: fingerprints of words, their ids, and their training counts; ids are
+    one more than those in bigrams, 0 for words that training never saw."""
+    return _opened(spark.read.parquet(f"{tables}/words").filter("slice is null"), "bucket int, word long, id long, n long", lambda x: (unpack_sorted(x["a"]), unpack(x["c"]), unpack(x["b"])))
+
+
+def open_bigrams(spark: SparkSession, tables: str) -> DataFrame:
+    """(first, second, n) of a model that score() kept: ids of words (0: the beginning of a text), and training counts."""
+    return _opened(spark.read.parquet(f"{tables}/bigrams").filter("slice is null"), "bucket int, first long, second long, n long", lambda x: (np.repeat(unpack_sorted(x["a"]), unpack(x["b"]).astype(np.int64)), unpack(x["c"]), unpack(x["d"])))
+
+
+def _opened(rows: DataFrame, schema: str, columns) -> DataFrame:
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        names = [x.split()[0] for x in schema.split(", ")]
+        for row in _rows(batches):
+            made = columns(row)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(made[0]), row["bucket"], np.int32)), *[pa.array(x.view(np.int64)) for x in made]], names=names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", tables: str | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 of the whole text's probability) of
     each row, by a model of the rows where held_out isn't true.
 
     Tokens are words, lower-cased in A-Z, and an end; a null text has the end alone. Words that training never saw are
     one class, which has what Good-Turing discounts take from seen words. Repeated rows count each time. An empty
     table gives no rows; without training rows every token is of the unknown class, with probability 1.
+
+    tables: a folder of the shared place where the model's tables, partitioned by bucket, stay for open_words and
+    open_bigrams; without one they go when the scores are written.
     """
     spark = docs.sparkSession
+    folder = new_folder(spark, "katz")
+    kept_in = tables or folder
     named = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).alias("text"))
-    slices = cut(_slices(named), rows=None)
+    slices, table = _bucketed(_slices(named), folder, partitions(spark))
     of = slices.agg(F.count("*"), F.coalesce(F.sum(F.size(F.filter("held", lambda h: ~h))), F.lit(0))).first()
     trained, buckets = int(of[1]), _buckets(int(of[0]), partitions(spark))
-    words = cut(_count_words(_ask_words(slices, buckets), buckets), rows=16)
+    words = kept(_count_words(_ask_words(slices, buckets), buckets), f"{kept_in}/words", rows=4, by="bucket")
     tokens, types, *counts_of = _totals(words)
     model = WordModel(tokens, types, counts_of)
-    pairs = cut(_count_pairs(_ask_pairs(slices, words, buckets), model), rows=16)
+    pairs = kept(_count_pairs(_ask_pairs(slices, words, buckets), model), f"{kept_in}/bigrams", rows=4, by="bucket")
     d2 = discounts(_totals(pairs)[2:])
-    return _evaluate(slices, words, pairs, model, d2, buckets, trained)
+    out = kept(_evaluate(slices, words, pairs, model, d2, buckets, trained), f"{folder}-scores", rows=4)
+    spark.sql(f"DROP TABLE {table}")
+    drop_folder(spark, folder)
+    return out

@@ -47,11 +47,11 @@ def cut(df: DataFrame, rows: int | None = FEW) -> DataFrame:
         return df.checkpoint()
 
 
-def kept(df: DataFrame, path: str) -> DataFrame:
-    """df, written to a folder of the shared place and read back: computed once, only the columns asked for are read
-    again, and Spark knows its size."""
-    with batches_of(df.sparkSession, FEW):
-        df.write.parquet(path)
+def kept(df: DataFrame, path: str, rows: int = FEW, by: str | None = None) -> DataFrame:
+    """df, written to a folder of the shared place (partitioned by a column) and read back: computed once, only the columns
+    asked for are read again, and Spark knows its size."""
+    with batches_of(df.sparkSession, rows):
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
