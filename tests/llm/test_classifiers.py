@@ -94,3 +94,44 @@ def test_margins_equal_plain_sums(spark):
     scored = toxicity.score(docs, machine, threshold=0.3).collect()
     assert all(r.predicted == (r.score >= 0.3) and 0 <= r.score <= 1 for r in scored) and len(scored) == len(texts)
     assert toxicity.score(docs.limit(0), machine).count() == 0 and {r.predicted for r in scored if r.text in bad} == {1}
+
+
+def test_network_equals_plain_convolution(spark, odd):
+    """Scores from loops over windows, widths, places and filters."""
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    net = langid.ByteNet(["aa", "bb", "cc"], rng.normal(size=(256, 4)).astype(np.float32), {w: rng.normal(size=(w * 4, 3)).astype(np.float32) for w in (2, 3, 4)}, {w: rng.normal(size=3).astype(np.float32) for w in (2, 3, 4)}, rng.normal(size=(9, 3)), rng.normal(size=3))
+
+    def plain(window):
+        pooled = []
+        for w in (2, 3, 4):
+            for f in range(3):
+                best = max(sum(float(net.embed[window[i + k]] @ net.filters[w][4 * k : 4 * k + 4, f]) for k in range(w)) for i in range(len(window) - w + 1))
+                pooled.append(max(0.0, best + float(net.bias[w][f])))
+        z = [sum(p * net.out[i, c] for i, p in enumerate(pooled)) + net.out_bias[c] for c in range(3)]
+        total = math.log(sum(math.exp(x) for x in z))
+        return [x - total for x in z]
+
+    texts = ["short text", "long " * 90, "é" * 200, "x" * 256, "", None, "123 456"]
+    docs = spark.createDataFrame([(i, x, 1) for i, x in enumerate(texts)], "doc_id int, text string, lang_pred int")
+    got = {r.doc_id: r for r in langid.identify(docs, net).collect()}
+    for i, x in enumerate(texts):
+        data = (x or "").encode()
+        if not any(c.isalpha() for c in x or ""):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        parts = [data[k : k + 256] for k in range(0, len(data), 256)]
+        mean = sum(len(p) * np.array(plain(p.ljust(256, b"\0"))) for p in parts) / len(data)
+        share = np.exp(mean) / np.exp(mean).sum()
+        assert got[i].lang_pred == net.languages[int(share.argmax())] and abs(got[i].score - share.max()) < 1e-4
+    assert langid.identify(docs.limit(0), net).count() == 0
+
+
+def test_toxicity_keeps_other_columns(spark, odd):
+    machine = toxicity.fit(spark.createDataFrame([("you idiot person", 1), ("a kind person here", 0)], "text string, toxic int"))
+    rows = odd.withColumn("margin", F.lit("clash")).withColumn("predicted", F.lit("clash")).withColumn("toxic", F.lit(7))
+    got = toxicity.score(rows, machine).collect()
+    assert len(got) == odd.count() and {r.toxic for r in got} == {7} and {r.predicted for r in got} <= {0, 1}

@@ -168,3 +168,10 @@ def test_index_compacts_and_marks(spark):
     assert sorted(tuple(r) for r in index.run(index.runs[0]).collect()) == [(1, 1, 9), (2, 1, 9), (3, 2, 2), (4, 2, 3)]
     index.drop()
     assert substrings.FingerprintIndex(spark, index.path).runs == []
+
+
+def test_substrings_drop_clashing_columns(spark):
+    rows = [(1, "a " * 60), (2, "a " * 60), (None, "a " * 60), (2, "a " * 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("copy", F.lit("x")).withColumn("n_words", F.lit("x")).withColumn("anchors", F.lit(0))
+    got = Counter((r.doc_id, r.n_words, r.n_removed) for r in substrings.dedup(df).collect())
+    assert got == {(1, 60, 0): 1, (2, 60, 60): 2, (None, 60, 0): 1}

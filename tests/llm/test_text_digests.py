@@ -244,3 +244,13 @@ def test_segment_ids_equal_whole_texts():
             assert [flat[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)] == want
         flat, bounds = table._apart([b"", b"a b"])
         assert bounds.tolist()[:2] == [0, 0] and len(flat) == bounds[-1]
+
+
+def test_encoding_of_nothing_and_of_clashing_columns(spark, odd):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    assert bpe.encode_decode(odd.limit(0), path, public_tokenizers.PATTERN, digests=True).count() == 0
+    clash = odd.withColumn("ids_sha256", F.lit(1)).withColumn("n_tokens", F.lit("clash"))
+    got = bpe.encode_decode(clash, path, public_tokenizers.PATTERN, digests=True).collect()
+    want = bpe.encode_decode(odd, path, public_tokenizers.PATTERN, digests=True).collect()
+    key = lambda rows: Counter((r.doc_id, r.lang, r.source, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in rows)
+    assert key(got) == key(want)
