@@ -11,15 +11,17 @@ a table of at most `length` rows.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .segments import SegmentIds
-from .shared import cut, new_folder, partitions
+from .shared import cut, kept, new_folder, partitions
 from .words import blocks
 
 _encoders: dict[str, SegmentIds] = {}
@@ -159,44 +161,48 @@ def pack(items: DataFrame, length: int = 1024, size: str = "length", by: tuple[s
     band = sum((F.col("size") <= e).cast("int") for e in edges[1:-1])
     rows = ranked(bundled(items, length, size, by, slices), "size", ["key"], slices).drop("key").withColumn("band", band)
     folder = new_folder(spark, "packing")
-    rows.write.partitionBy("band").parquet(folder)
-    rows = spark.read.schema(rows.schema).parquet(folder)
+    rows = kept(rows, f"{folder}/documents", by="band")
     sizes = cut(rows.groupBy("band", "size").agg(F.count("*").alias("n")))
     gaps = spark.createDataFrame([], "seq long, gap int")
-    placed, opened = [], 0
+    steps, opened = itertools.count(), 0
+
+    def place(found: DataFrame) -> DataFrame:
+        return kept(found, f"{folder}/placed/step={next(steps)}")
+
+    place(rows.select(F.lit(0).cast("long").alias("seq"), "size", "members").limit(0))
     for number in sorted(r.band for r in sizes.select("band").distinct().collect()):
         own, most, least = rows.filter(F.col("band") == number), edges[number], edges[number + 1] + 1
         waiting = sizes.filter(F.col("band") == number).select("size", F.lit(0).cast("long").alias("placed"), "n")
+        last, total = number == len(edges) - 2, None
         while True:
             # A gap has a slot for each document of the band that it is sure to hold.
             number_of = F.greatest(F.lit(1), F.floor(F.col("gap") / most))
             slots = gaps.filter(F.col("gap") >= least).withColumn("slot", F.explode(F.sequence(F.lit(1).cast("long"), number_of))).withColumn("room", F.floor(F.col("gap") / number_of).cast("int"))
             classes = cut(swept(waiting, slots.groupBy(F.col("room").alias("size")).agg(F.count("*").alias("rooms"))))
-            met, left = classes.agg(F.sum("met"), F.sum((F.col("docs") - F.col("met")) * F.col("size"))).first()
+            met, docs, left = classes.agg(F.sum("met"), F.sum("docs"), F.sum(F.col("docs") * F.col("size"))).first()
+            total = total or docs
             if met:
-                pairs = cut(matched(own, slots.drop("gap"), classes, slices))
-                placed.append(pairs.select("seq", "members"))
+                pairs = place(matched(own, slots.drop("gap"), classes, slices))
                 used = pairs.groupBy("seq").agg(F.sum("size").alias("used"))
                 gaps = cut(gaps.join(used, "seq", "left").select("seq", (F.col("gap") - F.coalesce("used", F.lit(0))).cast("int").alias("gap")).filter("gap > 0"))
                 waiting = classes.filter("docs > 0").select("size", (F.col("placed") + F.col("met")).alias("placed"), "n")
-            if not left:
+            if met == docs:
                 break
-            if not met and number >= SHARED:
-                # Sequences for what is left, if they were filled whole; the next supersteps fill them.
-                some = -(-left // length)
-                gaps = gaps.unionByName(spark.range(opened, opened + some).select(F.col("id").alias("seq"), F.lit(length).alias("gap")))
-                opened += some
-            elif not met:
-                # No two sizes of such a band leave room for another of its documents: each fills sequences of its own.
+            if number < SHARED or not last and 20 * (docs - met) < total and 4 * met < docs:
+                # No two sizes of such a band leave room for another of its documents, or few are left and fewer fit: each size fills
+                # sequences of its own, and smaller documents their gaps.
                 rest, new, some = own_sequences(own, waiting, length, opened)
-                placed.append(rest.select("seq", "members"))
+                place(rest.select("seq", "size", "members"))
                 gaps = cut(gaps.unionByName(new))
                 opened += some
                 break
-    none = rows.select(F.lit(0).cast("long").alias("seq"), "members").limit(0)
-    for part in placed:
-        none = none.unionByName(part)
-    each = none.select("seq", F.explode("members").alias("m")).select(F.col("seq").alias("sequence_id"), "m.*")
+            if not met:
+                # Sequences for what is left, if they were filled whole; the next supersteps fill them.
+                some = -(-left // length)
+                gaps = gaps.unionByName(spark.range(opened, opened + some).select(F.col("id").alias("seq"), F.lit(length).alias("gap")))
+                opened += some
+    shape = T.StructType([T.StructField("seq", T.LongType()), rows.schema["members"]])
+    each = spark.read.schema(shape).parquet(f"{folder}/placed").select("seq", F.explode("members").alias("m")).select(F.col("seq").alias("sequence_id"), "m.*")
     order = Window.partitionBy("sequence_id").orderBy(F.desc(size), *by)
     out = each.withColumn("offset", (F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col(size)).cast("long"))
     return out.select(*items.columns, "sequence_id", "offset")
