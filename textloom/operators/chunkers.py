@@ -9,10 +9,22 @@ from ..functions.text import content_key, word_count
 from .windows import WindowConfig, windows
 
 
-def _finish(rows: DataFrame, chunker: str, order: list[str], extra: list[str] = ()) -> DataFrame:
-    """Number the chunks of each document from 0 in the given order, and key them by content."""
-    w = Window.partitionBy("doc_id").orderBy(*order)
-    rows = rows.withColumn("chunk_index", F.row_number().over(w) - 1).withColumn("token_count", word_count(F.col("text"))).withColumn("chunker", F.lit(chunker))
+def _finish(rows: DataFrame, chunker: str, order: list[str], extra: list[str] = (), span: int | None = None) -> DataFrame:
+    """Number the chunks of each document from 0 in the given order, and key them by content.
+
+    span: for documents of any length, such as a table that is one document: numbers are made within ranges of so many
+    values of the first order column, and the counts of the ranges before are added.
+    """
+    if span is None:
+        rows = rows.withColumn("chunk_index", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)) - 1)
+    else:
+        rows = rows.withColumn("_range", F.floor(F.col(order[0]) / span))
+        before = Window.partitionBy("doc_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+        counts = rows.groupBy("doc_id", "_range").agg(F.count("*").alias("_n"))
+        starts = counts.select("doc_id", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+        within = F.row_number().over(Window.partitionBy("doc_id", "_range").orderBy(*order)) - 1
+        rows = rows.withColumn("_within", within).join(starts, ["doc_id", "_range"]).withColumn("chunk_index", (F.col("_before") + F.col("_within")).cast("int"))
+    rows = rows.withColumn("token_count", word_count(F.col("text"))).withColumn("chunker", F.lit(chunker))
     rows = rows.withColumn("chunk_id", content_key(F.col("doc_id"), F.col("chunker"), F.col("chunk_index"), F.col("text")))
     return rows.select("chunk_id", "doc_id", "text", "chunk_index", "token_count", "chunker", *extra)
 
@@ -102,7 +114,7 @@ def chunk_rows(sheet: DataFrame, headers: list[str], row: str, doc_id: Column, g
     large = word_count(F.col("unit_text")) > c.size
     whole = text.filter(~large).select("doc_id", "unit", F.lit(0).alias("window_index"), F.col("unit_text").alias("text"))
     cut = windows(text.filter(large), "unit_text", c).select("doc_id", "unit", "window_index", F.col("window").alias("text"))
-    return _finish(whole.unionByName(cut), "sheet_rows", ["unit", "window_index"], [(F.col("unit") * group).alias("row_group_start")])
+    return _finish(whole.unionByName(cut), "sheet_rows", ["unit", "window_index"], [(F.col("unit") * group).alias("row_group_start")], span=4096)
 
 
 def chunk_columns(sheet: DataFrame, headers: list[str], row: str, doc_id: Column, c: WindowConfig = WindowConfig(overlap=0, boundary=False, min_size=10)) -> DataFrame:
@@ -116,7 +128,7 @@ def chunk_columns(sheet: DataFrame, headers: list[str], row: str, doc_id: Column
 def chunk_cells(sheet: DataFrame, headers: list[str], row: str, doc_id: Column) -> DataFrame:
     """One chunk `header: value` for each cell that isn't blank, row by row."""
     rows = sheet.select(doc_id.alias("doc_id"), F.col(row).alias("row"), F.explode(_cells(sheet, headers)).alias("x")).select("doc_id", "row", "x.*")
-    return _finish(rows.withColumn("text", F.concat_ws(": ", "header", "value")), "sheet_cells", ["row", "col"], ["row", "header"])
+    return _finish(rows.withColumn("text", F.concat_ws(": ", "header", "value")), "sheet_cells", ["row", "col"], ["row", "header"], span=4096)
 
 
 def parse_delimited(docs: DataFrame, header_rows: int = 1) -> DataFrame:
