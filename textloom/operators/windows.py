@@ -82,7 +82,8 @@ def fixed_windows(df: DataFrame, text: str, c: WindowConfig, index: str = "windo
     last = F.when(n <= c.size, 0).otherwise(F.ceil((n - c.size) / step)).cast("int")
     each = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(F.least(F.lit(c.size), n - i * step).alias("n"), F.array_join(F.slice("_words", i * step + 1, c.size), " ").alias("w")))
     rows = df.withColumn("_words", words(F.col(text))).withColumn("_windows", F.when(n > 0, each)).drop("_words")
-    rows = rows.select(*df.columns, F.posexplode("_windows").alias(index, "_window"))
+    # The outer form, as Spark would test the array of the other one below, and make it twice.
+    rows = rows.select(*df.columns, F.posexplode_outer("_windows").alias(index, "_window")).filter(F.col("_window").isNotNull())
     counted = [F.col("_window.n").alias(count)] if count else []
     return rows.select(*df.columns, index, F.col("_window.w").alias(out), *counted)
 
