@@ -404,7 +404,7 @@ def _evaluate(slices: DataFrame, words: DataFrame, pairs: DataFrame, model: Word
 
 def _buckets(slices: int, shuffles: int) -> int:
     """More buckets for more slices, so that what meets in one doesn't grow with the input."""
-    return max(8, shuffles, slices // 16)
+    return max(8, min(shuffles, slices // 2), slices // 16)
 
 
 def _bucketed(slices: DataFrame, folder: str, buckets: int) -> tuple[DataFrame, str]:

@@ -17,10 +17,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graphs import components
-from .shared import cut
+from .shared import cut, tasks_for
 from .words import Words, blocks, mix, runs
 
 BANDS, ROWS, BITS = 24, 4, 8
+#: Documents that are worth a task where they or their pairs are written.
+DOCUMENTS = 5000
 _rng = np.random.Generator(np.random.PCG64(97))
 _A = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
@@ -131,7 +133,7 @@ def compared(pairs: DataFrame, texts: DataFrame, size: int, percent: int, edits:
 STEP = 1.15
 
 
-def across(star: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+def across(star: DataFrame, found: DataFrame, percent: int, tasks: int) -> DataFrame:
     """The pairs (a, b) of members of one hub, in different components, that may be linked.
 
     Members x and y of a hub h hold the edits E_x and E_y, shingles that either x or h has. Their sets differ in as many
@@ -148,7 +150,8 @@ def across(star: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     member = cut(
         named.select("b", "a", F.coalesce("of_a", "a").alias("component"), F.coalesce("of_b", "b").alias("core"), F.col("size_b").alias("s"), v.alias("v"), "edits")
         .withColumn("rest", F.col("component") != F.col("core"))
-        .withColumn("own", F.floor(F.log(F.greatest(F.lit(1.0), F.col("v"))) / F.log(F.lit(STEP)) + 1e-12))
+        .withColumn("own", F.floor(F.log(F.greatest(F.lit(1.0), F.col("v"))) / F.log(F.lit(STEP)) + 1e-12)),
+        tasks=tasks,
     )
     #: The classes that members outside of the hub's component have, and all classes, of hubs with any such member.
     classes = member.groupBy("b").agg(F.collect_set("own").alias("all"), F.collect_set(F.when(F.col("rest"), F.col("own"))).alias("rests")).filter("size(rests) > 0")
@@ -164,7 +167,8 @@ def across(star: DataFrame, found: DataFrame, percent: int) -> DataFrame:
         .withColumn("first", (F.size("shared") - common + 1).cast("int"))
         .filter("first > 0")
         .select("b", "a", "component", "rest", "own", "partner", F.explode(F.slice("shared", 1, F.col("first"))).alias("x"))
-        .select("b", "a", "component", "rest", "own", "partner", F.col("x.edit").alias("edit"))
+        .select("b", "a", "component", "rest", "own", "partner", F.col("x.edit").alias("edit")),
+        tasks=tasks,
     )
     left = offers.filter("rest").withColumnRenamed("component", "of_a").drop("rest")
     right = offers.select("b", F.col("a").alias("c"), F.col("component").alias("of_c"), F.col("rest").alias("rest_c"), F.col("own").alias("partner"), F.col("partner").alias("own"), "edit")
@@ -185,33 +189,34 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     node = F.struct(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("copy")).alias("node")
     named = docs.select(node, F.col(text).alias("text"))
     stage = cut(signatures(named, size))
+    tasks = tasks_for(stage.count(), DOCUMENTS)
     full = stage.filter("n_shingles > 0 and node.doc_id is not null")
     classes = full.groupBy("f1", "f2").agg(F.min("node").alias("rep"))
     members = full.select("node", "f1", "f2").join(classes, ["f1", "f2"]).select("node", "rep").distinct()
     reps = full.join(classes.select(F.col("rep").alias("node")), "node", "left_semi").dropDuplicates(["node"])
     keyed = reps.select("node", F.explode("bands").alias("band"))
     busy = keyed.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
-    met = cut(keyed.join(busy, "band"))
+    met = cut(keyed.join(busy, "band"), tasks=tasks)
     # The hub of a band is the member that meets the most documents over all its bands: the least edited of a group.
     degree = met.groupBy("node").agg(F.sum("n").alias("degree"))
     hubs = met.join(degree, "node").groupBy("band").agg(F.max_by("node", F.struct("degree", F.xxhash64("node"))).alias("hub"))
     star = met.join(hubs, "band").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    texts = cut(named.filter("node.doc_id is not null").join(degree.select("node"), "node", "left_semi").dropDuplicates(["node"]))
-    low = cut(reps.join(degree.select("node"), "node", "left_semi").select("node", "low"))
+    texts = cut(named.filter("node.doc_id is not null").join(degree.select("node"), "node", "left_semi").dropDuplicates(["node"]), tasks=tasks)
+    low = cut(reps.join(degree.select("node"), "node", "left_semi").select("node", "low"), tasks=tasks)
 
     def estimated(pairs: DataFrame) -> DataFrame:
         sides = pairs.join(low.select(F.col("node").alias("a"), F.col("low").alias("low_a")), "a").join(low.select(F.col("node").alias("b"), F.col("low").alias("low_b")), "b")
         return sides.filter(estimate(F.col("low_a"), F.col("low_b")) >= percent / 100 - slack).select("a", "b")
 
-    star = cut(star)
+    star = cut(star, tasks=tasks)
     near = estimated(star).withColumn("near", F.lit(True))
-    first = cut(compared(star, texts, size, percent, edits=True).join(near, ["a", "b"], "left"))
+    first = cut(compared(star, texts, size, percent, edits=True).join(near, ["a", "b"], "left"), tasks=tasks)
     links = first.filter("linked and near").select("a", "b")
-    second = compared(estimated(cut(across(first, components(links), percent))), texts, size, percent, edits=False)
+    second = compared(estimated(cut(across(first, components(links), percent, tasks), tasks=tasks)), texts, size, percent, edits=False)
     # Rows that share a doc_id but not their set stand in several classes; these are linked through it.
     smallest = members.groupBy("node.doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("other")).filter("b <> other").drop("other")
     many = members.select("node.doc_id", F.col("rep").alias("a")).join(smallest, "doc_id").select("a", "b").filter("a <> b")
-    joined = components(cut(links.union(cut(second).filter("linked").select("a", "b")).union(many)))
+    joined = components(cut(links.union(cut(second, tasks=tasks).filter("linked").select("a", "b")).union(many), tasks=tasks))
     of = members.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select("node", F.coalesce("component", "rep").getField("doc_id").alias("component"))
     out = stage.select("node", "n_shingles").join(of, "node", "left").withColumn("component_id", F.coalesce("component", "node.doc_id"))
     return out.select("node.doc_id", "n_shingles", "component_id", F.coalesce(F.col("node.doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

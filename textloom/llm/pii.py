@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, tasks_for
 
 #: Kinds in the order of results, with their patterns. They match as email [A-Za-z0-9._%+-]+@..., and so
 #: on, do, but start only where a run of their characters or the last match ends, so that long runs cost linear time.
@@ -66,7 +66,7 @@ def shape(token: Column) -> Column:
     return F.concat(F.regexp_replace(runs, "a?9[a9]*", "9"), F.lit(":"), F.ceil(F.log2(F.length(token) + 1)).cast("string"))
 
 
-def scored(edges: DataFrame, rounds: int, confidence: float, support: int) -> DataFrame:
+def scored(edges: DataFrame, rounds: int, confidence: float, support: int, tasks: int | None = None) -> DataFrame:
     """(inst, left, shape, n, seed), a row for each instance and word before it, to (inst, s): the instances' scores.
 
     Each round, a pattern's score is the sum of n times the score of its instances over the sum of n plus 2; a word before
@@ -81,7 +81,7 @@ def scored(edges: DataFrame, rounds: int, confidence: float, support: int) -> Da
         shapes = now.groupBy("shape").agg(weight.alias("p_shape"))
         x = F.round((F.col("p_left") + F.col("p_shape")) / 2, 9)
         found = edges.join(lefts, "left").join(shapes, "shape").select("inst", F.when(F.col("seed"), 1.0).when(F.col("backed") >= support, x).otherwise(0.0).alias("s"))
-        s = cut(found.groupBy("inst").agg(F.max("s").alias("s")))
+        s = cut(found.groupBy("inst").agg(F.max("s").alias("s")), tasks=tasks)
     return s
 
 
@@ -128,9 +128,10 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: i
         .withColumn("seed", (F.coalesce("past_end", F.lit(-1)) > F.col("start")) | (F.coalesce("next_start", F.lit(1 << 40)) < F.col("end")))
     )
     marked = cut(marked.select("key", "copy", "start", "end", "left", "shape", "inst", "seed"))
+    tasks = tasks_for(marked.count(), 50_000)
     seeds = marked.groupBy("inst").agg(F.max("seed").alias("seed"))
-    edges = cut(marked.groupBy("inst", "left", "shape").agg(F.count("*").alias("n")).join(seeds, "inst"))
-    known = scored(edges, rounds, confidence, support).filter(F.col("s") >= confidence).select("inst")
+    edges = cut(marked.groupBy("inst", "left", "shape").agg(F.count("*").alias("n")).join(seeds, "inst"), tasks=tasks)
+    known = scored(edges, rounds, confidence, support, tasks).filter(F.col("s") >= confidence).select("inst")
     extra = marked.filter(~F.col("seed")).join(known, "inst").select("key", "copy", F.lit("id").alias("kind"), "start", "end")
     return base.select("key", "copy", "kind", "start", "end").unionByName(extra)
 

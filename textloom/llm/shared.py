@@ -40,16 +40,23 @@ def batches_of(spark: SparkSession, rows: int | None) -> Iterator[None]:
         spark.conf.set(key, old)
 
 
-def cut(df: DataFrame, rows: int | None = FEW) -> DataFrame:
-    """Write df to the shared folder and read it back: computed once, and safe from lost executors."""
+def tasks_for(rows: int, each: int) -> int:
+    """How many tasks so many rows are worth: a table of few rows is no reason for a file from each shuffle partition."""
+    return max(4, -(-rows // each))
+
+
+def cut(df: DataFrame, rows: int | None = FEW, tasks: int | None = None) -> DataFrame:
+    """Write df to the shared folder, from so many tasks at most, and read it back: computed once, and safe from lost
+    executors."""
     shared_dir(df.sparkSession)
     with batches_of(df.sparkSession, rows):
-        return df.checkpoint()
+        return (df.coalesce(tasks) if tasks else df).checkpoint()
 
 
-def kept(df: DataFrame, path: str, rows: int = FEW, by: str | None = None) -> DataFrame:
-    """df, written to a folder of the shared place (partitioned by a column) and read back: computed once, only the columns
-    asked for are read again, and Spark knows its size."""
+def kept(df: DataFrame, path: str, rows: int = FEW, by: str | None = None, tasks: int | None = None) -> DataFrame:
+    """df, written to a folder of the shared place (partitioned by a column, from so many tasks at most) and read back:
+    computed once, only the columns asked for are read again, and Spark knows its size."""
+    df = df.coalesce(tasks) if tasks else df
     with batches_of(df.sparkSession, rows):
         (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
