@@ -183,26 +183,27 @@ def connected(links: DataFrame, rounds: int = 100) -> DataFrame:
     spark = links.sparkSession
     folder, tables = f"{_checkpoint_dir(spark)}/components-{uuid.uuid4().hex}", itertools.count()
 
-    def kept(df: DataFrame) -> DataFrame:
-        # A checkpoint would keep the product of its sides as a join's size, which squares from join to join.
+    def kept(df: DataFrame, rows: int | None = None) -> DataFrame:
+        # A checkpoint would keep the product of its sides as a join's size, which squares from join to join. What is left
+        # of the links shrinks from round to round, and the number of tasks with it.
         path = f"{folder}/{next(tables)}"
-        df.write.parquet(path)
+        (df if rows is None else df.coalesce(max(1, -(-rows // 100_000)))).write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
     try:
         ends = links.filter("a <> b").select("a", "b")
         both = kept(ends.union(ends.select("b", "a")).distinct())
         levels: list[DataFrame] = []
-        while not both.isEmpty():
+        while n := both.count():
             if len(levels) == rounds:
                 raise RuntimeError(f"components have not settled in {rounds} rounds")
             near = both.groupBy("a").agg(F.min("b").alias("p")).withColumnRenamed("a", "id")
             back = near.select(F.col("id").alias("p"), F.col("p").alias("pp"))
             first = (F.col("pp") == F.col("id")) & (F.col("id") < F.col("p"))
-            root = kept(near.join(back, "p").select("id", F.when(first, F.col("id")).otherwise(F.col("p")).alias("p")))
+            root = kept(near.join(back, "p").select("id", F.when(first, F.col("id")).otherwise(F.col("p")).alias("p")), n)
             for _ in range(rounds):
                 up = root.select(F.col("id").alias("p"), F.col("p").alias("pp"))
-                new = kept(root.join(up, "p").select("id", F.col("pp").alias("p"), (F.col("p") != F.col("pp")).alias("moved")))
+                new = kept(root.join(up, "p").select("id", F.col("pp").alias("p"), (F.col("p") != F.col("pp")).alias("moved")), n)
                 root = new.select("id", "p")
                 if new.filter("moved").isEmpty():
                     break
@@ -210,7 +211,7 @@ def connected(links: DataFrame, rounds: int = 100) -> DataFrame:
                 raise RuntimeError(f"roots have not settled in {rounds} jumps")
             levels.append(root)
             a, b = root.select(F.col("id").alias("a"), F.col("p").alias("ra")), root.select(F.col("id").alias("b"), F.col("p").alias("rb"))
-            both = kept(both.join(a, "a").join(b, "b").filter("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+            both = kept(both.join(a, "a").join(b, "b").filter("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), n)
         if not levels:
             return _cut(both.select(F.col("a").alias("id"), F.col("b").alias("component")))
         label = levels.pop()

@@ -70,7 +70,8 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int = 5, k1: float = 1.5, b:
     source = match_filter(chunks, wanted) if prefilter else chunks
     each = source.select("chunk_id", terms(F.col("text")).alias("t"))
     size = each.agg(F.count("*").alias("n_docs"), F.avg(F.size("t")).alias("mean_len"))
-    df = each.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).join(size.select("n_docs"), F.lit(True))
+    # The outer form of explode, as Spark would test the array of the other one below, and find its terms twice.
+    df = each.select(F.explode_outer(F.array_distinct("t")).alias("term")).filter("term is not null").groupBy("term").agg(F.count("*").alias("df")).join(size.select("n_docs"), F.lit(True))
     raw = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)) if idf == "okapi_eps" else F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = df.withColumn("raw", raw)
     if idf == "okapi_eps":
@@ -81,7 +82,7 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int = 5, k1: float = 1.5, b:
     asked = queries.select("query_id", F.explode(terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     # Only terms that are asked for are dealt out.
     wanted_terms = asked.select("term").distinct()
-    met = each.select("chunk_id", F.size("t").alias("len"), F.explode("t").alias("term")).join(wanted_terms, "term", "left_semi")
+    met = each.select("chunk_id", F.size("t").alias("len"), F.explode_outer("t").alias("term")).join(wanted_terms, "term", "left_semi")
     postings = met.groupBy("chunk_id", "len", "term").agg(F.count("*").alias("tf"))
     hits = asked.join(weights.select("term", "idf"), "term").join(postings, "term").join(size.select("mean_len"), F.lit(True))
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean_len")))
