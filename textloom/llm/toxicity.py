@@ -166,16 +166,18 @@ class Sample:
         self.sentence = np.repeat(np.arange(len(each), dtype=np.int32), [len(s) for _, s in each])
         self.words = list(vocabulary)
         self.label = np.where(toxic[self.text], 1.0, -1.0)
-        rows, columns, values = [], [], []
+        rows, columns, values, codes_of = [], [], [], np.zeros(0, np.int32)
         for part, code, weight, norm in features(self.words, LETTERS, SPAN):
             rows.append(np.repeat(part, len(weight)).astype(np.int32))
             columns.append(code.ravel().astype(np.int32))
             values.append((weight[None] / norm[:, None]).ravel().astype(np.float32))
-        self.row = np.concatenate(rows) if rows else np.zeros(0, np.int32)
-        codes_of = np.concatenate(columns) if rows else np.zeros(0, np.int32)
-        self.codes, self.column = np.unique(codes_of, return_inverse=True)
-        self.column = self.column.astype(np.int32)
-        self.value = np.concatenate(values) if rows else np.zeros(0, np.float32)
+            codes_of = np.union1d(codes_of, columns[-1])
+        self.row = np.concatenate([np.zeros(0, np.int32), *rows])
+        self.value = np.concatenate([np.zeros(0, np.float32), *values])
+        del rows, values
+        self.codes = codes_of
+        # Part by part, so that no index of all is made at once.
+        self.column = np.concatenate([np.zeros(0, np.int32), *[np.searchsorted(codes_of, x).astype(np.int32) for x in columns]])
 
     def dense(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The vectors of some words, and the columns that any of them has."""
@@ -187,6 +189,15 @@ class Sample:
         np.add.at(out, (place[self.row[on]], inverse), self.value[on])
         return out, columns
 
+    def of_marks(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The entries of some words' vectors by column: the word's place, the column's, the value; and the columns."""
+        place = np.full(len(self.words), -1, np.int32)
+        place[words] = np.arange(len(words))
+        on = np.flatnonzero(place[self.row] >= 0)
+        on = on[np.argsort(self.column[on], kind="stable")]
+        columns, at = np.unique(self.column[on], return_inverse=True)
+        return place[self.row[on]], at, self.value[on], columns
+
     def of_words(self, w: np.ndarray) -> np.ndarray:
         """The inner product of each word with w."""
         return np.bincount(self.row, self.value * w[self.column], len(self.words))
@@ -238,18 +249,24 @@ def train(sample: Sample, landmarks: int = 1024, cost: float = 100.0, steps: int
     clean = np.flatnonzero(np.bincount(sample.word, told[sample.sentence] < 0, len(sample.words)) > 0)
     some = np.random.default_rng(0).permutation(clean)[: landmarks // 2]
     marks = np.union1d(pursue(sample, sample.mixed(told), toxic, landmarks // 2), some)
-    m, columns = sample.dense(marks)
-    values, vectors = np.linalg.eigh((m @ m.T).astype(np.float64))
+    of, at, value, columns = sample.of_marks(marks)
+    gram = np.zeros((len(marks), len(marks)))
+    for a in range(0, len(columns), 8192):
+        lo, hi = np.searchsorted(at, [a, a + 8192])
+        part = np.zeros((len(marks), 8192), np.float32)
+        np.add.at(part, (of[lo:hi], at[lo:hi] - a), value[lo:hi])
+        gram += part @ part.T
+    values, vectors = np.linalg.eigh(gram)
     good = values > 1e-3 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
 
     def folded(z: np.ndarray) -> np.ndarray:
         w = np.zeros(len(sample.codes))
-        w[columns] = m.T @ (root @ z).astype(np.float32)
+        w[columns] = np.bincount(at, value * (root @ z)[of], len(columns))
         return w
 
     def gradient(weights: np.ndarray) -> np.ndarray:
-        return root.T @ (m @ sample.mixed(weights)[columns].astype(np.float32)).astype(np.float64)
+        return root.T @ np.bincount(of, value * sample.mixed(weights)[columns][at], len(marks))
 
     z, offset, share = np.zeros(root.shape[1]), 0.0, share * cost
     for _ in range(steps):
