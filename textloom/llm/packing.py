@@ -60,7 +60,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, length: int, doc_id: str = "
 
         table, end = id_table(path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for part, texts in blocks([batch], limit=1 << 20):
+            for part, texts in blocks([batch], limit=4 << 20):
                 rows, of = [], []
                 flat, bounds = table.of(texts)
                 data = memoryview(flat.astype("<u4").tobytes())
