@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import cosine, terms
+from ..functions.text import terms
 from .graph import _cut
 
 
@@ -29,16 +29,21 @@ def match_filter(rows: DataFrame, wanted: dict[str, str] | None) -> DataFrame:
     return rows
 
 
+def _dot(x: Column, y: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
 def _similarity(distance: str) -> Column:
+    """Of q_vector and vector, with their lengths q_norm and norm; the dot product of a cosine stops at the shorter one."""
     q, v = F.col("q_vector"), F.col("vector")
-    pair = lambda f: F.aggregate(F.zip_with(q, v, f), F.lit(0.0), lambda s, x: s + x)
-    d = lambda x: x.cast("double")
     if distance == "cosine":
-        return cosine(q, v)
+        n = F.least(F.size(q), F.size(v))
+        both = F.when(F.size(q) == F.size(v), _dot(q, v)).otherwise(_dot(F.slice(q, 1, n), F.slice(v, 1, n)))
+        return F.when(F.col("q_norm") * F.col("norm") == 0, 0.0).otherwise(both / (F.col("q_norm") * F.col("norm")))
     if distance == "dot":
-        return pair(lambda a, b: d(a) * d(b))
+        return _dot(q, v)
     if distance == "euclid":
-        return -F.sqrt(pair(lambda a, b: (d(a) - d(b)) * (d(a) - d(b))))
+        return -F.sqrt(F.aggregate(F.zip_with(q, v, lambda a, b: a.cast("double") - b.cast("double")), F.lit(0.0), lambda s, d: s + d * d))
     raise ValueError("distance must be cosine, dot or euclid")
 
 
@@ -46,12 +51,14 @@ def dense(queries: DataFrame, index: DataFrame, k: int = 5, distance: str = "cos
     """Exact nearest neighbours of a stated query set (query_id, q_vector) among (chunk_id, vector, ...).
 
     Every query meets every row of the index once; a partition keeps k rows of each query before anything is shuffled.
-    threshold 0: none.
+    Lengths are made once for each vector. threshold 0: none.
     """
     if not 0 <= threshold <= 1:
         raise ValueError("threshold must be from 0 to 1")
-    kept = match_filter(index, wanted).select("chunk_id", "vector")
-    scored = kept.join(queries.select("query_id", "q_vector"), F.lit(True)).withColumn("score", _similarity(distance))
+    norm = lambda c: F.sqrt(_dot(F.col(c), F.col(c)))
+    kept = match_filter(index, wanted).select("chunk_id", "vector", norm("vector").alias("norm"))
+    asked = queries.select("query_id", "q_vector", norm("q_vector").alias("q_norm"))
+    scored = kept.join(asked, F.lit(True)).withColumn("score", _similarity(distance))
     if threshold:
         scored = scored.filter(F.col("score") >= threshold)
     return top(scored.select("query_id", "chunk_id", "score"), k)
