@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import cut, drop_folder, kept, new_folder, partitions  # noqa: F401
+from .shared import DOCUMENTS, cut, drop_folder, kept, new_folder, partitions, tasks_for  # noqa: F401
 from .words import Words, blocks, mix
 
 SLICE = 8 << 20
@@ -453,7 +453,8 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
     folder = new_folder(spark, "katz")
     kept_in = tables or folder
     named = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).alias("text"))
-    slices, table = _bucketed(_slices(named), folder, partitions(spark))
+    tasks = tasks_for(docs.count(), DOCUMENTS)
+    slices, table = _bucketed(_slices(named.coalesce(tasks)), folder, min(tasks, partitions(spark)))
     of = slices.agg(F.count("*"), F.coalesce(F.sum(F.size(F.filter("held", lambda h: ~h))), F.lit(0))).first()
     trained, buckets = int(of[1]), _buckets(int(of[0]), partitions(spark))
     words = kept(_count_words(_ask_words(slices, buckets), buckets), f"{kept_in}/words", rows=4, by="bucket")

@@ -17,12 +17,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graphs import components
-from .shared import cut, tasks_for
+from .shared import DOCUMENTS, cut, tasks_for
 from .words import Words, blocks, mix, runs
 
 BANDS, ROWS, BITS = 24, 4, 8
-#: Documents that are worth a task where they or their pairs are written.
-DOCUMENTS = 5000
 _rng = np.random.Generator(np.random.PCG64(97))
 _A = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
@@ -188,8 +186,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     node = F.struct(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("copy")).alias("node")
     named = docs.select(node, F.col(text).alias("text"))
-    stage = cut(signatures(named, size))
-    tasks = tasks_for(stage.count(), DOCUMENTS)
+    tasks = tasks_for(docs.count(), DOCUMENTS)
+    stage = cut(signatures(named, size), tasks=tasks)
     full = stage.filter("n_shingles > 0 and node.doc_id is not null")
     classes = full.groupBy("f1", "f2").agg(F.min("node").alias("rep"))
     members = full.select("node", "f1", "f2").join(classes, ["f1", "f2"]).select("node", "rep").distinct()

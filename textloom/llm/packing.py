@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .segments import SegmentIds
-from .shared import cut, kept, new_folder, partitions, tasks_for
+from .shared import DOCUMENTS, cut, kept, new_folder, partitions, tasks_for
 from .words import blocks
 
 #: Rows of sizes and places that are worth a task where they are written.
@@ -213,4 +213,4 @@ def pack(items: DataFrame, length: int = 1024, size: str = "length", by: tuple[s
 def pack_documents(docs: DataFrame, path: str, end_id: int = 2, length: int = 1024, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """pieces() of whole documents with the sequence_id and offset of pack(). A null or empty text is one piece of the end
     id; repeated rows and rows without doc_id are placed one by one; an empty table gives no rows; other columns go."""
-    return pack(cut(pieces(docs, path, end_id, length, doc_id, text)), length, "length", ("doc_id", "piece", "start", "ids_crc32"))
+    return pack(cut(pieces(docs, path, end_id, length, doc_id, text), tasks=tasks_for(docs.count(), DOCUMENTS)), length, "length", ("doc_id", "piece", "start", "ids_crc32"))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, tasks_for
+from .shared import DOCUMENTS, cut, tasks_for
 
 #: Kinds in the order of results, with their patterns. They match as email [A-Za-z0-9._%+-]+@..., and so
 #: on, do, but start only where a run of their characters or the last match ends, so that long runs cost linear time.
@@ -96,6 +96,7 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: i
     matched = [_matches(F.col("text"), k, p, HINTS[k]) for k, p in KINDS.items()]
     tokens = _matches(F.col("text"), "token", TOKEN, "[0-9]")
     some = named.filter(F.col("text").rlike("[0-9@]")).select("key", "copy", F.concat(*matched, tokens).alias("rows"))
+    tasks = tasks_for(docs.count(), DOCUMENTS)
     order = Window.partitionBy("key", "copy", "kind").orderBy("k")
     placed = (
         some.filter(F.size("rows") > 0)
@@ -113,7 +114,8 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: i
         .filter("valid")
         .withColumn("start", F.when(token, F.col("start") + F.length(outer)).otherwise(F.col("start")))
         .withColumn("end", F.when(token, F.col("start") + F.length(inner)).otherwise(F.col("end")))
-        .select("key", "copy", "kind", "start", "end", F.when(token, F.lower("before")).alias("left"), F.when(token, shape(inner)).alias("shape"), F.when(token, F.xxhash64(F.lower(inner))).alias("inst"))
+        .select("key", "copy", "kind", "start", "end", F.when(token, F.lower("before")).alias("left"), F.when(token, shape(inner)).alias("shape"), F.when(token, F.xxhash64(F.lower(inner))).alias("inst")),
+        tasks=tasks,
     )
     base = found.filter("kind <> 'token'")
     # A token that a base span touches is a seed: among the spans of its text in order, the furthest end so far and, in
@@ -127,8 +129,7 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: i
         .filter("kind = 'token'")
         .withColumn("seed", (F.coalesce("past_end", F.lit(-1)) > F.col("start")) | (F.coalesce("next_start", F.lit(1 << 40)) < F.col("end")))
     )
-    marked = cut(marked.select("key", "copy", "start", "end", "left", "shape", "inst", "seed"))
-    tasks = tasks_for(marked.count(), 50_000)
+    marked = cut(marked.select("key", "copy", "start", "end", "left", "shape", "inst", "seed"), tasks=tasks)
     seeds = marked.groupBy("inst").agg(F.max("seed").alias("seed"))
     edges = cut(marked.groupBy("inst", "left", "shape").agg(F.count("*").alias("n")).join(seeds, "inst"), tasks=tasks)
     known = scored(edges, rounds, confidence, support, tasks).filter(F.col("s") >= confidence).select("inst")

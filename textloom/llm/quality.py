@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import DOCUMENTS, cut, tasks_for
 from .words import Words, blocks, mix, runs
 
 _SYMBOLS = np.zeros(256, bool)
@@ -102,7 +102,7 @@ def quality_rules(
     count as one document of their host; rows without doc_id count one by one. An empty table gives no rows. Other
     columns are dropped.
     """
-    base = cut(text_counts(docs, doc_id, host, text).withColumn("row", F.monotonically_increasing_id()))
+    base = cut(text_counts(docs, doc_id, host, text).withColumn("row", F.monotonically_increasing_id()), tasks=tasks_for(docs.count(), DOCUMENTS))
     named = base.withColumn("host", F.coalesce("host", F.lit("\0"))).withColumn("alone", F.when(F.col("doc_id").isNull(), F.col("row")))
     lines = named.select("row", "doc_id", "alone", "host", F.explode("lines").alias("x")).select("row", "doc_id", "alone", "host", "x.line", "x.words")
     # Documents count once, however many rows they have.

@@ -40,6 +40,10 @@ def batches_of(spark: SparkSession, rows: int | None) -> Iterator[None]:
         spark.conf.set(key, old)
 
 
+#: Documents that are worth a task where they, or what is made of them, are written.
+DOCUMENTS = 5000
+
+
 def tasks_for(rows: int, each: int) -> int:
     """How many tasks so many rows are worth: a table of few rows is no reason for a file from each shuffle partition."""
     return max(4, -(-rows // each))

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import drop_folder, kept, new_folder, partitions
+from .shared import DOCUMENTS, drop_folder, kept, new_folder, partitions, tasks_for
 from .words import Words, blocks, runs
 
 #: Windows of a unit, at most.
@@ -134,7 +134,7 @@ class FingerprintIndex:
         earlier batch, holds too."""
         self.kind = batch.schema["doc_id"].dataType.simpleString()
         grouped = batch.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-        run = self._write(grouped.repartition(self.buckets, "anchor"), "run")
+        run = self._write(grouped.repartition(self.buckets, "anchor").coalesce(self.buckets), "run")
         seen = self.run(run)
         for past in self.runs:
             old = self.run(past).select("anchor", F.col("lo").alias("past_lo"), F.col("hi").alias("past_hi"))
@@ -253,24 +253,25 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
     spark = docs.sparkSession
     folder = new_folder(spark, "substrings")
     keyed = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("copy"), F.col(text).alias("text"))
-    stage = kept(fingerprints(keyed, window, gram), f"{folder}/units")
+    tasks = tasks_for(docs.count(), DOCUMENTS)
+    stage = kept(fingerprints(keyed, window, gram), f"{folder}/units", tasks=tasks)
     known = stage.filter("doc_id is not null")
     pairs = known.select("doc_id", F.explode("anchors").alias("anchor"))
-    index = FingerprintIndex(spark)
+    index = FingerprintIndex(spark, buckets=min(tasks, partitions(spark)))
     for k in range(batches):
         index.ingest(pairs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k).select("anchor", "doc_id"))
     every = known.select("doc_id", "copy", F.explode(F.arrays_zip("anchors", "marks", "pos", "n")).alias("u"))
     every = every.select("doc_id", "copy", F.col("u.anchors").alias("anchor"), F.col("u.marks").alias("mark"), F.col("u.pos").alias("pos"), F.col("u.n").alias("n"))
-    units = kept(merged(every, index.shared(), ["anchor"]), f"{folder}/shared")
+    units = kept(merged(every, index.shared(), ["anchor"]), f"{folder}/shared", tasks=tasks)
     index.drop()
-    held = kept(merged(compressed(keyed), units.select("doc_id", "copy").distinct(), ["doc_id", "copy"], "left_semi"), f"{folder}/texts")
+    held = kept(merged(compressed(keyed), units.select("doc_id", "copy").distinct(), ["doc_id", "copy"], "left_semi"), f"{folder}/texts", tasks=tasks)
     # One class for each anchor and digest; of each, the first document that holds it and one of its places there.
     first = F.min(F.struct("doc_id", "copy", "pos", "n")).alias("first")
-    classes = kept(units.groupBy("anchor", "mark").agg(first, F.max("doc_id").alias("hi")), f"{folder}/classes")
+    classes = kept(units.groupBy("anchor", "mark").agg(first, F.max("doc_id").alias("hi")), f"{folder}/classes", tasks=tasks)
     several = classes.groupBy("anchor").agg(F.count("*").alias("c"), F.min("first.doc_id").alias("least"), F.max("hi").alias("most")).filter("c > 1 and least < most")
     opened = merged(classes, several.select("anchor"), ["anchor"]).select("first.doc_id", "first.copy", F.struct("anchor", "mark", "first.pos", "first.n").alias("u"))
     asked = merged(opened.groupBy("doc_id", "copy").agg(F.collect_list("u").alias("units")), held, ["doc_id", "copy"])
-    each = kept(windows_of(asked.withColumnRenamed("doc_id", "lo"), window), f"{folder}/windows")
+    each = kept(windows_of(asked.withColumnRenamed("doc_id", "lo"), window), f"{folder}/windows", tasks=tasks)
     each = each.select("lo", "anchor", "mark", F.posexplode("windows").alias("k", "window"))
     met = each.groupBy("anchor", "window").agg(F.min("lo").alias("least"), F.max("lo").alias("most")).filter("least < most").drop("most")
     earlier = merged(each, met, ["anchor", "window"]).filter("least < lo").groupBy("anchor", "mark").agg(F.collect_set("k").alias("ks"))
@@ -284,6 +285,6 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
     out = merged(stage.select("doc_id", "copy", "n_words", "sha"), found, ["doc_id", "copy"], "left")
     texts = ["copy", "kept_text"] if with_text else []
     out = out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha", "sha").alias("kept_sha256"), *texts)
-    out = kept(out, f"{folder}-result")
+    out = kept(out, f"{folder}-result", tasks=tasks)
     drop_folder(spark, folder)
     return out
