@@ -192,7 +192,7 @@ def connected(links: DataFrame, rounds: int = 100) -> DataFrame:
 
     try:
         ends = links.filter("a <> b").select("a", "b")
-        both = kept(ends.union(ends.select("b", "a")).distinct())
+        both = kept(ends.union(ends.select("b", "a")).distinct(), 2 * ends.count())
         levels: list[DataFrame] = []
         while n := both.count():
             if len(levels) == rounds:
