@@ -132,11 +132,11 @@ def matched(documents: DataFrame, slots: DataFrame, classes: DataFrame, slices:
     return pairs.select("seq", "next.size", "next.members")
 
 
-def own_sequences(documents: DataFrame, waiting: DataFrame, length: int, opened: int) -> tuple[DataFrame, DataFrame, int]:
+def own_sequences(documents: DataFrame, waiting: DataFrame, length: int, opened: int, path: str) -> tuple[DataFrame, DataFrame, int]:
     """The waiting documents with seq, as many of one size in a sequence as fit; the new gaps; the number of sequences."""
     before = Window.orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
     new = waiting.withColumn("left", F.col("n") - F.col("placed")).filter("left > 0").withColumn("fits", F.floor(F.lit(length) / F.col("size")))
-    new = cut(new.withColumn("bins", F.ceil(F.col("left") / F.col("fits"))).withColumn("base", F.coalesce(F.sum("bins").over(before), F.lit(0)) + opened), tasks=1)
+    new = kept(new.withColumn("bins", F.ceil(F.col("left") / F.col("fits"))).withColumn("base", F.coalesce(F.sum("bins").over(before), F.lit(0)) + opened), path, tasks=1)
     known = F.broadcast(new.withColumnRenamed("size", "of"))  # a row for each size
     rest = documents.join(known, F.col("size") == F.col("of")).withColumn("j", F.col("rank") - F.col("placed")).filter("j >= 0")
     rest = rest.withColumn("bin", F.floor(F.col("j") / F.col("fits"))).withColumn("seq", (F.col("base") + F.col("bin")).cast("long"))
@@ -164,7 +164,7 @@ def pack(items: DataFrame, length: int = 1024, size: str = "length", by: tuple[s
     rows = ranked(bundled(items, length, size, by, slices), "size", ["key"], slices).drop("key").withColumn("band", band)
     folder = new_folder(spark, "packing")
     rows = kept(rows, f"{folder}/documents", by="band", tasks=tasks_for(items.count(), ROWS))
-    sizes = cut(rows.groupBy("band", "size").agg(F.count("*").alias("n")), tasks=1)
+    sizes = kept(rows.groupBy("band", "size").agg(F.count("*").alias("n")), f"{folder}/sizes", tasks=1)
     gaps = spark.createDataFrame([], "seq long, gap int")
     steps, opened = itertools.count(), 0
 
@@ -180,23 +180,23 @@ def pack(items: DataFrame, length: int = 1024, size: str = "length", by: tuple[s
             # A gap has a slot for each document of the band that it is sure to hold.
             number_of = F.greatest(F.lit(1), F.floor(F.col("gap") / most))
             slots = gaps.filter(F.col("gap") >= least).withColumn("slot", F.explode(F.sequence(F.lit(1).cast("long"), number_of))).withColumn("room", F.floor(F.col("gap") / number_of).cast("int"))
-            classes = cut(swept(waiting, slots.groupBy(F.col("room").alias("size")).agg(F.count("*").alias("rooms"))), tasks=1)
+            classes = kept(swept(waiting, slots.groupBy(F.col("room").alias("size")).agg(F.count("*").alias("rooms"))), f"{folder}/classes-{next(steps)}", tasks=1)
             met, docs, left = classes.agg(F.sum("met"), F.sum("docs"), F.sum(F.col("docs") * F.col("size"))).first()
             total = total or docs
             if met:
                 pairs = place(matched(own, slots.drop("gap"), classes, slices), met)
                 used = pairs.groupBy("seq").agg(F.sum("size").alias("used"))
-                gaps = cut(gaps.join(used, "seq", "left").select("seq", (F.col("gap") - F.coalesce("used", F.lit(0))).cast("int").alias("gap")).filter("gap > 0"), tasks=tasks_for(opened, ROWS))
+                gaps = kept(gaps.join(used, "seq", "left").select("seq", (F.col("gap") - F.coalesce("used", F.lit(0))).cast("int").alias("gap")).filter("gap > 0"), f"{folder}/gaps-{next(steps)}", tasks=tasks_for(opened, ROWS))
                 waiting = classes.filter("docs > 0").select("size", (F.col("placed") + F.col("met")).alias("placed"), "n")
             if met == docs:
                 break
             if number < SHARED or not last and 20 * (docs - met) < total and 4 * met < docs:
                 # No two sizes of such a band leave room for another of its documents, or few are left and fewer fit: each size fills
                 # sequences of its own, and smaller documents their gaps.
-                rest, new, some = own_sequences(own, waiting, length, opened)
+                rest, new, some = own_sequences(own, waiting, length, opened, f"{folder}/own-{next(steps)}")
                 place(rest.select("seq", "size", "members"), docs - met)
                 opened += some
-                gaps = cut(gaps.unionByName(new), tasks=tasks_for(opened, ROWS))
+                gaps = kept(gaps.unionByName(new), f"{folder}/gaps-{next(steps)}", tasks=tasks_for(opened, ROWS))
                 break
             if not met:
                 # Sequences for what is left, if they were filled whole; the next supersteps fill them.
