@@ -1,4 +1,4 @@
-"""The queries op1 to op10 over the documents table, and SQL for those that SQL can express."""
+"""The queries op1 to op13 over the documents and embeddings tables, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, katz, langid, media, neardup, packing, pii, quality, substrings, toxicity
+from . import bpe, katz, langid, media, mixing, neardup, packing, phrases, pii, quality, substrings, toxicity, whitening
 from .shared import hash_sample
 
 
@@ -78,8 +78,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(documents(spark, sf_dir))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir))
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_katz, op2_minhash, op3_substrings, op4_pii, op5_toxicity, op6_byte_bpe, op7_media, op8_language, op9_packing, op10_quality)}
+    return {f.__name__: f for f in (op1_katz, op2_minhash, op3_substrings, op4_pii, op5_toxicity, op6_byte_bpe, op7_media, op8_language, op9_packing, op10_quality, op11_collocations, op12_mixing, op13_whitening)}
 
 
 TOKENS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
@@ -117,7 +129,20 @@ OP10_SQL = f"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, {TO
     FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN gone USING (doc_id))
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * (n_words - n_removed) >= 50 * n_words AS kept FROM b"""
 
+OP11_SQL = rf"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+  w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p),
+  t AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM w GROUP BY 1),
+  g AS (SELECT lang, m, array_to_string(list_slice(w, i, i + m - 1), ' ') AS phrase FROM (SELECT lang, w, m, unnest(range(1, greatest(len(w) - m + 2, 1))) AS i FROM w, range(1, 6) AS r(m))),
+  f AS (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY 1, 2, 3 HAVING count(*) >= 100),
+  h AS (SELECT lang, phrase, max(f) AS f FROM (SELECT lang, f, array_to_string(list_slice(string_split(phrase, ' '), x + 1, x + m - 1), ' ') AS phrase FROM f, range(0, 2) AS r(x) WHERE m > 2) GROUP BY 1, 2),
+  c AS (SELECT f.lang, f.m, f.phrase, f.f AS a, string_split(f.phrase, ' ') AS w FROM f LEFT JOIN h USING (lang, phrase) WHERE f.m > 1 AND (h.f IS NULL OR 100 * h.f < 100 * f.f)),
+  k AS (SELECT lang, m, phrase, a, k, array_to_string(list_slice(w, 1, k), ' ') AS x, array_to_string(list_slice(w, k + 1, m), ' ') AS y FROM (SELECT *, unnest(range(1, m)) AS k FROM c)),
+  s AS (SELECT k.lang, k.phrase, k.a, x.f AS l, y.f AS r, t.n, k.k, 1000 * k.a::HUGEINT * t.n // (x.f::HUGEINT * y.f) AS score
+    FROM k JOIN f x ON x.lang = k.lang AND x.phrase = k.x JOIN f y ON y.lang = k.lang AND y.phrase = k.y JOIN t ON t.lang = k.lang),
+  b AS (SELECT lang, phrase, a, l, r, n, score FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM b QUALIFY rank <= 2000"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that it can express; tests hold the others against brute force."""
-    return {"op2_minhash": OP2_SQL, "op3_substrings": OP3_SQL, "op10_quality": OP10_SQL}
+    return {"op2_minhash": OP2_SQL, "op3_substrings": OP3_SQL, "op10_quality": OP10_SQL, "op11_collocations": OP11_SQL}
