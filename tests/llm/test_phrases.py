@@ -73,10 +73,9 @@ def test_long_text_in_parts(monkeypatch):
         monkeypatch.setattr(phrases, "BLOCK", limit)
         out = Counter()
         for block in phrases._blocks([batch], 5):
-            count, one = block.groups(5)
-            for c, o in zip(count.tolist(), one.tolist()):
-                i = block.at[o]
-                out[block.langs[block.lang[o]], block.prefix(i, block.size[i])] += c
+            place, count = block.groups(5)
+            for c, i in zip(count.tolist(), place.tolist()):
+                out[block.langs[block.lang[i]], block.prefix(i, block.size[i])] += c
         return out
 
     whole = counted(1 << 20)
@@ -96,7 +95,7 @@ def test_stack_over_tables():
         stack, got = phrases.Stack(4, 1), []
         for at in range(0, 500, size):
             lang, s, c = zip(*suffixes[at : at + size])
-            stack.add(pa.table({"lang": pa.array(lang), "suffix": pa.array(s, pa.binary()), "depth": pa.array([1] * len(c), pa.int8()), "c": pa.array(c, pa.int64())}))
+            stack.add(pa.table({"suffix": pa.array([x.encode() + b"\0" + y for x, y in zip(lang, s)], pa.binary()), "c": pa.array([16 * x + 1 for x in c], pa.int64())}))
             got += stack.taken().to_pylist()
         for k in range(5):
             stack.close(k)

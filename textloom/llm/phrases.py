@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from urllib.parse import quote, unquote
 
 import numpy as np
 import pyarrow as pa
@@ -15,10 +16,10 @@ from pyspark.sql import functions as F
 from .shared import cut, partitions
 from .words import hashed
 
-#: Bytes of text that are taken apart at a time; memory per task is about 20 times this.
-BLOCK = 8 << 20
+#: Bytes of text that are taken apart at a time; memory per task is about 30 times this.
+BLOCK = 4 << 20
 
-#: Rows of sorted suffixes that are counted at a time.
+#: Rows of sorted suffixes that are written or counted at a time.
 ROWS = 20_000
 
 #: In a suffix words are parted by byte 0, which sorts before all others; byte 0 within a word is written as a space, which
@@ -26,16 +27,18 @@ ROWS = 20_000
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _LETTERS = bytes(range(65, 91))
 _CODES = bytes.maketrans(_LETTERS + b"\0 \t" + _ENDS, _LETTERS.lower() + b" \0\0" + b"\n" * len(_ENDS))
-_SWAP = bytes.maketrans(b"\0 ", b" \0")
 _BETWEEN = re.compile(rb"[ \t-\r.,;:!?]")
 
+#: A row's count and the words of its key share a number; so phrases have less than this many words.
+_DEPTHS = 16
+
 
 class Block:
-    """The suffixes of some parts of texts: those that start within the first `owned` bytes of their part.
+    """The words of some parts of texts as numbers in order, and what suffixes start at those that stand within the first
+    `owned` bytes of their part (`at`).
 
     buffer[start[i]:end[i + k - 1]] are the first k words from word i on, and size[i] says how many there are within its
-    piece, `longest` at most; `at` are the words that are owned, and levels[k] numbers the (language, first k words) of each
-    in order.
+    piece, `longest` at most.
     """
 
     def __init__(self, langs: list[str], parts: list[bytes], owned: list[int], longest: int):
@@ -47,38 +50,56 @@ class Block:
         n, width = len(start), end - start
         ends = np.cumsum([len(p) + 1 for p in parts])
         part = np.searchsorted(ends, start, side="right")
-        first = np.concatenate([[0], ends[:-1]])
-        self.at = np.flatnonzero(start - first[part] < np.array(owned)[part])
+        self.at = np.flatnonzero(start - np.concatenate([[0], ends[:-1]])[part] < np.array(owned)[part])
+        self.langs = sorted(set(langs))
+        number = {x: i for i, x in enumerate(self.langs)}
+        self.lang = np.array([number[x] for x in langs], np.int64)[part]
         keep = ~(blank & np.concatenate([[True], gap[:-1]]))
-        place = np.cumsum(keep) - 1
-        data_kept = data[keep]
-        self.buffer = data_kept.tobytes()
-        self.start = place[start]
-        self.end = self.start + width
+        self.start = np.cumsum(keep, dtype=np.int32)[start] - 1
+        self.end = self.start + width.astype(np.int32)
+        tight = data[keep]
+        self.buffer = tight.tobytes()
         last = np.ones(n, bool)
         if n:
-            last[:-1] = ~((self.start[1:] == self.end[:-1] + 1) & (data_kept[self.end[:-1]] == 0))
+            last[:-1] = ~((self.start[1:] == self.end[:-1] + 1) & (tight[self.end[:-1]] == 0))
         stops = np.flatnonzero(last)
         self.size = np.minimum(longest, stops[np.searchsorted(stops, np.arange(n))] - np.arange(n) + 1) if n else np.zeros(0, np.int64)
         offsets = np.concatenate([[0], np.cumsum(width)]).astype(np.int32)
         coded = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(data[~gap])]).dictionary_encode()
-        order = np.empty(len(coded.dictionary), np.int64)
-        order[pc.sort_indices(coded.dictionary).to_numpy()] = np.arange(1, len(order) + 1)
-        word = order[coded.indices.to_numpy()] if n else np.zeros(0, np.int64)
-        self.langs = sorted(set(langs))
-        number = {x: i for i, x in enumerate(self.langs)}
-        self.lang = np.array([number[x] for x in langs], np.int64)[part[self.at]]
-        self.levels = [self.lang]
-        for k in range(longest):
-            following = np.where(self.size[self.at] > k, word[np.minimum(self.at + k, n - 1)], 0)
-            self.levels.append(np.unique(self.levels[-1] * (len(order) + 1) + following, return_inverse=True)[1])
-
-    def groups(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each number at level k the number of its suffixes, and the place in `at` of one of them."""
-        of = self.levels[k]
-        one = np.zeros(int(of.max()) + 1 if len(of) else 0, np.int64)
-        one[of] = np.arange(len(of))
-        return np.bincount(of, minlength=len(one)), one
+        order = pc.sort_indices(coded.dictionary)
+        self.words = coded.dictionary.take(order)
+        rank = np.empty(len(order), np.int64)
+        rank[order.to_numpy()] = np.arange(1, len(order) + 1)
+        self.word = rank[coded.indices.to_numpy()] if n else np.zeros(0, np.int64)
+
+    def longer(self, places: np.ndarray, of: np.ndarray, k: int) -> np.ndarray:
+        """Numbers, in order, of groups of suffixes by their first k words, from those by one word less. A suffix that ends
+        before has 0 for a word."""
+        following = np.where(self.size[places] >= k, self.word[np.minimum(places + k - 1, len(self.word) - 1)], 0)
+        return np.unique(of * (len(self.words) + 1) + following, return_inverse=True)[1]
+
+    def groups(self, longest: int) -> tuple[np.ndarray, np.ndarray]:
+        """One place of each different suffix, by language and its first two words, and how many there are."""
+        of = self.longer(self.at, self.lang[self.at], 1)
+        if longest > 1:
+            of = self.longer(self.at, of, 2)
+        left, rank = self.at, of
+        places, ranks, counts = [], [], []
+        for k in range(3, longest + 2):
+            n = np.bincount(of)
+            # Suffixes that are alone already aren't looked at again.
+            one = n[of] == 1 if k <= longest else np.zeros(len(of), bool)
+            places.append(left[one])
+            ranks.append(rank[one])
+            counts.append(n[of[one]])
+            left, rank, of = left[~one], rank[~one], of[~one]
+            if k <= longest:
+                of = self.longer(left, of, k)
+        some = np.zeros(int(of.max()) + 1 if len(of) else 0, np.int64)
+        some[of] = np.arange(len(of))
+        place, count = np.concatenate([*places, left[some]]), np.concatenate([*counts, np.bincount(of)[: len(some)]])
+        order = np.argsort(np.concatenate([*ranks, rank[some]]), kind="stable")
+        return place[order], count[order]
 
     def prefix(self, i: int, k: int) -> bytes:
         return self.buffer[self.start[i] : self.end[i + k - 1]]
@@ -113,39 +134,64 @@ def _frequent(longest: int, share: float) -> Callable:
     def run(batches):
         for block in _blocks(batches, longest):
             rows = [("", b"", 0, len(block.at))]
+            left, of = block.at, block.lang[block.at]
             for k in range(1, longest):
-                count, one = block.groups(k)
-                for g in np.flatnonzero(count >= share * len(block.at)):
-                    i = block.at[one[g]]
-                    if block.size[i] >= k:
-                        rows.append((block.langs[block.lang[one[g]]], block.prefix(i, k), k, int(count[g])))
+                left, of = left[block.size[left] >= k], of[block.size[left] >= k]
+                if not len(left):
+                    break
+                of = block.longer(left, of, k)
+                n = np.bincount(of)
+                often = n[of] >= share * len(block.at)
+                left, of = left[often], of[often]
+                for g, i in zip(*np.unique(of, return_index=True)):
+                    rows.append((block.langs[block.lang[left[i]]], block.prefix(left[i], k), k, int(n[g])))
             lang, prefix, words, c = zip(*rows)
             yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(prefix, pa.binary()), pa.array(words, pa.int32()), pa.array(c, pa.int64())], ["lang", "prefix", "words", "c"])
 
     return run
 
 
+def _depths(block: Block, place: np.ndarray, longest: int, hot: dict[str, set[bytes]]) -> np.ndarray:
+    """How many words of each suffix make up its key: those of its shortest prefix that isn't hot."""
+    depth = np.ones(len(place), np.int64)
+    for number, lang in enumerate(block.langs):
+        known = hot.get(lang, set())
+        first = pc.index_in(pa.array([p for p in known if b"\0" not in p], pa.binary()), value_set=block.words).drop_null().to_numpy()
+        left = np.flatnonzero((block.lang[place] == number) & np.isin(block.word[place], first + 1))
+        for k in range(2, longest + 1):
+            depth[left] = k
+            left = left[block.size[place[left]] >= k]
+            if k < longest:
+                start, end = block.start[place[left]].tolist(), block.end[place[left] + k - 1].tolist()
+                left = left[np.fromiter((block.buffer[a:b] in known for a, b in zip(start, end)), bool, len(left))]
+    return depth
+
+
+def _slices(buffer: bytes, start: np.ndarray, end: np.ndarray, heads: list[bytes], head: np.ndarray) -> pa.Array:
+    """buffer[start:end] for each pair, each led by one of heads."""
+    ahead, body = np.array([len(h) for h in heads])[head], (end - start).astype(np.int64)
+    offsets = np.concatenate([[0], np.cumsum(ahead + body)])
+    out, at = np.empty(offsets[-1], np.uint8), offsets[:-1]
+    inner = np.arange(body.sum()) - np.repeat(np.cumsum(body) - body, body)
+    out[np.repeat(at + ahead, body) + inner] = np.frombuffer(buffer, np.uint8)[np.repeat(start, body) + inner]
+    for i, h in enumerate(heads):
+        out[at[head == i][:, None] + np.arange(len(h))] = np.frombuffer(h, np.uint8)
+    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out)])
+
+
 def _suffixes(longest: int, hot: dict[str, set[bytes]]) -> Callable:
-    """The suffixes of each block with how often each occurs there, and a key over their shortest prefix that isn't hot."""
+    """The suffixes of each block, led by their language, with how often each occurs there and the words of its key."""
 
     def run(batches):
         for block in _blocks(batches, longest):
-            count, one = block.groups(longest)
-            place = block.at[one]
-            depth, size = np.ones(len(one), np.int64), block.size[place]
-            for k in range(1, longest if hot else 1):
-                # Suffixes are in order, so those of one prefix stand together.
-                of = block.levels[k][one]
-                bounds = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1], [True]])) if len(of) else np.zeros(0, np.int64)
-                for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                    if depth[s] == k and size[s] >= k and block.prefix(place[s], k) in hot.get(block.langs[block.lang[one[s]]], ()):
-                        depth[s:e] = k + 1
-            key = hashed(block.buffer, block.start[place], block.end[place + np.minimum(depth, size) - 1]).view(np.int64)
-            names = np.array(block.langs, object)
-            for a in range(0, len(one), ROWS):
-                b = min(a + ROWS, len(one))
-                text = [block.buffer[s:e] for s, e in zip(block.start[place[a:b]].tolist(), block.end[place[a:b] + size[a:b] - 1].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(names[block.lang[one[a:b]]], pa.string()), pa.array(text, pa.binary()), pa.array(depth[a:b].astype(np.int8)), pa.array(key[a:b]), pa.array(count[a:b])], ["lang", "suffix", "depth", "key", "c"])
+            place, count = block.groups(longest)
+            depth, size = _depths(block, place, longest, hot), block.size[place]
+            key = (hashed(block.buffer, block.start[place], block.end[place + np.minimum(depth, size) - 1]) >> np.uint64(44)).astype(np.int32)
+            start, end, lang, c = block.start[place], block.end[place + size - 1], block.lang[place], count * _DEPTHS + depth
+            names = [quote(x, safe="").encode() + b"\0" for x in block.langs]
+            for a in range(0, len(place), ROWS):
+                b = a + ROWS
+                yield pa.RecordBatch.from_arrays([pa.array(key[a:b]), _slices(block.buffer, start[a:b], end[a:b], names, lang[a:b]), pa.array(c[a:b])], ["key", "suffix", "c"])
 
     return run
 
@@ -163,58 +209,55 @@ def _tables(batches, rows: int) -> Iterator[pa.Table]:
 
 
 class Stack:
-    """Counts of all prefixes of suffixes that come in order. Level k holds the open prefix of k words as (language,
-    prefix, whether it is always reported, count); level 0 is a language. Tables of rows are taken at a time."""
+    """Counts of all prefixes of suffixes that come in order. Level k holds the open prefix of a language and k words as
+    (prefix, whether it is always reported, count). Tables of rows are taken at a time."""
 
     def __init__(self, longest: int, least: int):
         self.longest, self.least = longest, least
-        self.open: list[tuple | None] = [None] * (longest + 1)
+        self.open: list[tuple[list[bytes], bool, int] | None] = [None] * (longest + 1)
         self.closed: list[tuple[str, str, int, int]] = []
 
     def close(self, k: int) -> None:
         if self.open[k]:
-            lang, prefix, always, c = self.open[k]
+            prefix, always, c = self.open[k]
             if always or c >= self.least:
-                self.closed.append((lang, prefix.translate(_SWAP).decode(), k, c))
+                self.closed.append((unquote(prefix[0].decode()), b" ".join(w.replace(b" ", b"\0") for w in prefix[1:]).decode(), k, c))
         self.open[k] = None
 
-    def shared(self, lang: str, words: list[bytes]) -> int:
-        """How many levels of the stack a suffix goes on with, -1 if its language is another."""
-        if not self.open[0] or self.open[0][0] != lang:
-            return -1
+    def shared(self, parts: list[bytes]) -> int:
+        """The last level of the stack that a suffix goes on with, or -1."""
         k = 0
-        while k < len(words) and self.open[k + 1] and self.open[k + 1][1].split(b"\0")[k] == words[k]:
+        while k < len(parts) and self.open[k] and self.open[k][0][k] == parts[k]:
             k += 1
-        return k
+        return k - 1
 
     def add(self, rows: pa.Table) -> None:
-        lang = rows["lang"].combine_chunks()
         suffix = rows["suffix"].combine_chunks()
-        depth, c = rows["depth"].to_numpy(), rows["c"].to_numpy()
+        c, depth = np.divmod(rows["c"].to_numpy(), _DEPTHS)
         cut_up = pc.split_pattern(suffix, "\0")
         bounds = cut_up.offsets.to_numpy()
         n, size = len(rows), np.diff(bounds)
-        word = np.full((n, self.longest), -1, np.int64)
-        word[np.repeat(np.arange(n), size), np.arange(bounds[-1] - bounds[0]) - np.repeat(bounds[:-1] - bounds[0], size)] = cut_up.flatten().dictionary_encode().indices.to_numpy()
-        code = lang.dictionary_encode().indices.to_numpy()
-        going_on = self.shared(lang[0].as_py(), suffix[0].as_py().split(b"\0"))
-        same = code[1:] == code[:-1]
+        part = np.full((n, self.longest + 1), -1, np.int32)
+        part[np.repeat(np.arange(n), size), np.arange(bounds[-1] - bounds[0]) - np.repeat(bounds[:-1] - bounds[0], size)] = cut_up.flatten().dictionary_encode().indices.to_numpy()
+        going_on = self.shared(cut_up[0].as_py())
+        same = np.ones(n - 1, bool)
         for k in range(self.longest + 1):
-            if k:
-                same = same & (word[1:, k - 1] == word[:-1, k - 1]) & (word[1:, k - 1] >= 0)
+            same = same & (part[1:, k] == part[:-1, k]) & (part[1:, k] >= 0)
             starts = np.flatnonzero(np.concatenate([[going_on < k], ~same]))
             lead = int(c[: starts[0]].sum()) if len(starts) else int(c.sum())
             if lead:
-                before = self.open[k]
-                self.open[k] = (*before[:3], before[3] + lead)
+                prefix, always, before = self.open[k]
+                self.open[k] = (prefix, always, before + lead)
             if not len(starts):
                 continue
             self.close(k)
             sums = np.add.reduceat(c, starts)
-            has, always = size[starts] >= k, depth[starts] > k
-            for g in np.flatnonzero(has & (always | (sums >= self.least) | (np.arange(len(starts)) == len(starts) - 1))):
+            has, always = size[starts] > k, depth[starts] > k
+            told = always | (sums >= self.least)
+            told[-1] = True  # stays open, if it is there
+            for g in np.flatnonzero(has & told):
                 i = int(starts[g])
-                self.open[k] = (lang[i].as_py(), b"\0".join(suffix[i].as_py().split(b"\0")[:k]), bool(always[g]), int(sums[g]))
+                self.open[k] = (cut_up[i].as_py()[: k + 1], bool(always[g]), int(sums[g]))
                 if g < len(starts) - 1:
                     self.close(k)
 
@@ -248,8 +291,9 @@ def phrase_counts(docs: DataFrame, longest: int = 5, least: int = 100) -> DataFr
     half of it over enough blocks to be seen. No more than 8 prefixes for each partition and number of words can pass, so
     they are few for the driver and the tasks. Equal suffixes of a block are one row.
     """
-    spark = docs.sparkSession
-    n = partitions(spark)
+    if not 1 < longest < _DEPTHS:
+        raise ValueError(f"longest must be from 2 to {_DEPTHS - 1}")
+    n = partitions(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text").filter("text <> ''")
     often = texts.mapInArrow(_frequent(longest, 1 / (8 * n)), "lang string, prefix binary, words int, c long")
     often = cut(often.groupBy("lang", "prefix", "words").agg(F.sum("c").alias("c")))
@@ -257,8 +301,8 @@ def phrase_counts(docs: DataFrame, longest: int = 5, least: int = 100) -> DataFr
     hot: dict[str, set[bytes]] = {}
     for r in often.filter((F.col("words") > 0) & (F.col("c") * 8 * n >= total)).collect():
         hot.setdefault(r.lang, set()).add(bytes(r.prefix))
-    suffixes = texts.mapInArrow(_suffixes(longest, hot), "lang string, suffix binary, depth tinyint, key long, c long")
-    dealt = suffixes.repartition(n, "key").select("lang", "suffix", "depth", "c").sortWithinPartitions(F.desc("lang"), F.desc("suffix"))
+    suffixes = texts.mapInArrow(_suffixes(longest, hot), "key int, suffix binary, c long")
+    dealt = suffixes.repartition(n, "key").select("suffix", "c").sortWithinPartitions(F.desc("suffix"))
     parts = dealt.mapInArrow(_counted(longest, least), "lang string, phrase string, words int, f long")
     return cut(parts.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).filter((F.col("words") == 0) | (F.col("f") >= least)))
 
