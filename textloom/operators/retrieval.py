@@ -22,6 +22,12 @@ def top(rows: DataFrame, k: int, score: str = "score") -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def at_least(rows: DataFrame, k: int, score: str = "score") -> DataFrame:
+    """The rows of each query that are as good as its k-th best."""
+    order = Window.partitionBy("query_id").orderBy(F.desc(score))
+    return rows.withColumn("_place", F.rank().over(order)).filter(F.col("_place") <= k).drop("_place")
+
+
 def match_filter(rows: DataFrame, wanted: dict[str, str] | None) -> DataFrame:
     """Rows that equal `wanted` in each column."""
     for name, value in (wanted or {}).items():
@@ -96,19 +102,25 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int = 5, k1: float = 1.5, b:
     scores = hits.withColumn("part", part).groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"))
     scores = scores.withColumn("score", F.round("score", 6))
     if keep_zero:
-        # A query lacks at most k rows, and those it matched can't be fillers: the smallest k ids that it didn't match
-        # are among the smallest k + (ids that it matched), so each query takes that many of the ids in order.
-        ids = source.select("chunk_id").distinct()
-        matched = queries.select("query_id").distinct().join(scores.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").fillna(0, ["n"]).filter(F.col("n") < k)
-        first = ids.orderBy("chunk_id").limit(2 * k)
-        rest = matched.join(first, F.lit(True)).select("query_id", "chunk_id").join(scores.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
-        scores = scores.unionByName(rest.withColumn("score", F.lit(0.0)))
+        scores = fill_zero(scores, queries, source.select("chunk_id").distinct(), k)
     best = top(scores, k)
     if wanted and not prefilter:
         best = best.join(match_filter(chunks, wanted).select("chunk_id").distinct(), "chunk_id", "left_semi")
     return best.select("query_id", "chunk_id", "score", "rank")
 
 
+def fill_zero(scores: DataFrame, queries: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """scores, with rows of score 0 for queries that have less than k: the smallest chunk_ids that they lack.
+
+    A query lacks at most k rows, and those it matched can't be fillers: the smallest k ids that it didn't match are among
+    the smallest k + (ids that it matched), so each query takes that many of the ids in order.
+    """
+    matched = queries.select("query_id").distinct().join(scores.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").fillna(0, ["n"]).filter(F.col("n") < k)
+    first = ids.orderBy("chunk_id").limit(2 * k)
+    rest = matched.join(first, F.lit(True)).select("query_id", "chunk_id").join(scores.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+    return scores.unionByName(rest.withColumn("score", F.lit(0.0)))
+
+
 def fuse(first: DataFrame, second: DataFrame, k: int = 5, alpha: float = 0.5, rrf_k: int = 60) -> DataFrame:
     """Reciprocal-rank fusion: alpha / (rrf_k + rank) of the first and 1 - alpha of the second; a side of weight 0 is
     left out of the plan."""

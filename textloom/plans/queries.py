@@ -12,6 +12,7 @@ from .. import streaming as ingest
 from ..functions import text as T
 from ..operators import answers, caching, chunkers, graph, html, quality, retrieval, tables
 from ..operators.windows import WindowConfig, windows
+from ..sources.lexical import LexicalIndex
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -296,8 +297,16 @@ BM25 = rf"""t AS (SELECT doc_id, {TERMS.format('text')} AS t FROM documents), n
   ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sc)"""
 
 
-def lexical(spark, sf_dir, k=10, **options):
-    return retrieval.bm25(_questions(spark, sf_dir), _passages(spark, sf_dir), k, **options)
+def lexical(spark, sf_dir, k=10, batches=1, **options):
+    """A search in an index of the passages that is made for it, of one segment or in several batches."""
+    folder, passages = graph.new_folder(spark, "bm25"), _passages(spark, sf_dir)
+    try:
+        index = LexicalIndex(spark, folder)
+        for i in range(batches):
+            index.add(passages if batches == 1 else passages.filter(F.pmod(F.xxhash64("chunk_id"), F.lit(batches)) == i))
+        return graph._cut(index.search(_questions(spark, sf_dir), k, **options))
+    finally:
+        sources.delete(spark, folder)
 
 
 @register(f"WITH {BM25} SELECT query_id, chunk_id, score, CAST(rank AS INT) AS rank FROM ranked WHERE rank <= 10")
@@ -310,6 +319,18 @@ def bm25_filtered(spark, sf_dir):
     return lexical(spark, sf_dir, wanted={"lang": "en"})
 
 
+@register(f"WITH {BM25} SELECT query_id, chunk_id, score, CAST(rank AS INT) AS rank FROM ranked WHERE rank <= 10")
+def bm25_segments(spark, sf_dir):
+    """The index from six batches, four of which are merged."""
+    return lexical(spark, sf_dir, batches=6)
+
+
+@register(f"WITH {BM25} SELECT query_id, chunk_id, score, CAST(rank AS INT) AS rank FROM ranked WHERE rank <= 10")
+def bm25_scan(spark, sf_dir):
+    """The same without an index."""
+    return retrieval.bm25(_questions(spark, sf_dir), _passages(spark, sf_dir), 10)
+
+
 OVERLAP = rf"""ov AS (SELECT item_id AS query_id, doc_id AS chunk_id, len(list_intersect(list_distinct({TERMS.format('b.text')}), list_distinct({TERMS.format('d.text')}))) AS score FROM benchmark b JOIN ranked ON query_id = item_id AND rank <= 20 JOIN documents d ON doc_id = chunk_id)"""
 
 
