@@ -1,4 +1,6 @@
 import json
+import time
+from datetime import timedelta
 
 from pyspark.sql import functions as F
 
@@ -45,3 +47,49 @@ def test_deduplicated_stream(spark, tmp_path):
     query = ingest.deduplicated(parsed).writeStream.format("memory").queryName("dedup_test").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("dedup_test").count() == 2
+
+
+def test_keys_expire(spark, tmp_path):
+    inbox, out = tmp_path / "in", str(tmp_path / "out")
+    inbox.mkdir()
+
+    def run(name, *keys):
+        (inbox / name).write_text("".join(json.dumps({"idempotency_key": k, "body": name, "published_at": f"2024-01-01T00:00:0{i}"}) + "\n" for i, k in enumerate(keys)))
+        parsed = ingest.parse_messages(spark.readStream.text(str(inbox)), SCHEMA)
+        ingest.run_ingestion(parsed, lambda df: df.select("idempotency_key", "body"), None, out, str(tmp_path / "checkpoint"), ttl=timedelta(seconds=12)).awaitTermination()
+
+    run("1", "a", "b")
+    began = time.time()
+    run("2", "a", "c", "c")
+    soon = time.time() - began
+    time.sleep(13)
+    run("3", "a", "d")
+    got = sorted((r.idempotency_key, r.body) for r in spark.read.parquet(f"{out}/chunks").collect())
+    assert ("a", "1") in got and ("a", "3") in got and ("d", "3") in got and got.count(("c", "2")) == 1
+    assert soon > 12 or ("a", "2") not in got
+
+
+def test_first_in_order_comes_through(spark, tmp_path):
+    (tmp_path / "a.json").write_text("".join(json.dumps({"idempotency_key": "k", "body": b, "published_at": at}) + "\n" for b, at in [("late", "2024-01-02T00:00:00"), ("early", "2024-01-01T00:00:00"), ("none", None)]))
+    parsed = ingest.parse_messages(spark.readStream.text(str(tmp_path)), SCHEMA)
+    with ingest._rocks(spark):
+        query = ingest.first_of_key(parsed).writeStream.format("memory").queryName("first_test").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert [r.body for r in spark.table("first_test").collect()] == ["early"]
+
+
+def test_one_poison_message_of_a_thousand(spark):
+    sent = spark.range(1000).select(F.col("id").cast("string").alias("idempotency_key"), "id")
+    runs = []
+
+    def work(given):
+        runs.append(1)
+        return given.select("idempotency_key", F.when(F.col("id") == 123, F.raise_error(F.lit("boom"))).otherwise(F.col("id")).cast("long").alias("id"))
+
+    made, fates, dead = ingest.retried(sent, work)
+    assert [(r.idempotency_key, r.retry_count) for r in dead.collect()] == [("123", 3)] and "boom" in dead.first().failure_reason
+    assert made.count() == 999 == fates.filter("status = 'complete' and attempts = 2").count()
+    assert [(r.idempotency_key, r.attempts) for r in fates.filter("status = 'dead_letter'").collect()] == [("123", 4)]
+    assert len(runs) < 60
+    made, fates, dead = ingest.retried(sent.filter("id > 100 and id < 130"), work, retries=0)
+    assert made.count() == 28 and [r.idempotency_key for r in dead.collect()] == ["123"]

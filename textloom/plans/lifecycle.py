@@ -106,6 +106,17 @@ def retry_process(spark, sf_dir):
     return ingest.retried(sent, work)[1]
 
 
+@register("""SELECT event_id::VARCHAR AS idempotency_key, CASE WHEN event_id IN (3, 500) THEN 'dead_letter' ELSE 'complete' END AS status, CASE WHEN event_id IN (3, 500) THEN 4 ELSE 2 END::INT AS attempts FROM events""")
+def retry_poison(spark, sf_dir):
+    """Two messages on which the work as a whole breaks off; the others come through in the second attempt, which sets them apart."""
+    sent = read(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("idempotency_key"), "event_id", "value")
+
+    def work(given: DataFrame) -> DataFrame:
+        return given.withColumn("value", F.when(F.col("event_id").isin(3, 500), F.raise_error(F.lit("can't be read")).cast("double")).otherwise(F.col("value")))
+
+    return ingest.retried(sent, work)[1].drop("error")
+
+
 # ---- caches ----
 
 NOW = "TIMESTAMP '2024-01-31 00:00:00'"

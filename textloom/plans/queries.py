@@ -13,6 +13,7 @@ from ..functions import text as T
 from ..operators import answers, caching, chunkers, graph, html, quality, retrieval, tables
 from ..operators.windows import WindowConfig, windows
 from ..sources.lexical import LexicalIndex
+from ..sources.nearest import VectorIndex, recall
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -277,6 +278,33 @@ def mmr_topk(spark, sf_dir):
     return _rounded(retrieval.mmr(found.join(_vectors(spark, sf_dir).select("chunk_id", "vector"), "chunk_id"), 5))
 
 
+def _nearest(spark, sf_dir, k, search):
+    """What search(index, questions) gives, in an index of the vectors that is made for it."""
+    folder, rows = graph.new_folder(spark, "nearest"), _vectors(spark, sf_dir).select("chunk_id", "vector")
+    try:
+        index = VectorIndex(spark, folder)
+        index.create(rows, k=k)
+        for i in range(2):
+            index.add(rows.filter(F.pmod("chunk_id", F.lit(2)) == i))
+        return graph._cut(search(index, _probes(spark, sf_dir)))
+    finally:
+        sources.delete(spark, folder)
+
+
+@register(_dense_sql(COSINE))
+def dense_index_all_lists(spark, sf_dir):
+    """Every list is probed and every candidate scored: the exact result."""
+    return _rounded(_nearest(spark, sf_dir, 5, lambda index, asked: index.search(asked, 5, probes=10**6, depth=10**6)))
+
+
+@register("SELECT count(*) AS queries, true AS good FROM embeddings WHERE vec_id % 50 = 0")
+def dense_index_recall(spark, sf_dir):
+    """Whether at least 0.9 of the true 10 neighbours are found by the probes that the sample asks for."""
+    found = _nearest(spark, sf_dir, 10, lambda index, asked: index.search(asked, 10))
+    each = recall(found, retrieval.dense(_probes(spark, sf_dir), _vectors(spark, sf_dir), 10))
+    return each.agg(F.count("*").alias("queries"), (F.avg("recall") >= 0.9).alias("good"))
+
+
 # ---- lexical retrieval ----
 
 

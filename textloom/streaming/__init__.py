@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.graph import _cut
 
@@ -51,48 +54,118 @@ def deduplicated(stream: DataFrame, event_time: str = "published_at", delay: str
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["idempotency_key"])
 
 
+def _attempt(given: DataFrame, work: Callable[[DataFrame], DataFrame], halve: bool, bit: int = 0) -> tuple[list[DataFrame], list[DataFrame]]:
+    """What work makes of messages, written to the shared folder, and the keys it broke off on, with the error.
+
+    With halve, where work raises, the messages are halved by a bit of their key's hash and each half is tried alone, until
+    those that raise stand alone: about 2 log2(n) runs for one among n.
+    """
+    try:
+        out = work(given)
+        return [_cut(out if "error" in out.columns else out.withColumn("error", F.lit(None).cast("string")))], []
+    except Exception as x:
+        keys = given.select("idempotency_key").distinct()
+        if not halve or bit == 64 or keys.limit(2).count() < 2:
+            return [], [_cut(keys.withColumn("error", F.lit(str(x)[:1000])))]
+    done, bad = [], []
+    side = F.shiftrightunsigned(F.xxhash64("idempotency_key"), bit).bitwiseAND(F.lit(1))
+    for half in (0, 1):
+        some = given.filter(side == half)
+        if not some.isEmpty():
+            more_done, more_bad = _attempt(some, work, halve, bit + 1)
+            done, bad = done + more_done, bad + more_bad
+    return done, bad
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    return whole
+
+
 def retried(messages: DataFrame, work: Callable[[DataFrame], DataFrame], retries: int = MAX_RETRIES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Run work on messages, and again on those that failed, 1 + retries times at most.
 
-    work gets messages with `attempt` (from 0) and gives rows with idempotency_key and, where a message failed, `error`; an
-    exception fails all messages of that attempt. Returns what work made of the messages that came through, their fates
-    (idempotency_key, status, attempts, error), and the dead letters with failure_reason and retry_count. What an attempt
-    made is written to the shared folder, so work runs once for each attempt.
+    work gets messages with `attempt` (from 0) and gives rows with idempotency_key and, where a message failed, `error`.
+    Where the first attempt raises, it has failed for all, as in an outage, and all are tried again; where a later one
+    raises, the messages that make it raise are set apart from the others (see `_attempt`), so one bad message takes none
+    along. Returns what work made of the messages that came through, their fates (idempotency_key,
+    status, attempts, error), and the dead letters with failure_reason and retry_count. What an attempt made is written to
+    the shared folder, so work runs once for each attempt that doesn't raise.
     """
     spark, todo = messages.sparkSession, _cut(messages)
-    made, fates, error = [], [], "string"
+    made, fates = [], []
     for attempt in range(retries + 1):
-        given = todo.withColumn("attempt", F.lit(attempt))
-        try:
-            out = work(given)
-            out = _cut(out if "error" in out.columns else out.withColumn("error", F.lit(None).cast(error)))
-            bad = out.filter("error is not null").groupBy("idempotency_key").agg(F.min("error").alias("error"))
-        except Exception as x:  # the work as a whole broke off
-            out, said = None, str(x)[:1000]
-            bad = todo.select("idempotency_key", F.lit(said).alias("error")).distinct()
-        last = attempt == retries
-        if out is not None:
-            good = out.join(bad, "idempotency_key", "left_anti").drop("error")
-            made.append(good)
-            through = todo.select("idempotency_key").distinct().join(bad, "idempotency_key", "left_anti")
-            fates.append(through.select("idempotency_key", F.lit("complete").alias("status"), F.lit(attempt + 1).alias("attempts"), F.lit(None).cast(error).alias("error")))
-        if last:
+        outs, broken = _attempt(todo.withColumn("attempt", F.lit(attempt)), work, halve=attempt > 0 or not retries)
+        bad = _union([*[out.filter("error is not null").select("idempotency_key", "error") for out in outs], *broken])
+        bad = _cut(bad.groupBy("idempotency_key").agg(F.min("error").alias("error")))
+        for out in outs:
+            made.append(out.join(bad, "idempotency_key", "left_anti").drop("error"))
+        through = todo.select("idempotency_key").distinct().join(bad, "idempotency_key", "left_anti")
+        fates.append(through.select("idempotency_key", F.lit("complete").alias("status"), F.lit(attempt + 1).alias("attempts"), F.lit(None).cast("string").alias("error")))
+        if attempt == retries:
             fates.append(bad.select("idempotency_key", F.lit("dead_letter").alias("status"), F.lit(attempt + 1).alias("attempts"), "error"))
         todo = _cut(todo.join(bad.select("idempotency_key"), "idempotency_key", "left_semi"))
         if todo.isEmpty():
             break
-    union = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(union(parts[1:]))
     dead = todo.join(bad.select("idempotency_key", F.col("error").alias("failure_reason")), "idempotency_key").withColumn("retry_count", F.lit(retries))
-    return union(made) if made else spark.createDataFrame([], messages.schema), union(fates), dead
+    return _union(made) if made else spark.createDataFrame([], messages.schema), _union(fates), dead
+
+
+class FirstSeen(StatefulProcessor):
+    """Lets the first message of a key through and remembers the key for `ttl` of processing time after that."""
+
+    def __init__(self, order: str, ttl: timedelta):
+        self.order, self.ttl = order, ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "seen boolean", int(self.ttl.total_seconds() * 1000))
+
+    def handleInputRows(self, key, rows, timer_values) -> Iterator:
+        if self.seen.exists():
+            return
+        first = None
+        for row in rows:
+            at = row[self.order]
+            if first is None or (at is not None and (first[0] is None or at < first[0])):
+                first = (at, row)
+        self.seen.update((True,))
+        yield first[1]
 
+    def close(self) -> None:
+        pass
 
-def run_ingestion(stream: DataFrame, process: Callable[[DataFrame], DataFrame], fails: Column | None, tables: str, checkpoint: str, retries: int = MAX_RETRIES, available_now: bool = True):
+
+@contextmanager
+def _rocks(spark: SparkSession) -> Iterator[None]:
+    """Queries that start within keep their state in RocksDB, on the executors' disks and in the checkpoint folder, and run
+    no batches without data, which keys that expire don't need (such batches would follow each other without end)."""
+    keys = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def first_of_key(stream: DataFrame, order: str = "published_at", ttl: timedelta = timedelta(hours=24)) -> DataFrame:
+    """The first message of each key by `order` in its micro-batch; later ones are duplicates until `ttl` has passed. Keys
+    are state: no table of earlier ones is read. The query must be started with RocksDB state, see `run_ingestion`."""
+    return stream.groupBy("idempotency_key").transformWithState(FirstSeen(order, ttl), stream.schema, "Append", "ProcessingTime")
+
+
+def run_ingestion(stream: DataFrame, process: Callable[[DataFrame], DataFrame], fails: Column | None, tables: str, checkpoint: str, retries: int = MAX_RETRIES, available_now: bool = True, ttl: timedelta = timedelta(hours=24)):
     """Start a query that writes each micro-batch: what process() makes of messages to tables/chunks, fates to
     tables/status, dead letters to tables/dead_letter. process() is run again on messages that failed: those with `error`,
-    those of an attempt that broke off, and those for which `fails`, a column over message and attempt, is true.
+    those that make it raise, and those for which `fails`, a column over message and attempt, is true.
 
-    Files of a batch lie under its number and are overwritten when the batch is run again, so a restart leaves no second
-    copy. Statuses of earlier batches are read as one table, compacted every 100 batches.
+    A key that came within `ttl` is a duplicate; keys are kept as state, in the checkpoint, so a batch costs the same however
+    many went before, and a restart goes on from them. Files of a batch lie under its number and are overwritten when the
+    batch is run again, so a restart leaves no second copy.
     """
 
     def work(given: DataFrame) -> DataFrame:
@@ -104,23 +177,13 @@ def run_ingestion(stream: DataFrame, process: Callable[[DataFrame], DataFrame],
         return out.unionByName(given.filter(bad).select("idempotency_key", F.lit("processing failed").alias("error")), allowMissingColumns=True)
 
     def one(batch: DataFrame, number: int) -> None:
-        spark: SparkSession = batch.sparkSession
-        batch = batch.persist()
-        known = _status(spark, f"{tables}/status", number)
-        sent = submit(batch, known)
-        done = known.filter("status = 'complete'") if known is not None else spark.createDataFrame([], "idempotency_key string, status string")
-        pending = sent.filter("status = 'pending'").drop("status").join(done.select("idempotency_key"), "idempotency_key", "left_anti")
-        made, fates, dead = retried(pending, work, retries)
-        out = lambda df, name: df.write.mode("overwrite").parquet(f"{tables}/{name}/batch={number}")
-        out(made, "chunks")
-        out(dead, "dead_letter")
-        out(fates, "status")
-        if number and number % 100 == 0:
-            _compact(spark, f"{tables}/status", number)
-        batch.unpersist()
-
-    writer = stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+        made, fates, dead = retried(batch, work, retries)
+        for name, df in (("chunks", made), ("dead_letter", dead), ("status", fates)):
+            df.write.mode("overwrite").parquet(f"{tables}/{name}/batch={number}")
+
+    with _rocks(stream.sparkSession):
+        writer = first_of_key(stream, ttl=ttl).writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
+        return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
 def latest_status(statuses: DataFrame, keys: DataFrame | None = None, key: str = "idempotency_key", order: str = "batch") -> DataFrame:
@@ -129,6 +192,14 @@ def latest_status(statuses: DataFrame, keys: DataFrame | None = None, key: str =
     return last if keys is None else keys.select(key).distinct().join(last, key, "left")
 
 
+def statuses(spark: SparkSession, tables: str, number: int, compact: bool = False) -> DataFrame | None:
+    """(idempotency_key, status) of a stream's batches before `number`, for lookups; the stream itself doesn't read them.
+    compact: first write those up to the last hundred as one folder."""
+    if compact and number > 100:
+        _compact(spark, f"{tables}/status", (number - 1) // 100 * 100)
+    return _status(spark, f"{tables}/status", number)
+
+
 def _compact(spark: SparkSession, path: str, number: int) -> None:
     """Statuses of the batches up to this one as one folder, which replaces them for readers."""
     spark.read.parquet(path).filter(F.col("batch") <= number).dropDuplicates(["idempotency_key"]).drop("batch").coalesce(8).write.mode("overwrite").parquet(f"{path}_compact/upto={number}")
