@@ -76,6 +76,66 @@ def test_links_between_documents_that_no_hub_joins(spark, size):
     assert Counter(tuple(r) for r in got.collect()) == want and 3 < len({c for _, _, c, _ in want}) < len(rows) - 3
 
 
+def offered(rng, members, components, keys):
+    """Offers of members of two hubs; component 0 of each hub is the hub's own."""
+    rows = set()
+    for a in range(members):
+        hub, component = a % 2, rng.randrange(components)
+        for _ in range(3):
+            rows.add((hub, a, component, component != 0, rng.randrange(2), rng.randrange(2), rng.randrange(keys)))
+    return sorted(rows)
+
+
+OFFER = "b int, a int, component int, rest boolean, own int, partner int, edit int"
+
+
+def test_meetings_equal_nested_loops(spark):
+    rows = offered(random.Random(5), 90, 4, 5)
+    want = set()
+    for b, a, of_a, rest, own, partner, edit in rows:
+        for b2, c, of_c, rest_c, own_c, partner_c, edit_c in rows:
+            if (b, own, partner, edit) == (b2, partner_c, own_c, edit_c) and of_a != of_c and (rest or rest_c):
+                want.add((min(a, c), max(a, c)))
+    got = [tuple(r) for r in neardup.meetings(spark.createDataFrame(rows, OFFER)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_members_of_one_component_do_not_meet(spark):
+    """What a key's join looks at is a matter of its components, whatever their members; one component alone gives nothing."""
+    for n in (20, 40, 80):
+        one = [(0, a, 1, True, 0, 0, 7) for a in range(n)]
+        assert neardup.component_pairs(spark.createDataFrame(one, OFFER)).count() == 0
+        two = [*one, (0, n, 2, True, 0, 0, 7)]
+        assert neardup.component_pairs(spark.createDataFrame(two, OFFER)).count() == 2
+        assert neardup.meetings(spark.createDataFrame(two, OFFER)).count() == n
+
+
+def test_offers_of_two_clusters_grow_with_the_documents(spark, monkeypatch):
+    """Two clusters of near copies that share three quarters of their text: pairs looked at across components."""
+    seen = []
+    plain = neardup.meetings
+
+    def counted(offers):
+        seen.append((offers.count(), neardup.component_pairs(offers).count()))
+        return plain(offers)
+
+    monkeypatch.setattr(neardup, "meetings", counted)
+    rng = random.Random(9)
+    first = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    second = first[:150] + [f"u{rng.randrange(10**6)}" for _ in range(50)]
+    for n in (100, 200):
+        rows = []
+        for i in range(n):
+            words = list((first, second)[i % 2])
+            for _ in range(rng.randrange(7)):
+                words[rng.randrange(200)] = f"v{rng.randrange(10**6)}"
+            rows.append((i, " ".join(words)))
+        got = Counter(tuple(r) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=2).collect())
+        assert got == Counter(brute_near(rows, 2))
+    (_, small), (offers, large) = seen
+    assert offers <= 100 * 200 and large <= 3 * max(small, 200)
+
+
 def thue_morse(n, a, b):
     """The first n letters of the sequence, and their complement."""
     bits = [bin(i).count("1") % 2 for i in range(n)]

@@ -137,9 +137,9 @@ def across(star: DataFrame, found: DataFrame, percent: int, tasks: int) -> DataF
     Members x and y of a hub h hold the edits E_x and E_y, shingles that either x or h has. Their sets differ in as many
     shingles as the edits do, so with sizes s and q = (100 - percent) / (100 + percent) a link asks for at least
     (|E_x| + |E_y| - q (s_x + s_y)) / 2 common edits: v_x + v_y - q s_h with v_x = (|E_x| - q s_x + q s_h) / 2 >= 0.
-    This is 1 or more if the hub's component lacks one of the two. So if x lists the edits that it shares with any
-    member, rare ones first, then all but the last common - 1 of them must hold one of y's, listed likewise. A member
-    offers that many for each class of v among the members that it may meet.
+    This is 1 or more if the hub's component lacks one of the two. So if x lists the edits that members of several
+    components hold, rare ones first, then all but the last common - 1 of them must hold one of y's, listed likewise. A
+    member offers that many for each class of v among the members that it may meet.
     """
     q = (100 - percent) / (100 + percent)
     named = star.join(found.withColumnRenamed("id", "a"), "a", "left").withColumnRenamed("component", "of_a")
@@ -154,9 +154,10 @@ def across(star: DataFrame, found: DataFrame, percent: int, tasks: int) -> DataF
     #: The classes that members outside of the hub's component have, and all classes, of hubs with any such member.
     classes = member.groupBy("b").agg(F.collect_set("own").alias("all"), F.collect_set(F.when(F.col("rest"), F.col("own"))).alias("rests")).filter("size(rests) > 0")
     asked = member.join(classes, "b")
-    each = asked.select("b", "a", F.explode("edits").alias("edit"))
-    often = each.groupBy("b", "edit").agg(F.count("*").alias("n")).filter("n > 1")
-    listed = each.join(often, ["b", "edit"]).groupBy("b", "a").agg(F.array_sort(F.collect_list(F.struct("n", "edit"))).alias("shared"))
+    each = asked.select("b", "a", "component", F.explode("edits").alias("edit"))
+    # What two components share is held in both, so an edit within one leads to no link between them.
+    often = each.groupBy("b", "edit").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
+    listed = each.join(often.select("b", "edit", "n"), ["b", "edit"]).groupBy("b", "a").agg(F.array_sort(F.collect_list(F.struct("n", "edit"))).alias("shared"))
     ranked = asked.drop("edits").join(listed, ["b", "a"])
     least = F.when(F.col("partner") < 1, 0.0).otherwise(F.pow(F.lit(STEP), F.col("partner")))
     common = F.greatest(F.lit(1.0), F.ceil(F.col("v") + least - q * F.col("s") - 1e-6))
@@ -168,9 +169,27 @@ def across(star: DataFrame, found: DataFrame, percent: int, tasks: int) -> DataF
         .select("b", "a", "component", "rest", "own", "partner", F.col("x.edit").alias("edit")),
         tasks=tasks,
     )
-    left = offers.filter("rest").withColumnRenamed("component", "of_a").drop("rest")
-    right = offers.select("b", F.col("a").alias("c"), F.col("component").alias("of_c"), F.col("rest").alias("rest_c"), F.col("own").alias("partner"), F.col("partner").alias("own"), "edit")
-    met = left.join(right, ["b", "own", "partner", "edit"]).filter((F.col("of_a") != F.col("of_c")) & (~F.col("rest_c") | (F.col("a") < F.col("c"))))
+    return meetings(offers)
+
+
+def component_pairs(offers: DataFrame) -> DataFrame:
+    """The pairs of different components (of_a, of_c) that meet under a key (b, own, partner, edit), of_a not the hub's.
+
+    Components are counted once for each key, so the members of one never look at each other, however many there are.
+    """
+    once = offers.select("b", "own", "partner", "edit", "component", "rest").distinct()
+    left = once.filter("rest").drop("rest").withColumnRenamed("component", "of_a")
+    right = once.select("b", F.col("own").alias("partner"), F.col("partner").alias("own"), "edit", F.col("component").alias("of_c"))
+    return left.join(right, ["b", "own", "partner", "edit"]).filter("of_a <> of_c")
+
+
+def meetings(offers: DataFrame) -> DataFrame:
+    """The pairs (a, b) of members in different components, not both in the hub's, whose offers (b, a, component, rest, own,
+    partner, edit) meet: one's own class is the other's partner under the same hub and edit."""
+    key = ["b", "own", "partner", "edit"]
+    left = offers.filter("rest").select(*key, F.col("component").alias("of_a"), "a")
+    right = offers.select("b", F.col("own").alias("partner"), F.col("partner").alias("own"), "edit", F.col("component").alias("of_c"), F.col("a").alias("c"), F.col("rest").alias("rest_c"))
+    met = component_pairs(offers).join(left, [*key, "of_a"]).join(right, [*key, "of_c"]).filter(~F.col("rest_c") | (F.col("a") < F.col("c")))
     return met.select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("b")).distinct()
 
 
