@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import sources  # noqa: F401
 from .. import streaming as ingest
 from ..functions import text as T
-from ..operators import answers, caching, chunkers, graph, html, quality, retrieval, tables
+from ..operators import answers, caching, chunkers, communities, graph, html, quality, retrieval, tables
 from ..operators.windows import WindowConfig, windows
 from ..sources.lexical import LexicalIndex
 from ..sources.nearest import VectorIndex, recall
@@ -578,6 +578,28 @@ def graph_communities(spark, sf_dir):
     return graph.communities(graph.components(nodes, _edges(spark, sf_dir)), nodes).select("community", "size", F.array_join("names", ",").alias("names"))
 
 
+@register()
+def graph_modularity(spark, sf_dir):
+    return communities.by_modularity(_entities(spark, sf_dir), _edges(spark, sf_dir))
+
+
+@register(f"""WITH {NODES}, linked AS (SELECT src AS id FROM edge WHERE src <> dst UNION SELECT dst FROM edge WHERE src <> dst)
+  SELECT count(*) AS nodes, 0::BIGINT AS split_communities, true AS at_least_components FROM linked JOIN ent USING (id)""")
+def graph_modularity_checks(spark, sf_dir):
+    """What holds for communities by modularity: every linked node is in one, none falls apart, and they are worth at least
+    as much as the components."""
+    nodes, edges = _entities(spark, sf_dir), _edges(spark, sf_dir)
+    found = communities.by_modularity(nodes, edges)
+    links = communities.undirected(nodes, edges)
+    side = found.select(F.col("id").alias("u"), "community")
+    inner = links.join(side, "u").join(found.select(F.col("id").alias("v"), F.col("community").alias("other")), "v").filter("community = other")
+    parts = graph.connected(inner.select(F.col("u").alias("a"), F.col("v").alias("b")))
+    whole = found.join(parts, "id", "left").groupBy("community").agg(F.countDistinct(F.coalesce("component", "id")).alias("parts"))
+    apart = whole.agg(F.count(F.when(F.col("parts") > 1, 1)).alias("split_communities"))
+    ok = communities.modularity(found, links) >= communities.modularity(graph.components(nodes, edges), links)
+    return found.agg(F.count("*").alias("nodes")).join(apart).withColumn("at_least_components", F.lit(ok))
+
+
 @register("""WITH f AS (SELECT s_suppkey AS q, 'supplier-' || s_suppkey AS chunk_id, 0 AS hop FROM supplier UNION ALL SELECT s_suppkey, 'nation-' || s_nationkey, 1 FROM supplier
     UNION ALL SELECT a.s_suppkey, 'supplier-' || b.s_suppkey, 1 FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey UNION ALL SELECT s_suppkey, 'customer-' || c_custkey, 1 FROM supplier JOIN customer ON c_nationkey = s_nationkey),
   g AS (SELECT q, chunk_id, 1 AS side, row_number() OVER (PARTITION BY q ORDER BY hop, chunk_id) AS place FROM f), u AS (SELECT s_suppkey AS q, 'supplier-' || s_suppkey AS chunk_id, 0 AS side, 1 AS place FROM supplier UNION ALL SELECT * FROM g WHERE place <= 8),
