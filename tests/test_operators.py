@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom import plans, sources
 from textloom.operators import answers, caching, chunkers, graph, html, quality, retrieval, tables
-from textloom.operators.windows import WindowConfig, spans, windows
+from textloom.operators.windows import COUNTERS, WindowConfig, fitting, spans, windows
 
 
 def test_window_config_is_checked():
@@ -36,6 +36,63 @@ def test_boundaries_end_windows():
     assert all(b > a for a, b in spans(far, WindowConfig(size=5, overlap=1, min_size=3, scope="window")))
 
 
+def test_fitting_finds_the_last_end_that_is_not_over():
+    for most in range(1, 30):
+        for last in range(1, most + 1):
+            for guess in range(0, 35):
+                assert fitting(lambda e: e > last, 1, most, guess) == last
+    assert fitting(lambda e: True, 4, 9, 7) == 4
+
+
+def brute_spans(tokens, c, count):
+    start, n, floor = 0, len(tokens), max(1, c.min_size // 3)
+    while start < n:
+        end = min(start + c.size, n)
+        while end - start > 1 and count(" ".join(tokens[start:end])) > c.size:
+            end -= 1
+        if c.boundary and end < n:
+            end = next((i for i in range(end, floor, -1) if tokens[i - 1][-1] in c.boundary_chars), end)
+        if end > start:
+            yield start, end
+        if end >= n:
+            return
+        start = max(start + 1, end - max(1, c.overlap))
+
+
+def test_windows_by_another_count(monkeypatch):
+    """Equal to taking words off one by one, and few counts for each window, however long the text."""
+    called = []
+    count = lambda text: called.append(1) or sum(1 + len(w) // 3 for w in text.split())
+    monkeypatch.setitem(COUNTERS, "thirds", count)
+    rng = random.Random(3)
+    made = lambda n: ["".join(rng.choice("abc.") for _ in range(rng.choice((1, 2, 5, 40)))) for _ in range(n)]
+    for n in (0, 1, 7, 300):
+        for boundary in (True, False):
+            c, tokens = WindowConfig(size=30, overlap=5, min_size=9, boundary=boundary, counter="thirds"), made(n)
+            assert list(spans(tokens, c)) == list(brute_spans(tokens, c, count))
+    long, c = made(20_000), WindowConfig(size=100, overlap=10, boundary=False, counter="thirds")
+    called.clear()
+    found = list(spans(long, c))
+    assert found[-1][1] == 20_000 and len(called) <= 12 * len(found)
+
+
+def test_subword_chunks_equal_brute_force(spark):
+    import hashlib
+
+    from textloom.plans.queries import QUERIES
+
+    got = {(r.doc_id, r.chunk_index): (r.n_words, r.digest) for r in QUERIES["chunk_subword"](spark, "/root/testdata/sf0.001").collect()}
+    c, count = WindowConfig(size=200, overlap=20, counter="byte_bpe_50k"), COUNTERS["byte_bpe_50k"]
+    short = [r for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if len(r.text or "") < 3000]
+    want = {}
+    for r in short:
+        tokens = (r.text or "").split()
+        for k, (a, b) in enumerate(brute_spans(tokens, c, count)):
+            want[r.doc_id, k] = (b - a, hashlib.md5(" ".join(tokens[a:b]).encode()).hexdigest())
+    ids = {r.doc_id for r in short}
+    assert len(ids) > 100 and {k: v for k, v in got.items() if k[0] in ids} == want
+
+
 def test_headings_and_paragraphs(spark):
     text = "intro words\n# One\nbody one\n#### deep\nmore\n## Two\n"
     rows = chunkers.chunk_headings(spark.createDataFrame([(1, text)], "doc_id int, text string")).orderBy("chunk_index").collect()
@@ -136,6 +193,35 @@ def test_healing(spark):
     assert {r.action for r in retrieval.heal(queries, ways, ["a"], "a")[0].filter("query_id > 1").collect()} == {"skipped"}
 
 
+def test_components_after_each_batch(spark):
+    """Ten batches of links, each merged into the labels of those before it: as from all links at once."""
+    rng = random.Random(11)
+    made = lambda links: spark.createDataFrame(links, "a int, b int")
+    label, known, size = spark.createDataFrame([], "id int, component int"), [], []
+    for _ in range(10):
+        batch = [(rng.randrange(150), rng.randrange(150)) for _ in range(12)]
+        batch = [x for x in batch if x[0] != x[1]]
+        known += batch
+        label = graph.extended(label, made(batch))
+        got = {r.id: r.component for r in label.collect()}
+        parent = {i: i for x in known for i in x}
+
+        def root(i, parent=parent):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        for a, b in known:
+            low, high = sorted((root(a), root(b)))
+            parent[high] = low
+        assert got == {i: root(i) for i in parent}
+        size.append(len(got))
+    assert {r.id: r.component for r in graph.connected(made(known)).collect()} == got
+    assert {r.id: r.component for r in graph.extended(label, made([])).collect()} == got
+    more = {r.id: r.component for r in graph.extended(label, made([(None, 1), (500, 500)])).collect()}
+    assert more == got | {500: 500}
+
+
 def test_graph(spark):
     ents = spark.createDataFrame([(n, n, "X") for n in "abcdez"], "id string, name string, entity_type string")
     edges = spark.createDataFrame([("a", "b", "R", 1, "c1"), ("b", "c", "R", 2, "c2"), ("c", "a", "R", 3, "c3"), ("a", "b", "S", 4, "c4"), ("d", "e", "R", 5, "c5"), ("a", "ghost", "R", 6, "c6")], "src string, dst string, relation_type string, seq int, chunk_id string")

@@ -225,6 +225,24 @@ def connected(links: DataFrame, rounds: int = 100) -> DataFrame:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def extended(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, component) after a batch of links (a, b), from those before it: no earlier link is read.
+
+    The batch's ends are looked up, and the components that it joins are contracted to single nodes, so the rounds run over
+    no more than the batch. Labels are the smallest ids, of old and new ones together; an end that is new starts as its own.
+    A link with a null end doesn't count, nor does a loop, except that its id is there from then on. Empty labels give
+    `connected`, an empty batch the labels as they were.
+    """
+    some = links.filter("a is not null and b is not null").select("a", "b")
+    ends = some.select(F.col("a").alias("id")).union(some.select("b")).distinct()
+    found = _cut(ends.join(labels.select("id", "component"), "id", "left"))
+    touched = found.select("id", F.coalesce("component", "id").alias("component"))
+    sides = some.join(touched.withColumnsRenamed({"id": "a", "component": "of_a"}), "a").join(touched.withColumnsRenamed({"id": "b", "component": "of_b"}), "b")
+    lead = connected(sides.filter("of_a <> of_b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct()).select(F.col("id").alias("component"), F.col("component").alias("lead"))
+    every = labels.select("id", "component").unionByName(found.filter("component is null").select("id", F.col("id").alias("component")))
+    return _cut(every.join(lead, "component", "left").select("id", F.coalesce("lead", "component").alias("component")))
+
+
 def components(entities: DataFrame, edges: DataFrame, least: int = 2, rounds: int = 100) -> DataFrame:
     """(id, community) by weakly connected components of `least` members or more, named by the smallest id.
 

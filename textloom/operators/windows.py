@@ -54,16 +54,48 @@ class WindowConfig:
             raise ValueError(f"unknown counter {self.counter}")
 
 
+def fitting(over: Callable[[int], bool], low: int, most: int, guess: int) -> int:
+    """The largest end from low to most that isn't over the size; low itself counts as fitting.
+
+    Steps that double, up or down from a guess, enclose it, and halving finds it: about twice the logarithm of the guess's
+    error in calls. over must not turn false again as the end grows.
+    """
+    at, step = min(most, max(low, guess)), 1
+    if at > low and over(at):
+        high, at = at, max(low, at - 1)
+        while at > low and over(at):
+            step *= 2
+            high, at = at, max(low, at - step)
+        low = at
+    else:
+        low, high = at, most + 1
+        while low < most:
+            at = min(most, low + step)
+            if over(at):
+                high = at
+                break
+            low, step = at, step * 2
+    while high - low > 1:
+        at = (low + high) // 2
+        low, high = (low, at) if over(at) else (at, high)
+    return low
+
+
 def spans(tokens: list[str], c: WindowConfig, counter: Callable[[str], int] | None = None) -> Iterator[tuple[int, int]]:
-    """Start and end of each window that isn't empty. The counter that c names is looked up where it isn't given."""
+    """Start and end of each window that isn't empty. The counter that c names is looked up where it isn't given.
+
+    A window of another counter than words has as many words as stay within the size, one at least. They are searched from
+    the length of the window before, so a window costs a logarithm of counts; a count must not fall by a further word.
+    """
     n, start, count = len(tokens), 0, counter or COUNTERS[c.counter]
     floor = max(1, c.min_size // 3)
     ends = {i for i, w in enumerate(tokens) if w[-1] in c.boundary_chars} if c.boundary else set()
+    length = c.size
     while start < n:
         end = min(start + c.size, n)
         if c.counter != "word_count":
-            while end - start > 1 and count(" ".join(tokens[start:end])) > c.size:
-                end -= 1
+            end = fitting(lambda e, a=start: count(" ".join(tokens[a:e])) > c.size, start + 1, end, start + length)
+            length = end - start
         if c.boundary and end < n:
             lowest = floor if c.scope == "text" else start + floor
             end = next((i + 1 for i in range(end - 1, lowest - 1, -1) if i in ends), end)

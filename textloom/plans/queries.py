@@ -11,7 +11,7 @@ from .. import sources  # noqa: F401
 from .. import streaming as ingest
 from ..functions import text as T
 from ..operators import answers, caching, chunkers, communities, graph, html, quality, retrieval, tables
-from ..operators.windows import WindowConfig, windows
+from ..operators.windows import COUNTERS, WindowConfig, subword_counter, windows
 from ..sources.lexical import LexicalIndex
 from ..sources.nearest import VectorIndex, recall
 
@@ -86,6 +86,17 @@ def chunk_sentence(spark, sf_dir):
     return chunkers.chunk_text(read(spark, sf_dir, "documents"), c).select("doc_id", "chunk_index", "token_count", F.md5("text").alias("digest"))
 
 
+@register()
+def chunk_subword(spark, sf_dir):
+    """Windows of at most 200 sub-word tokens, by their number of words and a digest of their text."""
+    import public_tokenizers
+
+    COUNTERS["byte_bpe_50k"] = subword_counter(public_tokenizers.path("byte_bpe_50k.json"))
+    c = WindowConfig(size=200, overlap=20, counter="byte_bpe_50k")
+    rows = windows(read(spark, sf_dir, "documents").select("doc_id", "text"), "text", c, "chunk_index", "chunk", "n_words")
+    return rows.select("doc_id", "chunk_index", "n_words", F.md5("chunk").alias("digest"))
+
+
 @register(f"""WITH src AS (SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations WHERE trim(text) <> ''), {FIXED}
   SELECT doc_id // 1000 AS doc_id, CAST(doc_id % 1000 + 1 AS INT) AS page_number, CAST(row_number() OVER (PARTITION BY doc_id // 1000 ORDER BY doc_id, chunk_index) - 1 AS INT) AS chunk_index, token_count, md5(text) AS digest FROM chunks""")
 def chunk_by_page(spark, sf_dir):
@@ -570,6 +581,18 @@ def graph_components(spark, sf_dir):
     return graph.components(_entities(spark, sf_dir), _edges(spark, sf_dir))
 
 
+@register(ORACLES["graph_components"])
+def graph_components_batches(spark, sf_dir):
+    """The components of graph_components, from those without suppliers and two batches of the suppliers' edges."""
+    links = _edges(spark, sf_dir).select(F.col("src").alias("a"), F.col("dst").alias("b"), "relation_type", "seq")
+    late = F.col("a").startswith("s")
+    label = graph.connected(links.filter(~late))
+    for odd in (0, 1):
+        label = graph.extended(label, links.filter(late & (F.col("seq") % 2 == odd)))
+    size = label.groupBy("component").agg(F.count("*").alias("size"))
+    return label.join(size, "component").select("id", F.col("component").alias("community"), "size")
+
+
 @register("""WITH n AS (SELECT n_regionkey AS r, r_name AS name FROM nation JOIN region ON r_regionkey = n_regionkey UNION SELECT n_regionkey, n_name FROM nation UNION SELECT n_regionkey, s_name FROM supplier JOIN nation ON n_nationkey = s_nationkey UNION SELECT n_regionkey, c_name FROM customer JOIN nation ON n_nationkey = c_nationkey),
   i AS (SELECT n_regionkey AS r, 'r' || n_regionkey AS id FROM nation UNION SELECT n_regionkey, 'n' || n_nationkey FROM nation UNION SELECT n_regionkey, 's' || s_suppkey FROM supplier JOIN nation ON n_nationkey = s_nationkey UNION SELECT n_regionkey, 'c' || c_custkey FROM customer JOIN nation ON n_nationkey = c_nationkey),
   a AS (SELECT r, min(id) AS community, count(*) AS size FROM i GROUP BY 1), b AS (SELECT r, array_to_string(list_slice(list_sort(list(DISTINCT name)), 1, 20), ',') AS names FROM n GROUP BY 1) SELECT community, size, names FROM a JOIN b USING (r)""")
