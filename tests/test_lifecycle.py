@@ -41,6 +41,61 @@ def test_collections(spark, tmp_path):
     assert stores.delete_collection(spark, root, "c") and not stores.delete_collection(spark, root, "c")
 
 
+def test_writes_are_as_large_as_their_rows(spark, tmp_path):
+    path = str(tmp_path / "t")
+    stores.upsert_table(spark.range(20000).selectExpr("id AS k", "'old' AS v"), path, "k")
+    first = stores._live(stores.Manifest(spark, path).read()[1])
+    for n in range(3):
+        stores.upsert_table(spark.range(n * 100, n * 100 + 200).selectExpr("id AS k", f"'new{n}' AS v"), path, "k")
+    live = stores._live(stores.Manifest(spark, path).read()[1])
+    assert live[0]["folder"] == first[0]["folder"] and sum(p["rows"] for p in live[1:]) == 600
+    want = {k: "old" for k in range(20000)} | {k: f"new{n}" for n in range(3) for k in range(n * 100, n * 100 + 200)}
+    assert dict(map(tuple, stores.read_latest(spark, path).collect())) == want
+    stores.delete_keys(spark.createDataFrame([(5,), (19999,), (77777,), (None,)], "k long"), path)
+    want = {k: v for k, v in want.items() if k not in (5, 19999)}
+    live = stores._live(stores.Manifest(spark, path).read()[1])
+    assert len(live) == 2 and live[0]["folder"] == first[0]["folder"], "four small parts are one, the large one stays"
+    assert dict(map(tuple, stores.read_latest(spark, path).collect())) == want
+    assert dict(map(tuple, stores.find(spark, path, [4, 5, 299, 300, 19999]).collect())) == {4: "new0", 299: "new2", 300: "new2"}
+    stores.upsert_table(spark.createDataFrame([(5, "back")], "k long, v string"), path, "k")
+    assert stores.find(spark, path, [5]).first().v == "back"
+
+
+def test_equal_writes_are_merged_in_tiers(spark, tmp_path):
+    path, want = str(tmp_path / "t"), {}
+    for n in range(9):
+        stores.upsert_table(spark.range(n * 300, n * 300 + 600).selectExpr("id AS k", f"{n} AS v"), path, "k")
+        want |= {k: n for k in range(n * 300, n * 300 + 600)}
+        stores.delete_keys(spark.range(n * 300, n * 300 + 1).withColumnRenamed("id", "k"), path)
+        want.pop(n * 300)
+        assert dict(map(tuple, stores.read_latest(spark, path).collect())) == want
+        assert len(stores._live(stores.Manifest(spark, path).read()[1])) <= 6
+    with pytest.raises(ValueError):
+        stores.upsert_table(spark.createDataFrame([(None, 1)], "k long, v int"), path, "k")
+    with pytest.raises(ValueError):
+        stores.upsert_table(spark.createDataFrame([(1, 1), (1, 2)], "k long, v int"), path, "k")
+    assert dict(map(tuple, stores.read_latest(spark, path).collect())) == want
+
+
+def test_two_writers_keep_their_rows(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = str(tmp_path / "t")
+    put = lambda n: stores.upsert_table(spark.range(n * 10, n * 10 + 10).selectExpr("id AS k", f"{n} AS v"), path, "k")
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(put, range(10)))
+    assert dict(map(tuple, stores.read_latest(spark, path).collect())) == {k: k // 10 for k in range(100)}
+
+
+def test_an_empty_table(spark, tmp_path):
+    path, none = str(tmp_path / "t"), spark.createDataFrame([], "k long, v string")
+    assert stores.read_latest(spark, path) is None and stores.find(spark, path, [1]) is None
+    stores.upsert_table(none, path, "k")
+    assert stores.read_latest(spark, path).count() == 0
+    stores.upsert_table(spark.createDataFrame([("x", 1, 0)], "v string, k long, more int"), path, "k")
+    assert stores.read_latest(spark, path).columns == ["k", "v"] and stores.upsert_table(none, path, "k") and stores.read_latest(spark, path).count() == 1
+
+
 def test_files_go_up_and_down(spark, tmp_path):
     (tmp_path / "x.txt").write_text("hello")
     sources.upload(spark, str(tmp_path / "x.txt"), str(tmp_path / "store"), "in/x.txt")
