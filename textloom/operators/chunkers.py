@@ -97,13 +97,17 @@ def chunk_hybrid(units: DataFrame, c: WindowConfig = WindowConfig(), max_unit: i
 # ---- sheets -------------------------------------------------------------------------------------------------------
 
 
-def _cells(sheet: DataFrame, headers: list[str]) -> Column:
-    """The cells of a row that count, as (column number, header, value): blank, nan and none don't."""
-    cells = F.array(*[F.struct(F.lit(k).alias("col"), F.lit(h).alias("header"), F.trim(F.col(f"`{h}`").cast("string")).alias("value")) for k, h in enumerate(headers)])
+def _cells(sheet: DataFrame, headers: list[str] | None) -> Column:
+    """The cells of a row that count, as (column number, header, value): blank, nan and none don't. Without headers the
+    sheet has them so in a column `cells`."""
+    if headers is None:
+        cells = F.transform("cells", lambda x: F.struct(x["col"].alias("col"), x["header"].alias("header"), F.trim(x["value"]).alias("value")))
+    else:
+        cells = F.array(*[F.struct(F.lit(k).alias("col"), F.lit(h).alias("header"), F.trim(F.col(f"`{h}`").cast("string")).alias("value")) for k, h in enumerate(headers)])
     return F.filter(cells, lambda x: x["value"].isNotNull() & ~F.lower(x["value"]).isin("", "nan", "none"))
 
 
-def chunk_rows(sheet: DataFrame, headers: list[str], row: str, doc_id: Column, group: int = 10, c: WindowConfig = WindowConfig(overlap=0, boundary=False, min_size=10)) -> DataFrame:
+def chunk_rows(sheet: DataFrame, headers: list[str] | None, row: str, doc_id: Column, group: int = 10, c: WindowConfig = WindowConfig(overlap=0, boundary=False, min_size=10)) -> DataFrame:
     """`Header: Value | ...` lines in groups of `group` rows (numbered from 0 by `row`); a group over c.size is windowed."""
     if group < 1:
         raise ValueError("group must be at least 1")
@@ -117,7 +121,7 @@ def chunk_rows(sheet: DataFrame, headers: list[str], row: str, doc_id: Column, g
     return _finish(whole.unionByName(cut), "sheet_rows", ["unit", "window_index"], [(F.col("unit") * group).alias("row_group_start")], span=4096)
 
 
-def chunk_columns(sheet: DataFrame, headers: list[str], row: str, doc_id: Column, c: WindowConfig = WindowConfig(overlap=0, boundary=False, min_size=10)) -> DataFrame:
+def chunk_columns(sheet: DataFrame, headers: list[str] | None, row: str, doc_id: Column, c: WindowConfig = WindowConfig(overlap=0, boundary=False, min_size=10)) -> DataFrame:
     """`Column: h` and the values below it, always windowed."""
     rows = sheet.select(doc_id.alias("doc_id"), F.col(row).alias("row"), F.explode(_cells(sheet, headers)).alias("x")).select("doc_id", "row", "x.*")
     cols = rows.groupBy("doc_id", "col", "header").agg(F.array_sort(F.collect_list(F.struct("row", "value"))).alias("v"))
@@ -125,7 +129,7 @@ def chunk_columns(sheet: DataFrame, headers: list[str], row: str, doc_id: Column
     return _finish(windows(text, "unit_text", c).withColumnRenamed("window", "text"), "sheet_columns", ["col", "window_index"], ["header"])
 
 
-def chunk_cells(sheet: DataFrame, headers: list[str], row: str, doc_id: Column) -> DataFrame:
+def chunk_cells(sheet: DataFrame, headers: list[str] | None, row: str, doc_id: Column) -> DataFrame:
     """One chunk `header: value` for each cell that isn't blank, row by row."""
     rows = sheet.select(doc_id.alias("doc_id"), F.col(row).alias("row"), F.explode(_cells(sheet, headers)).alias("x")).select("doc_id", "row", "x.*")
     return _finish(rows.withColumn("text", F.concat_ws(": ", "header", "value")), "sheet_cells", ["row", "col"], ["row", "header"], span=4096)

@@ -12,6 +12,7 @@ from .. import streaming as ingest
 from ..functions import text as T
 from ..operators import answers, caching, chunkers, communities, graph, html, quality, retrieval, tables
 from ..operators.windows import COUNTERS, WindowConfig, subword_counter, windows
+from ..sources import office
 from ..sources.lexical import LexicalIndex
 from ..sources.nearest import VectorIndex, recall
 
@@ -152,6 +153,48 @@ def columns_to_chunks(spark, sf_dir):
     return chunkers.chunk_columns(nation, ["n_name", "n_nationkey"], "row", F.col("n_regionkey")).select("doc_id", "header", "chunk_index", F.md5("text").alias("digest"))
 
 
+def _workbooks(spark, sf_dir):
+    """Customers in workbooks of a thousand each, written and read back as rows of cells; sheets' doc_id is the file's number."""
+    folder = graph.new_folder(spark, "workbooks")
+    c = read(spark, sf_dir, "customer").select(F.floor(F.col("c_custkey") / 1000).cast("string").alias("file"), (F.col("c_custkey") % 1000 + 1).alias("row"), F.array(*[F.col(x).cast("string") for x in CUSTOMER]).alias("cells"))
+    head = c.select("file").distinct().select("file", F.lit(0).alias("row"), F.array(*map(F.lit, CUSTOMER)).alias("cells"))
+    office.write_xlsx(c.unionByName(head), folder)
+    office.register(spark)
+    sheets = office.sheet_cells(spark.read.format("xlsx").load(folder))
+    return sheets.withColumn("doc_id", F.regexp_extract("path", r"([0-9]+)\.xlsx$", 1).cast("int"))
+
+
+# Rows of a workbook stand one below the other, so they are numbered within it.
+BOOKS = """b AS (SELECT CAST(c_custkey // 1000 AS INT) AS doc_id, row_number() OVER (PARTITION BY c_custkey // 1000 ORDER BY c_custkey) - 1 AS r, c_name, c_mktsegment, c_nationkey FROM customer)"""
+
+
+@register(f"""WITH {BOOKS}, l AS (SELECT doc_id, r, 'c_name: ' || c_name || ' | c_mktsegment: ' || c_mktsegment || ' | c_nationkey: ' || c_nationkey AS line FROM b)
+  SELECT doc_id, CAST(r // 10 AS INT) AS chunk_index, md5(string_agg(line, chr(10) ORDER BY r)) AS digest FROM l GROUP BY doc_id, r // 10""")
+def workbook_rows(spark, sf_dir):
+    return chunkers.chunk_rows(_workbooks(spark, sf_dir), None, "row", F.col("doc_id")).select("doc_id", "chunk_index", F.md5("text").alias("digest"))
+
+
+@register(f"""WITH {BOOKS}, c AS (SELECT doc_id, r, 0 AS col, 'c_name: ' || c_name AS text FROM b UNION ALL SELECT doc_id, r, 1, 'c_mktsegment: ' || c_mktsegment FROM b UNION ALL SELECT doc_id, r, 2, 'c_nationkey: ' || c_nationkey FROM b)
+  SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY r, col) - 1 AS INT) AS chunk_index, text FROM c""")
+def workbook_cells(spark, sf_dir):
+    return chunkers.chunk_cells(_workbooks(spark, sf_dir), None, "row", F.col("doc_id")).select("doc_id", "chunk_index", "text")
+
+
+@register(r"""WITH p AS (SELECT conv_id, turn, role, trim(regexp_replace(text, '\s+', ' ', 'g')) AS body FROM conversations)
+  SELECT conv_id AS doc_id, role AS heading, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS chunk_index, md5(role || ' ' || body) AS digest FROM p WHERE body <> ''""")
+def word_sections(spark, sf_dir):
+    """Conversations as Word files, a heading for each turn, written, read back and cut at the headings."""
+    folder = graph.new_folder(spark, "word-files")
+    turns = read(spark, sf_dir, "conversations").withColumn("file", F.col("conv_id").cast("string"))
+    heads = turns.select("file", (F.col("turn") * 2).alias("pos"), F.lit("Heading 2").alias("style"), F.col("role").alias("text"))
+    bodies = turns.select("file", (F.col("turn") * 2 + 1).alias("pos"), F.lit("Normal").alias("style"), F.regexp_replace("text", r"\s+", " ").alias("text"))
+    office.write_docx(heads.unionByName(bodies), folder)
+    office.register(spark)
+    read_back = spark.read.format("docx").load(folder).withColumn("doc_id", F.regexp_extract("path", r"([0-9]+)\.docx$", 1).cast("long"))
+    rows = chunkers.chunk_paragraphs(read_back, WindowConfig(size=100_000, overlap=0, boundary=False))
+    return rows.select("doc_id", "heading", "chunk_index", F.md5("text").alias("digest"))
+
+
 @register("""WITH c AS (SELECT p_brand AS doc_id, p_partkey AS r, 0 AS col, 'p_name: ' || p_name AS text FROM part UNION ALL SELECT p_brand, p_partkey, 1, 'p_size: ' || p_size FROM part)
   SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY r, col) - 1 AS INT) AS chunk_index, text FROM c""")
 def cells_to_chunks(spark, sf_dir):
