@@ -297,3 +297,18 @@ def test_registry_and_paths(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes(b"ok \xff end")
     assert [r.text for r in sources.read_texts(spark, str(tmp_path)).collect()] == ["ok � end"]
     assert sources.exists(spark, str(tmp_path)) and sources.delete(spark, str(tmp_path)) and not sources.delete(spark, str(tmp_path))
+
+
+def test_long_columns_are_windowed_from_ranges(spark):
+    sheet = [(d, r, None if r % 7 == 0 else " ".join(f"w{d}_{r}_{k}" for k in range(r % 5)) or "nan", "x  y " * 300 if r == 9000 else "z") for d in (1, 2) for r in range(0, 9500, 1 if d == 1 else 97)]
+    df = spark.createDataFrame(sheet, "d int, r int, `a b` string, c string").repartition(5)
+    for size, overlap, exact in ((50, 0, False), (50, 0, True), (7, 3, False), (1, 0, True), (100_000, 10, False)):
+        c = WindowConfig(size=size, overlap=overlap, boundary=False, exact_overlap=exact)
+        got = [(x.doc_id, x.header, x.text) for x in chunkers.chunk_columns(df, ["a b", "c"], "r", F.col("d"), c).orderBy("doc_id", "chunk_index").collect()]
+        want = []
+        for d in (1, 2):
+            for k, h in ((2, "a b"), (3, "c")):
+                w = f"Column: {h} {' '.join(x[k] for x in sheet if x[0] == d and x[k] and x[k] != 'nan')}".split()
+                want += [(d, h, " ".join(w[a:b])) for a, b in spans(w, c)]
+        assert got == want
+    assert chunkers.chunk_columns(df.limit(0), ["a b", "c"], "r", F.col("d")).count() == 0

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import content_key, word_count
-from .windows import WindowConfig, windows
+from ..functions.text import content_key, word_count, words
+from .windows import WindowConfig, fixed_step, windows
+
+#: Rows of a sheet, and chunks of a document that may be long, that are numbered together.
+RANGE = 4096
 
 
 def _finish(rows: DataFrame, chunker: str, order: list[str], extra: list[str] = (), span: int | None = None) -> DataFrame:
@@ -118,21 +121,54 @@ def chunk_rows(sheet: DataFrame, headers: list[str] | None, row: str, doc_id: Co
     large = word_count(F.col("unit_text")) > c.size
     whole = text.filter(~large).select("doc_id", "unit", F.lit(0).alias("window_index"), F.col("unit_text").alias("text"))
     cut = windows(text.filter(large), "unit_text", c).select("doc_id", "unit", "window_index", F.col("window").alias("text"))
-    return _finish(whole.unionByName(cut), "sheet_rows", ["unit", "window_index"], [(F.col("unit") * group).alias("row_group_start")], span=4096)
+    return _finish(whole.unionByName(cut), "sheet_rows", ["unit", "window_index"], [(F.col("unit") * group).alias("row_group_start")], span=RANGE)
 
 
 def chunk_columns(sheet: DataFrame, headers: list[str] | None, row: str, doc_id: Column, c: WindowConfig = WindowConfig(overlap=0, boundary=False, min_size=10)) -> DataFrame:
-    """`Column: h` and the values below it, always windowed."""
+    """`Column: h` and the values below it, always windowed. Windows of words without boundaries are put together from their
+    own cells, so no row or task holds a column; other windows depend on all before them and take a column as one row."""
     rows = sheet.select(doc_id.alias("doc_id"), F.col(row).alias("row"), F.explode(_cells(sheet, headers)).alias("x")).select("doc_id", "row", "x.*")
+    if not c.boundary and c.counter == "word_count":
+        return _finish(_column_windows(rows, c), "sheet_columns", ["unit"], ["header"], span=RANGE)
     cols = rows.groupBy("doc_id", "col", "header").agg(F.array_sort(F.collect_list(F.struct("row", "value"))).alias("v"))
     text = cols.select("doc_id", "col", "header", F.concat(F.lit("Column: "), F.col("header"), F.lit("\n"), F.array_join(F.col("v.value"), "\n")).alias("unit_text"))
     return _finish(windows(text, "unit_text", c).withColumnRenamed("window", "text"), "sheet_columns", ["col", "window_index"], ["header"])
 
 
+def _column_windows(cells: DataFrame, c: WindowConfig) -> DataFrame:
+    """(doc_id, header, unit, text) of cells (doc_id, row, col, header, value); units go by column and then by window.
+
+    A cell's first word has its place from the words before it in its range of rows, and those of the ranges before; it gives
+    its words to each window that they are in.
+    """
+    key, step = ["doc_id", "col", "header"], fixed_step(c)
+    heads = cells.select(*key).distinct().select(*key, F.lit(None).cast("long").alias("row"), F.concat(F.lit("Column: "), F.col("header")).alias("value"))
+    each = cells.select(*key, F.col("row").cast("long").alias("row"), "value").unionByName(heads)
+    each = each.select(*key, "row", "value", F.coalesce(F.floor(F.col("row") / RANGE), F.lit(-1)).alias("_range"), words(F.col("value")).alias("_words"))
+    each = each.withColumn("_n", F.size("_words"))
+    counts = each.groupBy(*key, "_range").agg(F.sum("_n").alias("_of"))
+    order, column = Window.partitionBy(*key).orderBy("_range"), Window.partitionBy(*key)
+    starts = counts.select(*key, "_range", (F.sum("_of").over(order) - F.col("_of")).alias("_before"), F.sum("_of").over(column).alias("_all"))
+    within = Window.partitionBy(*key, "_range").orderBy("row", "value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = each.withColumn("_end", F.sum("_n").over(within)).join(starts, [*key, "_range"])
+    placed = placed.withColumn("_end", F.col("_end") + F.col("_before")).withColumn("_start", F.col("_end") - F.col("_n"))
+    last = F.when(F.col("_all") <= c.size, F.lit(0)).otherwise(F.ceil((F.col("_all") - c.size) / step))
+    first = F.greatest(F.lit(0), F.floor((F.col("_start") - c.size) / step) + 1)
+    upto = F.least(last, F.floor((F.col("_end") - 1) / step))
+    rows = placed.filter("_n > 0").withColumn("_first", first).withColumn("_upto", upto).filter("_first <= _upto")
+    rows = rows.withColumn("window_index", F.explode(F.sequence("_first", "_upto")))
+    begin = F.greatest(F.col("_start"), F.col("window_index") * step)
+    size = F.least(F.col("_end"), F.col("window_index") * step + c.size) - begin
+    piece = F.slice("_words", (begin - F.col("_start") + 1).cast("int"), size.cast("int"))
+    made = rows.select(*key, "window_index", begin.alias("_at"), piece.alias("_piece")).groupBy(*key, "window_index").agg(F.array_sort(F.collect_list(F.struct("_at", "_piece"))).alias("_p"))
+    unit = F.shiftleft(F.col("col").cast("long"), 32) + F.col("window_index")
+    return made.select("doc_id", "header", unit.alias("unit"), F.array_join(F.flatten("_p._piece"), " ").alias("text"))
+
+
 def chunk_cells(sheet: DataFrame, headers: list[str] | None, row: str, doc_id: Column) -> DataFrame:
     """One chunk `header: value` for each cell that isn't blank, row by row."""
     rows = sheet.select(doc_id.alias("doc_id"), F.col(row).alias("row"), F.explode(_cells(sheet, headers)).alias("x")).select("doc_id", "row", "x.*")
-    return _finish(rows.withColumn("text", F.concat_ws(": ", "header", "value")), "sheet_cells", ["row", "col"], ["row", "header"], span=4096)
+    return _finish(rows.withColumn("text", F.concat_ws(": ", "header", "value")), "sheet_cells", ["row", "col"], ["row", "header"], span=RANGE)
 
 
 def parse_delimited(docs: DataFrame, header_rows: int = 1) -> DataFrame:

@@ -106,10 +106,15 @@ def spans(tokens: list[str], c: WindowConfig, counter: Callable[[str], int] | No
         start = max(start + 1, end - (c.overlap if c.exact_overlap else max(1, c.overlap)))
 
 
+def fixed_step(c: WindowConfig) -> int:
+    """Words from one window's start to the next one's, without boundaries."""
+    return max(1, c.size - (c.overlap if c.exact_overlap else max(1, c.overlap)))
+
+
 def fixed_windows(df: DataFrame, text: str, c: WindowConfig, index: str = "window_index", out: str = "window", count: str | None = None) -> DataFrame:
     """Windows without boundaries in closed form: column expressions only. Each text is cut into its windows before they
     become rows, so no row carries more than its own."""
-    step = max(1, c.size - (c.overlap if c.exact_overlap else max(1, c.overlap)))
+    step = fixed_step(c)
     n = F.size("_words")
     last = F.when(n <= c.size, 0).otherwise(F.ceil((n - c.size) / step)).cast("int")
     each = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(F.least(F.lit(c.size), n - i * step).alias("n"), F.array_join(F.slice("_words", i * step + 1, c.size), " ").alias("w")))
