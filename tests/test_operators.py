@@ -312,3 +312,34 @@ def test_long_columns_are_windowed_from_ranges(spark):
                 want += [(d, h, " ".join(w[a:b])) for a, b in spans(w, c)]
         assert got == want
     assert chunkers.chunk_columns(df.limit(0), ["a b", "c"], "r", F.col("d")).count() == 0
+
+
+def test_traversal_past_hubs(spark):
+    r = random.Random(3)
+    pairs = [("hub", f"n{k}") for k in range(1200)] + [(f"n{r.randrange(1200)}", f"n{r.randrange(1200)}") for _ in range(700)] + [("n1", "hub"), ("far", "n2"), ("far", "end"), (None, "n3")]
+    edges = spark.createDataFrame([(a, b, f"c{k % 90}" if k % 4 else None) for k, (a, b) in enumerate(pairs)], "src string, dst string, chunk_id string").repartition(3)
+    entry = spark.createDataFrame([(1, "end"), (2, "n7"), (2, "hub"), (3, "nowhere"), (2, "hub")], "query_id int, id string")
+    near = {}
+    for a, b in pairs:
+        if a is not None:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want, front = {(q.query_id, q.id): 0 for q in entry.collect()}, {(q.query_id, q.id) for q in entry.collect()}
+    for hop in (1, 2, 3, 4):
+        front = {(q, b) for q, a in front for b in near.get(a, ())} - set(want)
+        want |= dict.fromkeys(front, hop)
+    for least in (10, 1 << 16):
+        assert sorted((x.query_id, x.node, x.hop) for x in graph.reach(entry, edges, 4, least).filter("node IS NOT NULL").collect()) == sorted((q, n, h) for (q, n), h in want.items())
+    chunks = lambda least: sorted(map(tuple, graph.traverse(entry, edges, 2, least).collect()))
+    plain, links = {}, list(map(tuple, edges.collect()))
+    for (q, n), h in want.items():
+        for a, b, c in links if h <= 2 else ():
+            if c is not None and n in (a, b):
+                plain[q, c] = min(h, plain.get((q, c), 9))
+    assert chunks(10) == chunks(1 << 16) == sorted((q, c, h) for (q, c), h in plain.items())
+    large = graph.hubs(edges, 10)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert 0 < large.count() <= parts and graph.hubs(edges.limit(0)) is None
+    held = graph.blocked(edges.select(F.col("src").alias("node"), F.col("dst").alias("to")), "to", graph.hubs(edges.filter("src = 'hub'"), 50))
+    assert held.filter("node = 'hub'").groupBy("block").count().agg(F.max("count")).first()[0] < 700
+    assert graph.reach(entry, edges.limit(0), 2).count() == 4

@@ -153,23 +153,59 @@ def entry_nodes(queries: DataFrame, entities: DataFrame, longest: int = 6) -> Da
     return short.union(long).distinct()
 
 
-def reach(entry: DataFrame, edges: DataFrame, depth: int = 2) -> DataFrame:
-    """(query_id, node, hop) of nodes within `depth` steps of the entry nodes, either way along the edges."""
-    both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
+def hubs(edges: DataFrame, least: int = 1 << 16) -> DataFrame | None:
+    """(node, blocks) of nodes with more than `least` edges and more than a shuffle partition's share of all; None if there
+    are none. There can't be more of them than shuffle partitions, so they are collected and joined by broadcast."""
+    spark = edges.sparkSession
+    ends = edges.select(F.col("src").alias("node")).unionAll(edges.select(F.col("dst").alias("node"))).filter("node IS NOT NULL")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    share = max(least, -(-2 * edges.count() // parts))
+    large = ends.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") > share).select("node", F.ceil(F.col("n") / share).cast("int").alias("blocks"))
+    rows = large.collect()
+    return spark.createDataFrame(rows, large.schema) if rows else None
+
+
+def blocked(held: DataFrame, by: str, large: DataFrame | None) -> DataFrame:
+    """held (node, ...) with a `block`: a hub's rows are dealt over its blocks by a hash of the column `by`."""
+    if large is None:
+        return held.withColumn("block", F.lit(0))
+    return held.join(F.broadcast(large), "node", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64(by), F.col("blocks")), F.lit(0)).cast("int")).drop("blocks")
+
+
+def at_blocks(nodes: DataFrame, large: DataFrame | None) -> DataFrame:
+    """nodes (node, ...) with a row for each block of their node."""
+    if large is None:
+        return nodes.withColumn("block", F.lit(0))
+    some = nodes.join(F.broadcast(large), "node", "left")
+    return some.withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).drop("blocks")
+
+
+def reach(entry: DataFrame, edges: DataFrame, depth: int = 2, least: int = 1 << 16) -> DataFrame:
+    """(query_id, node, hop) of nodes within `depth` steps of the entry nodes, either way along the edges. The neighbours of a
+    hub lie in blocks, and only what stands at a hub is copied to its blocks; see hubs() for `least`."""
+    return _reach(entry, edges, depth, hubs(edges, least) if depth > 0 else None)
+
+
+def _reach(entry: DataFrame, edges: DataFrame, depth: int, large: DataFrame | None) -> DataFrame:
+    both = edges.select(F.col("src").alias("node"), F.col("dst").alias("to")).union(edges.select("dst", "src")).distinct()
+    both = blocked(both, "to", large)
     seen = entry.select("query_id", F.col("id").alias("node")).distinct().withColumn("hop", F.lit(0))
     front = seen
     for hop in range(1, depth + 1):
-        step = front.join(both, F.col("node") == F.col("src")).select("query_id", F.col("dst").alias("node")).distinct()
+        step = at_blocks(front, large).join(both, ["node", "block"]).select("query_id", F.col("to").alias("node")).distinct()
         front = step.join(seen.select("query_id", "node"), ["query_id", "node"], "left_anti").withColumn("hop", F.lit(hop))
         seen = seen.unionByName(front)
     return seen
 
 
-def traverse(entry: DataFrame, edges: DataFrame, depth: int = 2) -> DataFrame:
-    """(query_id, chunk_id, hop): chunks of the edges that touch nodes up to `depth` steps away, at their nearest."""
-    nodes = reach(entry, edges, depth)
+def traverse(entry: DataFrame, edges: DataFrame, depth: int = 2, least: int = 1 << 16) -> DataFrame:
+    """(query_id, chunk_id, hop): chunks of the edges that touch nodes up to `depth` steps away, at their nearest. Hubs are in
+    blocks, as in reach()."""
+    large = hubs(edges, least)
+    nodes = _reach(entry, edges, depth, large)
     ends = edges.select(F.col("src").alias("node"), "chunk_id").union(edges.select(F.col("dst").alias("node"), "chunk_id")).filter("chunk_id is not null").distinct()
-    return nodes.join(ends, "node").groupBy("query_id", "chunk_id").agg(F.min("hop").alias("hop"))
+    met = at_blocks(nodes, large).join(blocked(ends, "chunk_id", large), ["node", "block"])
+    return met.groupBy("query_id", "chunk_id").agg(F.min("hop").alias("hop"))
 
 
 def connected(links: DataFrame, rounds: int = 100) -> DataFrame:
