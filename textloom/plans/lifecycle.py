@@ -10,7 +10,7 @@ from .. import streaming as ingest
 from ..operators import answers, caching, graph, quality, retrieval
 from ..operators.graph import new_folder
 from ..sources import stores
-from .queries import COSINE, FIXED, NODES, ON_CHUNKS, TERMS, _contexts, _edges, _entities, _passages, _questions, _vectors, lexical, plain_chunks, read, register
+from .queries import BM25, COSINE, FIXED, NODES, ON_CHUNKS, ORACLES, QUALITY, QUERIES, SIGNIFICANT, TERMS, _contexts, _edges, _entities, _passages, _questions, _vectors, lexical, plain_chunks, read, register
 
 # ---- vector collections and stored tables ----
 
@@ -287,10 +287,28 @@ def graph_hybrid_retrieve(spark, sf_dir):
 # ---- gates ----
 
 
-@register("""WITH q AS (SELECT item_id AS query_id FROM benchmark) SELECT query_id, 1::INT AS step, 'chunk_quality' AS gate, 0.5::DOUBLE AS score, true AS passed, 'accepted' AS action FROM q
-  UNION ALL SELECT query_id, 2, 'retrieval', query_id / 100.0, query_id % 2 = 0, CASE WHEN query_id % 2 = 0 THEN 'none' ELSE 'healed' END FROM q UNION ALL SELECT query_id, 3, 'groundedness', 1.0, false, 'flag' FROM q""")
+# What the gates say of each question: the worst passage of its first three, its healed search, and how far those passages bear
+# out an answer, for which the question's own text stands in.
+GATES = f"""WITH top AS (SELECT * FROM (WITH {BM25} SELECT query_id, chunk_id FROM ranked WHERE rank <= 3) x),
+  good AS (SELECT * FROM (WITH chunks AS (SELECT doc_id, text FROM documents), {QUALITY} SELECT doc_id, quality_score FROM scored) x),
+  worst AS (SELECT query_id, min(quality_score)::DOUBLE AS score FROM top JOIN good ON doc_id = chunk_id GROUP BY 1),
+  healed AS (SELECT * FROM ({ORACLES["retrieval_heal"]}) x),
+  ctx AS (SELECT query_id, list_distinct(flatten(list({SIGNIFICANT.format('d.text')}))) AS ctx FROM top JOIN documents d ON d.doc_id = chunk_id GROUP BY 1),
+  s AS (SELECT item_id, unnest(list_filter(list_transform(regexp_split_to_array(regexp_replace(trim(text), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: length(x) > 10)) AS sentence FROM benchmark),
+  g AS (SELECT item_id, len({SIGNIFICANT.format('sentence')}) AS words, len(list_intersect({SIGNIFICANT.format('sentence')}, coalesce(ctx, []))) AS found FROM s LEFT JOIN ctx ON query_id = item_id),
+  k AS (SELECT item_id, count(*) AS n, count(*) FILTER (words = 0 OR found >= 0.5 * words) AS k FROM g GROUP BY 1),
+  borne AS (SELECT b.item_id AS query_id, CASE WHEN trim(b.text) = '' THEN 0.0 WHEN n IS NULL THEN 1.0 ELSE round(k / n::DOUBLE, 4) END::DOUBLE AS score FROM benchmark b LEFT JOIN k USING (item_id))"""
+
+
+@register(f"""{GATES} SELECT query_id, 1::INT AS step, 'chunk_quality' AS gate, score, score >= 0.4 AS passed, CASE WHEN score >= 0.4 THEN 'accepted' ELSE 'excluded' END AS action FROM worst
+  UNION ALL SELECT query_id, 2, 'retrieval', strength, passed, action FROM healed UNION ALL SELECT query_id, 3, 'groundedness', score, score >= 0.6, CASE WHEN score >= 0.6 THEN 'none' ELSE 'flag' END FROM borne""")
 def gate_trace(spark, sf_dir):
-    q = _questions(spark, sf_dir).select("query_id")
-    row = lambda score, passed, action: q.select("query_id", score.alias("score"), passed.alias("passed"), action.alias("action"))
-    even = F.col("query_id") % 2 == 0
-    return answers.gate_trace(row(F.lit(0.5), F.lit(True), F.lit("accepted")), row(F.col("query_id") / 100, even, F.when(even, "none").otherwise("healed")), row(F.lit(1.0), F.lit(False), F.lit("flag")))
+    asked, texts = _questions(spark, sf_dir), read(spark, sf_dir, "documents").select("doc_id", "text")
+    top = lexical(spark, sf_dir, 3).select("query_id", F.col("chunk_id").alias("doc_id"))
+    scored = quality.score(texts.join(top.select("doc_id").distinct(), "doc_id", "left_semi")).select("doc_id", "quality_score")
+    worst = top.join(scored, "doc_id").groupBy("query_id").agg(F.min("quality_score").cast("double").alias("score"))
+    worst = worst.withColumn("passed", F.col("score") >= 0.4).withColumn("action", F.when(F.col("passed"), "accepted").otherwise("excluded"))
+    healed = QUERIES["retrieval_heal"](spark, sf_dir).withColumnRenamed("strength", "score")
+    said = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("answer_id"), F.col("text").alias("answer"))
+    borne = answers.groundedness(said, top.join(texts, "doc_id").select(F.col("query_id").alias("answer_id"), "text")).withColumnRenamed("answer_id", "query_id")
+    return answers.gate_trace(worst, healed, borne)
