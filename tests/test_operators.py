@@ -76,6 +76,39 @@ def test_windows_by_another_count(monkeypatch):
     assert found[-1][1] == 20_000 and len(called) <= 12 * len(found)
 
 
+def test_subword_windows_count_each_word_once(monkeypatch):
+    """However many windows overlap: words of many windows, odd ones too, are encoded twice at most."""
+    import public_tokenizers
+
+    from textloom.operators import windows as module
+
+    count = module.subword_counter(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(5)
+    odd = ["it's", "'s", "<|endoftext|>", "a<|endoftext|>b", "x" * 90, "é\u0301\u200b", "\u4e16\u754c", "42%", "...", "\ufffd", "I'll", "1,000.5"]
+    tokens = [rng.choice(odd + ["plain", "word"] * 6) for _ in range(600)]
+    monkeypatch.setitem(COUNTERS, "bpe", count)
+    c = WindowConfig(size=40, overlap=9, boundary=False, counter="bpe")
+    want = list(brute_spans(tokens, c, count))
+    called = []
+    plain = type(count).__call__
+    monkeypatch.setattr(type(count), "__call__", lambda self, text: called.append(text) or plain(self, text))
+    assert list(spans(tokens, c)) == want
+    assert len([x for x in called if len(x) <= 64]) <= 2 * len(odd + ["plain", "word"])
+    assert not module.cuts_at_spaces('{"pre_tokenizer": {"type": "Metaspace"}, "model": {"type": "BPE"}}')
+
+
+def test_windows_leave_a_task_in_bounded_parts(spark, monkeypatch):
+    """A long text isn't repeated for its windows, and its windows don't leave as one batch."""
+    from textloom.operators import windows as module
+
+    monkeypatch.setattr(module, "TOGETHER", 1000)
+    df = spark.createDataFrame([(1, "word. " * 2000), (2, None), (3, "one.")], "id int, text string").coalesce(1)
+    rows = windows(df, "text", WindowConfig(size=20, overlap=2), source=False)
+    assert rows.columns == ["id", "window_index", "window"]
+    whole = windows(df, "text", WindowConfig(size=20, overlap=2))
+    assert [r.window for r in rows.collect()] == [r.window for r in whole.collect()] and whole.columns[1] == "text"
+
+
 def test_subword_chunks_equal_brute_force(spark):
     import hashlib
 
