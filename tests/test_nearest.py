@@ -67,3 +67,18 @@ def test_errors(spark, clustered, tmp_path):
         index.create(clustered.filter("vector is null"))
     index.create(clustered.limit(3))
     assert index.search(clustered.selectExpr("chunk_id as query_id", "vector as q_vector")).count() == 0
+
+
+def test_candidates_are_not_dealt_out(spark, clustered, tmp_path):
+    """With all lists and all candidates, and with some: the best of a task go on, not the candidates with their questions."""
+    index = VectorIndex(spark, str(tmp_path / "i"))
+    index.create(clustered, rows=1500)
+    index.add(clustered)
+    asked = clustered.filter("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), F.col("vector").alias("q_vector"))
+    for options in ({"probes": 10**6, "depth": 10**6}, {"probes": 3}):
+        plan = index.search(asked, 5, **options)._jdf.queryExecution().executedPlan().toString()
+        assert "arrays_zip" not in plan and plan.count("Generate explode") == 0
+    whole = clustered.filter("size(vector) = 24 and not isnan(vector[0])")
+    want = {(r.query_id, r.chunk_id, r["rank"]): r.score for r in retrieval.dense(asked.filter("size(q_vector) = 24 and not isnan(q_vector[0])"), whole, 5).collect()}
+    got = {(r.query_id, r.chunk_id, r["rank"]): r.score for r in index.search(asked, 5, probes=10**6, depth=10**6).collect()}
+    assert got == want

@@ -13,11 +13,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import neighbours, retrieval
 from ..operators.retrieval import match_filter, top
 from .manifest import Manifest
 
 #: Vectors of a block, questions that meet a block together, and places of a codebook.
-BLOCK, QUESTIONS, CODES = 4096, 256, 256
+BLOCK, QUESTIONS, CODES = 4096, 1024, 256
 
 
 def k_means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 15) -> np.ndarray:
@@ -73,14 +74,6 @@ class Model:
         return table[np.arange(len(self.books)), codes].sum(1)
 
 
-def exact(q: np.ndarray, x: np.ndarray, distance: str) -> np.ndarray:
-    """Scores as retrieval.dense gives them."""
-    if distance == "euclid":
-        return -np.sqrt(((x - q) ** 2).sum(1))
-    size = np.linalg.norm(x, axis=1) * np.linalg.norm(q)
-    return np.divide(x @ q, size, out=np.zeros(len(x)), where=size > 0)
-
-
 def fit(sample: np.ndarray, rows: int, distance: str = "cosine", parts: int = 16, recall: float = 0.95, k: int = 10, seed: int = 7) -> Model:
     """A model for about `rows` vectors from a sample of them: as many lists as half the root of rows (of the sample's rows /
     8 at most), and as many probes as the sample needs so that `recall` of the true k neighbours of 200 of its rows lie in
@@ -197,9 +190,10 @@ class VectorIndex:
     def search(self, queries: DataFrame, k: int = 10, probes: int | None = None, depth: int = 20, wanted: dict[str, str] | None = None, attributes: DataFrame | None = None) -> DataFrame:
         """(query_id, chunk_id, score, rank) of a stated query set (query_id, q_vector), with exact scores.
 
-        A question meets the blocks of its nearest lists only, other lists aren't read. depth * k candidates by coded
-        distance are scored exactly, by their blocks' vectors. wanted filters by columns of attributes (chunk_id, ...)
-        after the cut to k, as an index without them does.
+        A question meets the blocks of its nearest lists only, other lists aren't read. Of a block the best depth * k by coded
+        distance are scored exactly, all if it has no more; a task keeps k of each question. Where all lists are probed and
+        no block can hold more, blocks of questions meet blocks of vectors, as in retrieval.dense. wanted filters by columns
+        of attributes (chunk_id, ...) after the cut to k, as an index without them does.
         """
         if k < 1 or depth < 1:
             raise ValueError("k and depth must be at least 1")
@@ -223,44 +217,51 @@ class VectorIndex:
                 which = np.repeat(np.arange(len(raw)), count)
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(mask)).take(pa.array(which)), pa.array(near.ravel().astype(np.int32)), pa.array([raw[i].tobytes() for i in which], pa.binary())], ["query_id", "list", "q"])
 
-        def near(batches):
+        def vectors(batches):
             import pyarrow as pa
 
             for batch in batches:
-                out = []
-                for segment, block, number, codes, asked in zip(*(batch.column(c).to_pylist() for c in ("segment", "block", "list", "codes", "asked"))):
-                    of = np.frombuffer(codes, np.uint8).reshape(-1, len(m.books))
-                    for a in asked:
-                        far = m.distances(m.prepared(np.frombuffer(a["q"])[None])[0], number, of)
-                        best = np.argsort(far, kind="stable")[:keep]
-                        out.append((a["query_id"], a["q"], segment, number, block, best.astype(np.int32).tolist(), far[best].tolist()))
-                names, kinds = ["query_id", "q", "segment", "list", "block", "at", "far"], [batch.schema.field("asked").type.value_type.field("query_id").type, pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.float64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)] if out else [pa.array([], t) for t in kinds], names)
+                for ids, held in zip(batch.column(0), batch.column(1)):
+                    x = pa.array(np.frombuffer(held.as_py(), "<f4"))
+                    yield pa.RecordBatch.from_arrays([ids.values, pa.FixedSizeListArray.from_arrays(x, dims).cast(pa.list_(pa.float32()))], ["chunk_id", "vector"])
 
         def scored(batches):
             import pyarrow as pa
 
+            best, kinds = neighbours.Best(k, m.distance), None
             for batch in batches:
-                out = []
-                for ids, vectors, asked in zip(*(batch.column(c).to_pylist() for c in ("ids", "vectors", "asked"))):
-                    x = np.frombuffer(vectors, "<f4").reshape(-1, dims).astype(float)
-                    for a in asked:
-                        out += [(a["query_id"], ids[i], s) for i, s in zip(a["at"], exact(np.frombuffer(a["q"]), x[a["at"]], m.distance).tolist())]
-                kinds = [batch.schema.field("asked").type.value_type.field("query_id").type, batch.schema.field("ids").type.value_type, pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)] if out else [pa.array([], t) for t in kinds], ["query_id", "chunk_id", "score"])
-
-        asked = queries.select("query_id", "q_vector").mapInArrow(probed, f"query_id {kind}, list int, q binary")
-        lists = [r[0] for r in asked.select("list").distinct().collect()]  # as many as there are lists, at most
-        groups = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // QUESTIONS))))
-        sets = asked.groupBy("list", groups.alias("group")).agg(F.collect_list(F.struct("query_id", "q")).alias("asked"))
-        ours = blocks.filter(F.col("list").isin(lists))
-        met = ours.select("segment", "block", "list", "codes").join(sets, "list").select("segment", "block", "list", "codes", "asked")
-        found = met.mapInArrow(near, f"query_id {kind}, q binary, segment int, list int, block long, at array<int>, far array<double>")
-        each = found.select("query_id", "q", "segment", "list", "block", F.explode(F.arrays_zip("at", "far")).alias("p")).select("query_id", "q", "segment", "list", "block", F.col("p.at").alias("at"), (-F.col("p.far")).alias("score"), F.struct("segment", "list", "block", "p.at").alias("chunk_id"))
-        kept = top(each, keep).groupBy("segment", "list", "block", "query_id", "q").agg(F.collect_list("at").alias("at"))
-        wanted_blocks = kept.groupBy("segment", "list", "block").agg(F.collect_list(F.struct("query_id", "q", "at")).alias("asked"))
-        rows = ours.select("segment", "list", "block", "ids", "vectors").join(wanted_blocks, ["segment", "list", "block"]).select("ids", "vectors", "asked")
-        best = top(rows.mapInArrow(scored, f"query_id {kind}, chunk_id {id_type}, score double"), k)
+                kinds = [batch.schema.field("asked").type.value_type.field("query_id").type, batch.schema.field("ids").type.value_type]
+                for i in range(batch.num_rows):
+                    ids, number, codes, held, asked = (batch.column(c)[i].as_py() for c in ("ids", "list", "codes", "vectors", "asked"))
+                    x = np.frombuffer(held, "<f4").reshape(-1, dims).astype(float)
+                    by = np.array(sorted(range(len(ids)), key=lambda j: neighbours.order(ids[j])))
+                    ids, x, of = [ids[j] for j in by], x[by], np.frombuffer(codes, np.uint8).reshape(len(ids), -1)[by]
+                    keys, q = [a["query_id"] for a in asked], np.array([np.frombuffer(a["q"]) for a in asked])
+                    if len(ids) <= keep:
+                        best.meet(keys, q, ids, x)
+                        continue
+                    for a, key in enumerate(keys):
+                        near = np.sort(np.argsort(m.distances(m.prepared(q[a : a + 1])[0], number, of), kind="stable")[:keep])
+                        best.meet([key], q[a : a + 1], [ids[j] for j in near], x[near])
+            if kinds:
+                rows = list(best.rows())
+                for at in range(0, len(rows), 100_000):
+                    out = list(zip(*rows[at : at + 100_000]))
+                    yield pa.RecordBatch.from_arrays([pa.array(out[0], kinds[0]), pa.array(out[1], kinds[1]), pa.array(out[2], pa.float64())], ["query_id", "chunk_id", "score"])
+
+        if count == len(m.centres) and keep >= BLOCK:
+            whole = blocks.select("ids", "vectors").mapInArrow(vectors, f"chunk_id {id_type}, vector array<float>")
+            packed = whole.mapInArrow(neighbours.packer(neighbours.BLOCK, k), f"ids array<{id_type}>, {neighbours.KINDS}")
+            right = queries.filter(F.size("q_vector") == dims).filter(F.forall("q_vector", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))))
+            best = top(retrieval.among(right, packed, k, m.distance), k)
+        else:
+            asked = queries.select("query_id", "q_vector").mapInArrow(probed, f"query_id {kind}, list int, q binary")
+            lists = [r[0] for r in asked.select("list").distinct().collect()]  # as many as there are lists, at most
+            groups = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // QUESTIONS))))
+            sets = asked.groupBy("list", groups.alias("group")).agg(F.collect_list(F.struct("query_id", "q")).alias("asked"))
+            met = blocks.filter(F.col("list").isin(lists)).select("list", "ids", "codes", "vectors").join(sets, "list")
+            rows = met.select("list", "ids", "codes", "vectors", "asked").mapInArrow(scored, f"query_id {kind}, chunk_id {id_type}, score double")
+            best = top(rows, k)
         if wanted:
             best = best.join(match_filter(attributes, wanted).select("chunk_id").distinct(), "chunk_id", "left_semi")
         return best.select("query_id", "chunk_id", "score", "rank")
