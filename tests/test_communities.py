@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from textloom.operators import communities
 
@@ -142,6 +143,17 @@ def test_few_movers_for_each_round_settle_too(spark):
     assert got == {i: 0 if i < 60 else 100 for i in [*range(60), *range(100, 160)]}
 
 
+def test_one_round_takes_all_that_gain(spark):
+    """However many ask for one community; in shares of work, of which a community has several, as in one."""
+    want = {i: 1499 for i in range(1499)} | {i: 3499 for i in range(2000, 3499)}
+    links = communities.undirected(spark.range(3500), spark.createDataFrame([*want.items()], "src long, dst long"))
+    nodes = links.groupBy("u").agg(F.sum("w").alias("k")).withColumn("c", F.col("u"))
+    for share in (500, communities.MOVERS):
+        with communities._tables(spark) as kept:
+            label = communities.settle(nodes, links, 2 * len(want), kept, rounds=1, movers=share)
+            assert {r.u: r.c for r in label.collect()} == want | {1499: 1499, 3499: 3499}
+
+
 def test_edges_that_do_not_count(spark):
     entities, none = frames(spark, 3, [(0, 0), (1, 99), (None, 2)])
     assert communities.by_modularity(entities, none).count() == 0

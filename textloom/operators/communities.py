@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from .graph import _checkpoint_dir, _cut, connected
 
 Kept = Callable[[DataFrame], DataFrame]
-#: Shares of a community's movers, and how many of a share are considered in one round; the others wait for the next.
-PARTS, MOVERS = 16, 64
+#: Requests of a round that are put in order as one share of work.
+MOVERS = 1 << 16
 
 
 @contextmanager
@@ -43,14 +43,29 @@ def _exact(c: str) -> str:
     return f"CAST({c} AS DECIMAL(19, 0))"
 
 
-def moves(nodes: DataFrame, links: DataFrame, total: int, single: bool = False, movers: int = MOVERS) -> DataFrame:
-    """(u, target): the nodes that leave their communities in one round, which raises modularity by every one of them.
+def earlier(rows: DataFrame, side: str, name: str, kept: Kept, share: int, number: int) -> DataFrame:
+    """rows (u, k, less, ...) with the sum of k of those that come before, by less and u, at the same `side`. More than `share`
+    are dealt out by ranges of that order, so that a community's rows are no one task's; what lies before a range is added."""
+    order, ahead = ["less", "u"], lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda keys: F.coalesce(F.sum("k").over(ahead(Window.partitionBy(*keys).orderBy(*order))), F.lit(0))
+    if number <= share:
+        return rows.withColumn(name, before([side]))
+    placed = kept(rows.repartitionByRange(-(-number // share), side, *order).withColumn("range", F.spark_partition_id()))
+    sums = placed.groupBy(side, "range").agg(F.sum("k").alias("held"))
+    sums = sums.select(side, "range", F.coalesce(F.sum("held").over(ahead(Window.partitionBy(side).orderBy("range"))), F.lit(0)).alias("held"))
+    return placed.join(sums, [side, "range"]).withColumn(name, before([side, "range"]) + F.col("held")).drop("range", "held")
+
+
+def moves(nodes: DataFrame, links: DataFrame, total: int, kept: Kept, single: bool = False, movers: int = MOVERS) -> DataFrame | None:
+    """(u, target): the nodes that leave their communities in one round, which raises modularity by every one of them; None
+    if no node gains by leaving.
 
     A node asks for the neighbouring community of the highest gain, the smallest of several. The strongest request that
     touches a community, as the one left or the one entered, makes it a giver or a taker; only requests from givers to
     takers stand. They are taken in order of gain and id, and a request must still gain if all that come before it at its
-    two communities are granted: what they bring along in links could only add to it. So the strongest always passes.
-    With `single`, only nodes that are alone in their community ask.
+    two communities are granted: what they bring along in links could only add to it. So the strongest always passes, and
+    however many enter a community, one round is enough for those that gain. With `single`, only nodes that are alone in
+    their community ask. `movers`: see earlier().
     """
     scale = f"CAST({total} AS DECIMAL(19, 0))"
     strength = nodes.groupBy("c").agg(F.sum("k").alias("kc"), F.count("*").alias("members"))
@@ -65,15 +80,15 @@ def moves(nodes: DataFrame, links: DataFrame, total: int, single: bool = False,
     )
     gain = f"{scale} * {_exact('best.w - w_own')} - {_exact('k')} * {_exact('best.kc - (k_own - k)')}"
     asked = best.filter("best is not null").withColumn("less", -F.expr(gain)).filter("less < 0").select("u", "k", "own", "k_own", "w_own", F.col("best.target").alias("target"), F.col("best.w").alias("w"), F.col("best.kc").alias("kc"), "less")
+    # Read for the roles and the requests; the joins before it are done once.
+    asked = kept(asked)
+    number = asked.count()
+    if not number:
+        return None
     touched = asked.select(F.col("own").alias("c"), "less", "u", F.lit(True).alias("gives")).union(asked.select("target", "less", "u", F.lit(False)))
     role = touched.groupBy("c").agg(F.min(F.struct("less", "u", "gives")).alias("first")).select("c", "first.gives")
     left = asked.join(role.filter("gives").select(F.col("c").alias("own")), "own", "left_semi").join(role.filter("not gives").select(F.col("c").alias("target")), "target", "left_semi")
-    left = left.withColumn("part", F.pmod(F.xxhash64("u"), F.lit(PARTS)))
-    for side in ("target", "own"):
-        place = F.row_number().over(Window.partitionBy(side, "part").orderBy("less", "u"))
-        left = left.withColumn("place", place).filter(F.col("place") <= movers)
-    before = lambda side: F.coalesce(F.sum("k").over(Window.partitionBy(side).orderBy("less", "u").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    left = left.withColumn("entered", before("target")).withColumn("gone", before("own"))
+    left = earlier(earlier(left, "target", "entered", kept, movers, number), "own", "gone", kept, movers, number)
     sure = f"{scale} * {_exact('w - w_own')} - {_exact('k')} * {_exact('kc + entered - (k_own - k - gone)')} > 0"
     return left.filter(sure).select("u", "target")
 
@@ -81,8 +96,8 @@ def moves(nodes: DataFrame, links: DataFrame, total: int, single: bool = False,
 def settle(nodes: DataFrame, links: DataFrame, total: int, kept: Kept, single: bool = False, rounds: int = 100, movers: int = MOVERS) -> DataFrame:
     """nodes after rounds of moves, until none gains; `rounds` bounds them, and what is reached then stands."""
     for _ in range(rounds):
-        moved = kept(moves(nodes, links, total, single, movers))
-        if moved.isEmpty():
+        moved = moves(nodes, links, total, kept, single, movers)
+        if moved is None:
             break
         nodes = kept(nodes.join(moved, "u", "left").select("u", "k", F.coalesce("target", "c").alias("c")))
     return nodes
