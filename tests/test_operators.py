@@ -376,3 +376,23 @@ def test_traversal_past_hubs(spark):
     held = graph.blocked(edges.select(F.col("src").alias("node"), F.col("dst").alias("to")), "to", graph.hubs(edges.filter("src = 'hub'"), 50))
     assert held.filter("node = 'hub'").groupBy("block").count().agg(F.max("count")).first()[0] < 700
     assert graph.reach(entry, edges.limit(0), 2).count() == 4
+
+
+def test_bm25_takes_each_text_apart_once(spark):
+    """And leaves no lists behind."""
+    import os
+
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        read.add(1)
+        return text
+
+    chunks = spark.createDataFrame([(i, f"word{i % 7} other{i % 3}") for i in range(40)] + [(40, None), (41, "")], "chunk_id long, text string").repartition(3)
+    asked = spark.createDataFrame([(1, "word3"), (2, "none at all")], "query_id int, query string")
+    found = retrieval.bm25(asked, chunks.select("chunk_id", seen("text").alias("text")), 3).collect()
+    assert read.value == 42
+    assert sorted((r.query_id, r.chunk_id) for r in found) == [(1, 3), (1, 10), (1, 17), (2, 0), (2, 1), (2, 2)]
+    folder = graph._checkpoint_dir(spark).removeprefix("file:")
+    assert not [f for f in os.listdir(folder) if f.startswith("lists-")]
