@@ -378,6 +378,18 @@ def test_traversal_past_hubs(spark):
     assert graph.reach(entry, edges.limit(0), 2).count() == 4
 
 
+def test_entry_nodes_of_a_run_that_very_many_texts_hold(spark):
+    """Such a run is dealt over blocks; only runs as long as names are made."""
+    asked = spark.createDataFrame([(i, f"From egypt, in Africa {i % 3}") for i in range(400)] + [(400, "to Saudi Arabia or A B C D E F G"), (401, None), (402, "")], "query_id int, text string")
+    named = spark.createDataFrame([("n1", "Egypt"), ("n2", "EGYPT"), ("n3", "saudi arabia"), ("n4", "a b c d e f g"), ("n5", "a b c d e f h"), ("n6", ""), ("n7", None)], "id string, name string")
+    want = {(i, n) for i in range(400) for n in ("n1", "n2")} | {(400, "n3"), (400, "n4")}
+    for least in (20, 1 << 16):
+        got = graph.entry_nodes(asked, named, least=least)
+        assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    large = graph._frequent(spark.createDataFrame([("egypt",)] * 100 + [("x",)], "node string"), 20)
+    assert [r.node for r in large.collect()] == ["egypt"]
+
+
 def test_bm25_takes_each_text_apart_once(spark):
     """And leaves no lists behind."""
     import os
