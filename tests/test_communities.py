@@ -163,3 +163,16 @@ def test_edges_that_do_not_count(spark):
     assert {tuple(r) for r in one.collect()} == {(0, 0, 2), (1, 0, 2)}
     links = communities.undirected(*frames(spark, 4, [(0, 1), (2, 3)]))
     assert communities.modularity(spark.createDataFrame([(0, 0), (1, 0), (2, 2), (3, 2)], "id int, community int"), links) == 0.5
+
+
+def test_rounds_broadcast_no_table(spark):
+    """What grows with the graph doesn't pass through the driver, however small its tables are on disk."""
+    links = communities.undirected(spark.range(40), spark.createDataFrame(graph_of(3, 40, 4, 4, 1), "src long, dst long"))
+    nodes = links.groupBy("u").agg(F.sum("w").alias("k")).withColumn("c", F.col("u"))
+    total = links.agg(F.sum("w")).first()[0]
+    moved = communities.moves(nodes, links, total, lambda df: df)
+    worth = communities.contributions(nodes.select(F.col("u").alias("id"), F.col("c").alias("community")), links, total)
+    for df in (links, moved, worth):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan

@@ -15,7 +15,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .graph import _checkpoint_dir, _cut, connected
+from .graph import _checkpoint_dir, _cut, connected, dealt
 
 Kept = Callable[[DataFrame], DataFrame]
 #: Requests of a round that are put in order as one share of work.
@@ -53,7 +53,7 @@ def earlier(rows: DataFrame, side: str, name: str, kept: Kept, share: int, numbe
     placed = kept(rows.repartitionByRange(-(-number // share), side, *order).withColumn("range", F.spark_partition_id()))
     sums = placed.groupBy(side, "range").agg(F.sum("k").alias("held"))
     sums = sums.select(side, "range", F.coalesce(F.sum("held").over(ahead(Window.partitionBy(side).orderBy("range"))), F.lit(0)).alias("held"))
-    return placed.join(sums, [side, "range"]).withColumn(name, before([side, "range"]) + F.col("held")).drop("range", "held")
+    return placed.join(dealt(sums), [side, "range"]).withColumn(name, before([side, "range"]) + F.col("held")).drop("range", "held")
 
 
 def moves(nodes: DataFrame, links: DataFrame, total: int, kept: Kept, single: bool = False, movers: int = MOVERS) -> DataFrame | None:
@@ -69,10 +69,10 @@ def moves(nodes: DataFrame, links: DataFrame, total: int, kept: Kept, single: bo
     """
     scale = f"CAST({total} AS DECIMAL(19, 0))"
     strength = nodes.groupBy("c").agg(F.sum("k").alias("kc"), F.count("*").alias("members"))
-    own = nodes.join(strength, "c").select("u", "k", F.col("c").alias("own"), F.col("kc").alias("k_own"), "members")
+    own = nodes.join(dealt(strength), "c").select("u", "k", F.col("c").alias("own"), F.col("kc").alias("k_own"), "members")
     asking = own.filter("members = 1") if single else own
-    toward = links.join(nodes.select(F.col("u").alias("v"), "c"), "v").groupBy("u", "c").agg(F.sum("w").alias("w"))
-    each = toward.join(asking, "u").join(strength.select("c", "kc"), "c")
+    toward = links.join(dealt(nodes.select(F.col("u").alias("v"), "c")), "v").groupBy("u", "c").agg(F.sum("w").alias("w"))
+    each = toward.join(dealt(asking), "u").join(dealt(strength.select("c", "kc")), "c")
     score = F.expr(f"{scale} * {_exact('w')} - {_exact('k')} * {_exact('kc')}")
     best = each.groupBy("u", "k", "own", "k_own").agg(
         F.min(F.when(F.col("c") != F.col("own"), F.struct((-score).alias("less"), F.col("c").alias("target"), F.col("w").alias("w"), F.col("kc").alias("kc")))).alias("best"),
@@ -87,7 +87,7 @@ def moves(nodes: DataFrame, links: DataFrame, total: int, kept: Kept, single: bo
         return None
     touched = asked.select(F.col("own").alias("c"), "less", "u", F.lit(True).alias("gives")).union(asked.select("target", "less", "u", F.lit(False)))
     role = touched.groupBy("c").agg(F.min(F.struct("less", "u", "gives")).alias("first")).select("c", "first.gives")
-    left = asked.join(role.filter("gives").select(F.col("c").alias("own")), "own", "left_semi").join(role.filter("not gives").select(F.col("c").alias("target")), "target", "left_semi")
+    left = asked.join(dealt(role.filter("gives").select(F.col("c").alias("own"))), "own", "left_semi").join(dealt(role.filter("not gives").select(F.col("c").alias("target"))), "target", "left_semi")
     left = earlier(earlier(left, "target", "entered", kept, movers, number), "own", "gone", kept, movers, number)
     sure = f"{scale} * {_exact('w - w_own')} - {_exact('k')} * {_exact('kc + entered - (k_own - k - gone)')} > 0"
     return left.filter(sure).select("u", "target")
@@ -99,25 +99,25 @@ def settle(nodes: DataFrame, links: DataFrame, total: int, kept: Kept, single: b
         moved = moves(nodes, links, total, kept, single, movers)
         if moved is None:
             break
-        nodes = kept(nodes.join(moved, "u", "left").select("u", "k", F.coalesce("target", "c").alias("c")))
+        nodes = kept(nodes.join(dealt(moved), "u", "left").select("u", "k", F.coalesce("target", "c").alias("c")))
     return nodes
 
 
 def contributions(labels: DataFrame, links: DataFrame, total: int) -> DataFrame:
     """(community, q): what each community of (id, community) adds to modularity, times the square of `total`."""
     k = links.groupBy("u").agg(F.sum("w").alias("k")).withColumnRenamed("u", "id")
-    strength = labels.join(k, "id").groupBy("community").agg(F.sum("k").alias("k"))
-    ends = links.join(labels.select(F.col("id").alias("u"), "community"), "u").join(labels.select(F.col("id").alias("v"), F.col("community").alias("other")), "v")
+    strength = labels.join(dealt(k), "id").groupBy("community").agg(F.sum("k").alias("k"))
+    ends = links.join(dealt(labels.select(F.col("id").alias("u"), "community")), "u").join(dealt(labels.select(F.col("id").alias("v"), F.col("community").alias("other"))), "v")
     inside = ends.filter("community = other").groupBy("community").agg(F.sum("w").alias("w"))
     q = f"CAST({total} AS DECIMAL(19, 0)) * {_exact('coalesce(w, 0)')} - {_exact('k')} * {_exact('k')}"
-    return strength.join(inside, "community", "left").select("community", F.expr(q).alias("q"))
+    return strength.join(dealt(inside), "community", "left").select("community", F.expr(q).alias("q"))
 
 
 def undirected(entities: DataFrame, edges: DataFrame) -> DataFrame:
     """(u, v, w) in both directions, of weight 1: edges between two different entities, each pair once."""
     ids = entities.select("id").distinct()
     ends = edges.filter("src <> dst").select(F.col("src").alias("u"), F.col("dst").alias("v"))
-    ends = ends.join(ids.withColumnRenamed("id", "u"), "u", "left_semi").join(ids.withColumnRenamed("id", "v"), "v", "left_semi").select("u", "v")
+    ends = ends.join(dealt(ids.withColumnRenamed("id", "u")), "u", "left_semi").join(dealt(ids.withColumnRenamed("id", "v")), "v", "left_semi").select("u", "v")
     return ends.union(ends.select("v", "u")).distinct().withColumn("w", F.lit(1).cast("long"))
 
 
@@ -147,27 +147,27 @@ def by_modularity(entities: DataFrame, edges: DataFrame, least: int = 2, rounds:
         while total:
             nodes = settle(nodes, links, total, kept, rounds=rounds, movers=movers)
             side = nodes.select("u", "c")
-            within = kept(links.join(side, "u").join(side.select(F.col("u").alias("v"), F.col("c").alias("d")), "v").filter("c = d").select("u", "v", "w"))
+            within = kept(links.join(dealt(side), "u").join(dealt(side.select(F.col("u").alias("v"), F.col("c").alias("d"))), "v").filter("c = d").select("u", "v", "w"))
             fine = settle(nodes.select("u", "k", F.col("u").alias("c")), within, total, kept, single=True, rounds=rounds, movers=movers)
-            joined = kept(nodes.join(fine.select("u", F.col("c").alias("r")), "u"))
+            joined = kept(nodes.join(dealt(fine.select("u", F.col("c").alias("r"))), "u"))
             if joined.filter("u <> r").isEmpty():
                 break
             lead = joined.select("u", "r")
-            of = kept(lead.withColumnRenamed("u", "id") if of is None else of.withColumnRenamed("r", "u").join(lead, "u").select("id", "r"))
-            links = kept(links.join(lead, "u").join(lead.select(F.col("u").alias("v"), F.col("r").alias("s")), "v").filter("r <> s").groupBy(F.col("r").alias("u"), F.col("s").alias("v")).agg(F.sum("w").alias("w")))
+            of = kept(lead.withColumnRenamed("u", "id") if of is None else of.withColumnRenamed("r", "u").join(dealt(lead), "u").select("id", "r"))
+            links = kept(links.join(dealt(lead), "u").join(dealt(lead.select(F.col("u").alias("v"), F.col("r").alias("s"))), "v").filter("r <> s").groupBy(F.col("r").alias("u"), F.col("s").alias("v")).agg(F.sum("w").alias("w")))
             # Refined communities lie within one community each, whose name must be a node's of the next level or any other's.
             nodes = kept(joined.groupBy(F.col("r").alias("u")).agg(F.sum("k").alias("k"), F.min("c").alias("c")))
         label = nodes.select("u", "c")
-        label = label.withColumnsRenamed({"u": "id", "c": "community"}) if of is None else of.join(label.withColumnRenamed("u", "r"), "r").select("id", F.col("c").alias("community"))
+        label = label.withColumnsRenamed({"u": "id", "c": "community"}) if of is None else of.join(dealt(label.withColumnRenamed("u", "r")), "r").select("id", F.col("c").alias("community"))
         label = kept(label)
-        inner = first.join(label.select(F.col("id").alias("u"), "community"), "u").join(label.select(F.col("id").alias("v"), F.col("community").alias("other")), "v").filter("community = other")
+        inner = first.join(dealt(label.select(F.col("id").alias("u"), "community")), "u").join(dealt(label.select(F.col("id").alias("v"), F.col("community").alias("other"))), "v").filter("community = other")
         parts = connected(inner.select(F.col("u").alias("a"), F.col("v").alias("b")))
         whole = connected(first.select(F.col("u").alias("a"), F.col("v").alias("b"))).withColumnRenamed("component", "whole")
-        label = kept(label.join(parts, "id", "left").select("id", F.coalesce("component", "id").alias("community")).join(whole, "id"))
-        worth = contributions(label, first, total).join(label.select("community", "whole").distinct(), "community").groupBy("whole").agg(F.sum("q").alias("q"))
+        label = kept(label.join(dealt(parts), "id", "left").select("id", F.coalesce("component", "id").alias("community")).join(dealt(whole), "id"))
+        worth = contributions(label, first, total).join(dealt(label.select("community", "whole").distinct()), "community").groupBy("whole").agg(F.sum("q").alias("q"))
         alone = contributions(label.select("id", F.col("whole").alias("community")), first, total).select(F.col("community").alias("whole"), F.col("q").alias("one"))
-        better = worth.join(alone, "whole").filter("one > q").select("whole", F.lit(True).alias("stays"))
-        named = label.join(better, "whole", "left").select("id", F.expr("CASE WHEN stays THEN whole ELSE community END").alias("community"))
-        every = ids.join(named, "id", "left").select("id", F.coalesce("community", "id").alias("community"))
+        better = worth.join(dealt(alone), "whole").filter("one > q").select("whole", F.lit(True).alias("stays"))
+        named = label.join(dealt(better), "whole", "left").select("id", F.expr("CASE WHEN stays THEN whole ELSE community END").alias("community"))
+        every = ids.join(dealt(named), "id", "left").select("id", F.coalesce("community", "id").alias("community"))
         size = every.groupBy("community").agg(F.count("*").alias("size")).filter(F.col("size") >= least)
-        return _cut(every.join(size, "community").select("id", "community", "size"))
+        return _cut(every.join(dealt(size), "community").select("id", "community", "size"))
