@@ -408,3 +408,17 @@ def test_bm25_takes_each_text_apart_once(spark):
     assert sorted((r.query_id, r.chunk_id) for r in found) == [(1, 3), (1, 10), (1, 17), (2, 0), (2, 1), (2, 2)]
     folder = graph._checkpoint_dir(spark).removeprefix("file:")
     assert not [f for f in os.listdir(folder) if f.startswith("lists-")]
+
+
+def test_a_step_deals_out_no_pairs_of_queries_and_nodes(spark):
+    """Queries that stand at one hub: their pairs with its neighbours are made by the last join, and not shuffled after it."""
+    n = 300
+    edges = spark.range(n).select(F.concat(F.lit("s"), "id").alias("to"), F.lit("hub").alias("node"))
+    both = graph.blocked(edges, "to", None)
+    front = edges.select(F.col("to").alias("query_id"), "node").localCheckpoint()
+    seen = front.select("query_id", F.col("query_id").alias("node"), F.lit(0).alias("hop")).unionByName(front.withColumn("hop", F.lit(1)))
+    step = graph._step(front, both, seen, None)
+    assert len(step.collect()) == n * (n - 1)
+    final = step._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    last = final[: final.index("Join")]
+    assert "Final Plan" in last and "Exchange" not in last and "Shuffle" not in last and "Aggregate" not in last
