@@ -82,3 +82,48 @@ def test_candidates_are_not_dealt_out(spark, clustered, tmp_path):
     want = {(r.query_id, r.chunk_id, r["rank"]): r.score for r in retrieval.dense(asked.filter("size(q_vector) = 24 and not isnan(q_vector[0])"), whole, 5).collect()}
     got = {(r.query_id, r.chunk_id, r["rank"]): r.score for r in index.search(asked, 5, probes=10**6, depth=10**6).collect()}
     assert got == want
+
+
+def test_questions_are_not_copied_to_lists(spark, clustered, tmp_path):
+    """Questions meet the blocks as blocks of their own; what is dealt out doesn't grow with the lists that they probe."""
+    index = VectorIndex(spark, str(tmp_path / "i"))
+    model = index.create(clustered, rows=1500)
+    index.add(clustered)
+    asked = clustered.filter("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), F.col("vector").alias("q_vector"))
+    found = index.search(asked, 5, probes=3, depth=1)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "hashpartitioning(list" not in plan
+    # Of each of the three lists a question gets rows, in the exact order of those that it gets.
+    rows = {r.chunk_id: np.array(r.vector) for r in clustered.filter("size(vector) = 24 and not isnan(vector[0])").collect()}
+    lists = dict(zip(rows, model.lists(model.prepared(np.array(list(rows.values()))), 1)[:, 0]))
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.chunk_id, r.score))
+    assert set(got) == {r for r in rows if r % 50 == 0}
+    for q, of in got.items():
+        assert len(of) == 5 and all(a >= b for (_, a), (_, b) in zip(of, of[1:]))
+        assert {lists[i] for i, _ in of} <= set(model.lists(model.prepared(rows[q][None]), 3)[0])
+        norm = lambda v: np.linalg.norm(v) or 1.0
+        assert all(abs(s - rows[q] @ rows[i] / (norm(rows[q]) * norm(rows[i]))) < 1e-9 for i, s in of)
+
+
+def test_coded_neighbours(spark):
+    """The marked vectors are the nearest by sums over the codebooks, and only marked pairs count."""
+    from textloom.operators import neighbours
+    from textloom.sources.nearest import fit
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 8))
+    m = fit(x, 600, "euclid", parts=4)
+    of = np.zeros(600, int)
+    codes, q = m.encode(x, of), rng.normal(size=(9, 8))
+    marks = m.nearest(q, 0, codes, 40)
+    for i in range(9):
+        table = (((q[i] - m.centres[0]).reshape(4, 1, -1) - m.books) ** 2).sum(2)
+        off = table[np.arange(4), codes].sum(1)
+        assert set(np.argsort(off, kind="stable")[:30]) <= set(np.flatnonzero(marks[i])) and 40 <= marks[i].sum() < 60
+    best = neighbours.Best(5, "euclid")
+    best.meet(list(range(9)), q, list(range(600)), x, marks)
+    for i in range(9):
+        want = sorted(np.flatnonzero(marks[i]), key=lambda j: ((q[i] - x[j]) ** 2).sum())[:5]
+        assert [j for key, j, _ in best.rows() if key == i] == want

@@ -88,9 +88,10 @@ def score(q, x, distance: str):
         return np.where(size == 0, 0.0, s / np.where(size == 0, 1.0, size))
 
 
-def candidates(q, x, k: int, distance: str, least):
+def candidates(q, x, k: int, distance: str, least, of=None):
     """(places in q, places in x, scores) of the pairs that can be among the k best of each q; `least` has the k-th best score
-    that is known of each, -inf where there is none. Both hold finite vectors of one length."""
+    that is known of each, -inf where there is none. Both hold finite vectors of one length. `of` marks the pairs that count,
+    k or more of each q; None: all."""
     import numpy as np
 
     sizes = lambda m: np.sqrt((m * m).sum(1))
@@ -103,11 +104,14 @@ def candidates(q, x, k: int, distance: str, least):
     else:
         near = 2 * (q @ x.T) - (x * x).sum(1)[None] - (q * q).sum(1)[:, None]
         slack, worst = 1e-13 * (q.shape[1] + 8) * (a + b.max(initial=0)) ** 2, -(least * least)
+    if of is not None:
+        near = np.where(of, near, -np.inf)
     if len(x) > k and not np.isfinite(least).all():
         own = np.isinf(least)
         worst = worst.copy()
         worst[own] = np.partition(near[own], len(x) - k, axis=1)[:, len(x) - k] if own.any() else worst[own]
-    qi, xi = np.nonzero(near >= (worst - 2 * slack)[:, None])
+    met = near >= (worst - 2 * slack)[:, None]
+    qi, xi = np.nonzero(met if of is None else met & of)
     return qi, xi, score(q[qi], x[xi], distance)
 
 
@@ -129,9 +133,9 @@ class Best:
         if rows:
             self.held[key] = sorted([*self.held.get(key, []), *rows], key=lambda r: (r[0], r[1], order(r[2])))[: self.k]
 
-    def meet(self, keys: list, q, ids: list, x) -> None:
-        """Finite vectors of one length."""
-        qi, xi, s = candidates(q, x, self.k, self.distance, self.least(keys))
+    def meet(self, keys: list, q, ids: list, x, of=None) -> None:
+        """Finite vectors of one length; `of` marks the pairs that count, as in candidates()."""
+        qi, xi, s = candidates(q, x, self.k, self.distance, self.least(keys), of)
         at = 0
         for i, n in zip(*(c.tolist() for c in _counts(qi))):
             self._merge(keys[i], [(1, -v, ids[j]) for j, v in zip(xi[at : at + n].tolist(), s[at : at + n].tolist())])

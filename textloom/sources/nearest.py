@@ -67,11 +67,11 @@ class Model:
         off = (self.books**2).sum(2)[None] - 2 * np.einsum("npd,pcd->npc", left, self.books)
         return off.argmin(2).astype(np.uint8)
 
-    def distances(self, q: np.ndarray, of: int, codes: np.ndarray) -> np.ndarray:
-        """Squared distances of a question to coded vectors of a list."""
-        left = (q - self.centres[of]).reshape(len(self.books), 1, -1)
-        table = ((left - self.books) ** 2).sum(2)
-        return table[np.arange(len(self.books)), codes].sum(1)
+    def nearest(self, q: np.ndarray, of: int, codes: np.ndarray, keep: int) -> np.ndarray:
+        """Which coded vectors of a list are among the `keep` nearest of each question, by coded distance."""
+        x = self.centres[of] + self.books[np.arange(len(self.books)), codes].reshape(len(codes), -1)
+        off = (x * x).sum(1) - 2 * q @ x.T
+        return off <= np.partition(off, keep - 1, axis=1)[:, keep - 1 : keep]
 
 
 def fit(sample: np.ndarray, rows: int, distance: str = "cosine", parts: int = 16, recall: float = 0.95, k: int = 10, seed: int = 7) -> Model:
@@ -154,7 +154,7 @@ class VectorIndex:
         def coded(batches):
             import pyarrow as pa
 
-            for batch in batches:
+            for batch in (b.slice(at, BLOCK) for b in batches for at in range(0, b.num_rows, BLOCK)):
                 mask, raw = _matrix(batch.column(1), dims)
                 x = m.prepared(raw)
                 of = m.lists(x, 1)[:, 0]
@@ -190,9 +190,10 @@ class VectorIndex:
     def search(self, queries: DataFrame, k: int = 10, probes: int | None = None, depth: int = 20, wanted: dict[str, str] | None = None, attributes: DataFrame | None = None) -> DataFrame:
         """(query_id, chunk_id, score, rank) of a stated query set (query_id, q_vector), with exact scores.
 
-        A question meets the blocks of its nearest lists only, other lists aren't read. Of a block the best depth * k by coded
-        distance are scored exactly, all if it has no more; a task keeps k of each question. Where all lists are probed and
-        no block can hold more, blocks of questions meet blocks of vectors, as in retrieval.dense. wanted filters by columns
+        Blocks of questions meet blocks of vectors, in which those of a list lie together, and a question meets its nearest
+        lists only; others aren't read. Of a list in a block the best depth * k by coded distance (and those that tie with the
+        last) are scored exactly, all if it has no more; a task keeps k of each question, and only these are dealt out. Where
+        all lists are probed and no list in a block can hold more, it is the search of retrieval.dense. wanted filters by columns
         of attributes (chunk_id, ...) after the cut to k, as an index without them does.
         """
         if k < 1 or depth < 1:
@@ -211,11 +212,19 @@ class VectorIndex:
         def probed(batches):
             import pyarrow as pa
 
+            for batch in batches:
+                near = m.lists(m.prepared(_matrix(batch.column(0), dims)[1]), count)
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(near).astype(np.int32))], ["list"])
+
+        def asking(batches):
+            import pyarrow as pa
+
             for batch in batches:
                 mask, raw = _matrix(batch.column(1), dims)
-                near = m.lists(m.prepared(raw), count)
-                which = np.repeat(np.arange(len(raw)), count)
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(mask)).take(pa.array(which)), pa.array(near.ravel().astype(np.int32)), pa.array([raw[i].tobytes() for i in which], pa.binary())], ["query_id", "list", "q"])
+                keys = batch.column(0).filter(pa.array(mask))
+                for at in range(0, len(raw), QUESTIONS):
+                    some = raw[at : at + QUESTIONS]
+                    yield pa.RecordBatch.from_arrays([pa.array([keys.slice(at, QUESTIONS).to_pylist()], pa.list_(keys.type)), pa.array([some.tobytes()], pa.binary())], ["q_ids", "q"])
 
         def vectors(batches):
             import pyarrow as pa
@@ -225,26 +234,56 @@ class VectorIndex:
                     x = pa.array(np.frombuffer(held.as_py(), "<f4"))
                     yield pa.RecordBatch.from_arrays([ids.values, pa.FixedSizeListArray.from_arrays(x, dims).cast(pa.list_(pa.float32()))], ["chunk_id", "vector"])
 
+        def gathered(batches):
+            import pyarrow as pa
+
+            held, rows = [], 0
+
+            def made():
+                ids = [i for h in held for i in h[1]]
+                of = np.concatenate([np.full(len(h[1]), h[0], np.int32) for h in held])
+                codes = np.concatenate([np.frombuffer(h[2], np.uint8).reshape(len(h[1]), -1) for h in held])
+                x = np.concatenate([np.frombuffer(h[3], "<f4").reshape(-1, dims) for h in held])
+                by = sorted(range(len(ids)), key=lambda j: (of[j], neighbours.order(ids[j])))
+                return pa.RecordBatch.from_arrays([pa.array([of[by].tobytes()], pa.binary()), pa.array([[ids[j] for j in by]], pa.list_(kinds)), pa.array([codes[by].tobytes()], pa.binary()), pa.array([x[by].tobytes()], pa.binary())], ["lists", "ids", "codes", "vectors"])
+
+            for batch in batches:
+                kinds = batch.schema.field("ids").type.value_type
+                for row in zip(*(batch.column(c).to_pylist() for c in ("list", "ids", "codes", "vectors"))):
+                    held.append(row)
+                    rows += len(row[1])
+                    if rows >= BLOCK:
+                        yield made()
+                        held, rows = [], 0
+            if held:
+                yield made()
+
         def scored(batches):
             import pyarrow as pa
 
-            best, kinds = neighbours.Best(k, m.distance), None
+            best, kinds, names, asks = neighbours.Best(k, m.distance), None, {}, {}
             for batch in batches:
-                kinds = [batch.schema.field("asked").type.value_type.field("query_id").type, batch.schema.field("ids").type.value_type]
+                kinds = [batch.schema.field(c).type.value_type for c in ("q_ids", "ids")]
                 for i in range(batch.num_rows):
-                    ids, number, codes, held, asked = (batch.column(c)[i].as_py() for c in ("ids", "list", "codes", "vectors", "asked"))
-                    x = np.frombuffer(held, "<f4").reshape(-1, dims).astype(float)
-                    by = np.array(sorted(range(len(ids)), key=lambda j: neighbours.order(ids[j])))
-                    ids, x, of = [ids[j] for j in by], x[by], np.frombuffer(codes, np.uint8).reshape(len(ids), -1)[by]
-                    keys, q = [a["query_id"] for a in asked], np.array([np.frombuffer(a["q"]) for a in asked])
-                    if len(ids) <= keep:
-                        best.meet(keys, q, ids, x)
-                        continue
-                    for a, key in enumerate(keys):
-                        near = np.sort(np.argsort(m.distances(m.prepared(q[a : a + 1])[0], number, of), kind="stable")[:keep])
-                        best.meet([key], q[a : a + 1], [ids[j] for j in near], x[near])
+                    block, q = batch.column("q_block")[i].as_py(), np.frombuffer(batch.column("q")[i].as_py()).reshape(-1, dims)
+                    if block not in names:
+                        # Who asks for a list: a bit for each question.
+                        names[block] = batch.column("q_ids")[i].as_py()
+                        probe = np.zeros((len(m.centres), len(q)), bool)
+                        probe[m.lists(m.prepared(q), count), np.arange(len(q))[:, None]] = True
+                        asks[block] = np.packbits(probe, axis=1)
+                    of, ids = np.frombuffer(batch.column("lists")[i].as_py(), np.int32), batch.column("ids")[i].as_py()
+                    x = np.frombuffer(batch.column("vectors")[i].as_py(), "<f4").reshape(-1, dims).astype(float)
+                    codes = np.frombuffer(batch.column("codes")[i].as_py(), np.uint8).reshape(len(ids), -1)
+                    starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+                    for start, end in zip(starts.tolist(), np.append(starts[1:], len(of)).tolist()):
+                        who = np.flatnonzero(np.unpackbits(asks[block][of[start]], count=len(q)))
+                        if not len(who):
+                            continue
+                        near = m.nearest(m.prepared(q[who]), int(of[start]), codes[start:end], keep) if end - start > keep else None
+                        best.meet([(block, j) for j in who.tolist()], q[who], ids[start:end], x[start:end], near)
             if kinds:
-                rows = list(best.rows())
+                rows = list(best.rows(lambda key: names[key[0]][key[1]]))
                 for at in range(0, len(rows), 100_000):
                     out = list(zip(*rows[at : at + 100_000]))
                     yield pa.RecordBatch.from_arrays([pa.array(out[0], kinds[0]), pa.array(out[1], kinds[1]), pa.array(out[2], pa.float64())], ["query_id", "chunk_id", "score"])
@@ -255,12 +294,14 @@ class VectorIndex:
             right = queries.filter(F.size("q_vector") == dims).filter(F.forall("q_vector", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))))
             best = top(retrieval.among(right, packed, k, m.distance), k)
         else:
-            asked = queries.select("query_id", "q_vector").mapInArrow(probed, f"query_id {kind}, list int, q binary")
-            lists = [r[0] for r in asked.select("list").distinct().collect()]  # as many as there are lists, at most
-            groups = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // QUESTIONS))))
-            sets = asked.groupBy("list", groups.alias("group")).agg(F.collect_list(F.struct("query_id", "q")).alias("asked"))
-            met = blocks.filter(F.col("list").isin(lists)).select("list", "ids", "codes", "vectors").join(sets, "list")
-            rows = met.select("list", "ids", "codes", "vectors", "asked").mapInArrow(scored, f"query_id {kind}, chunk_id {id_type}, score double")
+            lists = [r[0] for r in queries.select("q_vector").mapInArrow(probed, "list int").distinct().collect()]  # as many as there are lists, at most
+            number = queries.count()
+            dealt = queries.select("query_id", "q_vector").repartition(max(1, -(-number // (8 * QUESTIONS))), F.xxhash64("query_id"))
+            asked = dealt.mapInArrow(asking, f"q_ids array<{kind}>, q binary").withColumn("q_block", F.monotonically_increasing_id())
+            asked = F.broadcast(asked) if number <= 16 * QUESTIONS else asked
+            met = blocks.filter(F.col("list").isin(lists)).select("list", "ids", "codes", "vectors").coalesce(2 * self.spark.sparkContext.defaultParallelism)
+            met = met.mapInArrow(gathered, f"lists binary, ids array<{id_type}>, codes binary, vectors binary")
+            rows = met.join(asked, F.lit(True)).mapInArrow(scored, f"query_id {kind}, chunk_id {id_type}, score double")
             best = top(rows, k)
         if wanted:
             best = best.join(match_filter(attributes, wanted).select("chunk_id").distinct(), "chunk_id", "left_semi")
