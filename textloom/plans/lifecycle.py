@@ -10,7 +10,7 @@ from .. import streaming as ingest
 from ..operators import answers, caching, graph, quality, retrieval
 from ..operators.graph import new_folder
 from ..sources import stores
-from .queries import BM25, COSINE, FIXED, NODES, ON_CHUNKS, ORACLES, QUALITY, QUERIES, SIGNIFICANT, TERMS, _contexts, _edges, _entities, _passages, _questions, _vectors, lexical, plain_chunks, read, register
+from .queries import BM25, COSINE, FIXED, NODES, ON_CHUNKS, ORACLES, QUALITY, SIGNIFICANT, TERMS, _contexts, _edges, _entities, _passages, _questions, _vectors, healed, lexical, plain_chunks, read, register
 
 # ---- vector collections and stored tables ----
 
@@ -304,11 +304,16 @@ GATES = f"""WITH top AS (SELECT * FROM (WITH {BM25} SELECT query_id, chunk_id FR
   UNION ALL SELECT query_id, 2, 'retrieval', strength, passed, action FROM healed UNION ALL SELECT query_id, 3, 'groundedness', score, score >= 0.6, CASE WHEN score >= 0.6 THEN 'none' ELSE 'flag' END FROM borne""")
 def gate_trace(spark, sf_dir):
     asked, texts = _questions(spark, sf_dir), read(spark, sf_dir, "documents").select("doc_id", "text")
-    top = lexical(spark, sf_dir, 3).select("query_id", F.col("chunk_id").alias("doc_id"))
-    scored = quality.score(texts.join(top.select("doc_id").distinct(), "doc_id", "left_semi")).select("doc_id", "quality_score")
+    # All three searches share the lists of one pass over the texts, the first two are the same.
+    with retrieval.taken_apart(_passages(spark, sf_dir)) as search:
+        first = search(asked, 3)
+        again = healed(spark, sf_dir, lambda q, k: first.join(q.select("query_id"), "query_id", "left_semi") if k == 3 else search(q, k)).withColumnRenamed("strength", "score")
+    top = first.select("query_id", F.col("chunk_id").alias("doc_id"))
+    # The texts that were found are read for two gates.
+    found = graph._cut(texts.join(retrieval.narrow(top.select("doc_id").distinct(), asked.count()), "doc_id", "left_semi"))
+    scored = quality.score(found).select("doc_id", "quality_score")
     worst = top.join(scored, "doc_id").groupBy("query_id").agg(F.min("quality_score").cast("double").alias("score"))
     worst = worst.withColumn("passed", F.col("score") >= 0.4).withColumn("action", F.when(F.col("passed"), "accepted").otherwise("excluded"))
-    healed = QUERIES["retrieval_heal"](spark, sf_dir).withColumnRenamed("strength", "score")
     said = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("answer_id"), F.col("text").alias("answer"))
-    borne = answers.groundedness(said, top.join(texts, "doc_id").select(F.col("query_id").alias("answer_id"), "text")).withColumnRenamed("answer_id", "query_id")
-    return answers.gate_trace(worst, healed, borne)
+    borne = answers.groundedness(said, top.join(found, "doc_id").select(F.col("query_id").alias("answer_id"), "text")).withColumnRenamed("answer_id", "query_id")
+    return answers.gate_trace(worst, again, borne)
