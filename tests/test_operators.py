@@ -1,6 +1,7 @@
 """Small fixtures for what SQL doesn't cover: windows, tables, pages, retrieval, graphs and healing."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -422,3 +423,20 @@ def test_a_step_deals_out_no_pairs_of_queries_and_nodes(spark):
     final = step._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     last = final[: final.index("Join")]
     assert "Final Plan" in last and "Exchange" not in last and "Shuffle" not in last and "Aggregate" not in last
+
+
+def test_embedding_counts_terms(spark):
+    """Counts by the first byte of a term's digest; the places aren't searched for one by one."""
+    import hashlib
+
+    texts = ["one two two Dreißig_3", "", None, "  ", "x " * 700 + "y", "ÄÖ 東京 東京"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    for dimensions in (7, 64):
+        made = retrieval.embed(rows.repartition(2), dimensions)
+        assert "array_remove" not in made._jdf.queryExecution().executedPlan().toString()
+        for r in made.collect():
+            want = [0.0] * dimensions
+            for w in re.findall(r"\w+", (r.text or "").lower()):
+                want[hashlib.md5(w.encode()).digest()[0] % dimensions] += 1
+            assert r.vector == want
+    assert made.schema["vector"].dataType.simpleString() == "array<float>"
