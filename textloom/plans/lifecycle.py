@@ -10,7 +10,7 @@ from .. import streaming as ingest
 from ..operators import answers, caching, graph, quality, retrieval
 from ..operators.graph import new_folder
 from ..sources import stores
-from .queries import BM25, COSINE, FIXED, NODES, ON_CHUNKS, ORACLES, QUALITY, SIGNIFICANT, TERMS, _contexts, _edges, _entities, _passages, _questions, _vectors, healed, lexical, plain_chunks, read, register
+from .queries import BM25, COSINE, FIXED, NODES, ON_CHUNKS, ORACLES, QUALITY, SIGNIFICANT, TERMS, _contexts, _edges, _entities, _passages, _questions, _vectors, healed, plain_chunks, read, register
 
 # ---- vector collections and stored tables ----
 
@@ -191,8 +191,8 @@ def hybrid_dense_bm25(spark, sf_dir):
   r AS (SELECT query_id, 'bm25' AS strategy, count(*) AS results FROM ranked WHERE rank <= 10 GROUP BY 1 UNION ALL SELECT query_id, 'dense', count(*) FROM dense WHERE rank <= 5 GROUP BY 1)
   SELECT *, results = max(results) OVER (PARTITION BY query_id) AS most, strategy = 'dense' AS fastest FROM r""")
 def strategy_summary(spark, sf_dir):
-    asked, _, index = _legs(spark, sf_dir)
-    return retrieval.summary({"bm25": lexical(spark, sf_dir, 10), "dense": retrieval.dense(asked, index, 5)}, {"bm25": 2.0, "dense": 1.0})
+    asked, chunks, index = _legs(spark, sf_dir)
+    return retrieval.summary({"bm25": retrieval.bm25(asked, chunks, 10), "dense": retrieval.dense(asked, index, 5)}, {"bm25": 2.0, "dense": 1.0})
 
 
 # ---- knowledge graph ----
