@@ -425,6 +425,19 @@ def test_a_step_deals_out_no_pairs_of_queries_and_nodes(spark):
     assert "Final Plan" in last and "Exchange" not in last and "Shuffle" not in last and "Aggregate" not in last
 
 
+def test_a_step_broadcasts_no_queries_or_nodes(spark, monkeypatch):
+    """What grows with the queries or the graph doesn't pass through the driver, however small its tables are on disk."""
+    edges = spark.createDataFrame([("s1", "hub"), ("s2", "hub"), ("c1", "hub"), ("hub", "top")], "src string, dst string")
+    entry = spark.createDataFrame([(1, "s1"), (2, "s2")], "query_id int, id string")
+    made, cut = [], graph._cut
+    monkeypatch.setattr(graph, "_cut", lambda df: made.append(df) or cut(df))
+    made.append(graph.reach(entry, edges, 2))
+    assert sorted(tuple(r) for r in made[-1].collect()) == sorted((q, n, h) for q, own, other in ((1, "s1", "s2"), (2, "s2", "s1")) for n, h in ((own, 0), ("hub", 1), (other, 2), ("c1", 2), ("top", 2)))
+    for df in made:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_embedding_counts_terms(spark):
     """Counts by the first byte of a term's digest; the places aren't searched for one by one."""
     import hashlib
