@@ -93,3 +93,37 @@ def test_one_poison_message_of_a_thousand(spark):
     assert len(runs) < 60
     made, fates, dead = ingest.retried(sent.filter("id > 100 and id < 130"), work, retries=0)
     assert made.count() == 28 and [r.idempotency_key for r in dead.collect()] == ["123"]
+
+
+def test_poison_is_halved_without_runs_over_the_same_messages(spark):
+    """Every run of an attempt has fewer messages than the one that it halves, and deep ones don't read all parts."""
+    sent = spark.range(400).repartition(16).select(F.col("id").cast("string").alias("idempotency_key"), "id")
+    seen, parts = [], []
+
+    def work(given):
+        seen.append((given.first().attempt, frozenset(r[0] for r in given.select("id").collect())))
+        parts.append(given.rdd.getNumPartitions())
+        return given.select("idempotency_key", F.when(F.col("id").isin(5, 77), F.raise_error(F.lit("boom"))).otherwise(F.col("id")).cast("long").alias("id"))
+
+    made, fates, dead = ingest.retried(sent, work)
+    assert len(seen) == len(set(seen)) and all(ids for _, ids in seen)
+    assert parts[:2] == [16, 16] and min(parts) == 1
+    assert made.count() == 398 and sorted(r.idempotency_key for r in dead.collect()) == ["5", "77"]
+    assert "SortMergeJoin" not in fates._jdf.queryExecution().executedPlan().toString()
+
+
+def test_poison_with_null_and_repeated_keys(spark):
+    """A null key equals none, so it counts as come through; rows of a key share its fate, and each comes out."""
+    sent = spark.createDataFrame([(None, 1), (None, 7), ("a", 1), ("a", 2), ("b", 7), ("b", 1), ("c", 3)], "idempotency_key string, id int")
+
+    def work(given):
+        return given.withColumn("id", F.when(F.col("id") == 7, F.raise_error(F.lit("boom")).cast("int")).otherwise(F.col("id")))
+
+    made, fates, dead = ingest.retried(sent, work)
+    said = lambda rows: sorted(((r.idempotency_key or "", r.status, r.attempts, bool(r.error)) for r in rows.collect()))
+    assert said(fates) == [("", "complete", 1, False), ("a", "complete", 2, False), ("b", "dead_letter", 4, True), ("c", "complete", 2, False)]
+    assert sorted((r.idempotency_key, r.id) for r in made.collect()) == [("a", 1), ("a", 2), ("c", 3)]
+    assert sorted((r.idempotency_key, r.id) for r in dead.collect()) == [("b", 1), ("b", 7)]
+    made, fates, dead = ingest.retried(sent, work, retries=0)
+    assert said(fates) == [("", "complete", 1, False), ("", "dead_letter", 1, True), ("a", "complete", 1, False), ("b", "dead_letter", 1, True), ("c", "complete", 1, False)]
+    assert said(ingest.retried(sent.limit(0), work)[1]) == []
