@@ -176,3 +176,24 @@ def test_rounds_broadcast_no_table(spark):
         df.collect()
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_links_are_joined_once_for_all_that_reads_them(spark, monkeypatch):
+    """The checks' links, the links inside communities and the components are tables before they are read again and again."""
+    from textloom.operators import communities, graph
+    from textloom.plans import queries
+
+    read = []
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    for module in (graph, communities):
+        real = module.connected
+        monkeypatch.setattr(module, "connected", lambda links, *a, real=real, **k: read.append(plan(links)) or real(links, *a, **k))
+    worth = communities.modularity
+    monkeypatch.setattr(communities, "modularity", lambda labels, links: read.extend([plan(labels), plan(links)]) or worth(labels, links))
+    rows = [("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("d", "e"), ("e", "f"), ("d", "f"), ("f", "f"), ("a", None), ("x", "a")]
+    nodes = spark.createDataFrame([(c,) for c in "abcdefg"] + [(None,), ("a",)], "id string")
+    edges = spark.createDataFrame(rows, "src string, dst string")
+    monkeypatch.setattr(queries, "_entities", lambda *_: nodes)
+    monkeypatch.setattr(queries, "_edges", lambda *_: edges)
+    assert [tuple(r) for r in queries.QUERIES["graph_modularity_checks"](spark, "").collect()] == [(6, 0, True)]
+    assert len(read) == 8 and not any("Join" in p for p in read)

@@ -161,7 +161,8 @@ def by_modularity(entities: DataFrame, edges: DataFrame, least: int = 2, rounds:
         label = label.withColumnsRenamed({"u": "id", "c": "community"}) if of is None else of.join(dealt(label.withColumnRenamed("u", "r")), "r").select("id", F.col("c").alias("community"))
         label = kept(label)
         inner = first.join(dealt(label.select(F.col("id").alias("u"), "community")), "u").join(dealt(label.select(F.col("id").alias("v"), F.col("community").alias("other"))), "v").filter("community = other")
-        parts = connected(inner.select(F.col("u").alias("a"), F.col("v").alias("b")))
+        # connected() reads its links several times; the joins before it are done once.
+        parts = connected(kept(inner.select(F.col("u").alias("a"), F.col("v").alias("b"))))
         whole = connected(first.select(F.col("u").alias("a"), F.col("v").alias("b"))).withColumnRenamed("component", "whole")
         label = kept(label.join(dealt(parts), "id", "left").select("id", F.coalesce("component", "id").alias("community")).join(dealt(whole), "id"))
         worth = contributions(label, first, total).join(dealt(label.select("community", "whole").distinct()), "community").groupBy("whole").agg(F.sum("q").alias("q"))
